@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,10 +12,25 @@ from govspark import rules
 from govspark.rules import Detector
 
 
+def may_match(text: Column, detector: Detector) -> Column | None:
+    """The cheap literal test of a detector, or None where it has none."""
+    source = F.upper(text) if detector.fold else text
+    tests = [source.contains(n) for n in detector.needles]
+    return reduce(lambda a, b: a | b, tests) if tests else None
+
+
 def matches(text: Column, detector: Detector) -> Column:
-    """Whether the text holds a match. A literal test goes first where the rule has one."""
-    found = text.rlike(detector.pattern)
-    return text.contains(detector.needle) & found if detector.needle else found
+    """Whether the text holds a match. The literal test goes first."""
+    found = text.rlike(detector.search or detector.pattern)
+    possible = may_match(text, detector)
+    return found if possible is None else possible & found
+
+
+def match_sql(text: str, detector: Detector) -> str:
+    """``matches`` as SQL text, for expressions over many columns at once."""
+    source = f"upper({text})" if detector.fold else text
+    tests = " OR ".join(f"contains({source}, '{n}')" for n in detector.needles) or "TRUE"
+    return f"(({tests}) AND {text} RLIKE r'{detector.search or detector.pattern}')"
 
 
 def detected_types(text: Column, detectors: Iterable[Detector] = rules.REFERENCE_DETECTORS) -> Column:
@@ -27,17 +43,15 @@ def detected_types(text: Column, detectors: Iterable[Detector] = rules.REFERENCE
 def found_values(text: Column, detector: Detector) -> Column:
     """All matched substrings of one detector, in text order."""
     values = F.regexp_extract_all(text, F.lit(detector.pattern), F.lit(0))
-    if detector.needle:
-        return F.when(text.contains(detector.needle), values)
-    return values
+    possible = may_match(text, detector)
+    return values if possible is None else F.when(possible, values)
 
 
 def match_count(text: Column, detector: Detector) -> Column:
     """Number of matches of one detector; 0 for a missing text."""
     count = F.regexp_count(text, F.lit(detector.pattern))
-    if detector.needle:
-        count = F.when(text.contains(detector.needle), count)
-    return F.coalesce(count, F.lit(0))
+    possible = may_match(text, detector)
+    return F.coalesce(count if possible is None else F.when(possible, count), F.lit(0))
 
 
 def findings(text: Column, detectors: Iterable[Detector]) -> Column:

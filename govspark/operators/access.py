@@ -68,14 +68,11 @@ def raw_sample(df: DataFrame, role: str, order_by: list[str], rows: int = rules.
 
 def column_exposure(df: DataFrame) -> DataFrame:
     """(column_name, column_position, n_values): how many values each column holds, one pass."""
-    counts = df.agg(*[F.count(c).alias(c) for c in df.columns])
-    entries = [
-        F.struct(
-            F.lit(c).alias("column_name"), F.lit(i).alias("column_position"), F.col(c).alias("n_values")
-        )
+    entries = ", ".join(
+        f"named_struct('column_name', '{c}', 'column_position', {i}, 'n_values', count(`{c}`))"
         for i, c in enumerate(df.columns)
-    ]
-    return counts.select(F.inline(F.array(*entries)))
+    )
+    return df.agg(F.expr(f"array({entries})").alias("entries")).select(F.inline("entries"))
 
 
 def access_audit(exposure: DataFrame, policy: ColumnPolicy = ColumnPolicy()) -> DataFrame:

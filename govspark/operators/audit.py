@@ -14,9 +14,8 @@ from govspark.rules import Detector
 
 def serialise_columns(columns: list[str]) -> Column:
     """``name: value`` pairs joined by commas; columns without a value are skipped."""
-    return F.concat_ws(
-        ", ", *[F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in columns]
-    )
+    pairs = ", ".join(f"concat('{c}: ', CAST(`{c}` AS STRING))" for c in columns)
+    return F.expr(f"concat_ws(', ', {pairs})")
 
 
 def dual_path(df: DataFrame, response: str = "engine_text") -> DataFrame:
@@ -51,31 +50,17 @@ def leak_audit(
     texts = gold.select(
         *[serialise_columns(role_columns(gold.columns, role, policy)).alias(p) for role, p in paths.items()]
     )
-    hits = texts.select(
-        *[detect.matches(F.col(p), d).alias(f"{p}_{d.name}") for p in paths.values() for d in detectors]
-    )
-
-    def any_hit(path: str) -> Column:
-        flag = F.lit(False)
-        for d in detectors:
-            flag = flag | F.col(f"{path}_{d.name}")
-        return flag
-
-    counts = hits.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        *[F.count_if(any_hit(p)).alias(f"{p}_leaked") for p in paths.values()],
-        *[F.count_if(F.col(c)).alias(c) for c in hits.columns],
+    hits = texts.selectExpr(
+        *[f"{detect.match_sql(p, d)} AS {p}_{d.name}" for p in paths.values() for d in detectors]
     )
-    rows = [
-        F.struct(
-            F.lit(p).alias("path"),
-            F.col("n_rows"),
-            F.col(f"{p}_leaked").alias("leaked_rows"),
-            *[F.col(f"{p}_{d.name}").alias(f"{d.name}_rows") for d in detectors],
-        )
+    entries = ", ".join(
+        f"named_struct('path', '{p}', 'n_rows', count(1), 'leaked_rows', "
+        f"count_if({' OR '.join(f'{p}_{d.name}' for d in detectors)}), "
+        + ", ".join(f"'{d.name}_rows', count_if({p}_{d.name})" for d in detectors)
+        + ")"
         for p in paths.values()
-    ]
-    return counts.select(F.inline(F.array(*rows)))
+    )
+    return hits.agg(F.expr(f"array({entries})").alias("entries")).select(F.inline("entries"))
 
 
 def detection_rate(guarded: DataFrame, category: str = "category") -> DataFrame:

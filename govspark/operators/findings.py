@@ -70,23 +70,15 @@ def profile_columns(
     at least ``threshold`` of the column's values match.
     """
     text_columns = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    pairs = [(c, d) for c in text_columns for d in detectors]
-    counts = df.agg(
-        *[F.count(c).alias(f"n_{i}") for i, c in enumerate(text_columns)],
-        *[F.count_if(detect.matches(F.col(c), d)).alias(f"m_{i}") for i, (c, d) in enumerate(pairs)],
+    entries = ", ".join(
+        f"named_struct('column_name', '{c}', 'category', '{d.name}', "
+        f"'rows_matched', count_if({detect.match_sql(f'`{c}`', d)}), 'n_values', count(`{c}`))"
+        for c in text_columns
+        for d in detectors
     )
-    entries = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.lit(d.name).alias("category"),
-            F.col(f"m_{i}").alias("rows_matched"),
-            F.col(f"n_{text_columns.index(c)}").alias("n_values"),
-        )
-        for i, (c, d) in enumerate(pairs)
-    ]
-    return (
-        counts.select(F.inline(F.array(*entries)))
-        .filter((F.col("n_values") > 0) & (F.col("rows_matched") >= threshold * F.col("n_values")))
+    counts = df.agg(F.expr(f"array({entries})").alias("entries")).select(F.inline("entries"))
+    return counts.filter(
+        (F.col("n_values") > 0) & (F.col("rows_matched") >= threshold * F.col("n_values"))
     )
 
 

@@ -21,12 +21,15 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._opened: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 
     def __call__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        if name not in self._opened:
+            self._opened[name] = self.spark.read.parquet(self.path(name))
+        return self._opened[name]
 
     def gold(self, columns: Iterable[str] = gold_source.GOLD) -> DataFrame:
         return gold_source.gold_from_star(self, columns)

@@ -131,9 +131,9 @@ SELECT l.order_id, l.customer_id, p.email FROM ledger l LEFT JOIN profiles p ON
 
 @query("b1_gold_unmatched", _MISSING)
 def gold_unmatched(t: Tables):
-    orders = t("orders").select(
-        F.concat(F.lit("ORD-"), (F.col("o_orderkey") + 100_000).cast("string")).alias("order_id"),
-        synthetic.customer_id(mix(F.col("o_orderkey"), 38) % 2000).alias("customer_id"),
+    orders = t("orders").selectExpr(
+        "concat('ORD-', o_orderkey + 100000L) AS order_id",
+        f"{synthetic.customer_id('(' + mix('o_orderkey', 38) + ' % 2000L)')} AS customer_id",
     )
     profiles = customer_profiles(t).select("customer_id", "email")
     return gold.build_gold(orders, profiles)

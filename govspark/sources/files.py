@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,11 +21,9 @@ def fixed_rows(spark: SparkSession, rows: list[tuple], schema: T.StructType | st
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    structs = [
-        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema.fields, strict=True)])
-        for row in rows
-    ]
-    return spark.range(1, numPartitions=1).select(F.inline(F.array(*structs)))
+    records = [dict(zip(schema.fieldNames(), row, strict=True)) for row in rows]
+    parsed = F.from_json(F.lit(json.dumps(records)), T.ArrayType(schema))
+    return spark.range(1, numPartitions=1).select(F.inline(parsed))
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: str | None = None) -> None:

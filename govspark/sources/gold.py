@@ -5,12 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from govspark import rules
 from govspark.operators.joins import lookup_join
-from govspark.schemas import MONEY
-from govspark.sources.synthetic import customer_id, customer_profiles, payment_columns
+from govspark.sources.synthetic import customer_id, customer_profiles, payment_rules
 
 GOLD = tuple(rules.GOLD_COLUMNS)
 
@@ -41,7 +39,8 @@ def gold_from_star(
     join, so a join whose columns nobody asked for cannot change the rows. Those are left out
     here, because the optimizer does not know the keys are unique.
     """
-    columns = [c for c in GOLD if c in set(columns)]
+    wanted = set(columns)
+    columns = [c for c in GOLD if c in wanted]
     need_customers = any(c in FROM_CUSTOMERS for c in columns)
     need_orders = need_customers or any(c in FROM_ORDERS for c in columns)
     need_part = any(c in FROM_PART for c in columns)
@@ -50,50 +49,40 @@ def gold_from_star(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice"
     )
     if need_orders:
-        orders = table("orders").select(
-            F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate", "o_orderstatus"
+        orders = table("orders").selectExpr(
+            "o_orderkey AS l_orderkey", "o_custkey", "o_orderdate", "o_orderstatus"
         )
         lines = lookup_join(
             lines, orders, "l_orderkey", hot_from=table("lineitem").select("l_orderkey"), **join_options
         )
-        lines = lines.withColumn("customer_id", customer_id(F.col("o_custkey")))
     if need_part:
-        part = table("part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type")
+        part = table("part").selectExpr("p_partkey AS l_partkey", "p_name", "p_type")
         lines = lookup_join(
             lines, part, "l_partkey", hot_from=table("lineitem").select("l_partkey"), **join_options
         )
 
-    paid = payment_columns(F.col("l_orderkey"))
-    quantity = F.col("l_quantity").cast("decimal(12,2)")
-    total = F.col("l_extendedprice").cast(MONEY)
-    built = {
-        "order_id": F.concat(F.lit("ORD-"), (F.col("l_orderkey") + 100_000).cast("string")),
-        "transaction_id": F.concat(
-            F.lit("TXN-"),
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber") + 200_000).cast("string"),
-        ),
-        "quantity": F.col("l_quantity").cast("int"),
-        "price_per_unit": (total / quantity).cast(MONEY),
+    total = "CAST(l_extendedprice AS DECIMAL(12,2))"
+    made = {
+        "order_id": "concat('ORD-', l_orderkey + 100000L)",
+        "transaction_id": "concat('TXN-', l_orderkey * 10L + l_linenumber + 200000L)",
+        "customer_id": customer_id("o_custkey"),
+        "order_date": "o_orderdate",
+        "product_sku": "concat(upper(left(p_type, 3)), '-', l_partkey)",
+        "product_name": "p_name",
+        "category": "p_type",
+        "quantity": "CAST(l_quantity AS INT)",
+        "price_per_unit": f"CAST({total} / CAST(l_quantity AS DECIMAL(12,2)) AS DECIMAL(12,2))",
         "total_amount": total,
-        **paid,
+        **payment_rules("l_orderkey"),
+        "order_status": "o_orderstatus",
     }
-    if need_orders:
-        built["customer_id"] = F.col("customer_id")
-        built["order_date"] = F.col("o_orderdate")
-        built["order_status"] = F.col("o_orderstatus")
-    if need_part:
-        built["product_name"] = F.col("p_name")
-        built["category"] = F.col("p_type")
-        built["product_sku"] = F.concat(
-            F.upper(F.left("p_type", F.lit(3))), F.lit("-"), F.col("l_partkey").cast("string")
-        )
     if not need_customers:
-        return lines.select(*[built[c].alias(c) for c in columns])
+        return lines.selectExpr(*[f"{made[c]} AS {c}" for c in columns])
 
-    ledger = lines.select(
-        *[built[c].alias(c) for c in {**dict.fromkeys(columns), "customer_id": None} if c in built]
+    ledger_columns = [c for c in GOLD if c in made and (c in wanted or c == "customer_id")]
+    ledger = lines.selectExpr(*[f"{made[c]} AS {c}" for c in ledger_columns])
+    profiles = customer_profiles(
+        table("customer"), "c_custkey", ["customer_id", *[c for c in FROM_CUSTOMERS if c in wanted]]
     )
-    profiles = customer_profiles(table("customer").select("c_custkey"), "c_custkey")
-    profiles = profiles.select("customer_id", *[c for c in FROM_CUSTOMERS if c in columns])
-    hot_from = table("orders").select(customer_id(F.col("o_custkey")).alias("customer_id"))
+    hot_from = table("orders").selectExpr(f"{customer_id('o_custkey')} AS customer_id")
     return build_gold(ledger, profiles, hot_from=hot_from, **join_options).select(*columns)
