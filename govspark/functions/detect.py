@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from govspark import rules
@@ -19,18 +19,24 @@ def may_match(text: Column, detector: Detector) -> Column | None:
     return reduce(lambda a, b: a | b, tests) if tests else None
 
 
-def matches(text: Column, detector: Detector) -> Column:
-    """Whether the text holds a match. The literal test goes first."""
-    found = text.rlike(detector.search or detector.pattern)
-    possible = may_match(text, detector)
-    return found if possible is None else possible & found
-
-
 def match_sql(text: str, detector: Detector) -> str:
-    """``matches`` as SQL text, for expressions over many columns at once."""
+    """Whether the text holds a match, as SQL text: per pattern the literal, then the regex."""
     source = f"upper({text})" if detector.fold else text
-    tests = " OR ".join(f"contains({source}, '{n}')" for n in detector.needles) or "TRUE"
-    return f"(({tests}) AND {text} RLIKE r'{detector.search or detector.pattern}')"
+    patterns = [detector.search] if detector.search else detector.patterns
+    tests = [f"{text} RLIKE r'{p}'" for p in patterns]
+    if detector.needles:
+        tests = [f"(contains({source}, '{n}') AND {t})" for n, t in zip(detector.needles, tests, strict=True)]
+    return f"({' OR '.join(tests)})"
+
+
+def matches(text: Column, detector: Detector) -> Column:
+    """``match_sql`` as a Column."""
+    source = F.upper(text) if detector.fold else text
+    patterns = [detector.search] if detector.search else detector.patterns
+    tests = [text.rlike(p) for p in patterns]
+    if detector.needles:
+        tests = [source.contains(n) & t for n, t in zip(detector.needles, tests, strict=True)]
+    return reduce(lambda a, b: a | b, tests)
 
 
 def detected_types(text: Column, detectors: Iterable[Detector] = rules.REFERENCE_DETECTORS) -> Column:
@@ -67,11 +73,20 @@ def _as_finding(category: str):
     return lambda value: F.struct(F.lit(category).alias("category"), value.alias("value"))
 
 
-def redact(text: Column, detectors: Iterable[Detector] = rules.EXTENDED_DETECTORS) -> Column:
-    """Replace each match by its ``[CATEGORY]`` placeholder, one detector after the other."""
+def redact(
+    df: DataFrame, text: str, out: str, detectors: Iterable[Detector] = rules.EXTENDED_DETECTORS
+) -> DataFrame:
+    """Add ``out``: the text with each match replaced by its ``[CATEGORY]`` placeholder.
+
+    One detector after the other, each as its own projection, so a text that cannot match a
+    detector goes on to the next one untouched.
+    """
+    df = df.withColumn(out, F.col(text))
     for d in detectors:
-        text = F.regexp_replace(text, d.pattern, d.placeholder)
-    return text
+        replaced = F.regexp_replace(out, d.pattern, d.placeholder)
+        possible = may_match(F.col(out), d)
+        df = df.withColumn(out, replaced if possible is None else F.when(possible, replaced).otherwise(F.col(out)))
+    return df
 
 
 def tokenise(value: Column, salt: str) -> Column:

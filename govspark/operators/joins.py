@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from govspark.session import estimated_bytes
+
 HOT_KEYS_KEPT = 64
 HOT_KEYS_TRACKED = 10_000
 HOT_SHARE = 200  # a key is hot when it holds more than 1/HOT_SHARE of the rows
@@ -33,14 +35,6 @@ def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of a frame, or None where the session does not expose it."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:
-        return None
-
-
 def fits_broadcast(df: DataFrame) -> bool:
     limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
     size = estimated_bytes(df)

@@ -42,7 +42,7 @@ def redact_text(
     df: DataFrame, text: str, detectors: tuple[Detector, ...] = rules.EXTENDED_DETECTORS
 ) -> DataFrame:
     """Add ``redacted_text`` and the action: MODIFIED where something was replaced."""
-    redacted = df.withColumn("redacted_text", detect.redact(F.col(text), detectors))
+    redacted = detect.redact(df, text, "redacted_text", detectors)
     return redacted.withColumn(
         "redact_action",
         F.when(F.col("redacted_text") != F.col(text), F.lit("MODIFIED")).otherwise(F.lit("PASS")),

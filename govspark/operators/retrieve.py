@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from govspark import rules
+from govspark.functions import detect
 from govspark.operators.access import PERMISSIVE
 from govspark.operators.joins import lookup_join
 
@@ -31,6 +32,13 @@ def corpus_of(role: Column) -> Column:
     return F.when(role == PERMISSIVE, F.lit(RAW)).otherwise(F.lit(MASKED))
 
 
+def visible_text(df: DataFrame, text: str, corpus: str = "corpus", out: str = "visible_text") -> DataFrame:
+    """Add the text as the corpus holds it: raw, or redacted in the masked corpus."""
+    masked = F.when(F.col(corpus) == MASKED, F.col(text))
+    redacted = detect.redact(df.withColumn("_masked", masked), "_masked", "_masked")
+    return redacted.withColumn(out, F.coalesce("_masked", text)).drop("_masked")
+
+
 def centroids(vectors: DataFrame, group: str, embedding: str = "embedding") -> DataFrame:
     """The mean vector per group, as (group, embedding).
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from govspark import rules
+from govspark.session import spread
 from govspark.sources import gold as gold_source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,8 +32,15 @@ class Tables:
             self._opened[name] = self.spark.read.parquet(self.path(name))
         return self._opened[name]
 
+    def wide(self, name: str) -> DataFrame:
+        """The table, for work that is heavy per row: a small one is spread over all cores."""
+        return spread(self(name))
+
     def gold(self, columns: Iterable[str] = gold_source.GOLD) -> DataFrame:
-        return gold_source.gold_from_star(self, columns)
+        columns = list(columns)
+        heavy = any(c in rules.DENIED_COLUMNS for c in columns) or len(columns) > 8
+        lines = self.wide if heavy else self
+        return gold_source.gold_from_star(lambda name: lines(name) if name == "lineitem" else self(name), columns)
 
 
 def query(name: str, sql: str | None = None):

@@ -30,7 +30,7 @@ def _profile_text(t: Tables):
 
 @query("d1_detect_types", f"SELECT doc_id, {_TYPES} AS types FROM documents")
 def detect_types(t: Tables):
-    return plain(findings.with_detected_types(t("documents"), "text").select("doc_id", "types"))
+    return plain(findings.with_detected_types(t.wide("documents"), "text").select("doc_id", "types"))
 
 
 @query("d1_detect_types_extended", f"WITH {_PROFILES}, {_PROFILE_TEXT}\nSELECT customer_id, {_EXTENDED_TYPES} AS types FROM profile_text")
@@ -45,12 +45,12 @@ def detect_types_extended(t: Tables):
   CASE WHEN {sql_types('html', SQL_REFERENCE)} <> '' THEN '⚠️ Ungoverned — Data Leaked' END AS leak_label FROM pages""",
 )
 def leak_flag(t: Tables):
-    return findings.with_detected_types(t("pages"), "html").select("page_id", "sensitive_detected", "leak_label")
+    return findings.with_detected_types(t.wide("pages"), "html").select("page_id", "sensitive_detected", "leak_label")
 
 
 @query("d3_findings", sql_findings("documents", "doc_id", "text"))
 def extract_findings(t: Tables):
-    return findings.extract_findings(t("documents"), ["doc_id"], "text")
+    return findings.extract_findings(t.wide("documents"), ["doc_id"], "text")
 
 
 @query(
@@ -65,8 +65,8 @@ SELECT 'TOTAL', CAST(sum(findings) AS BIGINT), CAST(sum(distinct_values) AS BIGI
 )
 def findings_by_category(t: Tables):
     found = (
-        findings.extract_findings(t("documents"), [], "text")
-        .unionByName(findings.extract_findings(t("pages"), [], "html"))
+        findings.extract_findings(t.wide("documents"), [], "text")
+        .unionByName(findings.extract_findings(t.wide("pages"), [], "html"))
         .unionByName(findings.extract_findings(_profile_text(t), [], "text"))
     )
     return findings.count_findings(found)
@@ -124,7 +124,7 @@ SELECT source, lang, findings_count, CASE WHEN findings_count = 0 THEN 'clean' E
     ELSE 'PII scan: ' || findings_count || ' PII findings detected in source data' || {_LINES} END AS summary FROM totals""",
 )
 def scan_status(t: Tables):
-    return findings.scan_report(t("documents"), ["source", "lang"], "text")
+    return findings.scan_report(t.wide("documents"), ["source", "lang"], "text")
 
 
 @query(
@@ -141,14 +141,14 @@ def informational_gate(t: Tables):
 
 
 def document_scans(t: Tables):
-    labelled = t("documents").join(t("labels").select("doc_id"), "doc_id", "left_semi")
+    labelled = t.wide("documents").join(t("labels").select("doc_id"), "doc_id", "left_semi")
     counts = findings.count_per_key(labelled, ["doc_id"], "text")
     return counts.select(F.col("doc_id").alias("conv_id"), F.col("findings_count").cast("long"))
 
 
 @query("e1_redact_text", f"SELECT doc_id, sha256({sql_redact('text')}) AS redacted_hash FROM documents")
 def redact_text(t: Tables):
-    redacted = medallion.redact_text(t("documents"), "text")
+    redacted = medallion.redact_text(t.wide("documents"), "text")
     return redacted.select("doc_id", F.sha2("redacted_text", 256).alias("redacted_hash"))
 
 
@@ -216,5 +216,5 @@ SELECT doc_id, CASE WHEN red <> text THEN 'MODIFIED' ELSE 'PASS' END AS redact_a
   {sql_types('red', SQL_EXTENDED)} AS residual_types FROM redacted""",
 )
 def residual_check(t: Tables):
-    checked = medallion.residual_check(t("documents"), "text")
+    checked = medallion.residual_check(t.wide("documents"), "text")
     return plain(checked.select("doc_id", "redact_action", "residual_types"))

@@ -43,13 +43,13 @@ def valid_quarantine_split(t: Tables):
 
 @query("f3_strip_script", f"SELECT page_id, sha256({sql_strip_script('html')}) AS stripped_hash FROM pages")
 def strip_script(t: Tables):
-    return t("pages").select("page_id", F.sha2(text_functions.strip_script_tags(F.col("html")), 256).alias("stripped_hash"))
+    return t.wide("pages").select("page_id", F.sha2(text_functions.strip_script_tags(F.col("html")), 256).alias("stripped_hash"))
 
 
 @query("f4_strip_shell", f"SELECT page_id, sha256({sql_strip_shell('html')}) AS stripped_hash FROM pages")
 def strip_shell(t: Tables):
     stripped = text_functions.strip_shell_metacharacters(F.col("html"))
-    return t("pages").select("page_id", F.sha2(stripped, 256).alias("stripped_hash"))
+    return t.wide("pages").select("page_id", F.sha2(stripped, 256).alias("stripped_hash"))
 
 
 @query(
@@ -76,7 +76,7 @@ def sanitize_for_engine(t: Tables):
 
 @query("g1_jailbreak_match", f"SELECT doc_id, {sql_first('text', rules.REFERENCE_GUARD.jailbreak)} AS jailbreak_keyword FROM documents")
 def jailbreak_match(t: Tables):
-    return prompts.match_keywords(t("documents"), "text").select("doc_id", "jailbreak_keyword")
+    return prompts.match_keywords(t.wide("documents"), "text").select("doc_id", "jailbreak_keyword")
 
 
 _PROTOTYPE_PII = sql_first("text", rules.PROTOTYPE_GUARD.pii)
@@ -150,7 +150,7 @@ def output_action(t: Tables):
         .otherwise(F.lit("PASS"))
     )
     response = F.when(text.rlike("[0-9]{3}"), F.lit("MODIFIED")).otherwise(F.lit("PASS"))
-    actions = t("documents").select("doc_id", gate.alias("gate_action"), response.alias("response_action"))
+    actions = t.wide("documents").select("doc_id", gate.alias("gate_action"), response.alias("response_action"))
     return actions.withColumn(
         "output_action", guard_functions.output_action(F.col("gate_action"), F.col("response_action"))
     )
@@ -181,7 +181,7 @@ def annotations(t: Tables):
   CASE WHEN {sql_types('text', SQL_REFERENCE)} <> '' THEN '⚠️ Ungoverned — Data Leaked' END AS annotation FROM documents""",
 )
 def ungoverned_verdict(t: Tables):
-    answered = t("documents").withColumn("verdict", F.lit("PASS"))
+    answered = t.wide("documents").withColumn("verdict", F.lit("PASS"))
     return audit.dual_path(answered, "text").select(
         "doc_id",
         F.col("a_is_blocked").alias("is_blocked"),
@@ -206,7 +206,7 @@ FROM log l LEFT JOIN judged j ON l.topic = j.topic AND l.doc_id = j.doc_id""",
 )
 def grounding(t: Tables):
     """Numbers in each document that an earlier document of the same source already gave."""
-    log = t("documents").select(F.col("source").alias("topic"), "doc_id", "text")
+    log = t.wide("documents").select(F.col("source").alias("topic"), "doc_id", "text")
     return audit.grounding(log, log, ["topic"], "doc_id", "text")
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from govspark import rules
-from govspark.functions import detect
 from govspark.operators import access, audit, retrieve
 from govspark.plans.base import SQL_GOLD, Tables, query, sql_redact
 from govspark.sources.gold import GOLD
@@ -40,8 +39,9 @@ def corpus_routing(t: Tables):
     """Each reader sees the raw or the masked form of a text, by role."""
     role = F.when(F.col("role") == "assistant", F.lit(access.PERMISSIVE)).otherwise(F.lit(access.RESTRICTED))
     routed = t("conversations").withColumn("corpus", retrieve.corpus_of(role))
-    visible = F.when(F.col("corpus") == retrieve.RAW, F.col("text")).otherwise(detect.redact(F.col("text")))
-    return routed.select("conv_id", "turn", "role", "corpus", F.sha2(visible, 256).alias("visible_hash"))
+    return retrieve.visible_text(routed, "text").select(
+        "conv_id", "turn", "role", "corpus", F.sha2("visible_text", 256).alias("visible_hash")
+    )
 
 
 @query("m1_vector_top_k", f"WITH {_CENTROIDS}, {_ranked(10)}\nSELECT query_id, rank, vec_id, similarity FROM top")
@@ -98,9 +98,10 @@ def label_hits(t: Tables, k: int):
         _cell("vec_id", F.col("vec_id")), _cell("lang", F.col("lang")), _cell("source", F.col("source")),
         _cell("quality", F.col("quality")), _cell("toxic", F.col("toxic")),
     )
-    visible = F.when(F.col("corpus") == retrieve.RAW, F.col("text")).otherwise(detect.redact(F.col("text")))
-    content = F.struct(F.when(F.col("quality").isNotNull(), cells).alias("row"), visible.alias("text"))
-    return joined.select("query_id", "rank", content.alias("content"))
+    content = F.struct(
+        F.when(F.col("quality").isNotNull(), cells).alias("row"), F.col("visible_text").alias("text")
+    )
+    return retrieve.visible_text(joined, "text").select("query_id", "rank", content.alias("content"))
 
 
 def _hits(k: int) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every job of this library expects.
 RUNTIME_CONF = {
@@ -43,6 +43,28 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of a frame, or None where the session does not expose it."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:
+        return None
+
+
+def spread(table: DataFrame, bytes_per_core: int = 64 * 1024 * 1024) -> DataFrame:
+    """A stored table that has fewer files than the session has cores, dealt out to all cores.
+
+    Only for tables far too small to fill the cores by themselves (fewer than
+    ``bytes_per_core`` each). A large table already has a task per file split and is
+    returned as it is, without a shuffle.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    size = estimated_bytes(table)
+    if size is None or size > cores * bytes_per_core or len(table.inputFiles()) >= cores:
+        return table
+    return table.repartition(cores)
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder for written intermediates, under ``spark.checkpoint.dir``.
 
