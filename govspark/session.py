@@ -20,6 +20,9 @@ RUNTIME_CONF = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+# Temporary folder of a local-mode session, by application id.
+_local_scratch: dict[str, str] = {}
+
 
 def build_session(app: str = "govspark", cores: int | None = None, **conf: str) -> SparkSession:
     """A session with the settings above. ``cores`` picks local mode; leave it out on a cluster."""
@@ -71,10 +74,10 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     Executors on every machine must see the folder, so on a cluster the setting is required.
     Only a local-mode session without the setting gets a temporary folder of its own.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _local_scratch.get(spark.sparkContext.applicationId)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="govspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        _local_scratch[spark.sparkContext.applicationId] = base
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
