@@ -116,7 +116,7 @@ hits AS (SELECT query_id, rank,
 @query(
     "m4_invoke_context",
     f"""WITH {_hits(10)}, pieces AS (SELECT query_id, rank, nullif(CASE WHEN row_text IS NOT NULL THEN row_text ELSE text END, '') AS part FROM hits),
-joined AS (SELECT query_id, count(part) AS parts, left(string_agg(part, chr(10) ORDER BY rank), 10000) AS context FROM pieces GROUP BY 1)
+joined AS (SELECT query_id, count(part) AS parts, left(coalesce(string_agg(part, chr(10) ORDER BY rank), ''), 10000) AS context FROM pieces GROUP BY 1)
 SELECT query_id, CAST(parts AS INTEGER) AS parts, CAST(length(context) AS INTEGER) AS context_chars, sha256(context) AS context_hash FROM joined""",
 )
 def invoke_context(t: Tables):
@@ -126,7 +126,7 @@ def invoke_context(t: Tables):
 @query(
     "m5_retrieve_context",
     f"""WITH {_hits(5)}, pieces AS (SELECT query_id, rank, nullif(CASE WHEN text IS NOT NULL THEN text ELSE row_text END, '') AS part FROM hits),
-joined AS (SELECT query_id, count(part) AS parts, string_agg(part, chr(10) || chr(10) ORDER BY rank) AS context FROM pieces GROUP BY 1)
+joined AS (SELECT query_id, count(part) AS parts, coalesce(string_agg(part, chr(10) || chr(10) ORDER BY rank), '') AS context FROM pieces GROUP BY 1)
 SELECT query_id, CAST(parts AS INTEGER) AS parts, CAST(length(context) AS INTEGER) AS context_chars, sha256(context) AS context_hash FROM joined""",
 )
 def retrieve_context(t: Tables):
