@@ -22,15 +22,22 @@ def sales_by(df: DataFrame, by: str, amount: str = "total_amount", out: str = "t
     return df.groupBy(by).agg(F.sum(amount).alias(out))
 
 
-def monthly_count(df: DataFrame, moment: str, out: str = "order_count") -> DataFrame:
-    """Rows per month, in time order."""
+def _by_month(df: DataFrame, moment: str, total: Column) -> DataFrame:
+    """Group by the month as a date, and write it as text only once per month."""
     return (
-        df.groupBy(month_of(F.col(moment)).alias("order_month"))
-        .agg(F.count(F.lit(1)).alias(out))
-        .orderBy("order_month")
+        df.groupBy(F.trunc(moment, "month").alias("_month"))
+        .agg(total)
+        .withColumn("order_month", month_of(F.col("_month")))
+        .orderBy("_month")
+        .drop("_month")
     )
 
 
+def monthly_count(df: DataFrame, moment: str, out: str = "order_count") -> DataFrame:
+    """Rows per month, in time order."""
+    return _by_month(df, moment, F.count(F.lit(1)).alias(out)).select("order_month", out)
+
+
 def distribution(df: DataFrame, by: str) -> DataFrame:
     """Rows and share of all rows per group.
 
@@ -84,12 +91,8 @@ def monthly_revenue(df: DataFrame, moment: str, amount: str, months: int = 6) ->
     the scan as a pushed filter.
     """
     first = df.agg(F.add_months(F.trunc(F.max(moment), "month"), 1 - months).cast("timestamp_ntz")).scalar()
-    return (
-        df.filter(F.col(moment) >= first)
-        .groupBy(month_of(F.col(moment)).alias("order_month"))
-        .agg(F.sum(amount).alias("revenue"))
-        .orderBy("order_month")
-    )
+    recent = df.filter(F.col(moment) >= first)
+    return _by_month(recent, moment, F.sum(amount).alias("revenue")).select("order_month", "revenue")
 
 
 def orders_with_nation(orders: DataFrame, customer: DataFrame) -> DataFrame:

@@ -50,6 +50,7 @@ def lookup_join(
     right: DataFrame,
     keys: str | list[str],
     hot_from: DataFrame | None = None,
+    spread_by: list[str] | None = None,
     salts: int = DEFAULT_SALTS,
     force_salt: bool = False,
 ) -> DataFrame:
@@ -58,7 +59,8 @@ def lookup_join(
     A right side below the session's broadcast limit is left to Spark, which broadcasts it.
     Otherwise rows with a hot key, or with a null key, are spread over ``salts`` shuffle
     partitions, and only the right rows of hot keys are copied to each of them. ``hot_from``
-    may name a narrower frame with the same key columns to read the hot keys from.
+    may name a narrower frame with the same key columns to read the hot keys from, and
+    ``spread_by`` the left columns that tell the rows of one key apart (default: all).
     """
     keys = [keys] if isinstance(keys, str) else keys
     if not force_salt and fits_broadcast(right):
@@ -69,7 +71,7 @@ def lookup_join(
     for k in keys:
         is_null = is_null | F.col(k).isNull()
     # The salt is a function of the row, so a recomputed task sends each row the same way.
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
+    spread = F.pmod(F.xxhash64(*(spread_by or left.columns)), F.lit(salts)).cast("int")
     is_hot = F.array_contains(hot, _key_hash(keys))
     salted_left = left.withColumn("_salt", F.when(is_null | is_hot, spread).otherwise(F.lit(0)))
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))

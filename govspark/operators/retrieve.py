@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,9 @@ from govspark.functions import detect
 from govspark.operators.access import PERMISSIVE
 from govspark.operators.joins import lookup_join
 
+# The scoring function travels to the executors by value: they need numpy, not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 RAW, MASKED = "raw", "masked"
 
 # Query vectors go to every task. One block stays below this size; more queries mean more
@@ -52,21 +57,19 @@ def centroids(vectors: DataFrame, group: str, embedding: str = "embedding") -> D
 
 def _query_blocks(queries: DataFrame, query_id: str, embedding: str) -> list[tuple[list, np.ndarray]]:
     """Query ids and unit vectors, in blocks below the size limit."""
-    spread = queries.agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.size(embedding)).alias("dim")
-    ).first()
-    if not spread["n"]:
-        return []
-    per_query = (spread["dim"] or 1) * 8 + 64
-    blocks = -(-spread["n"] * per_query // MAX_QUERY_BYTES)
-    block_of = F.pmod(F.xxhash64(F.col(query_id)), F.lit(blocks))
-    out = []
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.filter(block_of == b)
-        rows = part.select(query_id, F.col(embedding).cast("array<double>").alias("v")).collect()
-        if rows:
-            out.append(([r[0] for r in rows], _unit(np.array([r[1] for r in rows], dtype=np.float64))))
-    return out
+    wanted = queries.select(query_id, F.col(embedding).cast("array<double>").alias("v")).persist()
+    try:
+        size = wanted.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
+        blocks = -(-size["n"] * ((size["dim"] or 1) * 8 + 64) // MAX_QUERY_BYTES)
+        out = []
+        for b in range(blocks):
+            block = F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b
+            rows = wanted.filter(block).collect()
+            if rows:
+                out.append(([r[0] for r in rows], _unit(np.array([r[1] for r in rows], dtype=np.float64))))
+        return out
+    finally:
+        wanted.unpersist()
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -169,11 +172,12 @@ def routed_top_k(
     queries: DataFrame, corpora: dict[str, DataFrame], role: str = "role", query_id: str = "query_id", **options
 ) -> DataFrame:
     """Top-k of each query over the corpus its role may read."""
-    routed = queries.withColumn("corpus", corpus_of(F.col(role)))
+    routed = queries.withColumn("corpus", corpus_of(F.col(role))).persist()
     parts = [
         top_k(routed.filter(F.col("corpus") == name), corpus, query_id, **options).withColumn("corpus", F.lit(name))
         for name, corpus in corpora.items()
     ]
+    routed.unpersist()
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -238,11 +242,13 @@ def retrieve_context(hits: DataFrame, query_id: str = "query_id", **names) -> Da
 
 def with_context_status(queries: DataFrame, contexts: DataFrame, query_id: str = "query_id") -> DataFrame:
     """Contexts onto queries. A query without context is flagged, never answered."""
-    joined = lookup_join(queries, contexts.select(query_id, "context"), query_id)
-    missing = F.coalesce("context", F.lit("")) == ""
+    # The flag is made before the join, so a caller that drops the texts does not move them.
+    flagged = contexts.select(query_id, "context", (F.length("context") > 0).alias("_has"))
+    joined = lookup_join(queries, flagged, query_id)
+    missing = ~F.coalesce("_has", F.lit(False))
     return joined.withColumns(
         {
             "context_status": F.when(missing, F.lit("no_context")).otherwise(F.lit("ok")),
             "fallback_reply": F.when(missing, F.lit(rules.NO_CONTEXT_REPLY)),
         }
-    )
+    ).drop("_has")

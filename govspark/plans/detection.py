@@ -141,9 +141,10 @@ def informational_gate(t: Tables):
 
 
 def document_scans(t: Tables):
-    labelled = t.wide("documents").join(t("labels").select("doc_id"), "doc_id", "left_semi")
-    counts = findings.count_per_key(labelled, ["doc_id"], "text")
-    return counts.select(F.col("doc_id").alias("conv_id"), F.col("findings_count").cast("long"))
+    # Counting first: only ids and counts are shuffled for the join, never the texts.
+    counts = findings.count_per_key(t.wide("documents"), ["doc_id"], "text")
+    labelled = counts.join(t("labels").select("doc_id"), "doc_id", "left_semi")
+    return labelled.select(F.col("doc_id").alias("conv_id"), F.col("findings_count").cast("long"))
 
 
 @query("e1_redact_text", f"SELECT doc_id, sha256({sql_redact('text')}) AS redacted_hash FROM documents")
