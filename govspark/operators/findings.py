@@ -66,17 +66,26 @@ def profile_columns(
 ) -> DataFrame:
     """Which string columns hold which category: (column_name, category, rows_matched, n_values).
 
-    All columns and rules are counted in one aggregate over one scan. A pair is reported when
-    at least ``threshold`` of the column's values match.
+    All columns and rules are counted in one aggregate over one scan. Each value is first
+    turned into a bit mask of the rules it matches, which keeps the regexes in a projection
+    and leaves the aggregate with integer tests. A pair is reported when at least
+    ``threshold`` of the column's values match.
     """
     text_columns = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    masks = df.selectExpr(
+        *[
+            " + ".join(f"CAST({detect.match_sql(f'`{c}`', d)} AS BIGINT) * {1 << i}L" for i, d in enumerate(detectors))
+            + f" AS `{c}`"
+            for c in text_columns
+        ]
+    )
     entries = ", ".join(
         f"named_struct('column_name', '{c}', 'category', '{d.name}', "
-        f"'rows_matched', count_if({detect.match_sql(f'`{c}`', d)}), 'n_values', count(`{c}`))"
+        f"'rows_matched', count_if(`{c}` & {1 << i}L != 0), 'n_values', count(`{c}`))"
         for c in text_columns
-        for d in detectors
+        for i, d in enumerate(detectors)
     )
-    counts = df.agg(F.expr(f"array({entries})").alias("entries")).select(F.inline("entries"))
+    counts = masks.agg(F.expr(f"array({entries})").alias("entries")).select(F.inline("entries"))
     return counts.filter(
         (F.col("n_values") > 0) & (F.col("rows_matched") >= threshold * F.col("n_values"))
     )
