@@ -36,6 +36,55 @@ def dual_path(df: DataFrame, response: str = "engine_text") -> DataFrame:
     )
 
 
+def result_log(
+    guarded: DataFrame,
+    keys: list[str],
+    response: str,
+    filtered: str,
+    filter_action: str,
+    error: str | None = None,
+    live: bool = False,
+) -> DataFrame:
+    """Two result rows per guarded prompt, one for each path.
+
+    The ungoverned path returns ``response`` as it is. The governed path returns the block
+    message for a blocked prompt, nothing where a gate failed (``error``) or the output was
+    blocked, and else ``filtered``, the response after the output filter, whose
+    ``filter_action`` is PASS, MODIFIED or BLOCKED.
+    """
+    failed = F.col(error).isNotNull() if error else F.lit(False)
+    stopped = F.col("verdict") == "BLOCKED"
+    out_action = guard.output_action(F.col("output_action"), F.col(filter_action))
+    # A response the filter itself blocked is treated like a blocked output.
+    out_blocked = (out_action == "BLOCKED") | (F.col(filter_action) == "BLOCKED")
+    blocked = ~failed & (stopped | out_blocked)
+    labels = guard.annotations(F.col("input_action") == "BLOCKED", blocked, out_action, live)
+    types = detect.detected_types(F.col(response))
+    no_labels, no_text = F.array().cast("array<string>"), F.lit(None).cast("string")
+    ungoverned = F.struct(
+        F.lit("ungoverned").alias("path"),
+        F.col(response).alias("response_text"),
+        F.lit(False).alias("is_blocked"),
+        F.when(F.size(types) > 0, F.array(F.lit(rules.LEAK_LABEL))).otherwise(no_labels).alias("annotations"),
+        no_text.alias("guardrail_action"),
+        (F.size(types) > 0).alias("sensitive_detected"),
+        no_text.alias("error"),
+    )
+    governed = F.struct(
+        F.lit("governed").alias("path"),
+        F.when(failed | (~stopped & out_blocked), F.lit(""))
+        .when(stopped, F.lit(rules.BLOCKED_REPLY))
+        .otherwise(F.col(filtered))
+        .alias("response_text"),
+        blocked.alias("is_blocked"),
+        F.when(failed, no_labels).otherwise(labels).alias("annotations"),
+        F.when(~failed, F.when(blocked, F.lit("BLOCKED")).otherwise(out_action)).alias("guardrail_action"),
+        F.lit(False).alias("sensitive_detected"),
+        (F.col(error) if error else no_text).alias("error"),
+    )
+    return guarded.select(*keys, F.inline(F.array(ungoverned, governed)))
+
+
 def leak_audit(
     gold: DataFrame,
     policy: ColumnPolicy = ColumnPolicy(),

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 from govspark import rules
 from govspark.functions import guard as guard_functions
 from govspark.functions import text as text_functions
-from govspark.operators import audit, gates, library, prompts
+from govspark.operators import audit, gates, library, medallion, prompts
 from govspark.operators.joins import lookup_join
 from govspark.plans.access import SQL_VISIBLE, role_policies
 from govspark.plans.base import (
     SQL_GOLD, SQL_PROMPT_LOG, SQL_REFERENCE, Tables, plain, prompt_log, query, sql_first, sql_finding_count,
-    sql_prepared, sql_sanitize, sql_strip_keywords, sql_strip_script, sql_strip_shell, sql_types,
+    sql_prepared, sql_profile, sql_redact, sql_sanitize, sql_strip_keywords, sql_strip_script, sql_strip_shell, sql_types,
 )
 from govspark.plans.detection import document_scans
 from govspark.sources.gold import GOLD
+from govspark.sources.synthetic import profile_rules
 
 _CONV = sql_prepared("conversations")
 _LOG = f"{SQL_PROMPT_LOG}, {sql_prepared('prompt_log')}"
@@ -299,6 +300,39 @@ def dual_path(t: Tables):
     )
 
 
+_CONTACT = f"text || ' ' || {sql_profile('conv_id')['email']}"
+_REPLY = rules.BLOCKED_REPLY.replace("\n", "' || chr(10) || '")
+
+
+@query(
+    "i1_result_log",
+    f"""WITH {_GATED},
+answered AS (SELECT * EXCLUDE (text), CASE WHEN turn % 3 = 0 THEN {_CONTACT} ELSE text END AS response FROM gated),
+filtered AS (SELECT *, {sql_redact('response')} AS red, stopped_at = 2 AS failed FROM answered)
+SELECT conv_id, turn, 'ungoverned' AS path, sha256(response) AS response_hash, FALSE AS is_blocked,
+  CASE WHEN {sql_types('response', SQL_REFERENCE)} <> '' THEN '{rules.LEAK_LABEL}' ELSE '' END AS annotations,
+  NULL AS guardrail_action, {sql_types('response', SQL_REFERENCE)} <> '' AS sensitive_detected, NULL AS error FROM filtered
+UNION ALL SELECT conv_id, turn, 'governed',
+  sha256(CASE WHEN failed THEN '' WHEN verdict = 'BLOCKED' THEN '{_REPLY}' ELSE red END),
+  NOT coalesce(failed, FALSE) AND verdict = 'BLOCKED',
+  CASE WHEN failed THEN '' WHEN input_action = 'BLOCKED' THEN '{_FIRST},{_SECOND}'
+    WHEN verdict = 'BLOCKED' THEN '{rules.BLOCKED_LATER_LABEL}'
+    WHEN red <> response THEN '{rules.PROTECTED_LABEL},{rules.SANITIZED_LABEL}' ELSE '{rules.PROTECTED_LABEL}' END,
+  CASE WHEN failed THEN NULL WHEN verdict = 'BLOCKED' THEN 'BLOCKED' WHEN red <> response THEN 'MODIFIED' ELSE 'PASS' END,
+  FALSE, CASE WHEN failed THEN 'Gate failed: Gate 2: column access — column access check failed: role has no policy' END
+FROM filtered""",
+)
+def result_log(t: Tables):
+    """Results of both paths. Every third answer names a contact, which the output filter of
+    the governed path removes."""
+    email = F.expr(profile_rules("conv_id")["email"])
+    contact = F.when(F.col("turn") % 3 == 0, F.concat_ws(" ", "text", email)).otherwise(F.col("text"))
+    gated = gates.row_outcome(gated_prompts(t, STANDARD_GATES)).withColumn("response", contact)
+    filtered = medallion.redact_text(gated, "response")
+    log = audit.result_log(filtered, ["conv_id", "turn"], "response", "redacted_text", "redact_action", "error")
+    return plain(log.withColumn("response_hash", F.sha2("response_text", 256)).drop("response_text"))
+
+
 def _row(columns) -> str:
     return "concat_ws(', ', " + ", ".join(f"'{c}: ' || CAST({c} AS VARCHAR)" for c in columns) + ")"
 

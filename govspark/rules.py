@@ -195,6 +195,10 @@ LIVE_LABELS = (
     "🛡️ **Guardrails**: active (jailbreak detection + output filtering)",
 )
 SANITIZED_LABEL = "✅ Output Sanitized by Guardrails"
+BLOCKED_REPLY = (
+    "🛡️ **Blocked by Guardrails**\n\nYour request was identified as a potential security threat "
+    "and blocked before reaching the data layer."
+)
 NO_CONTEXT_REPLY = "Could not retrieve data. Please try again."
 
 # Pools of the customer and order generator.

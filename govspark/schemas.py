@@ -43,6 +43,14 @@ GATE_RESULT = _struct(
     }
 )
 
+ENGINE_RESULT = _struct(
+    {
+        "path": _S, "response_text": _S, "is_blocked": T.BooleanType(),
+        "annotations": T.ArrayType(_S), "guardrail_action": _S,
+        "sensitive_detected": T.BooleanType(), "error": _S,
+    }
+)
+
 SERIES = _struct({"series_id": _S, "pos": _L, "label": _S, "value": _D})
 
 PRESET = _struct(

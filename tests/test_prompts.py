@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from govspark import rules
+from govspark import rules, schemas
 from govspark.functions import guard, text
 from govspark.operators import audit, library, prompts
 
@@ -178,6 +178,38 @@ def test_dual_path(texts, values):
     assert values(df, "b_is_blocked") == [False, True]
 
 
+def test_result_log(spark):
+    rows = [
+        (1, "PASS", "PASS", "a@b.com", "[EMAIL]", "MODIFIED", None),
+        (2, "BLOCKED", "BLOCKED", "x", "x", "PASS", None),
+        (3, "BLOCKED", "PASS", "x", "x", "PASS", None),
+        (4, "PASS", "PASS", "x", "x", "BLOCKED", None),
+        (5, "BLOCKED", "BLOCKED", "x", "x", "PASS", "Gate failed: g — broke"),
+        (6, "PASS", "PASS", "x", "x", "PASS", None),
+    ]
+    df = spark.createDataFrame(
+        rows, "k int, verdict string, input_action string, r string, f string, action string, err string"
+    ).withColumn("output_action", F.lit("PASS"))
+    out = audit.result_log(df, ["k"], "r", "f", "action", "err")
+    assert out.drop("k").schema.simpleString() == schemas.ENGINE_RESULT.simpleString()
+    got = {(r["k"], r["path"]): r for r in out.collect()}
+    assert len(got) == 12
+    leak = got[1, "ungoverned"]
+    assert leak["response_text"] == "a@b.com" and leak["sensitive_detected"] and leak["annotations"] == [rules.LEAK_LABEL]
+    governed = {k: got[k, "governed"] for k in range(1, 7)}
+    assert [governed[k]["response_text"] for k in governed] == [
+        "[EMAIL]", rules.BLOCKED_REPLY, rules.BLOCKED_REPLY, "", "", "x",
+    ]
+    assert [governed[k]["is_blocked"] for k in governed] == [False, True, True, True, False, False]
+    assert [governed[k]["guardrail_action"] for k in governed] == [
+        "MODIFIED", "BLOCKED", "BLOCKED", "BLOCKED", None, "PASS",
+    ]
+    assert governed[1]["annotations"] == [rules.PROTECTED_LABEL, rules.SANITIZED_LABEL]
+    assert governed[2]["annotations"] == list(rules.BLOCKED_AT_GUARD_LABELS)
+    assert governed[3]["annotations"] == governed[4]["annotations"] == [rules.BLOCKED_LATER_LABEL]
+    assert governed[5]["annotations"] == [] and governed[5]["error"] == "Gate failed: g — broke"
+
+
 def test_grounding_reads_only_earlier_context(spark):
     log = spark.createDataFrame(
         [(1, 0, "we sold 1,200 and 7.5"), (1, 1, "1200 sold, 9 left"), (1, 2, "no numbers"), (2, 0, "1200")],
