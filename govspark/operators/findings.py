@@ -96,6 +96,18 @@ def findings_by_category(profile: DataFrame) -> DataFrame:
     return profile.groupBy("category").agg(F.count(F.lit(1)).alias("findings"))
 
 
+def findings_record(by_category: DataFrame) -> DataFrame:
+    """One row: the number of findings and a map from category to findings.
+
+    The list has one entry per category of the ruleset, so collecting it is bounded.
+    """
+    entries = F.array_sort(F.collect_list(F.struct("category", "findings")))
+    return by_category.agg(
+        F.coalesce(F.sum("findings"), F.lit(0)).alias("findings_count"),
+        F.map_from_entries(entries).alias("categories"),
+    )
+
+
 def scan_status(findings_count: Column) -> Column:
     return (
         F.when(findings_count.isNull(), F.lit("unavailable"))

@@ -76,15 +76,17 @@ class PromptGuardGate(Gate):
         return gate_result(~blocked, blocked, input_action=action, output_action=F.lit("PASS"))
 
 
-def run_gates(df: DataFrame, gates: list[Gate]) -> DataFrame:
+def run_gates(df: DataFrame, gates: list[Gate], enters: Column | None = None) -> DataFrame:
     """Run the gates in order, per row, up to and including the first block or error.
 
     Adds ``gate_results`` (results of the gates that ran), ``stopped_at`` (1-based, null when
     all passed) and ``executed``. A gate behind the stop is inside an untaken CASE branch and
-    is not evaluated for that row.
+    is not evaluated for that row. Rows for which ``enters`` does not hold reach no gate and
+    have ``stopped_at`` 0.
     """
     base = df.columns
-    df = df.withColumn("stopped_at", F.lit(None).cast("int"))
+    start = F.lit(None).cast("int") if enters is None else F.when(~F.coalesce(enters, F.lit(False)), F.lit(0))
+    df = df.withColumn("stopped_at", start)
     slots = []
     for i, gate in enumerate(gates, start=1):
         df = gate.prepare(df)
@@ -111,14 +113,14 @@ def run_gates(df: DataFrame, gates: list[Gate]) -> DataFrame:
 
 def row_outcome(df: DataFrame) -> DataFrame:
     """Add ``error`` and ``is_blocked``. An error wins over a block of the same gate."""
-    last = F.element_at("gate_results", F.col("stopped_at"))
-    stopped = F.col("stopped_at").isNotNull()
+    last = F.get("gate_results", F.col("stopped_at") - 1)
+    stopped = F.col("stopped_at") > 0
     error = F.when(
         stopped & last["error"].isNotNull(),
         F.concat(F.lit("Gate failed: "), last["gate"], F.lit(" — "), last["error"]),
     )
     return df.withColumn("error", error).withColumn(
-        "is_blocked", stopped & F.col("error").isNull() & last["blocked"]
+        "is_blocked", F.coalesce(stopped & F.col("error").isNull() & last["blocked"], F.lit(False))
     )
 
 

@@ -63,7 +63,8 @@ def lookup_join(
     ``spread_by`` the left columns that tell the rows of one key apart (default: all).
     """
     keys = [keys] if isinstance(keys, str) else keys
-    if not force_salt and fits_broadcast(right):
+    # A stream arrives in bounded batches, and its keys cannot be counted ahead.
+    if left.isStreaming or (not force_salt and fits_broadcast(right)):
         return left.join(right, keys, "left")
 
     hot = hot_keys(left if hot_from is None else hot_from, keys).scalar()

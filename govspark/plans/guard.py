@@ -226,11 +226,20 @@ class LengthGate(gates.Gate):
 STANDARD_GATES = [gates.ScanGate(), gates.ColumnAccessGate(), gates.PromptGuardGate()]
 
 
+def gate_inputs(t: Tables):
+    """What the standard gates read, joined onto prompts: the scan result and the role's columns."""
+
+    def enrich(df):
+        scanned = lookup_join(df, document_scans(t), "conv_id")
+        return scanned.join(role_policies(t), "role", "left")
+
+    return enrich
+
+
 def gated_prompts(t: Tables, chain: list[gates.Gate]):
     """Valid prompts of the log with the inputs of the gates, run through a chain."""
     guarded = prompts.guard_prompts(prompt_log(t)).filter("route = 'valid'")
-    scanned = lookup_join(guarded, document_scans(t), "conv_id")
-    return gates.run_gates(scanned.join(role_policies(t), "role", "left"), chain)
+    return gates.run_gates(guarded.transform(gate_inputs(t)), chain)
 
 
 _GATED = f"""{_LOG},

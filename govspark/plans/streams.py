@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from govspark import schemas
 from govspark.operators.medallion import TOKENISED
+from govspark.plans.access import SQL_VISIBLE
 from govspark.plans.base import Tables, plain, query, sql_findings, sql_prepared
 from govspark.plans.detection import _MASKS, _PROFILES
+from govspark.plans.guard import STANDARD_GATES, gate_inputs
 from govspark.session import scratch_dir
 from govspark.sources import prompts, synthetic
 from govspark.streaming import jobs
@@ -15,15 +17,23 @@ from govspark.streaming import jobs
 
 @query(
     "s1_guard_stream",
-    f"WITH {sql_prepared('conversations')}\nSELECT conv_id, turn, route, error_message, sha256(engine_text) AS engine_hash, verdict, block_reason FROM guarded",
+    f"""WITH {sql_prepared('conversations')},
+gated AS (SELECT *, CASE WHEN route <> 'valid' THEN 0 WHEN {SQL_VISIBLE} IS NULL THEN 2
+  WHEN jailbreak_keyword IS NOT NULL THEN 3 END AS stopped_at FROM guarded)
+SELECT conv_id, turn, route, error_message, sha256(engine_text) AS engine_hash, verdict, block_reason, stopped_at,
+  CASE WHEN stopped_at = 2 THEN 'Gate failed: Gate 2: column access — column access check failed: role has no policy' END AS error,
+  coalesce(stopped_at = 3, FALSE) AS is_blocked FROM gated""",
 )
 def guard_stream(t: Tables):
     out = scratch_dir(t.spark, "guard-stream")
     arriving = prompts.prompt_stream(t.spark, t.path("conversations"))
-    jobs.finish(jobs.guard_stream(arriving, f"{out}/data", f"{out}/checkpoint"))
+    job = jobs.guard_stream(
+        arriving, f"{out}/data", f"{out}/checkpoint", chain=STANDARD_GATES, enrich=gate_inputs(t)
+    )
+    jobs.finish(job)
     return t.spark.read.parquet(f"{out}/data").select(
         "conv_id", "turn", "route", "error_message", F.sha2("engine_text", 256).alias("engine_hash"), "verdict",
-        "block_reason",
+        "block_reason", "stopped_at", "error", "is_blocked",
     )
 
 

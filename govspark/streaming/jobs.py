@@ -8,12 +8,15 @@ everything that has arrived and stops; pass another trigger for a job that keeps
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from govspark import rules
 from govspark.operators.findings import extract_findings
+from govspark.operators.gates import Gate, row_outcome, run_gates
 from govspark.operators.medallion import to_gold, to_silver
 from govspark.operators.prompts import guard_prompts
 from govspark.rules import Detector
@@ -35,10 +38,26 @@ def append_to(
     return writer.start(path)
 
 
-def guard_stream(prompts: DataFrame, path: str, checkpoint: str, **options) -> StreamingQuery:
-    """Judge arriving prompts. Valid and quarantined ones go to their own directory of one
-    sink (``route=valid`` and ``route=quarantine``), so neither can get ahead of the other."""
-    return append_to(guard_prompts(prompts), path, checkpoint, "route", **options)
+def guard_stream(
+    prompts: DataFrame,
+    path: str,
+    checkpoint: str,
+    chain: list[Gate] | None = None,
+    enrich: Callable[[DataFrame], DataFrame] | None = None,
+    **options,
+) -> StreamingQuery:
+    """Judge arriving prompts and run the valid ones through a chain of gates.
+
+    ``enrich`` adds what the gates read, usually by joins with stored tables. Valid and
+    quarantined prompts go to their own directory of one sink (``route=valid`` and
+    ``route=quarantine``), so neither can get ahead of the other.
+    """
+    judged = guard_prompts(prompts)
+    if enrich is not None:
+        judged = judged.transform(enrich)
+    if chain:
+        judged = row_outcome(run_gates(judged, chain, enters=F.col("route") == "valid"))
+    return append_to(judged, path, checkpoint, "route", **options)
 
 
 def scan_stream(

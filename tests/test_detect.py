@@ -140,6 +140,8 @@ def test_column_profile_counts_address_twice(spark):
         "EMAIL_ADDRESS": 1, "PHONE_NUMBER": 1, "NATIONAL_ID": 1, "CREDIT_CARD_NUMBER": 1, "DATE_OF_BIRTH": 1,
         "ADDRESS": 2,
     }
+    record = findings.findings_record(findings.findings_by_category(profile)).first()
+    assert record["findings_count"] == 7 and record["categories"] == by_category
 
 
 def test_tokens_are_stable_and_keep_nulls(spark, values):

@@ -100,3 +100,12 @@ def test_gate_with_prepare_and_skipped_evaluation(spark):
     rows = {r["x"]: r for r in gates.run_gates(df, [NotZero("zero"), Divide("divide")]).collect()}
     assert rows[0]["stopped_at"] == 1 and rows[5]["stopped_at"] is None
     assert rows[5]["gate_results"][1]["details"] == {"ratio": "10"}
+
+
+def test_rows_that_do_not_enter(spark):
+    df = spark.createDataFrame([("pass", True), ("block", True), ("block", False), ("pass", None)], "a string, ok boolean")
+    ran = gates.row_outcome(gates.run_gates(df, [FlagGate("a")], enters=F.col("ok")))
+    got = [(r["stopped_at"], r["executed"], len(r["gate_results"]), r["is_blocked"], r["error"]) for r in ran.collect()]
+    assert got == [(None, 1, 1, False, None), (1, 1, 1, True, None), (0, 0, 0, False, None), (0, 0, 0, False, None)]
+    row = gates.funnel(ran, [FlagGate("a")]).first()
+    assert (row["entered"], row["blocked"], row["errored"], row["passed"]) == (2, 1, 0, 1)
