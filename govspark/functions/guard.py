@@ -59,6 +59,6 @@ def leak_label(types: Column) -> Column:
 
 
 def numbers_in(text: Column) -> Column:
-    """Distinct numbers written in a text, thousands separators removed."""
-    raw = F.regexp_extract_all(text, F.lit(r"[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?"), F.lit(0))
+    """Distinct numbers written in a text, thousands separators removed; none for no text."""
+    raw = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?"), F.lit(0))
     return F.array_distinct(F.transform(raw, lambda n: F.translate(n, ",", "")))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from govspark import rules
 from govspark.functions import detect, guard
 from govspark.operators.access import PERMISSIVE, RESTRICTED, ColumnPolicy, role_columns
-from govspark.operators.joins import lookup_join
 from govspark.rules import Detector
 
 
@@ -129,33 +128,27 @@ def detection_rate(guarded: DataFrame, category: str = "category") -> DataFrame:
     )
 
 
-def grounding(responses: DataFrame, context: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
-    """Share of a response's numbers that its earlier context holds.
+def grounding(log: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
+    """Share of a text's numbers that an earlier text of the same group already gave.
 
-    ``responses`` and ``context`` both hold the keys, an order column and the text. Context
-    numbers are first cut down to the earliest place each one occurs, so no conversation is
-    ever collected into one task. Adds ``numbers``, ``supported`` and ``grounded_share``
-    (null when the response has no number).
+    ``order`` is unique within a group; context that comes with a question goes into the log
+    before it. Adds ``numbers``, ``supported`` and ``grounded_share`` (null without numbers).
+
+    A number is unsupported only where it occurs first. So it is enough to find the first
+    place of each (group, number) and to count the firsts per place. Both steps combine map
+    side, and the join has one row per place on both sides, however long a group is.
     """
-    claimed = responses.select(*keys, order, F.explode(guard.numbers_in(F.col(text))).alias("number"))
-    known = (
-        context.select(*keys, F.col(order).alias("_seen"), F.explode(guard.numbers_in(F.col(text))).alias("number"))
+    numbers = guard.numbers_in(F.col(text))
+    firsts = (
+        log.select(*keys, order, F.explode(numbers).alias("number"))
         .groupBy(*keys, "number")
-        .agg(F.min("_seen").alias("_seen"))
-    )
-    judged = (
-        lookup_join(claimed, known, [*keys, "number"])
+        .agg(F.min(order).alias(order))
         .groupBy(*keys, order)
-        .agg(
-            F.count(F.lit(1)).alias("numbers"),
-            F.count_if(F.col("_seen") < F.col(order)).alias("supported"),
-        )
+        .agg(F.count(F.lit(1)).alias("introduced"))
     )
-    joined = responses.select(*keys, order).join(judged, [*keys, order], "left")
-    return joined.select(
-        *keys,
-        order,
-        F.coalesce("numbers", F.lit(0)).alias("numbers"),
-        F.coalesce("supported", F.lit(0)).alias("supported"),
-        (F.col("supported").cast("double") / F.col("numbers")).alias("grounded_share"),
+    counted = log.select(*keys, order, F.size(numbers).cast("long").alias("numbers"))
+    joined = counted.join(firsts, [*keys, order], "left").withColumn(
+        "supported", F.col("numbers") - F.coalesce("introduced", F.lit(0))
     )
+    share = F.when(F.col("numbers") > 0, F.col("supported").cast("double") / F.col("numbers"))
+    return joined.select(*keys, order, "numbers", "supported", share.alias("grounded_share"))

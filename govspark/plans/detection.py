@@ -129,8 +129,9 @@ def scan_status(t: Tables):
 
 @query(
     "d7_informational_gate",
-    f"""WITH scans AS (SELECT doc_id, {sql_finding_count('text')} AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
-SELECT conv_id, turn, CAST(n AS BIGINT) AS findings_count,
+    f"""WITH scans AS (SELECT doc_id, CAST(sum({sql_finding_count('text')}) AS BIGINT) AS n FROM documents
+  WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1)
+SELECT conv_id, turn, n AS findings_count,
   CASE WHEN n IS NULL THEN 'unavailable' WHEN n = 0 THEN 'clean' ELSE 'detected' END AS scan_status,
   TRUE AS passed, FALSE AS blocked
 FROM conversations LEFT JOIN scans ON conv_id = doc_id""",
@@ -141,10 +142,12 @@ def informational_gate(t: Tables):
 
 
 def document_scans(t: Tables):
-    # Counting first: only ids and counts are shuffled for the join, never the texts.
+    # Counting first: only ids and counts are shuffled for the join, never the texts. Summed
+    # per document, both sides of the join have one row per id.
     counts = findings.count_per_key(t.wide("documents"), ["doc_id"], "text")
-    labelled = counts.join(t("labels").select("doc_id"), "doc_id", "left_semi")
-    return labelled.select(F.col("doc_id").alias("conv_id"), F.col("findings_count").cast("long"))
+    per_document = counts.groupBy("doc_id").agg(F.sum("findings_count").alias("findings_count"))
+    scanned = per_document.join(t("labels").select("doc_id"), "doc_id", "left_semi")
+    return scanned.withColumnRenamed("doc_id", "conv_id")
 
 
 @query("e1_redact_text", f"SELECT doc_id, sha256({sql_redact('text')}) AS redacted_hash FROM documents")

@@ -208,7 +208,7 @@ FROM log l LEFT JOIN judged j ON l.topic = j.topic AND l.doc_id = j.doc_id""",
 def grounding(t: Tables):
     """Numbers in each document that an earlier document of the same source already gave."""
     log = t.wide("documents").select(F.col("source").alias("topic"), "doc_id", "text")
-    return audit.grounding(log, log, ["topic"], "doc_id", "text")
+    return audit.grounding(log, ["topic"], "doc_id", "text")
 
 
 class LengthGate(gates.Gate):
@@ -230,7 +230,9 @@ def gate_inputs(t: Tables):
     """What the standard gates read, joined onto prompts: the scan result and the role's columns."""
 
     def enrich(df):
-        scanned = lookup_join(df, document_scans(t), "conv_id")
+        scanned = lookup_join(
+            df, document_scans(t), "conv_id", hot_from=t("conversations").select("conv_id"), spread_by=["turn"]
+        )
         return scanned.join(role_policies(t), "role", "left")
 
     return enrich
@@ -243,7 +245,8 @@ def gated_prompts(t: Tables, chain: list[gates.Gate]):
 
 
 _GATED = f"""{_LOG},
-scans AS (SELECT doc_id, {sql_finding_count('text')} AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
+scans AS (SELECT doc_id, CAST(sum({sql_finding_count('text')}) AS BIGINT) AS n FROM documents
+  WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1),
 gated AS (SELECT *, {SQL_VISIBLE} AS visible, CASE WHEN {SQL_VISIBLE} IS NULL THEN 2 WHEN jailbreak_keyword IS NOT NULL THEN 3 END AS stopped_at
   FROM guarded LEFT JOIN scans ON conv_id = doc_id WHERE route = 'valid')"""
 

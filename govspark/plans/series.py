@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from govspark import rules
 from govspark.operators import analytics, prompts, series
-from govspark.plans.base import SQL_PROMPT_LOG, Tables, plain, prompt_log, query, sql_list
+from govspark.plans.base import SQL_PROMPT_LOG, Tables, prompt_log, query, sql_list
 
 
 def _any(words) -> str:

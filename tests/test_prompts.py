@@ -212,12 +212,18 @@ def test_result_log(spark):
 
 def test_grounding_reads_only_earlier_context(spark):
     log = spark.createDataFrame(
-        [(1, 0, "we sold 1,200 and 7.5"), (1, 1, "1200 sold, 9 left"), (1, 2, "no numbers"), (2, 0, "1200")],
+        [
+            (1, 0, "we sold 1,200 and 7.5"), (1, 1, "1200 sold, 9 left, 9 more"), (1, 2, "no numbers"), (2, 0, "1200"),
+            (1, 3, "9 of 1200"), (3, 0, None),
+        ],
         "conv long, turn long, text string",
     )
-    rows = audit.grounding(log, log, ["conv"], "turn", "text").collect()
+    rows = audit.grounding(log, ["conv"], "turn", "text").collect()
     got = {(r["conv"], r["turn"]): (r["numbers"], r["supported"], r["grounded_share"]) for r in rows}
-    assert got == {(1, 0): (2, 0, 0.0), (1, 1): (2, 1, 0.5), (1, 2): (0, 0, None), (2, 0): (1, 0, 0.0)}
+    assert got == {
+        (1, 0): (2, 0, 0.0), (1, 1): (2, 1, 0.5), (1, 2): (0, 0, None), (1, 3): (2, 2, 1.0), (2, 0): (1, 0, 0.0),
+        (3, 0): (0, 0, None),
+    }
 
 
 def test_library_contents_and_quality(spark):
