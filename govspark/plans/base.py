@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from govspark import rules
-from govspark.session import spread
+from govspark.session import estimated_bytes, fit_shuffles, spread
 from govspark.sources import gold as gold_source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,7 +29,8 @@ class Tables:
 
     def __call__(self, name: str) -> DataFrame:
         if name not in self._opened:
-            self._opened[name] = self.spark.read.parquet(self.path(name))
+            table = self._opened[name] = self.spark.read.parquet(self.path(name))
+            fit_shuffles(self.spark, estimated_bytes(table))
         return self._opened[name]
 
     def wide(self, name: str) -> DataFrame:

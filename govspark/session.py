@@ -54,6 +54,23 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+BYTES_PER_SHUFFLE_PARTITION = 64 * 1024 * 1024
+MAX_SHUFFLE_PARTITIONS = 50_000
+
+
+def fit_shuffles(spark: SparkSession, table_bytes: int | None) -> None:
+    """Raise the number of shuffle partitions to fit a table of this many stored bytes.
+
+    Adaptive execution merges small partitions after a shuffle but does not add any, so the
+    number it starts from has to follow the data. It is only ever raised.
+    """
+    wanted = min(-(-(table_bytes or 0) // BYTES_PER_SHUFFLE_PARTITION), MAX_SHUFFLE_PARTITIONS)
+    current = spark.conf.get(INITIAL_PARTITIONS, None) or spark.conf.get("spark.sql.shuffle.partitions")
+    if wanted > int(current):
+        spark.conf.set(INITIAL_PARTITIONS, str(wanted))
+
+
 def spread(table: DataFrame, bytes_per_core: int = 64 * 1024 * 1024) -> DataFrame:
     """A stored table that has fewer files than the session has cores, dealt out to all cores.
 

@@ -12,7 +12,7 @@ from govspark.operators import access, analytics
 from govspark.operators.audit import leak_audit
 from govspark.operators.joins import hot_keys, lookup_join
 from govspark.plans.base import Tables
-from govspark.session import scratch_dir, spread
+from govspark.session import INITIAL_PARTITIONS, fit_shuffles, scratch_dir, spread
 from govspark.sources import files
 from govspark.sources.gold import GOLD, build_gold
 from govspark.sources.synthetic import synthetic_customers, synthetic_orders
@@ -226,6 +226,21 @@ def test_spread_leaves_large_tables_alone(spark, folder):
     assert "Exchange" not in plan_of(spread(table, bytes_per_core=1))
 
 
+def test_shuffle_partitions_follow_the_data(spark):
+    assert not spark.conf.get(INITIAL_PARTITIONS, None)
+    try:
+        fit_shuffles(spark, 10**6)
+        assert not spark.conf.get(INITIAL_PARTITIONS, None)
+        fit_shuffles(spark, 10**12)
+        assert 14_000 < int(spark.conf.get(INITIAL_PARTITIONS)) < 15_000
+        fit_shuffles(spark, 10**9)
+        assert int(spark.conf.get(INITIAL_PARTITIONS)) > 14_000
+        fit_shuffles(spark, 10**14)
+        assert int(spark.conf.get(INITIAL_PARTITIONS)) == 50_000
+    finally:
+        spark.conf.unset(INITIAL_PARTITIONS)
+
+
 def test_distribution_shares_sum_to_one(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "c string")
     rows = {r["c"]: (r["order_count"], r["share"]) for r in analytics.distribution(df, "c").collect()}
