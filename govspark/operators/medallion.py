@@ -11,12 +11,16 @@ from govspark.rules import Detector
 
 TOKEN_SALT = "govspark"
 
-TOKENISED = ("email", "phone_number", "national_id", "credit_card_number")
-MASKED = {
+# Identifiers get a token and a mask on the way to Silver, so no raw one is stored there.
+IDENTIFIER_MASKS = {
     "email": detect.mask_email,
     "phone_number": detect.mask_keep_last,
     "national_id": detect.mask_keep_last,
     "credit_card_number": detect.mask_keep_last,
+}
+TOKENISED = tuple(IDENTIFIER_MASKS)
+# What else tells a person apart is masked on the way to Gold.
+PERSONAL_MASKS = {
     "device_ip_address": detect.mask_digits,
     "date_of_birth": lambda c: F.concat(F.left(c.cast("string"), F.lit(4)), F.lit("-##-##")),
     "shipping_address": detect.mask_digits,
@@ -24,6 +28,7 @@ MASKED = {
     "first_name": lambda c: F.concat(F.left(c, F.lit(1)), F.lit("***")),
     "last_name": lambda c: F.concat(F.left(c, F.lit(1)), F.lit("***")),
 }
+MASKED = {**IDENTIFIER_MASKS, **PERSONAL_MASKS}
 
 
 def tokenise_columns(df: DataFrame, columns=TOKENISED, salt: str = TOKEN_SALT) -> DataFrame:
@@ -49,25 +54,31 @@ def redact_text(
     )
 
 
-def to_silver(bronze: DataFrame) -> DataFrame:
-    """Typed and tokenised: dates parsed, identifiers given join-preserving tokens."""
+def to_silver(bronze: DataFrame, text_columns: tuple[str, ...] = ()) -> DataFrame:
+    """Typed, tokenised and redacted: dates parsed, identifiers replaced by a token and a mask,
+    free text redacted."""
     typed = {}
     if "order_date" in bronze.columns:
         typed["order_date"] = F.col("order_date").cast("timestamp_ntz")
     if "date_of_birth" in bronze.columns:
         typed["date_of_birth"] = F.try_to_date("date_of_birth", "yyyy-MM-dd")
-    return tokenise_columns(bronze.withColumns(typed) if typed else bronze)
+    silver = mask_columns(tokenise_columns(bronze.withColumns(typed) if typed else bronze), IDENTIFIER_MASKS)
+    for c in text_columns:
+        silver = detect.redact(silver, c, c)
+    return silver
 
 
 def to_gold(silver: DataFrame) -> DataFrame:
-    """Masked: no raw identifier is left, the tokens stay."""
-    return mask_columns(silver)
+    """Masked: nothing personal is left in clear, the tokens stay."""
+    return mask_columns(silver, PERSONAL_MASKS)
 
 
-def promote(bronze: DataFrame, silver_path: str, gold_path: str) -> DataFrame:
+def promote(
+    bronze: DataFrame, silver_path: str, gold_path: str, text_columns: tuple[str, ...] = ()
+) -> DataFrame:
     """Bronze to Silver to Gold with Parquet in between; returns the Gold table."""
     spark = bronze.sparkSession
-    bronze.transform(to_silver).write.mode("errorifexists").parquet(silver_path)
+    to_silver(bronze, text_columns).write.mode("errorifexists").parquet(silver_path)
     spark.read.parquet(silver_path).transform(to_gold).write.mode("errorifexists").parquet(gold_path)
     return spark.read.parquet(gold_path)
 

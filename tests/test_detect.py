@@ -164,11 +164,16 @@ def test_masks(spark):
 def test_promotion_hides_raw_values(spark, tmp_path):
     from govspark.sources.synthetic import synthetic_customers
 
-    bronze = synthetic_customers(spark, 50)
-    gold = medallion.promote(bronze, f"{tmp_path}/silver", f"{tmp_path}/gold")
+    bronze = synthetic_customers(spark, 50).withColumn(
+        "note", F.concat(F.lit("call "), F.col("phone_number"), F.lit(" or "), F.col("email"))
+    )
+    gold = medallion.promote(bronze, f"{tmp_path}/silver", f"{tmp_path}/gold", text_columns=("note",))
+    silver = spark.read.parquet(f"{tmp_path}/silver")
     raw = {v for r in bronze.select("email", "phone_number", "national_id").collect() for v in r}
-    kept = {str(v) for r in gold.collect() for v in r}
-    assert not raw & kept
+    for layer in (silver, gold):
+        assert not raw & {str(v) for r in layer.collect() for v in r}
+        assert {r["note"] for r in layer.collect()} == {"call [PHONE] or [EMAIL]"}
     assert gold.count() == 50 and gold.select("email_token").distinct().count() == bronze.select("email").distinct().count()
-    silver = spark.read.parquet(f"{tmp_path}/silver")
     assert dict(silver.dtypes)["date_of_birth"] == "date"
+    names = {v for r in bronze.select("first_name", "shipping_address", "date_of_birth").collect() for v in r}
+    assert not names & {str(v) for r in gold.collect() for v in r}
