@@ -81,22 +81,31 @@ def _score_partition(ids: list, unit_queries: np.ndarray, k: int, schema: pa.Sch
     """Scores each batch against all queries and keeps a running top-k per query."""
     dim = unit_queries.shape[1]
     step = max(1, SCORE_CELLS // len(ids))
+    scale = 10.0**SIMILARITY_DIGITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_score = np.empty((len(ids), 0))
+        best_score = np.empty((len(ids), 0), dtype=np.int64)
         best_id = np.empty((len(ids), 0), dtype=np.int64)
         for batch in batches:
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
-                column = part.column(1)
-                flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                if flat.size != part.num_rows * dim:
+                rows = part.num_rows
+                flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                if flat.size != rows * dim:
                     raise ValueError(f"every corpus vector must have {dim} entries")
-                unit = _unit(flat.reshape(part.num_rows, dim))
-                score = np.round(unit_queries @ unit.T, SIMILARITY_DIGITS)
-                doc = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                items = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                by_id = np.argsort(items, kind="stable")
+                items, unit = items[by_id], _unit(flat.reshape(rows, dim)[by_id])
+                score = np.rint((unit_queries @ unit.T) * scale).astype(np.int64)
+                doc = np.broadcast_to(items, score.shape)
+                if rows > k:
+                    # Scores are whole numbers here and positions follow the ids, so one
+                    # integer orders by score first and id second: no full sort is needed.
+                    rank = np.arange(rows) - score * rows
+                    top = np.argpartition(rank, k - 1, axis=1)[:, :k]
+                    score, doc = np.take_along_axis(score, top, axis=1), items[top]
                 score = np.concatenate([best_score, score], axis=1)
-                doc = np.concatenate([best_id, np.broadcast_to(doc, (len(ids), doc.size))], axis=1)
+                doc = np.concatenate([best_id, doc], axis=1)
                 # Highest score first, smaller id among equals.
                 order = np.lexsort((doc, -score), axis=1)[:, :k]
                 best_score = np.take_along_axis(score, order, axis=1)
@@ -107,7 +116,7 @@ def _score_partition(ids: list, unit_queries: np.ndarray, k: int, schema: pa.Sch
                 [
                     pa.array(np.repeat(np.arange(len(ids), dtype=np.int64), width)),
                     pa.array(best_id.ravel()),
-                    pa.array(best_score.ravel()),
+                    pa.array(best_score.ravel() / scale),
                 ],
                 schema=schema,
             )

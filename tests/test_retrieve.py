@@ -49,6 +49,19 @@ def test_ties_zero_vectors_and_short_corpora(spark):
     assert retrieve.top_k(queries.filter("false"), corpus).count() == 0
 
 
+def test_many_ties_go_to_the_smaller_ids(spark):
+    """A third of the corpus are copies of one vector; more copies than fit into the top k."""
+    rows = [(i, [1.0, 1.0] if i % 3 == 0 else [1.0, float(i % 7)]) for i in range(900, 0, -1)]
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(6)
+    queries = spark.createDataFrame([(1, [1.0, 1.0]), (2, [1.0, 0.0])], "query_id int, embedding array<float>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in retrieve.top_k(queries, corpus, k=20).collect()}
+    data = {i: np.array(v) for i, v in rows}
+    for q, v in [(1, np.array([1.0, 1.0])), (2, np.array([1.0, 0.0]))]:
+        scores = {i: round(float(v @ w / np.linalg.norm(v) / np.linalg.norm(w)), 5) for i, w in data.items()}
+        best = sorted(scores, key=lambda i: (-scores[i], i))[:20]
+        assert [got[q, r] for r in range(1, 21)] == best
+
+
 def test_wrong_vector_length_is_an_error(spark):
     corpus = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>")
     queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<float>")
