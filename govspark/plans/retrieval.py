@@ -141,12 +141,13 @@ def _hashed(contexts):
 
 @query(
     "m6_context_status",
-    """SELECT conv_id, turn, CASE WHEN coalesce(d.text, '') = '' THEN 'no_context' ELSE 'ok' END AS context_status,
-  CASE WHEN coalesce(d.text, '') = '' THEN 'Could not retrieve data. Please try again.' END AS fallback_reply
-FROM conversations LEFT JOIN (SELECT * FROM documents WHERE lang = 'en') d ON conv_id = doc_id""",
+    """SELECT conv_id, turn, CASE WHEN coalesce(text, '') = '' THEN 'no_context' ELSE 'ok' END AS context_status,
+  CASE WHEN coalesce(text, '') = '' THEN 'Could not retrieve data. Please try again.' END AS fallback_reply
+FROM (SELECT conv_id, turn, conv_id * 16 + turn AS asked FROM conversations) LEFT JOIN documents ON asked = doc_id""",
 )
 def context_status(t: Tables):
-    """Each turn's context is the English document of its conversation's number, if there is one."""
-    contexts = t("documents").filter("lang = 'en'").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("context"))
-    flagged = retrieve.with_context_status(t("conversations").select("conv_id", "turn"), contexts, "conv_id")
+    """Each turn asks for the document with a number of its own; not every number has one."""
+    asked = t("conversations").selectExpr("conv_id", "turn", "conv_id * 16 + turn AS query_id")
+    contexts = t("documents").selectExpr("doc_id AS query_id", "text AS context")
+    flagged = retrieve.with_context_status(asked, contexts)
     return flagged.select("conv_id", "turn", "context_status", "fallback_reply")

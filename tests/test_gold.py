@@ -25,7 +25,7 @@ def plan_of(df, mode="formatted"):
 
 
 def scanned_columns(df):
-    return set(re.findall(r"[a-z]+_[a-z]+", " ".join(re.findall(r"ReadSchema: (.*)", plan_of(df)))))
+    return set(re.findall(r"([a-z]+_[a-z]+):", " ".join(re.findall(r"ReadSchema: (.*)", plan_of(df)))))
 
 
 def test_generated_customers(spark):
@@ -145,6 +145,15 @@ def test_gold_reads_only_what_is_asked(spark, folder):
     assert scanned_columns(t.gold(["order_id", "payment_method"])) == {"l_orderkey"}
 
 
+def test_filters_reach_the_scan(spark, folder):
+    t = Tables(spark, folder)
+    plan = plan_of(t.gold(["order_status", "total_amount"]).filter("order_status = 'F'"))
+    assert "EqualTo(o_orderstatus,F)" in plan
+    recent = t("orders").filter("o_orderdate >= TIMESTAMP_NTZ'1999-01-01 00:00:00'").select("o_totalprice")
+    assert "GreaterThanOrEqual(o_orderdate,1999-01-01T00:00)" in plan_of(recent)
+    assert scanned_columns(recent) == {"o_orderdate", "o_totalprice"}
+
+
 def test_restricted_view_never_mentions_denied_columns(spark, folder):
     t = Tables(spark, folder)
     t.gold().write.mode("overwrite").parquet(path := scratch_dir(spark, "gold"))
