@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from govspark.llm import byte_bpe, divergence, token_orc, token_transducer, warc_zip
+from govspark.llm import block_topk, byte_bpe, divergence, subword_language, token_orc, token_transducer, warc_zip
 from govspark.llm.common import materialise, prepare, table
 from govspark.session import scratch_dir
 
@@ -70,3 +71,33 @@ def warc_packages(spark: SparkSession, folder: str) -> DataFrame:
     packages = materialise(warc_zip.write_packages(decided, place), "warc-list")
     # One task per package, whatever the size of the list's own files.
     return warc_zip.read_packages(packages.repartition("path"), place)
+
+
+TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query("op2_block_topk", TOPK_SQL)
+def block_search(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return block_topk.top_k(vectors, F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+@query("op3_subword_language")
+def language_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(subword_language.remainder(F.col("doc_id")) == 2, F.lit(False))
+    model = subword_language.learn(docs, held_out)
+    marked = subword_language.predict(docs.select("doc_id", "text"), model)
+    return marked.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
