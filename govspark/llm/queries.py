@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govspark.llm import block_topk, byte_bpe, divergence, subword_language, token_orc, token_transducer, warc_zip
+from govspark.llm import block_topk, byte_bpe, divergence, subword_language, suffix_dedup, token_orc, token_transducer, warc_zip
 from govspark.llm.common import materialise, prepare, table
 from govspark.session import scratch_dir
 
@@ -101,3 +101,8 @@ def language_predictions(spark: SparkSession, folder: str) -> DataFrame:
     model = subword_language.learn(docs, held_out)
     marked = subword_language.predict(docs.select("doc_id", "text"), model)
     return marked.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op7_suffix_dedup")
+def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.removal_digests(table(spark, folder, "documents"))
