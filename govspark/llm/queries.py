@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govspark.llm import block_topk, byte_bpe, divergence, subword_language, suffix_dedup, token_orc, token_transducer, warc_zip
+from govspark.llm import block_topk, budgets, byte_bpe, divergence, jaccard_trees, subword_language, suffix_dedup, token_orc, token_transducer, warc_zip
 from govspark.llm.common import materialise, prepare, table
 from govspark.session import scratch_dir
 
@@ -106,3 +106,89 @@ def language_predictions(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_suffix_dedup")
 def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.removal_digests(table(spark, folder, "documents"))
+
+
+JACCARD_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^ \\t-\\r]+') AS words FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS grams FROM w
+), n AS (SELECT doc_id, len(grams)::BIGINT AS n FROM g),
+u AS (SELECT doc_id, unnest(grams) AS gram FROM g),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM u a JOIN u b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * shared >= 80 * (x.n + y.n - shared)
+), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, reach) AS (
+  SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reach
+)
+SELECT r.doc_id, any_value(n.n) AS n_shingles, min(reach) AS component_id FROM r JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+
+@query("op5_jaccard_trees", JACCARD_SQL)
+def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_trees.joined(table(spark, folder, "documents"))
+
+
+def budget_sql(mix: budgets.Mix) -> str:
+    """The budgets and the choice of documents in plain SQL."""
+
+    def case(column: str, values: dict, default) -> str:
+        arms = " ".join(f"WHEN {column} = '{k}' THEN {v!r}" for k, v in values.items())
+        return f"CASE {arms} ELSE {default!r} END" if arms else repr(default)
+
+    def level(name: str, source: str, parents: str, keep: str) -> str:
+        by = f"PARTITION BY {parents}" if parents else ""
+        weight = case(name, mix.weights.get(name, {}), mix.default)
+        return f"""
+{name}_w AS (SELECT *, ({weight})::DOUBLE AS w FROM {source}),
+{name}_r AS (SELECT *, room / w AS ratio,
+  coalesce(sum(room) OVER ({by} ORDER BY room / w, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+  sum(w) OVER ({by} ORDER BY room / w, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_left
+  FROM {name}_w WHERE w > 0),
+{name}_f AS (SELECT *, used + ratio * w_left <= parent_budget * (1 + 1e-12) AS done FROM {name}_r),
+{name}_b AS (SELECT {keep}, CASE WHEN done THEN room::DOUBLE ELSE
+  (parent_budget - sum(CASE WHEN done THEN room ELSE 0 END) OVER ({by})) * w
+  / sum(CASE WHEN done THEN 0.0::DOUBLE ELSE w END) OVER ({by}) END AS budget FROM {name}_f)"""
+
+    domain_of = {s: d for d, sources in mix.domains.items() for s in sources}
+    place = f"('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':{mix.seed}:' || epoch), 1, 15))::BIGINT"
+    return f"""
+WITH named AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {case("source", domain_of, mix.rest)} AS domain,
+         len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+'))::BIGINT AS tokens FROM documents
+), leaves AS (
+  SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens, sum(tokens)::BIGINT * {mix.epochs} AS room FROM named GROUP BY ALL
+), tops AS (
+  SELECT domain, sum(room) AS room, (SELECT sum(tokens) FROM leaves) * {mix.share!r}::DOUBLE AS parent_budget FROM leaves GROUP BY domain
+), {level("domain", "tops", "", "domain")},
+langs AS (
+  SELECT l.domain, l.lang, sum(l.room) AS room, any_value(b.budget) AS parent_budget
+  FROM leaves l JOIN domain_b b USING (domain) GROUP BY l.domain, l.lang
+), {level("lang", "langs", "domain", "domain, lang")},
+lasts AS (SELECT l.*, b.budget AS parent_budget FROM leaves l JOIN lang_b b USING (domain, lang)),
+{level("source", "lasts", "domain, lang", "domain, lang, source, tokens")},
+plan AS (
+  SELECT *, CASE WHEN tokens > 0 THEN floor(floor(budget + 1e-6) / tokens)::INTEGER ELSE 0 END AS whole FROM source_b
+), epochs AS (
+  SELECT n.*, p.whole, floor(p.budget + 1e-6)::BIGINT - p.whole * p.tokens AS remaining, unnest(range(0, p.whole + 1))::INTEGER AS epoch
+  FROM named n JOIN plan p USING (domain, lang, source)
+), placed AS (SELECT *, {place} AS place FROM epochs),
+summed AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source, epoch ORDER BY place RANGE UNBOUNDED PRECEDING) AS upto FROM placed
+)
+SELECT doc_id, domain, lang, source, epoch FROM summed WHERE epoch < whole OR (upto <= remaining AND whole < {mix.epochs})
+"""
+
+
+@query("op4_token_budgets", budget_sql(budgets.Mix()))
+def token_budgets(spark: SparkSession, folder: str) -> DataFrame:
+    chosen = budgets.mixed(table(spark, folder, "documents"))
+    empty = F.lit("")
+    return chosen.select(
+        "doc_id", "domain", F.coalesce("lang", empty).alias("lang"), F.coalesce("source", empty).alias("source"), "epoch"
+    )
