@@ -41,7 +41,7 @@ class Ranges:
     """Hashes of any byte range of ``data``: equal bytes, equal hashes."""
 
     def __init__(self, data: np.ndarray, seed: int) -> None:
-        size = 1 << max(20, len(data).bit_length())
+        size = 1 << max(16, len(data).bit_length())
         up, self.down = _powers(seed, size)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_base(seed)[0][data] * up[: len(data)], out=self.sums[1:])

@@ -150,8 +150,10 @@ def duplicate_spans(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     buckets = found.groupBy("core").agg(
         F.count("*").alias("members"), F.min("context").alias("low"), F.max("context").alias("high")
     )
+    # Written, so that the join below shuffles both sides for itself and can split frequent cores.
+    buckets = materialise(buckets.filter("members > 1"), "suffix-buckets")
     shared = materialise(
-        found.join(buckets.filter("members > 1"), "core").withColumn("mixed", F.col("low") != F.col("high")).drop("members", "low", "high"),
+        found.join(buckets, "core").withColumn("mixed", F.col("low") != F.col("high")).drop("members", "low", "high"),
         "suffix-shared",
     )
     span = ["key", F.col("first"), (F.col("last") + s.length).alias("last")]
