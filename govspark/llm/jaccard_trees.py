@@ -115,17 +115,18 @@ def common_tokens(docs: DataFrame, s: Settings) -> np.ndarray:
 
 
 def described(docs: DataFrame, common: np.ndarray, s: Settings) -> DataFrame:
-    """Row, id, size and class of each document, with the tokens it meets others by."""
+    """Row, id, size, class and signature of each document, with the tokens it meets others by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = utf8(batch.column(2))
-            sizes, keys, first = [], [], []
+            sizes, keys, signs, first = [], [], [], []
             for a, b in slices(offsets):
                 for tokens in shingles(offsets[a : b + 1], data, s.words):
                     n = len(tokens)
                     sizes.append(n)
                     keys.append(key_of(tokens) if n else None)
+                    signs.append(signature(tokens, s.bits))
                     # Rare tokens first. Two sets over the threshold share one of the first ones.
                     last = np.isin(tokens, common, assume_unique=True)
                     take = n - -(-s.percent * n // 100) + 1 if n else 0
@@ -133,49 +134,41 @@ def described(docs: DataFrame, common: np.ndarray, s: Settings) -> DataFrame:
             ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), lists],
-                names=["row", "doc_id", "n", "key", "first"],
+                [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(signs, pa.binary()), lists],
+                names=["row", "doc_id", "n", "key", "signature", "first"],
             )
 
     rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "row long, doc_id long, n long, key long, first array<long>")
+    return rows.mapInArrow(run, "row long, doc_id long, n long, key long, signature binary, first array<long>")
 
 
 def whole_sets(docs: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
-    """Class, signature and whole set of the listed rows (and of a few others)."""
+    """Class and whole set of the listed rows, of rows equal to them, and of a few others."""
     bits = bitmap(rows, "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(contains(bits, batch.column(2).to_numpy())))
-            offsets, data = utf8(batch.column(1))
+            offsets, data = utf8(batch.column(0).filter(pa.array(contains(bits, batch.column(1).to_numpy()))))
             for a, b in slices(offsets):
-                sets = [(x, i) for x, i in zip(shingles(offsets[a : b + 1], data, s.words), range(a, b)) if len(x)]
-                ends = np.cumsum([0, *(len(x) for x, _ in sets)]).astype(np.int32)
-                values = np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in sets)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array([i for _, i in sets], pa.int64())),
-                        pa.array([key_of(x) for x, _ in sets], pa.int64()),
-                        pa.array([signature(x, s.bits) for x, _ in sets], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(values)),
-                    ],
-                    names=["row", "key", "signature", "tokens"],
-                )
-
-    key = F.xxhash64("doc_id", "text")
-    chosen = docs.select(key.alias("row"), F.col("text").cast("string"), bit(key).alias("bit"))
-    sets = chosen.mapInArrow(run, "row long, key long, signature binary, tokens array<long>")
-    return sets.join(rows.select("row"), "row", "left_semi").dropDuplicates(["row"]).drop("row")
-
-
-def linked(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+                sets = [x for x in shingles(offsets[a : b + 1], data, s.words) if len(x)]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                values = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+                keys = pa.array([key_of(x) for x in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["key", "tokens"])
+
+    chosen = docs.select(F.col("text").cast("string"), bit(F.xxhash64("doc_id", "text")).alias("bit"))
+    return chosen.mapInArrow(run, "key long, tokens array<long>")
+
+
+def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
     """Those of the pairs of classes (a, b) whose sets reach the threshold."""
+    named = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    sets = materialise(whole_sets(docs, classes.join(named, "key", "left_semi"), s), "jaccard-sets")
     one = sets.select(F.col("key").alias("a"), F.col("tokens").alias("x"))
     two = sets.select(F.col("key").alias("b"), F.col("tokens").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     enough = 100 * both >= s.percent * (F.size("x") + F.size("y") - both)
-    return pairs.join(one, "a").join(two, "b").filter(enough).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").filter(enough).select("a", "b").distinct()
 
 
 # ---------------------------------------------------------------- signature trees
@@ -272,24 +265,28 @@ def bucket_pairs(members: DataFrame, s: Settings) -> DataFrame:
 def joined(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Id, size of the set and component of each document."""
     about = materialise(described(docs, common_tokens(docs, s), s), "jaccard-docs")
-    meet = about.filter("n > 0").select(F.explode("first").alias("token"), "key", "n")
+    meet = about.filter("n > 0").select(F.explode("first").alias("token"), "key")
     buckets = meet.groupBy("token").agg(F.min("key").alias("centre"), F.max("key").alias("top")).filter("centre != top").drop("top")
+    # Both sides are shuffled for this join alone, so a frequent token's rows can be split.
+    buckets = materialise(buckets, "jaccard-centres")
     members = materialise(meet.join(buckets, "token").distinct(), "jaccard-buckets")
-    # One row of each class that meets another.
-    classes = members.select("key").distinct()
-    rows = about.select("key", "row").join(classes, "key").groupBy("key").agg(F.min("row").alias("row"))
-    sets = materialise(whole_sets(docs, materialise(rows, "jaccard-rows"), s), "jaccard-sets")
+    # Each class that meets another, with one of its rows.
+    met = about.join(members.select("key").distinct(), "key", "left_semi")
+    classes = materialise(
+        met.groupBy("key").agg(F.min("row").alias("row"), F.max("n").alias("n"), F.first("signature").alias("signature")), "jaccard-classes"
+    )
     stars = members.filter("key != centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct()
-    signs = sets.select("key", "signature", F.size("tokens").cast("long").alias("n"))
-    links = materialise(linked(likely(stars, signs, s), sets, s), "jaccard-stars")
+    stars = materialise(likely(stars, classes, s), "jaccard-stars")
+    links = materialise(linked(docs, classes, stars, s), "jaccard-first")
     comps = components(links, "jaccard-first")
     # Buckets that still hold several components.
-    placed = members.select("token", "key", "n").join(comps.withColumnRenamed("node", "key"), "key", "left")
-    placed = placed.select("token", "key", "n", F.coalesce("component", "key").alias("comp"))
+    placed = members.select("token", "key").join(comps.withColumnRenamed("node", "key"), "key", "left")
+    placed = materialise(placed.select("token", "key", F.coalesce("component", "key").alias("comp")), "jaccard-placed")
     split = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("count"))
-    split = split.filter("low != high").select("token", "count")
-    found = bucket_pairs(placed.join(split, "token").join(signs.drop("n"), "key"), s)
-    more = materialise(linked(materialise(found, "jaccard-pairs"), sets, s), "jaccard-links")
+    split = materialise(split.filter("low != high").select("token", "count"), "jaccard-split")
+    found = bucket_pairs(placed.join(split, "token").join(classes.drop("row"), "key"), s)
+    found = materialise(found.join(stars, ["a", "b"], "left_anti"), "jaccard-pairs")
+    more = linked(docs, classes, found, s)
     comps = components(links.union(more), "jaccard-last").withColumnRenamed("node", "key")
     group = F.coalesce(F.col("component"), F.col("key"))
     grouped = about.select("doc_id", "n", "key").join(comps, "key", "left").select("doc_id", "n", group.alias("group"))
