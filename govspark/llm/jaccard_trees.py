@@ -40,7 +40,8 @@ from govspark.llm.rolling import Ranges, bit, bitmap, contains, mixed
 class Settings:
     words: int = 5
     percent: int = 80
-    #: Bits of a signature, children of a node, classes of a tile.
+    #: Bits of a signature in the trees, children of a node, classes of a tile. A class's own
+    #: signature has that many bits or, for large sets, a power of 2 that is twice the size.
     bits: int = 1024
     fan: int = 8
     tile: int = 4096
@@ -92,11 +93,18 @@ def key_of(tokens: np.ndarray) -> int:
 
 
 def signature(tokens: np.ndarray, bits: int) -> bytes:
-    out = np.zeros(bits, bool)
-    out[(mixed(tokens) % np.uint64(bits)).astype(np.int64)] = True
+    """Bitmap of the tokens; folding its halves together gives the bitmap of half the width."""
+    width = max(bits, 1 << (2 * len(tokens)).bit_length())
+    out = np.zeros(width, bool)
+    out[(mixed(tokens) & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(out).tobytes()
 
 
+def folded(sign: bytes, size: int) -> np.ndarray:
+    """A signature as 64-bit numbers, folded to ``size`` bytes."""
+    return np.bitwise_or.reduce(np.frombuffer(sign, np.uint64).reshape(-1, size // 8), 0)
+
+
 def common_tokens(docs: DataFrame, s: Settings) -> np.ndarray:
     """Tokens that many documents of a sample share: at most ``common`` numbers."""
 
@@ -275,8 +283,9 @@ def joined(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     classes = materialise(
         met.groupBy("key").agg(F.min("row").alias("row"), F.max("n").alias("n"), F.first("signature").alias("signature")), "jaccard-classes"
     )
+    signs = classes.select("key", "n", "signature")
     stars = members.filter("key != centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct()
-    stars = materialise(likely(stars, classes, s), "jaccard-stars")
+    stars = materialise(likely(stars, signs, s), "jaccard-stars")
     links = materialise(linked(docs, classes, stars, s), "jaccard-first")
     comps = components(links, "jaccard-first")
     # Buckets that still hold several components.
@@ -284,8 +293,8 @@ def joined(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     placed = materialise(placed.select("token", "key", F.coalesce("component", "key").alias("comp")), "jaccard-placed")
     split = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("count"))
     split = materialise(split.filter("low != high").select("token", "count"), "jaccard-split")
-    found = bucket_pairs(placed.join(split, "token").join(classes.drop("row"), "key"), s)
-    found = materialise(found.join(stars, ["a", "b"], "left_anti"), "jaccard-pairs")
+    found = bucket_pairs(placed.join(split, "token").join(narrow(signs, s), "key"), s)
+    found = materialise(likely(found.join(stars, ["a", "b"], "left_anti"), signs, s), "jaccard-pairs")
     more = linked(docs, classes, found, s)
     comps = components(links.union(more), "jaccard-last").withColumnRenamed("node", "key")
     group = F.coalesce(F.col("component"), F.col("key"))
@@ -297,21 +306,31 @@ def joined(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     )
 
 
+def narrow(signs: DataFrame, s: Settings) -> DataFrame:
+    """Signatures folded to the width of the trees."""
+
+    @F.pandas_udf("binary")
+    def fold(x: pd.Series) -> pd.Series:
+        return pd.Series([folded(v, s.bits // 8).tobytes() for v in x], dtype=object)
+
+    return signs.withColumn("signature", fold("signature"))
+
+
 def likely(pairs: DataFrame, signs: DataFrame, s: Settings) -> DataFrame:
-    """The pairs whose sizes and signatures allow the threshold."""
+    """The pairs whose sizes and whole signatures allow the threshold."""
     one = signs.select(F.col("key").alias("a"), F.col("signature").alias("x"), F.col("n").alias("nx"))
     two = signs.select(F.col("key").alias("b"), F.col("signature").alias("y"), F.col("n").alias("ny"))
 
+    def fits(p: bytes, q: bytes, n: int, m: int) -> bool:
+        size = min(len(p), len(q))
+        p, q = folded(p, size), folded(q, size)
+        shared, ones, twos = (int(np.bitwise_count(v).sum(dtype=np.int64)) for v in (p & q, p, q))
+        overlap = min(shared + min(n - ones, m - twos), n, m)
+        return (100 + s.percent) * overlap >= s.percent * (n + m)
+
     @F.pandas_udf("boolean")
     def allowed(x: pd.Series, y: pd.Series, nx: pd.Series, ny: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=bool)
-        p, q = (np.frombuffer(b"".join(v), np.uint64).reshape(len(v), -1) for v in (x, y))
-        shared = np.bitwise_count(p & q).sum(1, dtype=np.int64)
-        n, m = nx.to_numpy(), ny.to_numpy()
-        spare = np.minimum(n - np.bitwise_count(p).sum(1, dtype=np.int64), m - np.bitwise_count(q).sum(1, dtype=np.int64))
-        overlap = np.minimum(shared + spare, np.minimum(n, m))
-        return pd.Series((100 + s.percent) * overlap >= s.percent * (n + m))
+        return pd.Series([fits(*v) for v in zip(x, y, nx, ny)], dtype=bool)
 
     sized = pairs.join(one, "a").join(two, "b").filter(100 * F.least("nx", "ny") >= s.percent * F.greatest("nx", "ny"))
     return sized.filter(allowed("x", "y", "nx", "ny")).select("a", "b")
