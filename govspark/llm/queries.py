@@ -69,8 +69,8 @@ def warc_packages(spark: SparkSession, folder: str) -> DataFrame:
     place = scratch_dir(spark, "warc-zip")
     decided = warc_zip.decide(table(spark, folder, "pages"))
     packages = materialise(warc_zip.write_packages(decided, place), "warc-list")
-    # One task per package, whatever the size of the list's own files.
-    return warc_zip.read_packages(packages.repartition("path"), place)
+    # A task per package: a number that adaptive execution leaves as it is.
+    return warc_zip.read_packages(packages.repartition(max(1, packages.count())), place)
 
 
 TOPK_SQL = """
