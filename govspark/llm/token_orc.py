@@ -57,13 +57,24 @@ class WordEncoder:
             i for word in ("a", "b") for i in tokenizer.encode(word, add_special_tokens=False).ids
         ]:
             raise ValueError("this tokenizer does not handle words one by one")
-        self.words = Remembered(lambda word: pack(tokenizer.encode(word.decode(), add_special_tokens=False).ids))
+        lower = [tokenizer.encode(word, add_special_tokens=False).ids for word in ("ABC", "abc", "abc.", ".")]
+        self.folds, self.parts = lower[0] == lower[1], lower[2] == lower[1] + lower[3]
+        self.tokenizer, self.words = tokenizer, Remembered(self.ids)
+
+    def ids(self, word: bytes) -> bytes:
+        """Ids of a word. A stop or comma behind a letter is a piece of its own, so are the letters."""
+        if self.parts and word[-1:] in (b".", b",") and word[-2:-1].isalpha():
+            return self.words[word[:-1]] + self.words[word[-1:]]
+        return pack(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids. ``bytes.split`` parts at ASCII white space only."""
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        return b"".join(map(self.words.__getitem__, text.encode().split()))
+        data = text.encode()
+        if self.folds and b"<|" not in data:  # a special string is looked for before case is folded
+            data = data.lower()
+        return b"".join(map(self.words.__getitem__, data.split()))
 
 
 @lru_cache(1)
