@@ -98,4 +98,4 @@ def monthly_revenue(df: DataFrame, moment: str, amount: str, months: int = 6) ->
 def orders_with_nation(orders: DataFrame, customer: DataFrame) -> DataFrame:
     """Orders with the nation of their customer."""
     nations = customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
-    return lookup_join(orders, nations, "o_custkey", hot_from=orders.select("o_custkey"))
+    return lookup_join(orders, nations, "o_custkey")

@@ -147,7 +147,11 @@ def grounding(log: DataFrame, keys: list[str], order: str, text: str) -> DataFra
         .agg(F.count(F.lit(1)).alias("introduced"))
     )
     counted = log.select(*keys, order, F.size(numbers).cast("long").alias("numbers"))
-    joined = counted.join(firsts, [*keys, order], "left").withColumn(
+    # A null group is a group: nulls meet nulls.
+    at = [*keys, order]
+    firsts = firsts.select(*[F.col(k).alias(f"_{k}") for k in at], "introduced")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in at]
+    joined = counted.join(firsts, same, "left").withColumn(
         "supported", F.col("numbers") - F.coalesce("introduced", F.lit(0))
     )
     share = F.when(F.col("numbers") > 0, F.col("supported").cast("double") / F.col("numbers"))

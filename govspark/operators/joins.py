@@ -2,79 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from govspark.session import estimated_bytes
 
-HOT_KEYS_KEPT = 64
-HOT_KEYS_TRACKED = 10_000
-HOT_SHARE = 200  # a key is hot when it holds more than 1/HOT_SHARE of the rows
-DEFAULT_SALTS = 64
-
-
-def _key_hash(keys: list[str]) -> Column:
-    return F.xxhash64(*[F.col(k) for k in keys])
-
-
-def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row with the hashes of the heaviest keys, from one pass with a fixed-size sketch.
-
-    The sketch is merged map side, so no shuffle of the keys themselves takes place. A key
-    that is missed or added by mistake changes the balance of the join, never its result.
-    """
-    top = F.expr(f"approx_top_k(k, {HOT_KEYS_KEPT}, {HOT_KEYS_TRACKED})")
-    return (
-        df.select(_key_hash(keys).alias("k"))
-        .agg(top.alias("top"), F.count(F.lit(1)).alias("n"))
-        .select(
-            F.transform(
-                F.filter("top", lambda t: t["count"] * HOT_SHARE > F.col("n")), lambda t: t["item"]
-            ).alias("hot")
-        )
-    )
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    size = estimated_bytes(df)
-    try:
-        limit_bytes = int(limit.rstrip("bB"))
-    except ValueError:
-        return False
-    return size is not None and size <= limit_bytes
-
-
-def lookup_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: str | list[str],
-    hot_from: DataFrame | None = None,
-    spread_by: list[str] | None = None,
-    salts: int = DEFAULT_SALTS,
-    force_salt: bool = False,
-) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, keys: str | list[str]) -> DataFrame:
     """``left`` LEFT JOIN ``right`` on ``keys``, where ``right`` has one row per key.
 
-    A right side below the session's broadcast limit is left to Spark, which broadcasts it.
-    Otherwise rows with a hot key, or with a null key, are spread over ``salts`` shuffle
-    partitions, and only the right rows of hot keys are copied to each of them. ``hot_from``
-    may name a narrower frame with the same key columns to read the hot keys from, and
-    ``spread_by`` the left columns that tell the rows of one key apart (default: all).
+    A small right side is broadcast by Spark. Otherwise adaptive execution, which the session
+    settings of this library turn on, splits the shuffle partitions of ``left`` that a frequent
+    or null key makes large, and reads the right rows of such a partition once per part.
     """
-    keys = [keys] if isinstance(keys, str) else keys
-    # A stream arrives in bounded batches, and its keys cannot be counted ahead.
-    if left.isStreaming or (not force_salt and fits_broadcast(right)):
-        return left.join(right, keys, "left")
-
-    hot = hot_keys(left if hot_from is None else hot_from, keys).scalar()
-    is_null = F.lit(False)
-    for k in keys:
-        is_null = is_null | F.col(k).isNull()
-    # The salt is a function of the row, so a recomputed task sends each row the same way.
-    spread = F.pmod(F.xxhash64(*(spread_by or left.columns)), F.lit(salts)).cast("int")
-    is_hot = F.array_contains(hot, _key_hash(keys))
-    salted_left = left.withColumn("_salt", F.when(is_null | is_hot, spread).otherwise(F.lit(0)))
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_right = right.withColumn("_salt", F.explode(copies))
-    return salted_left.join(salted_right, [*keys, "_salt"], "left").drop("_salt")
+    return left.join(right, [keys] if isinstance(keys, str) else keys, "left")

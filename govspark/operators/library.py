@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from govspark import rules
+from govspark.functions import text
 from govspark.schemas import PRESET
 from govspark.sources.files import fixed_rows
 
@@ -45,7 +46,7 @@ def quality_checks(library: DataFrame) -> DataFrame:
     per_id = library.groupBy("id").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.length("label") > MAX_LABEL_LENGTH).alias("long_labels"),
-        F.count_if(F.trim(F.coalesce("prompt_text", F.lit(""))) == "").alias("empty_prompts"),
+        F.count_if(text.strip(F.coalesce("prompt_text", F.lit(""))) == "").alias("empty_prompts"),
     )
     return per_id.agg(
         F.sum("n").alias("prompts"),

@@ -9,8 +9,6 @@ from govspark import rules
 from govspark.functions import detect
 from govspark.rules import Detector
 
-TOKEN_SALT = "govspark"
-
 # Identifiers get a token and a mask on the way to Silver, so no raw one is stored there.
 IDENTIFIER_MASKS = {
     "email": detect.mask_email,
@@ -31,8 +29,12 @@ PERSONAL_MASKS = {
 MASKED = {**IDENTIFIER_MASKS, **PERSONAL_MASKS}
 
 
-def tokenise_columns(df: DataFrame, columns=TOKENISED, salt: str = TOKEN_SALT) -> DataFrame:
-    """Add ``<column>_token`` for each column that is present."""
+def tokenise_columns(df: DataFrame, salt: str, columns=TOKENISED) -> DataFrame:
+    """Add ``<column>_token`` for each column that is present.
+
+    ``salt`` is a secret of the caller: with a known one, tokens of short numbers can be undone
+    by hashing all of them.
+    """
     present = [c for c in columns if c in df.columns]
     return df.withColumns({f"{c}_token": detect.tokenise(F.col(c), salt) for c in present})
 
@@ -54,15 +56,18 @@ def redact_text(
     )
 
 
-def to_silver(bronze: DataFrame, text_columns: tuple[str, ...] = ()) -> DataFrame:
+def to_silver(bronze: DataFrame, salt: str, text_columns: tuple[str, ...] = ()) -> DataFrame:
     """Typed, tokenised and redacted: dates parsed, identifiers replaced by a token and a mask,
-    free text redacted."""
+    free text redacted.
+
+    Names, addresses, dates of birth and device addresses stay in clear; Gold masks them.
+    """
     typed = {}
     if "order_date" in bronze.columns:
         typed["order_date"] = F.col("order_date").cast("timestamp_ntz")
     if "date_of_birth" in bronze.columns:
         typed["date_of_birth"] = F.try_to_date("date_of_birth", "yyyy-MM-dd")
-    silver = mask_columns(tokenise_columns(bronze.withColumns(typed) if typed else bronze), IDENTIFIER_MASKS)
+    silver = mask_columns(tokenise_columns(bronze.withColumns(typed) if typed else bronze, salt), IDENTIFIER_MASKS)
     for c in text_columns:
         silver = detect.redact(silver, c, c)
     return silver
@@ -74,11 +79,11 @@ def to_gold(silver: DataFrame) -> DataFrame:
 
 
 def promote(
-    bronze: DataFrame, silver_path: str, gold_path: str, text_columns: tuple[str, ...] = ()
+    bronze: DataFrame, silver_path: str, gold_path: str, salt: str, text_columns: tuple[str, ...] = ()
 ) -> DataFrame:
     """Bronze to Silver to Gold with Parquet in between; returns the Gold table."""
     spark = bronze.sparkSession
-    to_silver(bronze, text_columns).write.mode("errorifexists").parquet(silver_path)
+    to_silver(bronze, salt, text_columns).write.mode("errorifexists").parquet(silver_path)
     spark.read.parquet(silver_path).transform(to_gold).write.mode("errorifexists").parquet(gold_path)
     return spark.read.parquet(gold_path)
 

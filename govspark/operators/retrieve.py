@@ -23,13 +23,15 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 RAW, MASKED = "raw", "masked"
 
-# Query vectors go to every task. One block stays below this size; more queries mean more
-# passes over the corpus, never fewer results.
+# Query vectors go to every task: all of them together must stay below this size.
 MAX_QUERY_BYTES = 64 * 1024 * 1024
 MERGE_BUCKETS = 64
 # Scores of one step fill at most this many cells, however many queries there are.
 SCORE_CELLS = 4_000_000
-SIMILARITY_DIGITS = 5
+# Similarities that agree in this many digits are ties, as sums in floating point do not tell
+# them apart; the result shows fewer digits than the ranking uses.
+RANK_DIGITS = 12
+SHOWN_DIGITS = 5
 
 
 def corpus_of(role: Column) -> Column:
@@ -55,21 +57,17 @@ def centroids(vectors: DataFrame, group: str, embedding: str = "embedding") -> D
     return means.groupBy(group).agg(F.transform(ordered, lambda p: p["x"]).alias("embedding"))
 
 
-def _query_blocks(queries: DataFrame, query_id: str, embedding: str) -> list[tuple[list, np.ndarray]]:
-    """Query ids and unit vectors, in blocks below the size limit."""
+def _query_vectors(queries: DataFrame, query_id: str, embedding: str) -> tuple[list, np.ndarray]:
+    """Query ids and unit vectors, if they are below the size limit."""
     wanted = queries.select(query_id, F.col(embedding).cast("array<double>").alias("v")).persist()
     try:
         size = wanted.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
-        blocks = -(-size["n"] * ((size["dim"] or 1) * 8 + 64) // MAX_QUERY_BYTES)
-        out = []
-        for b in range(blocks):
-            block = F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b
-            rows = wanted.filter(block).collect()
-            if rows:
-                out.append(([r[0] for r in rows], _unit(np.array([r[1] for r in rows], dtype=np.float64))))
-        return out
+        if size["n"] * ((size["dim"] or 1) * 8 + 64) > MAX_QUERY_BYTES:
+            raise ValueError(f"{size['n']} query vectors are more than {MAX_QUERY_BYTES} bytes; ask in several calls")
+        rows = wanted.collect()
     finally:
         wanted.unpersist()
+    return [r[0] for r in rows], _unit(np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), size["dim"] or 0))
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -81,7 +79,7 @@ def _score_partition(ids: list, unit_queries: np.ndarray, k: int, schema: pa.Sch
     """Scores each batch against all queries and keeps a running top-k per query."""
     dim = unit_queries.shape[1]
     step = max(1, SCORE_CELLS // len(ids))
-    scale = 10.0**SIMILARITY_DIGITS
+    scale = 10.0**RANK_DIGITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best_score = np.empty((len(ids), 0), dtype=np.int64)
@@ -134,35 +132,26 @@ def top_k(
 ) -> DataFrame:
     """The k most similar corpus items per query: (query_id, rank, item_id, similarity).
 
-    Exact. Every task scores its share of the corpus against all queries with one matrix
+    Exact, for a query side of bounded size (``MAX_QUERY_BYTES``; more is an error). Every task scores its share of the corpus against all queries with one matrix
     product per batch and emits at most k rows per query, so no query-corpus pair is ever
     materialised. The winners are merged in two steps to keep the last one small.
     """
     spark = corpus.sparkSession
-    scored = None
     schema = pa.schema([("q", pa.int64()), ("item", pa.int64()), ("similarity", pa.float64())])
     vectors = corpus.select(F.col(item_id).cast("long").alias("item"), embedding).filter(
         F.col(embedding).isNotNull()
     )
     id_type = queries.schema[query_id].dataType
-    for ids, unit in _query_blocks(queries, query_id, embedding):
-        part = vectors.mapInArrow(
-            _score_partition(ids, unit, k, schema), "q long, item long, similarity double"
-        )
-        names = F.array(*[F.lit(i).cast(id_type) for i in ids]) if len(ids) <= 1000 else None
-        if names is not None:
-            part = part.select(F.element_at(names, (F.col("q") + 1).cast("int")).alias(query_id), "item", "similarity")
-        else:
-            lookup = spark.createDataFrame(
-                list(enumerate(ids)), T.StructType([T.StructField("q", T.LongType()), T.StructField(query_id, id_type)])
-            )
-            part = part.join(lookup, "q").select(query_id, "item", "similarity")
-        scored = part if scored is None else scored.unionByName(part)
-    if scored is None:
-        empty = T.StructType(
-            [T.StructField(query_id, id_type), T.StructField("item", T.LongType()), T.StructField("similarity", T.DoubleType())]
-        )
-        scored = spark.createDataFrame([], empty)
+    ids, unit = _query_vectors(queries, query_id, embedding)
+    lookup = spark.createDataFrame(
+        list(enumerate(ids)), T.StructType([T.StructField("q", T.LongType()), T.StructField(query_id, id_type)])
+    )
+    schema_text = "q long, item long, similarity double"
+    if ids:
+        part = vectors.mapInArrow(_score_partition(ids, unit, k, schema), schema_text)
+    else:
+        part = spark.createDataFrame([], schema_text)
+    scored = part.join(lookup, "q").select(query_id, "item", "similarity")
     best = [F.desc("similarity"), F.asc("item")]
     bucket = F.pmod(F.xxhash64("item"), F.lit(MERGE_BUCKETS))
     first = Window.partitionBy(query_id, "_bucket").orderBy(*best)
@@ -174,7 +163,7 @@ def top_k(
         .withColumn("rank", F.row_number().over(final))
         .filter(F.col("rank") <= k)
     )
-    return merged.select(query_id, "rank", F.col("item").alias(item_id), "similarity")
+    return merged.select(query_id, "rank", F.col("item").alias(item_id), F.round("similarity", SHOWN_DIGITS).alias("similarity"))
 
 
 def routed_top_k(

@@ -40,14 +40,19 @@ def summarise(series: DataFrame) -> DataFrame:
     )
 
 
+def leader_label() -> Column:
+    """The label of the largest value; a point without one is called Unknown."""
+    return F.coalesce(F.nullif(F.col("leader.label"), F.lit("")), F.lit("Unknown"))
+
+
 def bar_insight(value_column: Column) -> Column:
-    return F.concat(F.col("leader.label"), F.lit(" leads with "), F.col("leader.value"), F.lit(" in "), value_column, F.lit("."))
+    return F.concat(leader_label(), F.lit(" leads with "), F.col("leader.value"), F.lit(" in "), value_column, F.lit("."))
 
 
 def pie_insight(value_column: Column) -> Column:
     percent = F.col("leader.number") / F.col("total") * 100
     share = F.concat(
-        F.col("leader.label"), F.lit(" leads with "), whole_number(percent), F.lit("% of total "), value_column, F.lit(".")
+        leader_label(), F.lit(" leads with "), whole_number(percent), F.lit("% of total "), value_column, F.lit(".")
     )
     return F.when(F.col("total") > 0, share).otherwise(
         F.concat(F.col("leader.label"), F.lit(" has the highest "), value_column, F.lit("."))

@@ -30,7 +30,7 @@ def _profile_text(t: Tables):
 
 @query("d1_detect_types", f"SELECT doc_id, {_TYPES} AS types FROM documents")
 def detect_types(t: Tables):
-    return plain(findings.with_detected_types(t.wide("documents"), "text").select("doc_id", "types"))
+    return plain(findings.with_detected_types(t("documents"), "text").select("doc_id", "types"))
 
 
 @query("d1_detect_types_extended", f"WITH {_PROFILES}, {_PROFILE_TEXT}\nSELECT customer_id, {_EXTENDED_TYPES} AS types FROM profile_text")
@@ -45,12 +45,12 @@ def detect_types_extended(t: Tables):
   CASE WHEN {sql_types('html', SQL_REFERENCE)} <> '' THEN '⚠️ Ungoverned — Data Leaked' END AS leak_label FROM pages""",
 )
 def leak_flag(t: Tables):
-    return findings.with_detected_types(t.wide("pages"), "html").select("page_id", "sensitive_detected", "leak_label")
+    return findings.with_detected_types(t("pages"), "html").select("page_id", "sensitive_detected", "leak_label")
 
 
 @query("d3_findings", sql_findings("documents", "doc_id", "text"))
 def extract_findings(t: Tables):
-    return findings.extract_findings(t.wide("documents"), ["doc_id"], "text")
+    return findings.extract_findings(t("documents"), ["doc_id"], "text")
 
 
 @query(
@@ -65,8 +65,8 @@ SELECT 'TOTAL', CAST(sum(findings) AS BIGINT), CAST(sum(distinct_values) AS BIGI
 )
 def findings_by_category(t: Tables):
     found = (
-        findings.extract_findings(t.wide("documents"), [], "text")
-        .unionByName(findings.extract_findings(t.wide("pages"), [], "html"))
+        findings.extract_findings(t("documents"), [], "text")
+        .unionByName(findings.extract_findings(t("pages"), [], "html"))
         .unionByName(findings.extract_findings(_profile_text(t), [], "text"))
     )
     return findings.count_findings(found)
@@ -124,45 +124,44 @@ SELECT source, lang, findings_count, CASE WHEN findings_count = 0 THEN 'clean' E
     ELSE 'PII scan: ' || findings_count || ' PII findings detected in source data' || {_LINES} END AS summary FROM totals""",
 )
 def scan_status(t: Tables):
-    return findings.scan_report(t.wide("documents"), ["source", "lang"], "text")
+    return findings.scan_report(t("documents"), ["source", "lang"], "text")
 
 
 @query(
     "d7_informational_gate",
-    f"""WITH scans AS (SELECT doc_id, CAST(sum({sql_finding_count('text')}) AS BIGINT) AS n FROM documents
-  WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1)
+    f"""WITH scans AS (SELECT doc_id, CAST(sum({sql_finding_count('text')}) AS BIGINT) AS n FROM documents GROUP BY 1)
 SELECT conv_id, turn, n AS findings_count,
   CASE WHEN n IS NULL THEN 'unavailable' WHEN n = 0 THEN 'clean' ELSE 'detected' END AS scan_status,
   TRUE AS passed, FALSE AS blocked
 FROM conversations LEFT JOIN scans ON conv_id = doc_id""",
 )
 def informational_gate(t: Tables):
-    """Each conversation reads the document of its number; only labelled documents were scanned."""
+    """Each conversation reads the scan of the document of its number."""
     return findings.attach_scan(t("conversations").select("conv_id", "turn"), document_scans(t), "conv_id")
 
 
 def document_scans(t: Tables):
     # Counting first: only ids and counts are shuffled for the join, never the texts. Summed
     # per document, both sides of the join have one row per id.
-    counts = findings.count_per_key(t.wide("documents"), ["doc_id"], "text")
-    per_document = counts.groupBy("doc_id").agg(F.sum("findings_count").alias("findings_count"))
-    scanned = per_document.join(t("labels").select("doc_id"), "doc_id", "left_semi")
-    return scanned.withColumnRenamed("doc_id", "conv_id")
+    counts = findings.count_per_key(t("documents"), ["doc_id"], "text")
+    return counts.groupBy(F.col("doc_id").alias("conv_id")).agg(F.sum("findings_count").alias("findings_count"))
 
 
 @query("e1_redact_text", f"SELECT doc_id, sha256({sql_redact('text')}) AS redacted_hash FROM documents")
 def redact_text(t: Tables):
-    redacted = medallion.redact_text(t.wide("documents"), "text")
+    redacted = medallion.redact_text(t("documents"), "text")
     return redacted.select("doc_id", F.sha2("redacted_text", 256).alias("redacted_hash"))
 
 
+# The tables are made up, so their tokens need no secret.
+TEST_SALT = "govspark"
 _TOKENS = ", ".join(f"sha256('govspark' || {c}) AS {c}_token" for c in ("email", "phone_number", "national_id"))
 
 
 @query("e2_tokenise", f"WITH {_PROFILES}\nSELECT customer_id, {_TOKENS} FROM profiles")
 def tokenise(t: Tables):
     profiles = synthetic.customer_profiles(t("customer").select("c_custkey"), "c_custkey")
-    tokens = medallion.tokenise_columns(profiles, ("email", "phone_number", "national_id"))
+    tokens = medallion.tokenise_columns(profiles, TEST_SALT, ("email", "phone_number", "national_id"))
     return tokens.select("customer_id", "email_token", "phone_number_token", "national_id_token")
 
 
@@ -210,7 +209,7 @@ SELECT order_id, customer_id, strftime(order_date, '%Y-%m-%d %H:%M:%S') AS order
 def promotion(t: Tables):
     raw = t.gold(_PROMOTED).withColumn("order_date", F.date_format("order_date", "yyyy-MM-dd HH:mm:ss"))
     out = scratch_dir(t.spark, "promotion")
-    return plain(medallion.promote(raw, f"{out}/silver", f"{out}/gold"))
+    return plain(medallion.promote(raw, f"{out}/silver", f"{out}/gold", TEST_SALT))
 
 
 @query(
@@ -220,5 +219,5 @@ SELECT doc_id, CASE WHEN red <> text THEN 'MODIFIED' ELSE 'PASS' END AS redact_a
   {sql_types('red', SQL_EXTENDED)} AS residual_types FROM redacted""",
 )
 def residual_check(t: Tables):
-    checked = medallion.residual_check(t.wide("documents"), "text")
+    checked = medallion.residual_check(t("documents"), "text")
     return plain(checked.select("doc_id", "redact_action", "residual_types"))

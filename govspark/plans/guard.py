@@ -44,13 +44,13 @@ def valid_quarantine_split(t: Tables):
 
 @query("f3_strip_script", f"SELECT page_id, sha256({sql_strip_script('html')}) AS stripped_hash FROM pages")
 def strip_script(t: Tables):
-    return t.wide("pages").select("page_id", F.sha2(text_functions.strip_script_tags(F.col("html")), 256).alias("stripped_hash"))
+    return t("pages").select("page_id", F.sha2(text_functions.strip_script_tags(F.col("html")), 256).alias("stripped_hash"))
 
 
 @query("f4_strip_shell", f"SELECT page_id, sha256({sql_strip_shell('html')}) AS stripped_hash FROM pages")
 def strip_shell(t: Tables):
     stripped = text_functions.strip_shell_metacharacters(F.col("html"))
-    return t.wide("pages").select("page_id", F.sha2(stripped, 256).alias("stripped_hash"))
+    return t("pages").select("page_id", F.sha2(stripped, 256).alias("stripped_hash"))
 
 
 @query(
@@ -77,7 +77,7 @@ def sanitize_for_engine(t: Tables):
 
 @query("g1_jailbreak_match", f"SELECT doc_id, {sql_first('text', rules.REFERENCE_GUARD.jailbreak)} AS jailbreak_keyword FROM documents")
 def jailbreak_match(t: Tables):
-    return prompts.match_keywords(t.wide("documents"), "text").select("doc_id", "jailbreak_keyword")
+    return prompts.match_keywords(t("documents"), "text").select("doc_id", "jailbreak_keyword")
 
 
 _PROTOTYPE_PII = sql_first("text", rules.PROTOTYPE_GUARD.pii)
@@ -151,7 +151,7 @@ def output_action(t: Tables):
         .otherwise(F.lit("PASS"))
     )
     response = F.when(text.rlike("[0-9]{3}"), F.lit("MODIFIED")).otherwise(F.lit("PASS"))
-    actions = t.wide("documents").select("doc_id", gate.alias("gate_action"), response.alias("response_action"))
+    actions = t("documents").select("doc_id", gate.alias("gate_action"), response.alias("response_action"))
     return actions.withColumn(
         "output_action", guard_functions.output_action(F.col("gate_action"), F.col("response_action"))
     )
@@ -182,7 +182,7 @@ def annotations(t: Tables):
   CASE WHEN {sql_types('text', SQL_REFERENCE)} <> '' THEN '⚠️ Ungoverned — Data Leaked' END AS annotation FROM documents""",
 )
 def ungoverned_verdict(t: Tables):
-    answered = t.wide("documents").withColumn("verdict", F.lit("PASS"))
+    answered = t("documents").withColumn("verdict", F.lit("PASS"))
     return audit.dual_path(answered, "text").select(
         "doc_id",
         F.col("a_is_blocked").alias("is_blocked"),
@@ -200,14 +200,14 @@ _NUMBERS = r"unnest(list_distinct(list_transform(regexp_extract_all(text, '[0-9]
 said AS (SELECT topic, doc_id, {_NUMBERS} AS number FROM log),
 first_said AS (SELECT topic, number, min(doc_id) AS seen FROM said GROUP BY 1, 2),
 judged AS (SELECT s.topic, s.doc_id, count(*) AS numbers, count(*) FILTER (f.seen < s.doc_id) AS supported
-  FROM said s JOIN first_said f ON s.topic = f.topic AND s.number = f.number GROUP BY 1, 2)
+  FROM said s JOIN first_said f ON s.topic IS NOT DISTINCT FROM f.topic AND s.number = f.number GROUP BY 1, 2)
 SELECT l.topic, l.doc_id, coalesce(numbers, 0) AS numbers, coalesce(supported, 0) AS supported,
   CAST(supported AS DOUBLE) / numbers AS grounded_share
-FROM log l LEFT JOIN judged j ON l.topic = j.topic AND l.doc_id = j.doc_id""",
+FROM log l LEFT JOIN judged j ON l.topic IS NOT DISTINCT FROM j.topic AND l.doc_id = j.doc_id""",
 )
 def grounding(t: Tables):
     """Numbers in each document that an earlier document of the same source already gave."""
-    log = t.wide("documents").select(F.col("source").alias("topic"), "doc_id", "text")
+    log = t("documents").select(F.col("source").alias("topic"), "doc_id", "text")
     return audit.grounding(log, ["topic"], "doc_id", "text")
 
 
@@ -226,13 +226,14 @@ class LengthGate(gates.Gate):
 STANDARD_GATES = [gates.ScanGate(), gates.ColumnAccessGate(), gates.PromptGuardGate()]
 
 
-def gate_inputs(t: Tables):
-    """What the standard gates read, joined onto prompts: the scan result and the role's columns."""
+def gate_inputs(t: Tables, scans=None):
+    """What the standard gates read, joined onto prompts: the scan result and the role's columns.
+
+    A stream hands in a written scan result, which its batches then read.
+    """
 
     def enrich(df):
-        scanned = lookup_join(
-            df, document_scans(t), "conv_id", hot_from=t("conversations").select("conv_id"), spread_by=["turn"]
-        )
+        scanned = lookup_join(df, document_scans(t) if scans is None else scans, "conv_id")
         return scanned.join(role_policies(t), "role", "left")
 
     return enrich
@@ -245,8 +246,7 @@ def gated_prompts(t: Tables, chain: list[gates.Gate]):
 
 
 _GATED = f"""{_LOG},
-scans AS (SELECT doc_id, CAST(sum({sql_finding_count('text')}) AS BIGINT) AS n FROM documents
-  WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1),
+scans AS (SELECT doc_id, CAST(sum({sql_finding_count('text')}) AS BIGINT) AS n FROM documents GROUP BY 1),
 gated AS (SELECT *, {SQL_VISIBLE} AS visible, CASE WHEN {SQL_VISIBLE} IS NULL THEN 2 WHEN jailbreak_keyword IS NOT NULL THEN 3 END AS stopped_at
   FROM guarded LEFT JOIN scans ON conv_id = doc_id WHERE route = 'valid')"""
 
@@ -400,18 +400,18 @@ def prompt_library(t: Tables):
 @query(
     "l3_library_quality",
     f"""WITH entries AS (
-  SELECT 'conv-' || conv_id AS id, role || ': ' || left(text, 24) AS label, text AS prompt_text FROM conversations
+  SELECT 'conv-' || conv_id AS id, role || ': ' || text AS label, text AS prompt_text FROM conversations
   UNION ALL SELECT unnest({[p[0] for p in rules.PROMPT_LIBRARY]}), unnest({[p[1] for p in rules.PROMPT_LIBRARY]}),
     unnest({[p[4] for p in rules.PROMPT_LIBRARY]})),
 per_id AS (SELECT id, count(*) AS n, count(*) FILTER (length(label) > 30) AS long_labels,
-  count(*) FILTER (trim(coalesce(prompt_text, '')) = '') AS empty_prompts FROM entries GROUP BY 1)
+  count(*) FILTER (regexp_replace(coalesce(prompt_text, ''), '\\s+', '', 'g') = '') AS empty_prompts FROM entries GROUP BY 1)
 SELECT CAST(sum(n) AS BIGINT) AS prompts, count(*) AS ids, CAST(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS BIGINT) AS duplicate_id_rows,
   CAST(sum(long_labels) AS BIGINT) AS long_labels, CAST(sum(empty_prompts) AS BIGINT) AS empty_prompts FROM per_id""",
 )
 def library_quality(t: Tables):
     logged = t("conversations").select(
         F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("id"),
-        F.concat(F.col("role"), F.lit(": "), F.left("text", F.lit(24))).alias("label"),
+        F.concat(F.col("role"), F.lit(": "), F.col("text")).alias("label"),
         F.col("text").alias("prompt_text"),
     )
     presets = library.prompt_library(t.spark).select("id", "label", "prompt_text")

@@ -15,11 +15,18 @@ queries AS (SELECT label AS query_id, CASE WHEN label % 2 = 0 THEN 'permissive'
   list(x ORDER BY p) AS v FROM parts GROUP BY 1)"""
 
 
-def _ranked(k: int) -> str:
-    return f"""scored AS (SELECT query_id, role, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), v), 5) AS similarity
-  FROM embeddings, queries),
+# Two corpora over the same vectors: the masked one keeps its own numbers, after all raw ones.
+_MASKED_FROM = 1_000_000_000
+_BOTH = f"""both_corpora AS (SELECT 'permissive' AS reader, vec_id, embedding FROM embeddings
+  UNION ALL SELECT 'restricted', vec_id + {_MASKED_FROM}, embedding FROM embeddings)"""
+
+
+def _ranked(k: int, routed: bool = True) -> str:
+    corpus, where = ("both_corpora", " WHERE reader = role") if routed else ("embeddings", "")
+    return f"""scored AS (SELECT query_id, role, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), v), 12) AS similarity
+  FROM {corpus}, queries{where}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM scored),
-top AS (SELECT query_id, role, CAST(rank AS INTEGER) AS rank, vec_id, similarity FROM ranked WHERE rank <= {k})"""
+top AS (SELECT query_id, role, CAST(rank AS INTEGER) AS rank, vec_id, round(similarity, 5) AS similarity FROM ranked WHERE rank <= {k})"""
 
 
 def label_queries(t: Tables):
@@ -44,20 +51,20 @@ def corpus_routing(t: Tables):
     )
 
 
-@query("m1_vector_top_k", f"WITH {_CENTROIDS}, {_ranked(10)}\nSELECT query_id, rank, vec_id, similarity FROM top")
+@query("m1_vector_top_k", f"WITH {_CENTROIDS}, {_ranked(10, routed=False)}\nSELECT query_id, rank, vec_id, similarity FROM top")
 def vector_top_k(t: Tables):
     return retrieve.top_k(label_queries(t), t("embeddings"))
 
 
 def _corpora(t: Tables):
-    """Raw and masked corpus: the vectors with the document of the same number."""
-    joined = t("embeddings").select("vec_id", "embedding")
-    return {retrieve.RAW: joined, retrieve.MASKED: joined}
+    """Raw and masked corpus: the same vectors under numbers of their own."""
+    raw = t("embeddings").select("vec_id", "embedding")
+    return {retrieve.RAW: raw, retrieve.MASKED: raw.withColumn("vec_id", F.col("vec_id") + _MASKED_FROM)}
 
 
 @query(
     "m2_routed_top_k",
-    f"""WITH {_CENTROIDS}, {_ranked(5)}
+    f"""WITH {_CENTROIDS}, {_BOTH}, {_ranked(5)}
 SELECT query_id, rank, vec_id, similarity, CASE WHEN role = 'permissive' THEN 'raw' ELSE 'masked' END AS corpus FROM top""",
 )
 def routed_top_k(t: Tables):
@@ -89,10 +96,12 @@ def label_hits(t: Tables, k: int):
     """Top-k hits with content: the text of the document of that number, masked for the
     restricted role, and for labelled documents also a row of cells."""
     queries = label_queries(t)
-    hits = retrieve.routed_top_k(queries, _corpora(t), k=k)
-    labels = t("labels").select(F.col("doc_id").alias("vec_id"), "quality", "toxic")
-    documents = t("documents").select(F.col("doc_id").alias("vec_id"), "text", "lang", "source")
-    # At most k hits per query: few rows, each with its own document.
+    hits = retrieve.routed_top_k(queries, _corpora(t), k=k).withColumn("vec_id", F.col("vec_id") % _MASKED_FROM)
+    # At most k hits for each of a bounded number of queries: the ids that the other tables are
+    # cut to before anything of them is shuffled.
+    wanted = F.broadcast(hits.select("vec_id").distinct())
+    labels = t("labels").select(F.col("doc_id").alias("vec_id"), "quality", "toxic").join(wanted, "vec_id", "left_semi")
+    documents = t("documents").select(F.col("doc_id").alias("vec_id"), "text", "lang", "source").join(wanted, "vec_id", "left_semi")
     joined = hits.join(documents, "vec_id", "left").join(labels, "vec_id", "left")
     cells = F.array(
         _cell("vec_id", F.col("vec_id")), _cell("lang", F.col("lang")), _cell("source", F.col("source")),
@@ -105,12 +114,12 @@ def label_hits(t: Tables, k: int):
 
 
 def _hits(k: int) -> str:
-    return f"""{_CENTROIDS}, {_ranked(k)},
+    return f"""{_CENTROIDS}, {_BOTH}, {_ranked(k)},
 hits AS (SELECT query_id, rank,
-  CASE WHEN quality IS NOT NULL THEN concat_ws(', ', 'vec_id: ' || vec_id, 'lang: ' || lang, 'source: ' || source,
+  CASE WHEN quality IS NOT NULL THEN concat_ws(', ', 'vec_id: ' || vec_id % {_MASKED_FROM}, 'lang: ' || lang, 'source: ' || source,
     'quality: ' || quality, 'toxic: ' || toxic) END AS row_text,
   CASE WHEN role = 'permissive' THEN text ELSE {sql_redact('text')} END AS text
-  FROM top LEFT JOIN documents d ON vec_id = d.doc_id LEFT JOIN labels l ON vec_id = l.doc_id)"""
+  FROM top LEFT JOIN documents d ON vec_id % {_MASKED_FROM} = d.doc_id LEFT JOIN labels l ON vec_id % {_MASKED_FROM} = l.doc_id)"""
 
 
 @query(

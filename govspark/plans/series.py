@@ -145,7 +145,7 @@ def series_status(t: Tables):
         F.lit("total").alias("y_column"),
     )
     segments = customer.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
-    orders = analytics.lookup_join(t("orders"), segments, "o_custkey", hot_from=t("orders").select("o_custkey"))
+    orders = analytics.lookup_join(t("orders"), segments, "o_custkey")
     value = F.when(F.col("c_mktsegment") == "BUILDING", F.col("o_orderpriority")).otherwise(
         F.col("o_totalprice").cast("decimal(12,2)").cast("string")
     )
@@ -156,14 +156,12 @@ def series_status(t: Tables):
 
 @query(
     "k8_chart_title",
-    """WITH asked AS (SELECT conv_id, turn, CASE WHEN role = 'system' THEN ' ?? ' ELSE '  ' || text || ' ??' END AS text FROM conversations)
+    """WITH asked AS (SELECT conv_id, turn, '  ' || text || ' ??' AS text FROM conversations)
 SELECT conv_id, turn, CASE WHEN regexp_replace(text, '^\\s+|\\s*\\?*\\s*$', '', 'g') = '' THEN 'Analytics Chart'
   ELSE regexp_replace(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\?+$', ''), '^\\s+|\\s+$', '', 'g') END AS title FROM asked""",
 )
 def chart_title(t: Tables):
-    asked = F.when(F.col("role") == "system", F.lit(" ?? ")).otherwise(
-        F.concat(F.lit("  "), F.col("text"), F.lit(" ??"))
-    )
+    asked = F.concat(F.lit("  "), F.col("text"), F.lit(" ??"))
     return prompts.with_intent(t("conversations").withColumn("text", asked)).select("conv_id", "turn", "title")
 
 

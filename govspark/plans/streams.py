@@ -8,7 +8,7 @@ from govspark import schemas
 from govspark.operators.medallion import TOKENISED
 from govspark.plans.access import SQL_VISIBLE
 from govspark.plans.base import Tables, plain, query, sql_findings, sql_prepared
-from govspark.plans.detection import _MASKS, _PROFILES
+from govspark.plans.detection import _MASKS, _PROFILES, TEST_SALT, document_scans
 from govspark.plans.guard import STANDARD_GATES, gate_inputs
 from govspark.session import scratch_dir
 from govspark.sources import prompts, synthetic
@@ -27,8 +27,11 @@ SELECT conv_id, turn, route, error_message, sha256(engine_text) AS engine_hash,
 def guard_stream(t: Tables):
     out = scratch_dir(t.spark, "guard-stream")
     arriving = prompts.prompt_stream(t.spark, t.path("conversations"))
+    # Scanned once: the batches read the result, not the documents.
+    document_scans(t).write.parquet(f"{out}/scans")
+    scans = t.spark.read.parquet(f"{out}/scans")
     job = jobs.guard_stream(
-        arriving, f"{out}/data", f"{out}/checkpoint", chain=STANDARD_GATES, enrich=gate_inputs(t)
+        arriving, f"{out}/data", f"{out}/checkpoint", chain=STANDARD_GATES, enrich=gate_inputs(t, scans)
     )
     jobs.finish(job)
     return t.spark.read.parquet(f"{out}/data").select(
@@ -58,7 +61,7 @@ def promotion_stream(t: Tables):
     out = scratch_dir(t.spark, "promotion-stream")
     customers = prompts.file_stream(t.spark, t.path("customer"), t("customer").schema)
     bronze = synthetic.customer_profiles(customers.select("c_custkey"), "c_custkey")
-    jobs.finish(jobs.silver_stream(bronze, f"{out}/silver", f"{out}/silver-checkpoint"))
+    jobs.finish(jobs.silver_stream(bronze, TEST_SALT, f"{out}/silver", f"{out}/silver-checkpoint"))
     stored = t.spark.read.parquet(f"{out}/silver").schema
     silver = prompts.file_stream(t.spark, f"{out}/silver", stored)
     jobs.finish(jobs.gold_stream(silver, f"{out}/gold", f"{out}/gold-checkpoint"))

@@ -40,51 +40,16 @@ def build_session(app: str = "govspark", cores: int | None = None, **conf: str)
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session somebody else made."""
+    """Apply the runtime settings to a session somebody else made.
+
+    They stay set, the time zone included, because queries run after this returns. The number of
+    shuffle partitions is left to the owner of the session.
+    """
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
     return spark
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of a frame, or None where the session does not expose it."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:
-        return None
-
-
-INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-BYTES_PER_SHUFFLE_PARTITION = 64 * 1024 * 1024
-MAX_SHUFFLE_PARTITIONS = 50_000
-
-
-def fit_shuffles(spark: SparkSession, table_bytes: int | None) -> None:
-    """Raise the number of shuffle partitions to fit a table of this many stored bytes.
-
-    Adaptive execution merges small partitions after a shuffle but does not add any, so the
-    number it starts from has to follow the data. It is only ever raised.
-    """
-    wanted = min(-(-(table_bytes or 0) // BYTES_PER_SHUFFLE_PARTITION), MAX_SHUFFLE_PARTITIONS)
-    current = spark.conf.get(INITIAL_PARTITIONS, None) or spark.conf.get("spark.sql.shuffle.partitions")
-    if wanted > int(current):
-        spark.conf.set(INITIAL_PARTITIONS, str(wanted))
-
-
-def spread(table: DataFrame, bytes_per_core: int = 64 * 1024 * 1024) -> DataFrame:
-    """A stored table that has fewer files than the session has cores, dealt out to all cores.
-
-    Only for tables far too small to fill the cores by themselves (fewer than
-    ``bytes_per_core`` each). A large table already has a task per file split and is
-    returned as it is, without a shuffle.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    size = estimated_bytes(table)
-    if size is None or size > cores * bytes_per_core or len(table.inputFiles()) >= cores:
-        return table
-    return table.repartition(cores)
-
-
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder for written intermediates, under ``spark.checkpoint.dir``.
 

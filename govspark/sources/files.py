@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,19 +38,38 @@ def write_parquet(df: DataFrame, path: str, partition_by: str | None = None) ->
         df.write.mode("errorifexists").parquet(path)
 
 
+def _escaped(c: Column) -> Column:
+    """Text on one line: line breaks and backslashes as two characters, an empty text as a mark."""
+    out = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    out = F.replace(F.replace(out, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+    return F.when(c == "", F.lit("\\e")).otherwise(out)
+
+
+def _unescaped(c: Column) -> Column:
+    def plain(part: Column) -> Column:
+        return F.replace(F.replace(part, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+
+    # Between doubled backslashes every backslash begins a line break.
+    parts = F.transform(F.split(c, r"\\\\"), plain)
+    return F.when(c == "\\e", F.lit("")).otherwise(F.array_join(parts, "\\"))
+
+
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """Write CSV with a header line. Quotes inside values are doubled, as usual for CSV."""
-    df.write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
+    """Write CSV with a header line, one line per row, so that files can be split.
+
+    Quotes inside values are doubled, as usual for CSV. Line breaks and backslashes are escaped,
+    and empty texts marked, so ``read_csv`` gives back what was written.
+    """
+    texts = {f.name: _escaped(F.col(f"`{f.name}`")) for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    df.withColumns(texts).write.mode("errorifexists").options(**CSV).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("escape", '"')
-        .option("multiLine", False)
-        .csv(path)
-    )
+    df = spark.read.schema(schema).options(**CSV).option("multiLine", False).csv(path)
+    return df.withColumns({f.name: _unescaped(F.col(f"`{f.name}`")) for f in schema.fields if isinstance(f.dataType, T.StringType)})
 
 
 def catalog_table(spark: SparkSession, database: str | None, table: str) -> DataFrame:

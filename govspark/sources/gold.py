@@ -22,17 +22,13 @@ FROM_CUSTOMERS = (
 )
 
 
-def build_gold(
-    orders: DataFrame, customers: DataFrame, hot_from: DataFrame | None = None, **join_options
-) -> DataFrame:
+def build_gold(orders: DataFrame, customers: DataFrame) -> DataFrame:
     """``orders`` LEFT JOIN ``customers`` on ``customer_id``; orders without a customer stay."""
-    joined = lookup_join(orders, customers, "customer_id", hot_from=hot_from, **join_options)
+    joined = lookup_join(orders, customers, "customer_id")
     return joined.select(*[c for c in GOLD if c in joined.columns])
 
 
-def gold_from_star(
-    table: Callable[[str], DataFrame], columns: Iterable[str] = GOLD, **join_options
-) -> DataFrame:
+def gold_from_star(table: Callable[[str], DataFrame], columns: Iterable[str] = GOLD) -> DataFrame:
     """Gold over a star schema of ``lineitem``, ``orders``, ``part`` and ``customer``.
 
     One row per line item. Every look-up table is unique on its key and every join is a left
@@ -52,24 +48,10 @@ def gold_from_star(
         orders = table("orders").selectExpr(
             "o_orderkey AS l_orderkey", "o_custkey", "o_orderdate", "o_orderstatus"
         )
-        lines = lookup_join(
-            lines,
-            orders,
-            "l_orderkey",
-            hot_from=table("lineitem").select("l_orderkey"),
-            spread_by=["l_partkey", "l_linenumber", "l_extendedprice"],
-            **join_options,
-        )
+        lines = lookup_join(lines, orders, "l_orderkey")
     if need_part:
         part = table("part").selectExpr("p_partkey AS l_partkey", "p_name", "p_type")
-        lines = lookup_join(
-            lines,
-            part,
-            "l_partkey",
-            hot_from=table("lineitem").select("l_partkey"),
-            spread_by=["l_orderkey", "l_linenumber"],
-            **join_options,
-        )
+        lines = lookup_join(lines, part, "l_partkey")
 
     total = "CAST(l_extendedprice AS DECIMAL(12,2))"
     made = {
@@ -89,14 +71,10 @@ def gold_from_star(
     if not need_customers:
         return lines.selectExpr(*[f"{made[c]} AS {c}" for c in columns])
 
-    # The key, and the ids that tell a customer's lines apart, go along even if not asked for.
-    extra = {"customer_id", "transaction_id", "product_sku"} if need_part else {"customer_id", "transaction_id"}
-    ledger_columns = [c for c in GOLD if c in made and (c in wanted or c in extra)]
+    # The key goes along even if not asked for.
+    ledger_columns = [c for c in GOLD if c in made and (c in wanted or c == "customer_id")]
     ledger = lines.selectExpr(*[f"{made[c]} AS {c}" for c in ledger_columns])
     profiles = customer_profiles(
         table("customer"), "c_custkey", ["customer_id", *[c for c in FROM_CUSTOMERS if c in wanted]]
     )
-    hot_from = table("orders").selectExpr(f"{customer_id('o_custkey')} AS customer_id")
-    return build_gold(
-        ledger, profiles, hot_from=hot_from, spread_by=sorted(extra - {"customer_id"}), **join_options
-    ).select(*columns)
+    return build_gold(ledger, profiles).select(*columns)

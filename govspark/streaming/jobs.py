@@ -73,9 +73,9 @@ def scan_stream(
     return append_to(extract_findings(records, keys, text, detectors), path, checkpoint, **options)
 
 
-def silver_stream(bronze: DataFrame, path: str, checkpoint: str, **options) -> StreamingQuery:
+def silver_stream(bronze: DataFrame, salt: str, path: str, checkpoint: str, **options) -> StreamingQuery:
     """Arriving raw records, typed and tokenised."""
-    return append_to(to_silver(bronze), path, checkpoint, **options)
+    return append_to(to_silver(bronze, salt), path, checkpoint, **options)
 
 
 def gold_stream(silver: DataFrame, path: str, checkpoint: str, **options) -> StreamingQuery:

@@ -146,9 +146,9 @@ def test_column_profile_counts_address_twice(spark):
 
 def test_tokens_are_stable_and_keep_nulls(spark, values):
     df = spark.createDataFrame([(0, "a@b.com"), (1, "a@b.com"), (2, "c@d.org"), (3, None)], "n int, email string")
-    tokens = values(medallion.tokenise_columns(df, ("email",)), "email_token")
+    tokens = values(medallion.tokenise_columns(df, "one", ("email",)), "email_token")
     assert tokens[0] == tokens[1] != tokens[2] and tokens[3] is None and len(tokens[0]) == 64
-    other = values(medallion.tokenise_columns(df, ("email",), salt="other"), "email_token")
+    other = values(medallion.tokenise_columns(df, "other", ("email",)), "email_token")
     assert other[0] != tokens[0]
 
 
@@ -167,7 +167,7 @@ def test_promotion_hides_raw_values(spark, tmp_path):
     bronze = synthetic_customers(spark, 50).withColumn(
         "note", F.concat(F.lit("call "), F.col("phone_number"), F.lit(" or "), F.col("email"))
     )
-    gold = medallion.promote(bronze, f"{tmp_path}/silver", f"{tmp_path}/gold", text_columns=("note",))
+    gold = medallion.promote(bronze, f"{tmp_path}/silver", f"{tmp_path}/gold", "salt", text_columns=("note",))
     silver = spark.read.parquet(f"{tmp_path}/silver")
     raw = {v for r in bronze.select("email", "phone_number", "national_id").collect() for v in r}
     for layer in (silver, gold):

@@ -10,9 +10,9 @@ from pyspark.sql.utils import AnalysisException
 from govspark import rules, schemas
 from govspark.operators import access, analytics
 from govspark.operators.audit import leak_audit
-from govspark.operators.joins import hot_keys, lookup_join
+from govspark.operators.joins import lookup_join
 from govspark.plans.base import Tables
-from govspark.session import INITIAL_PARTITIONS, fit_shuffles, scratch_dir, spread
+from govspark.session import scratch_dir
 from govspark.sources import files
 from govspark.sources.gold import GOLD, build_gold
 from govspark.sources.synthetic import synthetic_customers, synthetic_orders
@@ -93,45 +93,56 @@ def skewed(spark):
     return left, right
 
 
-def test_salted_join_equals_plain_join(skewed):
+def test_join_splits_the_hot_key(skewed, spark):
     left, right = skewed
-    plain = left.join(right, "k", "left").select("row", "k", "v")
-    salted = lookup_join(left, right, "k", force_salt=True).select("row", "k", "v")
-    assert Counter(map(tuple, plain.collect())) == Counter(map(tuple, salted.collect()))
-
-
-def test_salted_join_spreads_the_hot_key(skewed, spark):
-    left, right = skewed
-    assert set(hot_keys(left, ["k"]).first()["hot"]) >= {left.filter("k = 7").select(F.xxhash64("k")).first()[0]}
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    plain = Counter(map(tuple, lookup_join(left, right, "k").select("row", "k", "v").collect()))
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
     try:
-        joined = lookup_join(left, right, "k", force_salt=True)
-        sizes = Counter(r[0] for r in joined.select(F.spark_partition_id()).collect())
-        plain = Counter(r[0] for r in left.join(right, "k", "left").select(F.spark_partition_id()).collect())
+        joined = lookup_join(left.repartition(8), right, "k").select("row", "k", "v")
+        rows = joined.collect()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
-    assert max(plain.values()) > 3000 and max(sizes.values()) < 1500
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert Counter(map(tuple, rows)) == plain and "skew=true" in plan
 
 
-def test_salted_join_on_two_keys(spark):
+def test_join_on_two_keys(spark):
     left = spark.createDataFrame([("a", 1, 10), ("a", 2, 11), ("b", None, 12), (None, 1, 13)], "x string, y long, r long")
     right = spark.createDataFrame([("a", 1, "p"), ("b", 2, "q")], "x string, y long, v string")
-    joined = lookup_join(left, right, ["x", "y"], force_salt=True, salts=3)
+    joined = lookup_join(left, right, ["x", "y"])
     assert {(r["r"], r["v"]) for r in joined.collect()} == {(10, "p"), (11, None), (12, None), (13, None)}
 
 
-def test_gold_with_salted_joins_is_the_same(spark, folder):
+def test_gold_without_broadcast_is_the_same(spark, folder):
     from govspark.sources.gold import gold_from_star
 
     t = Tables(spark, folder)
     columns = ["order_id", "customer_id", "product_name", "email", "total_amount"]
-    plain = gold_from_star(t, columns)
-    salted = gold_from_star(t, columns, force_salt=True)
-    assert Counter(map(tuple, plain.collect())) == Counter(map(tuple, salted.collect()))
+    plain = Counter(map(tuple, gold_from_star(t, columns).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.execution.reuseSubquery", "false")
+    try:
+        assert Counter(map(tuple, gold_from_star(t, columns).collect())) == plain
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+        spark.conf.set("spark.sql.execution.reuseSubquery", "true")
+
+
+def test_csv_keeps_line_breaks_and_empty_texts(spark, tmp_path):
+    rows = [("a", "line1\nline2"), ("b", ""), ("c", None), ("d", "\\n\\\\e"), ("e", ' "x", y\r '), ("f", "\\e"), ("g", "\n\\")]
+    df = spark.createDataFrame(rows, "k string, v string")
+    files.write_csv(df, f"{tmp_path}/csv")
+    assert sorted(map(tuple, files.read_csv(spark, f"{tmp_path}/csv", df.schema).collect())) == sorted(rows)
 
 
 def test_small_right_side_is_broadcast(spark, folder):
@@ -229,27 +240,6 @@ def test_fixed_rows(spark):
     assert sorted(map(tuple, df.collect())) == [("a'\"\\", 1, None), ("é", 2, True)]
 
 
-def test_spread_leaves_large_tables_alone(spark, folder):
-    table = spark.read.parquet(f"{folder}/documents.parquet")
-    assert "Exchange" in plan_of(spread(table))
-    assert "Exchange" not in plan_of(spread(table, bytes_per_core=1))
-
-
-def test_shuffle_partitions_follow_the_data(spark):
-    assert not spark.conf.get(INITIAL_PARTITIONS, None)
-    try:
-        fit_shuffles(spark, 10**6)
-        assert not spark.conf.get(INITIAL_PARTITIONS, None)
-        fit_shuffles(spark, 10**12)
-        assert 14_000 < int(spark.conf.get(INITIAL_PARTITIONS)) < 15_000
-        fit_shuffles(spark, 10**9)
-        assert int(spark.conf.get(INITIAL_PARTITIONS)) > 14_000
-        fit_shuffles(spark, 10**14)
-        assert int(spark.conf.get(INITIAL_PARTITIONS)) == 50_000
-    finally:
-        spark.conf.unset(INITIAL_PARTITIONS)
-
-
 def test_distribution_shares_sum_to_one(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "c string")
     rows = {r["c"]: (r["order_count"], r["share"]) for r in analytics.distribution(df, "c").collect()}

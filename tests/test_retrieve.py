@@ -17,7 +17,7 @@ def vectors(spark, n, dim, seed, parts=5):
 def brute_force(queries, corpus, k):
     q = queries / np.linalg.norm(queries, axis=1, keepdims=True)
     c = corpus / np.linalg.norm(corpus, axis=1, keepdims=True)
-    scores = np.round(q.astype(np.float64) @ c.astype(np.float64).T, retrieve.SIMILARITY_DIGITS)
+    scores = np.round(q.astype(np.float64) @ c.astype(np.float64).T, retrieve.RANK_DIGITS)
     return {
         (qi, rank): int(ci)
         for qi in range(len(q))
@@ -25,11 +25,23 @@ def brute_force(queries, corpus, k):
     }
 
 
-@pytest.mark.parametrize(("cells", "query_bytes"), [(4_000_000, 64 << 20), (50, 400)])
-def test_top_k_equals_brute_force(spark, monkeypatch, cells, query_bytes):
-    """Also with tiny limits, so that scoring goes in many steps and queries in many blocks."""
+def test_close_similarities_are_told_apart(spark):
+    corpus = spark.createDataFrame([(1, [1.0, 0.001]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
+    assert retrieve.top_k(queries, corpus, k=1).first()["vec_id"] == 2
+
+
+def test_too_many_queries_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "MAX_QUERY_BYTES", 400)
+    corpus, _ = vectors(spark, 30, 8, 1)
+    with pytest.raises(ValueError):
+        retrieve.top_k(corpus.withColumnRenamed("vec_id", "query_id"), corpus)
+
+
+@pytest.mark.parametrize("cells", [4_000_000, 50])
+def test_top_k_equals_brute_force(spark, monkeypatch, cells):
+    """Also with a tiny limit, so that scoring goes in many steps."""
     monkeypatch.setattr(retrieve, "SCORE_CELLS", cells)
-    monkeypatch.setattr(retrieve, "MAX_QUERY_BYTES", query_bytes)
     corpus, data = vectors(spark, 300, 8, 1)
     queries, asked = vectors(spark, 7, 8, 2)
     queries = queries.withColumnRenamed("vec_id", "query_id")

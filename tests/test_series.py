@@ -30,7 +30,7 @@ PRODUCTS = [("Widget Pro", "45"), ("DataSync", "30"), ("CloudBase", "25")]
         ([("a", "3"), ("b", "3")], "bar", ("x", "y"), "a leads with 3 in y."),
         ([("a", "0"), ("b", "0")], "pie", ("x", "y"), "a has the highest y."),
         ([("a", "1"), ("b", "n/a")], "bar", ("x", "y"), "Data contains 2 entries across x."),
-        ([(None, None), ("b", "-1")], "bar", ("x", "y"), " leads with 0 in y."),
+        ([(None, None), ("b", "-1")], "bar", ("x", "y"), "Unknown leads with 0 in y."),
         # Halves go to the even neighbour: 1/40 is 2.5 %.
         ([("a", "40"), ("b", "41")], "line", ("x", "y"), "Trend shows 2% growth from a to b."),
     ],

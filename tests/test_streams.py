@@ -55,5 +55,5 @@ def test_promotion_stream_is_stateless(spark):
     from govspark.sources.synthetic import customer_profiles
 
     rate = spark.readStream.format("rate").load().select(F.col("value").alias("key"))
-    promoted = to_gold(to_silver(customer_profiles(rate, "key")))
+    promoted = to_gold(to_silver(customer_profiles(rate, "key"), "salt"))
     assert promoted.isStreaming and "email_token" in promoted.columns
