@@ -174,10 +174,10 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     part = F.floor(here / F.lit(float(1 << 60)) * F.col("__ranges")).cast("long")
     taken = (
         (F.col("epoch") < F.col("__whole"))
-        | (F.col("__range").isNull() & (F.col("__whole") < mix.epochs))
+        | F.col("__range").isNull()
         | (part < F.col("__range"))
         | ((part == F.col("__range")) & (here <= F.col("__last")))
     )
-    return rows.filter(taken).select(
+    return rows.filter((F.col("epoch") < mix.epochs) & taken).select(
         *[F.col(f"`{c}`") for c in docs.columns if c not in ("domain", "epoch")], F.col("__domain").alias("domain"), "epoch"
     )
