@@ -39,6 +39,8 @@ class Settings:
     width: int = 16
     lengths: tuple[int, ...] = (2, 3, 4)
     epochs: int = 12
+    #: Steps at least: a small sample is gone through more often.
+    steps: int = 1200
     rate: float = 0.5
     batch: int = 64
     seed: int = 11
@@ -132,9 +134,11 @@ def fit(features: list[np.ndarray], labels: list[str], settings: Settings) -> Mo
         b, s = shares[i]
         return s @ embeddings[b]
 
-    steps, step = settings.epochs * -(-len(train) // settings.batch), 0
-    for _ in range(settings.epochs):
-        for part in np.array_split(rng.permutation(train), max(1, -(-len(train) // settings.batch))):
+    parts, step = max(1, -(-len(train) // settings.batch)), 0
+    epochs = max(settings.epochs, -(-settings.steps // parts))
+    steps = epochs * parts
+    for _ in range(epochs):
+        for part in np.array_split(rng.permutation(train), parts):
             rate = settings.rate * (1 - step / steps)
             step += 1
             x = np.array([average(i) for i in part]).reshape(len(part), settings.width)
@@ -160,7 +164,7 @@ def fit(features: list[np.ndarray], labels: list[str], settings: Settings) -> Mo
         if len(right):
             # A margin below the score that the allowed share of correct predictions falls short of.
             floor = 1 / len(languages)
-            model.least = floor + 0.5 * max(0.0, float(right[int(len(right) * settings.lost)]) - floor)
+            model.least = floor + 0.25 * max(0.0, float(right[int(len(right) * settings.lost)]) - floor)
     return model
 
 
@@ -238,9 +242,11 @@ def fit(features: list[np.ndarray], labels: list[str], settings: Settings) -> Mo
         b, s = shares[i]
         return s @ embeddings[b]
 
-    steps, step = settings.epochs * -(-len(train) // settings.batch), 0
-    for _ in range(settings.epochs):
-        for part in np.array_split(rng.permutation(train), max(1, -(-len(train) // settings.batch))):
+    parts, step = max(1, -(-len(train) // settings.batch)), 0
+    epochs = max(settings.epochs, -(-settings.steps // parts))
+    steps = epochs * parts
+    for _ in range(epochs):
+        for part in np.array_split(rng.permutation(train), parts):
             rate = settings.rate * (1 - step / steps)
             step += 1
             x = np.array([average(i) for i in part]).reshape(len(part), settings.width)
@@ -266,7 +272,7 @@ def fit(features: list[np.ndarray], labels: list[str], settings: Settings) -> Mo
         if len(right):
             # A margin below the score that the allowed share of correct predictions falls short of.
             floor = 1 / len(languages)
-            model.least = floor + 0.5 * max(0.0, float(right[int(len(right) * settings.lost)]) - floor)
+            model.least = floor + 0.25 * max(0.0, float(right[int(len(right) * settings.lost)]) - floor)
     return model
 
 
