@@ -211,112 +211,6 @@ def learn(docs: DataFrame, held_out: Column, settings: Settings = Settings()) ->
     return fit(features, table["lang"].to_pylist(), settings)
 
 
-def predict(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number of the language and probability, by row."""
-        p = softmax(self.logits(offsets, data) / self.temperature)
-        best = p.argmax(1)
-        return best, p[np.arange(len(p)), best]
-
-
-def softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
-
-
-def fit(features: list[np.ndarray], labels: list[str], settings: Settings) -> Model | None:
-    """Train on rows of (bucket, count) pairs, then calibrate on those held back."""
-    languages = sorted(set(labels))
-    if not languages:
-        return None
-    rng = np.random.default_rng(settings.seed)
-    y = np.array([languages.index(x) for x in labels])
-    order = rng.permutation(len(y))
-    held = order[: int(len(y) * settings.calibrate)]
-    train = order[len(held) :]
-    embeddings = rng.normal(0, 0.1, (settings.buckets, settings.width))
-    layer = np.zeros((settings.width, len(languages)))
-    bias = np.zeros(len(languages))
-    shares = [(b, (c / max(c.sum(), 1)).astype(np.float32)) for b, c in features]
-
-    def average(i: int) -> np.ndarray:
-        b, s = shares[i]
-        return s @ embeddings[b]
-
-    parts, step = max(1, -(-len(train) // settings.batch)), 0
-    epochs = max(settings.epochs, -(-settings.steps // parts))
-    steps = epochs * parts
-    for _ in range(epochs):
-        for part in np.array_split(rng.permutation(train), parts):
-            rate = settings.rate * (1 - step / steps)
-            step += 1
-            x = np.array([average(i) for i in part]).reshape(len(part), settings.width)
-            error = softmax(x @ layer + bias)
-            error[np.arange(len(part)), y[part]] -= 1
-            back = error @ layer.T
-            layer -= rate * (x.T @ error) / max(len(part), 1) * 10
-            bias -= rate * error.mean(0)
-            for i, g in zip(part, back):
-                b, s = shares[i]
-                embeddings[b] -= rate * 10 * s[:, None] * g
-    model = Model(languages, embeddings, layer, bias, 1.0, 0.0, settings)
-    if len(held):
-        raw = np.array([average(i) for i in held]) @ layer + bias
-
-        def loss(t: float) -> float:
-            p = softmax(raw / t)
-            return float(-np.log(np.maximum(p[np.arange(len(held)), y[held]], 1e-12)).mean())
-
-        model.temperature = min(np.geomspace(0.05, 20, 61), key=loss)
-        p = softmax(raw / model.temperature)
-        right = np.sort(p.max(1)[p.argmax(1) == y[held]])
-        if len(right):
-            # A margin below the score that the allowed share of correct predictions falls short of.
-            floor = 1 / len(languages)
-            model.least = floor + 0.25 * max(0.0, float(right[int(len(right) * settings.lost)]) - floor)
-    return model
-
-
-def remainder(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))
-
-
-def learn(docs: DataFrame, held_out: Column, settings: Settings = Settings()) -> Model | None:
-    """Train on the rows of ``doc_id``, ``text`` and ``lang`` that are not held out.
-
-    The sample is the rows with the smallest hashes of their id. Their subword counts, not their
-    texts, go to the driver: at most ``sample`` rows of at most ``buckets`` pairs.
-    """
-    known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
-    key = F.xxhash64(F.col("doc_id"), F.lit(settings.seed))
-    smallest = known.select(key.alias("key")).orderBy("key").limit(settings.sample)
-    last = smallest.agg(F.max("key")).first()[0]
-    if last is None:
-        return None
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            offsets, data = utf8(batch.column(2))
-            pairs = []
-            for a, b in slices(offsets):
-                rows, buckets = subwords(offsets[a : b + 1], data, settings)
-                cells, n = np.unique(rows * settings.buckets + buckets, return_counts=True)
-                ends = np.searchsorted(cells, np.arange(1, b - a + 1) * settings.buckets)
-                for i, j in zip([0, *ends[:-1]], ends):
-                    pairs.append(((cells[i:j] % settings.buckets).astype(np.int32), n[i:j].astype(np.int32)))
-            ids = pa.array([p[0] for p in pairs], pa.list_(pa.int32()))
-            counts = pa.array([p[1] for p in pairs], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids, counts], names=["key", "lang", "buckets", "counts"])
-
-    chosen = known.select(key.alias("key"), F.col("lang").cast("string"), F.col("text").cast("string")).filter(F.col("key") <= last)
-    counted = chosen.mapInArrow(count, "key long, lang string, buckets array<int>, counts array<int>")
-    table = counted.orderBy("key", "lang", "buckets", "counts").limit(settings.sample).toArrow()
-    features = [
-        (np.array(b, np.int64), np.array(c, np.float64))
-        for b, c in zip(table["buckets"].to_pylist(), table["counts"].to_pylist())
-    ]
-    return fit(features, table["lang"].to_pylist(), settings)
-
-
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """The frame with ``lang_pred``, ``score`` and ``rejected`` behind its own columns.
 
