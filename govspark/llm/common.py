@@ -19,7 +19,7 @@ WORD = r"[^ \t-\r]"
 #: Rows of an Arrow batch; texts can be long, so fewer than Spark's default.
 ARROW_ROWS = "500"
 #: Bytes of text that one vectorised step works on (one text at least).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def prepare(spark: SparkSession) -> SparkSession:

@@ -33,6 +33,8 @@ from govspark.llm.common import slices, utf8
 
 LETTER, NUMBER, WHITE, OTHER = range(4)
 UNKNOWN, START = 0, 1
+#: Bytes of text whose chunks run side by side.
+TOGETHER = 1 << 20
 #: Cells of 4 bytes after which the table is thrown away, rows that it grows by, and bytes of a chunk.
 MOST_CELLS = 48_000_000
 ROWS = 32_768
@@ -274,7 +276,7 @@ def token_counts(docs: DataFrame, path: str, limit: int) -> DataFrame:
         machine = transducer(path)
         for batch in batches:
             offsets, data = utf8(batch.column(1))
-            counts = [machine.counts(offsets[a : b + 1], data) for a, b in slices(offsets)]
+            counts = [machine.counts(offsets[a : b + 1], data) for a, b in slices(offsets, TOGETHER)]
             tokens = pa.array(np.concatenate([np.zeros(0, np.int64), *counts]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.diff(offsets)), tokens, pc.greater(tokens, limit)],
