@@ -38,6 +38,22 @@ def join_library(log: DataFrame, library: DataFrame, preset_id: str = "preset_id
     return log.join(library.withColumnRenamed("id", preset_id), preset_id, "left")
 
 
+def match_library(log: DataFrame, library: DataFrame, prompt: str = "text") -> DataFrame:
+    """A prompt log with the library entry that has the same text, as ``preset_id`` and its columns.
+
+    Texts are the same when they agree after trimming and in lower case. Free prompts stay, with
+    nulls. Where several entries share a text, the one with the smallest id counts, so no prompt
+    is doubled. Columns of the entry replace columns of the log with the same names. The library
+    is a fixed list of ten rows, which Spark broadcasts by its known size.
+    """
+    facts = [c for c in library.columns if c not in ("id", "prompt_text")]
+    entry = F.struct(F.col("id").alias("preset_id"), *[F.col(c) for c in facts])
+    entries = library.groupBy(F.lower(text.strip(F.col("prompt_text"))).alias("_text")).agg(F.min(entry).alias("_entry"))
+    same = F.lower(text.strip(F.col(prompt))) == F.col("_text")
+    own = [c for c in log.columns if c not in ("preset_id", *facts)]
+    return log.join(entries, same, "left").select(*own, "_entry.*")
+
+
 def quality_checks(library: DataFrame) -> DataFrame:
     """Rows and violations of a prompt library of any size, as one row.
 

@@ -55,7 +55,7 @@ def pie_insight(value_column: Column) -> Column:
         leader_label(), F.lit(" leads with "), whole_number(percent), F.lit("% of total "), value_column, F.lit(".")
     )
     return F.when(F.col("total") > 0, share).otherwise(
-        F.concat(F.col("leader.label"), F.lit(" has the highest "), value_column, F.lit("."))
+        F.concat(leader_label(), F.lit(" has the highest "), value_column, F.lit("."))
     )
 
 

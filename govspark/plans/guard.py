@@ -12,7 +12,7 @@ from govspark.operators.joins import lookup_join
 from govspark.plans.access import SQL_VISIBLE, role_policies
 from govspark.plans.base import (
     SQL_GOLD, SQL_PROMPT_LOG, SQL_REFERENCE, Tables, plain, prompt_log, query, sql_first, sql_finding_count,
-    sql_prepared, sql_profile, sql_redact, sql_sanitize, sql_strip_keywords, sql_strip_script, sql_strip_shell, sql_types,
+    sql_list, sql_prepared, sql_profile, sql_redact, sql_sanitize, sql_strip_keywords, sql_strip_script, sql_strip_shell, sql_types,
 )
 from govspark.plans.detection import document_scans
 from govspark.sources.gold import GOLD
@@ -397,6 +397,33 @@ def prompt_library(t: Tables):
     )
 
 
+_ASKED = [p[4] for p in rules.PROMPT_LIBRARY]
+
+
+@query(
+    "l2_prompt_by_text",
+    f"""WITH log AS (SELECT CASE WHEN (conv_id + turn) % 3 = 0
+    THEN '  ' || upper({sql_list(_ASKED)}[(conv_id * 7 + turn) % 10 + 1]) || chr(10) ELSE text END AS text FROM conversations),
+lib AS (SELECT unnest({sql_list(p[0] for p in rules.PROMPT_LIBRARY)}) AS id, unnest({sql_list(p[1] for p in rules.PROMPT_LIBRARY)}) AS label,
+  unnest({sql_list(_ASKED)}) AS prompt_text, unnest({[p[5] for p in rules.PROMPT_LIBRARY]}) AS is_analytics)
+SELECT id AS preset_id, label, is_analytics, count(*) AS prompts
+FROM log LEFT JOIN lib ON trim(lower(text), ' ' || chr(10)) = trim(lower(prompt_text)) GROUP BY 1, 2, 3""",
+)
+def prompt_by_text(t: Tables):
+    """Every third turn asks a library prompt in capitals with blanks around; the others are free."""
+    number = ((F.col("conv_id") * 7 + F.col("turn")) % 10 + 1).cast("int")
+    asked = F.element_at(F.array(*[F.lit(p) for p in _ASKED]), number)
+    shouted = F.concat(F.lit("  "), F.upper(asked), F.lit("\n"))
+    log = t("conversations").select(
+        F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, shouted).otherwise(F.col("text")).alias("text")
+    )
+    return (
+        library.match_library(log, library.prompt_library(t.spark))
+        .groupBy("preset_id", "label", "is_analytics")
+        .agg(F.count(F.lit(1)).alias("prompts"))
+    )
+
+
 @query(
     "l3_library_quality",
     f"""WITH entries AS (

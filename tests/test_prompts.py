@@ -246,6 +246,20 @@ def test_log_joins_library(spark):
     assert joined == {"role_escalation": "role_escalation", "other": None}
 
 
+def test_log_joins_library_by_text(spark):
+    presets = library.prompt_library(spark)
+    row = presets.filter("id = 'role_escalation'").first()
+    twin = spark.createDataFrame([("a first id", "l", "d", "c", row["prompt_text"], False)], presets.schema)
+    log = spark.createDataFrame(
+        [(1, "\t " + row["prompt_text"].upper() + "\n", "x"), (2, "free", "x"), (3, None, "x"), (4, "", "x")], "n int, text string, label string"
+    )
+    joined = library.match_library(log, presets)
+    assert {r["n"]: r["preset_id"] for r in joined.collect()} == {1: "role_escalation", 2: None, 3: None, 4: None}
+    assert joined.columns.count("label") == 1 and joined.filter("n = 1").first()["label"] == row["label"]
+    doubled = library.match_library(log, presets.unionByName(twin))
+    assert doubled.count() == 4 and doubled.filter("n = 1").first()["preset_id"] == "a first id"
+
+
 def test_titles_and_data_kind(texts, values):
     cases = ["What are sales?", "  trend?? ", "", " ? ", "share of monthly sales", "a ? b", "x? ?"]
     df = prompts.with_intent(texts(cases))
