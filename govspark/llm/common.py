@@ -18,6 +18,8 @@ SPACE = r"[ \t-\r]"
 WORD = r"[^ \t-\r]"
 #: Rows of an Arrow batch; texts can be long, so fewer than Spark's default.
 ARROW_ROWS = "500"
+#: Bytes from which an Arrow batch is closed (one row at least), so long texts do not add up.
+ARROW_BYTES = str(4 << 20)
 #: Bytes of text that one vectorised step works on (one text at least).
 SLICE_BYTES = 1 << 18
 
@@ -29,6 +31,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """
     tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     root = os.path.dirname(os.path.dirname(os.path.abspath(govspark.__file__)))
     environment = spark.sparkContext.environment
     if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
