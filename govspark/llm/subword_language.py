@@ -3,13 +3,20 @@
 A text is the average of the embeddings of its subwords: overlapping runs of bytes of its words,
 hashed into a fixed number of buckets. A linear layer and a softmax give the probabilities. Both
 are trained by stochastic gradient descent in numpy on a bounded sample of labelled rows. Part of
-the sample is held back to calibrate: a temperature makes the probabilities match the hits, and
-the score below which a prediction is rejected is set so that at most a given share of correct
-predictions is lost.
+the sample is held back to calibrate, together with noise made of its rows: shuffled bytes, bytes
+of other scripts, hexadecimal digits. A temperature makes the probabilities match the hits and
+leaves noise undecided. A softmax cannot tell a text of none of the languages, so a text has a
+familiarity besides: the mean log likelihood of its subwords in the predicted language over that
+of all buckets alike. A prediction is rejected if its probability or its familiarity is below a
+border. That of the probability lies midway between chance and the correct predictions; that of
+the familiarity, by language, midway between noise and the rows of all other languages on one
+side and the correct predictions on the other. Where these overlap, the border is set so that a
+given share of the correct predictions is lost.
 
 Only the text is read for a prediction. A null text and a text without a letter are ``und`` with
-score 0 and count as rejected. Rows with a null id are not held out and not learned from, rows
-with a null language are not learned from. If nothing can be learned, every text is ``und``.
+score 0 and count as rejected; a text of one letter alone has no subword and is rejected. Rows
+with a null id are not held out and not learned from, rows with a null language are not learned
+from. If nothing can be learned, every text is ``und``.
 Ties go to the language that comes first in order. Repeated rows get the same prediction; further
 columns are ignored by ``predict`` and kept by ``accepted``.
 """
@@ -17,7 +24,7 @@ columns are ignored by ``predict`` and kept by ``accepted``.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +54,9 @@ class Settings:
     calibrate: float = 0.25
     #: Largest share of correct predictions that rejection may lose.
     lost: float = 0.0005
+    #: Bytes of a noise text at most, and the correct predictions that a language's own border needs.
+    noise: int = 1024
+    enough: int = 20
 
 
 def _letters() -> np.ndarray:
@@ -84,6 +94,22 @@ def subwords(offsets: np.ndarray, data: np.ndarray, settings: Settings) -> tuple
     return np.concatenate(rows), np.concatenate(buckets)
 
 
+def noise_of(data: np.ndarray, key: int, settings: Settings) -> np.ndarray:
+    """What a text's bytes become as noise, by its key: shuffled, other scripts, or hex digits."""
+    data, rng = data[: settings.noise], np.random.default_rng(key & 0x7FFFFFFFFFFFFFFF)
+    if key % 3 == 0:
+        return rng.permutation(data)
+    if key % 3 == 1:
+        return np.where(LETTERS[data] == 32, 32, rng.integers(128, 256, len(data))).astype(np.uint8)
+    return np.frombuffer(b"0123456789abcdef", np.uint8)[rng.integers(0, 16, len(data))]
+
+
+def border(right: np.ndarray, wrong: np.ndarray, lost: float) -> float:
+    """Midway between nearly all of ``wrong`` and ``right``, or where the share ``lost`` of ``right`` is below."""
+    low = float(np.quantile(right, lost))
+    return low - max(0.0, low - float(np.quantile(wrong, 0.99))) / 2 if len(wrong) else low
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -92,6 +118,9 @@ class Model:
     bias: np.ndarray
     temperature: float
     least: float
+    #: Log likelihood ratio of each bucket in each language, and the least mean by language.
+    known: np.ndarray
+    least_known: np.ndarray
     settings: Settings
 
     def logits(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -109,14 +138,45 @@ class Model:
         best = p.argmax(1)
         return best, p[np.arange(len(p)), best]
 
+    def foreign(self, offsets: np.ndarray, data: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """Rows less familiar than texts of the predicted language are."""
+        rows, buckets = subwords(offsets, data, self.settings)
+        weight = (buckets != blank(self.settings)).astype(np.float64)
+        n = np.bincount(rows, weight, len(best))
+        sums = np.bincount(rows, weight * self.known[buckets, best[rows]], len(best))
+        return (n == 0) | (sums / np.maximum(n, 1) < self.least_known[best])
+
+
+def blank(settings: Settings) -> int:
+    """Bucket of two separators, which says nothing about a text."""
+    return int(subwords(np.array([0, 2]), np.full(2, 32, np.uint8), replace(settings, lengths=(2,)))[1][0])
+
+
+def likelihoods(features: list, y: np.ndarray, languages: int, settings: Settings) -> np.ndarray:
+    """Log likelihood of each bucket in each language, over that of all buckets alike."""
+    seen = np.full((settings.buckets, languages), 0.5)
+    for (b, c), k in zip(features, y):
+        seen[b, k] += c
+    seen[blank(settings)] = 0.5
+    return np.log(seen * settings.buckets / seen.sum(0)).astype(np.float32)
+
+
+def familiarity(features: list, known: np.ndarray, settings: Settings) -> np.ndarray:
+    """Mean log likelihood of the subwords of each row in each language."""
+    skip, out = blank(settings), np.zeros((len(features), known.shape[1]))
+    for row, (b, c) in zip(out, features):
+        c = np.where(b == skip, 0, c)
+        row[:] = c @ known[b] / max(c.sum(), 1)
+    return out
+
 
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
 
 
-def fit(features: list[np.ndarray], labels: list[str], settings: Settings) -> Model | None:
-    """Train on rows of (bucket, count) pairs, then calibrate on those held back."""
+def fit(features: list, labels: list[str], settings: Settings, noise: list = ()) -> Model | None:
+    """Train on rows of (bucket, count) pairs, then calibrate on those held back and on noise."""
     languages = sorted(set(labels))
     if not languages:
         return None
@@ -150,24 +210,42 @@ def fit(features: list[np.ndarray], labels: list[str], settings: Settings) -> Mo
             for i, g in zip(part, back):
                 b, s = shares[i]
                 embeddings[b] -= rate * 10 * s[:, None] * g
-    model = Model(languages, embeddings, layer, bias, 1.0, 0.0, settings)
+    known = likelihoods([features[i] for i in train], y[train], len(languages), settings)
+    # As likely as in all buckets alike: the least where too few rows are held back to tell.
+    model = Model(languages, embeddings, layer, bias, 1.0, 0.0, known, np.zeros(len(languages)), settings)
     if len(held):
         raw = np.array([average(i) for i in held]) @ layer + bias
+        other = np.array([(c / max(c.sum(), 1)) @ embeddings[b] for b, c in noise]).reshape(len(noise), -1)
+        other = other @ layer + bias if len(noise) else np.zeros((0, len(languages)))
 
         def loss(t: float) -> float:
-            p = softmax(raw / t)
-            return float(-np.log(np.maximum(p[np.arange(len(held)), y[held]], 1e-12)).mean())
+            p = np.maximum(softmax(raw / t)[np.arange(len(held)), y[held]], 1e-12)
+            # Noise belongs to each language alike, which keeps the temperature from sharpening to the end.
+            q = np.maximum(softmax(other / t), 1e-12)
+            return float(-np.log(p).mean() - (np.log(q).mean() if len(q) else 0.0))
 
         model.temperature = min(np.geomspace(0.05, 20, 61), key=loss)
         p = softmax(raw / model.temperature)
-        right = np.sort(p.max(1)[p.argmax(1) == y[held]])
-        if len(right):
-            # A margin below the score that the allowed share of correct predictions falls short of.
-            floor = 1 / len(languages)
-            model.least = floor + 0.25 * max(0.0, float(right[int(len(right) * settings.lost)]) - floor)
+        hit = p.argmax(1) == y[held]
+        if hit.any():
+            model.least = border(p.max(1)[hit], np.full(1, 1 / len(languages)), settings.lost)
+            near, far = (familiarity(f, known, settings) for f in ([features[i] for i in held], list(noise)))
+            for k in range(len(languages)):
+                right = near[hit & (y[held] == k), k]
+                if len(right) >= settings.enough:
+                    wrong = np.concatenate([near[y[held] != k, k], far[:, k]])
+                    model.least_known[k] = border(right, wrong, settings.lost)
     return model
 
 
+def counted_subwords(offsets: np.ndarray, data: np.ndarray, settings: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct buckets of each text with their counts."""
+    rows, buckets = subwords(offsets, data, settings)
+    cells, n = np.unique(rows * settings.buckets + buckets, return_counts=True)
+    ends = np.searchsorted(cells, np.arange(1, len(offsets)) * settings.buckets)
+    return [((cells[i:j] % settings.buckets).astype(np.int32), n[i:j].astype(np.int32)) for i, j in zip([0, *ends[:-1]], ends)]
+
+
 def remainder(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))
 
@@ -176,7 +254,8 @@ def learn(docs: DataFrame, held_out: Column, settings: Settings = Settings()) ->
     """Train on the rows of ``doc_id``, ``text`` and ``lang`` that are not held out.
 
     The sample is the rows with the smallest hashes of their id. Their subword counts, not their
-    texts, go to the driver: at most ``sample`` rows of at most ``buckets`` pairs.
+    texts, go to the driver: at most ``sample`` rows of at most ``buckets`` pairs. Some of them
+    bring the counts of a short noise text along.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
     key = F.xxhash64(F.col("doc_id"), F.lit(settings.seed))
@@ -185,30 +264,34 @@ def learn(docs: DataFrame, held_out: Column, settings: Settings = Settings()) ->
     if last is None:
         return None
 
+    names = ["key", "lang", "buckets", "counts", "noise_buckets", "noise_counts"]
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = utf8(batch.column(2))
-            pairs = []
-            for a, b in slices(offsets):
-                rows, buckets = subwords(offsets[a : b + 1], data, settings)
-                cells, n = np.unique(rows * settings.buckets + buckets, return_counts=True)
-                ends = np.searchsorted(cells, np.arange(1, b - a + 1) * settings.buckets)
-                for i, j in zip([0, *ends[:-1]], ends):
-                    pairs.append(((cells[i:j] % settings.buckets).astype(np.int32), n[i:j].astype(np.int32)))
-            ids = pa.array([p[0] for p in pairs], pa.list_(pa.int32()))
-            counts = pa.array([p[1] for p in pairs], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids, counts], names=["key", "lang", "buckets", "counts"])
+            pairs = [p for a, b in slices(offsets) for p in counted_subwords(offsets[a : b + 1], data, settings)]
+            noise = []
+            for key, i, j in zip(batch.column(0).to_pylist(), offsets, offsets[1:]):
+                # Another part of the key than the one that picks the kind.
+                some = i < j and key // 3 % 4 == 0
+                made = noise_of(data[i:j], key, settings) if some else data[:0]
+                noise += counted_subwords(np.array([0, len(made)]), made, settings)
+            columns = [pa.array([p[k] for p in x], pa.list_(pa.int32())) for x in (pairs, noise) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=names)
 
     chosen = known.select(key.alias("key"), F.col("lang").cast("string"), F.col("text").cast("string")).filter(F.col("key") <= last)
-    counted = chosen.mapInArrow(count, "key long, lang string, buckets array<int>, counts array<int>")
+    lists = ", ".join(f"{x} array<int>" for x in names[2:])
+    counted = chosen.mapInArrow(count, "key long, lang string, " + lists)
     table = counted.orderBy("key", "lang", "buckets", "counts").limit(settings.sample).toArrow().combine_chunks()
     if not table.num_rows:
         return None
-    buckets, counts = (table[c].chunk(0) for c in ("buckets", "counts"))
-    ends = buckets.offsets.to_numpy()
-    b, c = buckets.values.to_numpy(), counts.values.to_numpy()
-    features = [(b[i:j], c[i:j]) for i, j in zip(ends, ends[1:])]
-    return fit(features, table["lang"].to_pylist(), settings)
+
+    def features(buckets: pa.ListArray, counts: pa.ListArray) -> list[tuple[np.ndarray, np.ndarray]]:
+        ends, b, c = buckets.offsets.to_numpy(), buckets.values.to_numpy(), counts.values.to_numpy()
+        return [(b[i:j], c[i:j]) for i, j in zip(ends, ends[1:])]
+
+    rows, noise = (features(table[b].chunk(0), table[c].chunk(0)) for b, c in (names[2:4], names[4:]))
+    return fit(rows, table["lang"].to_pylist(), settings, [x for x in noise if len(x[0])])
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -226,15 +309,16 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
         for batch in batches:
             offsets, data = utf8(batch.column(at))
             spoken = np.array([bool(x) and bool(HAS_LETTER.search(x)) for x in batch.column(at).to_pylist()], bool)
-            best, score = np.zeros(len(spoken), np.int64), np.zeros(len(spoken))
+            best, score, strange = np.zeros(len(spoken), np.int64), np.zeros(len(spoken)), np.zeros(len(spoken), bool)
             if model is None:
                 spoken[:] = False
             else:
                 for a, b in slices(offsets):
                     best[a:b], score[a:b] = model.predict(offsets[a : b + 1], data)
+                    strange[a:b] = model.foreign(offsets[a : b + 1], data, best[a:b])
             names = [model.languages[k] if s else UND for k, s in zip(best.tolist(), spoken.tolist())]
             score = np.where(spoken, score, 0.0)
-            rejected = ~spoken | (score < (model.least if model else 0.0))
+            rejected = ~spoken | strange | (score < (model.least if model else 0.0))
             columns = [*batch.columns, pa.array(names, pa.string()), pa.array(score), pa.array(rejected)]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in (*own, *new)])
 

@@ -193,6 +193,22 @@ def test_languages_on_held_out_documents(ready, folder):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_texts_of_no_learned_language_are_rejected(ready, folder):
+    rng = random.Random(8)
+    docs = ready.read.parquet(folder.replace("sf0.001", "sf0.01") + "/documents.parquet").filter("lang <> 'de'")
+    held = subword_language.remainder(budgets.F.col("doc_id")) == 2
+    model = subword_language.learn(docs, held)
+    cyrillic = "абвгдежзийклмнопрстуфхцчшщъыьэюя "
+    foreign = [(k, "".join(rng.choice(cyrillic) for _ in range(400))) for k in range(20)]
+    foreign += [(100 + k, "".join(chr(rng.randint(0x4E00, 0x9F00)) for _ in range(200))) for k in range(20)]
+    foreign += [(200 + k, rng.randbytes(300).hex()) for k in range(20)]
+    german = docs.sparkSession.read.parquet(folder.replace("sf0.001", "sf0.01") + "/documents.parquet").filter("lang = 'de' AND n_chars > 200")
+    made = ready.createDataFrame(foreign, "doc_id long, text string").union(german.select("doc_id", "text"))
+    assert subword_language.accepted(made, model).count() == 0
+    own = docs.filter(held)
+    assert subword_language.accepted(own, model).count() >= 0.99 * own.count()
+
+
 def test_language_of_odd_rows(frame, odd):
     docs = frame(odd + [(50, "123 !!"), (51, "the one")]).drop("n_words").withColumn("score", budgets.F.lit("mine"))
     rows = subword_language.predict(docs, None).collect()
