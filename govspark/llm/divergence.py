@@ -5,6 +5,10 @@ common words of the languages. The references are the same histograms of all doc
 language. A document's distance is the Jensen-Shannon distance (base 2, 0 to 1) to the reference
 that is nearest. Texts shorter than the guards are not judged by that histogram.
 
+A text with fewer common words than the guard asks for has the rest in a bin of other words, which
+no reference has: without any common word it has the largest distance. It is judged if it is so
+long that a text of any of the languages would have as many common words as the guard asks for.
+
 All of it is native expressions. Null and empty texts have no words and fail the base rules.
 Documents with a null language, or with one outside ``languages``, shape no reference and are
 judged like the others. If no language has a reference, nothing is judged by it. Each row, a
@@ -37,7 +41,7 @@ class Rules:
     #: Distances above these fail.
     most_class_distance: float = 0.45
     most_word_distance: float = 0.85
-    #: Texts with fewer characters, or fewer common words, are not judged.
+    #: Texts with fewer characters, or too short for so many common words, are not judged.
     least_chars: int = 200
     least_common: int = 20
     least_words: int = 20
@@ -129,9 +133,12 @@ def class_distance(reference: list[float]) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), square))
 
 
-def shares_of(used: Column) -> Column:
-    """Each common word of a text with its share, from all of its common words one by one."""
-    n = F.size(used)
+def shares_of(used: Column, least: int) -> Column:
+    """Each common word of a text with its share, from all of its common words one by one.
+
+    What a text has less than ``least`` counts as other words, which are not listed.
+    """
+    n, whole = F.size(used), F.greatest(F.size(used), F.lit(least))
 
     def shares(ordered: Column) -> Column:
         firsts = F.filter(
@@ -142,26 +149,27 @@ def shares_of(used: Column) -> Column:
             lambda at: F.transform(
                 at,
                 lambda i, k: F.struct(
-                    F.get(ordered, i).alias("word"), ((F.coalesce(F.get(at, k + 1), n) - i) / n).alias("p")
+                    F.get(ordered, i).alias("word"), ((F.coalesce(F.get(at, k + 1), n) - i) / whole).alias("p")
                 ),
             ),
         )
 
-    return F.when(n > 0, bind(F.sort_array(used), shares))
+    return F.when(n > 0, bind(F.sort_array(used), shares)).otherwise(F.array().cast("array<struct<word:string,p:double>>"))
 
 
 def word_distance(shares: Column, reference: dict[str, float]) -> Column:
     """Jensen-Shannon distance of a text's common words from a reference.
 
-    What the text lacks of the reference adds half of its share, so only the words of the text
-    have to be looked up.
+    What the text lacks of the reference adds half of its share, and so do its other words; only
+    the common words of the text have to be looked up.
     """
     listed = F.create_map(*[F.lit(x) for pair in reference.items() for x in pair])
     pairs = F.transform(
         shares, lambda s: F.struct(s["p"].alias("p"), F.coalesce(F.element_at(listed, s["word"]), F.lit(0.0)).alias("q"))
     )
     square = F.transform(pairs, lambda s: half_term(s["p"], s["q"]) + half_term(s["q"], s["p"]) - s["q"] / 2)
-    return F.sqrt(F.greatest(F.lit(0.0), total(square) + 0.5))
+    other = 1 - total(F.transform(shares, lambda s: s["p"]))
+    return F.sqrt(F.greatest(F.lit(0.0), total(square) + 0.5 + other / 2))
 
 
 def word_references(docs: DataFrame, rules: Rules) -> dict[str, dict[str, float]]:
@@ -187,6 +195,13 @@ def class_references(base: DataFrame, rules: Rules) -> list[list[float]]:
     return [[row[c] / row["n"] for c in names] for row in rows.orderBy("lang").collect()]  # one row per language
 
 
+def length_guard(base: DataFrame, rules: Rules) -> Column:
+    """Words from which a text of any of the languages would have the least number of common words."""
+    sums = base.filter(F.col("lang").isin(*rules.languages)).groupBy("lang").agg(F.sum("n_common").alias("c"), F.sum("n_words").alias("n"))
+    least = sums.filter("c > 0").agg(F.min(F.col("c") / F.col("n"))).first()[0]
+    return F.lit(rules.least_common / least if least else None).cast("double")
+
+
 def nearest(distances: list[Column]) -> Column:
     return F.least(*distances) if len(distances) > 1 else distances[0] if distances else F.lit(None).cast("double")
 
@@ -197,12 +212,14 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     common = sorted({w for found in lists.values() for w in found})
     used = F.filter("w", lambda w: w.isin(*common)) if common else F.array().cast("array<string>")
     rows = base_columns(docs, rules).withColumn("used", used).drop("w")
-    rows = rows.withColumns({"n_common": F.size("used").cast("long"), "shares": shares_of(F.col("used"))}).drop("used")
+    rows = rows.withColumns({"n_common": F.size("used").cast("long"), "shares": shares_of(F.col("used"), rules.least_common)}).drop("used")
     rows = rows.withColumn("word_distance", nearest([word_distance(F.col("shares"), q) for q in lists.values()]))
     base = materialise(rows.drop("shares"), "divergence")
     rows = base.withColumn("class_distance", nearest([class_distance(q) for q in class_references(base, rules)]))
     far = (F.col("n_chars") >= rules.least_chars) & (F.col("class_distance") > rules.most_class_distance)
-    strange = (F.col("n_common") >= rules.least_common) & (F.col("word_distance") > rules.most_word_distance)
+    long = F.coalesce(F.col("n_words") >= length_guard(base, rules), F.lit(False))
+    judged = long | (F.col("n_common") >= rules.least_common)
+    strange = judged & (F.col("word_distance") > rules.most_word_distance)
     failed = F.coalesce(far, F.lit(False)) | F.coalesce(strange, F.lit(False))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

@@ -178,6 +178,19 @@ def test_quality_counts_and_verdict(frame, odd):
     assert not strange["kept"] and not strange["base_failed"]
 
 
+def test_long_texts_without_common_words_fail(ready, folder):
+    rng = random.Random(4)
+    made = [(k, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 9))) for _ in range(2000))) for k in range(3)]
+    made += [(9, " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(25)))]
+    docs = ready.read.parquet(f"{folder}/documents.parquet").filter("doc_id > 20")
+    rows = docs.select("doc_id", "text", "lang").union(ready.createDataFrame([(i, t, "en") for i, t in made], "doc_id long, text string, lang string"))
+    got = {r["doc_id"]: r for r in divergence.judge(rows).filter("doc_id < 10").collect()}
+    for i, _ in made[:3]:
+        assert not got[i]["base_failed"] and not got[i]["kept"] and got[i]["word_distance"] > 0.95
+    # Too short to tell.
+    assert got[9]["kept"]
+
+
 def test_quality_is_native(frame):
     plan = divergence.judge(frame([(1, "a b c")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
