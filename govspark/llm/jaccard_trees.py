@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from govspark.llm.common import materialise, slices, utf8
+from govspark.llm.common import WORD, materialise, slices, utf8
 from govspark.llm.components import components
 from govspark.llm.rolling import Ranges, bit, bitmap, contains, mixed
 
@@ -270,8 +270,8 @@ def bucket_pairs(members: DataFrame, s: Settings) -> DataFrame:
     return ordered.mapInPandas(run, "a long, b long").distinct()
 
 
-def joined(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Id, size of the set and component of each document."""
+def grouped_rows(docs: DataFrame, s: Settings) -> DataFrame:
+    """Row key, id, size of the set and group of each document; no group without words."""
     about = materialise(described(docs, common_tokens(docs, s), s), "jaccard-docs")
     meet = about.filter("n > 0").select(F.explode("first").alias("token"), "key")
     buckets = meet.groupBy("token").agg(F.min("key").alias("centre"), F.max("key").alias("top")).filter("centre != top").drop("top")
@@ -298,7 +298,12 @@ def joined(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     more = linked(docs, classes, found, s)
     comps = components(links.union(more), "jaccard-last").withColumnRenamed("node", "key")
     group = F.coalesce(F.col("component"), F.col("key"))
-    grouped = about.select("doc_id", "n", "key").join(comps, "key", "left").select("doc_id", "n", group.alias("group"))
+    return about.select("row", "doc_id", "n", "key").join(comps, "key", "left").select("row", "doc_id", "n", group.alias("group"))
+
+
+def joined(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """Id, size of the set and component of each document."""
+    grouped = grouped_rows(docs, s)
     least = grouped.filter("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("least"))
     return grouped.join(least, "group", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
@@ -337,11 +342,15 @@ def likely(pairs: DataFrame, signs: DataFrame, s: Settings) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The documents with the smallest id of their component; equal rows of it count once.
+    """One row of each component: that with the smallest id, null last, then the smallest hash.
 
-    Documents without words are linked with nothing and stay.
+    Equal rows, which have one hash of id and text, count once. Documents without words are linked
+    with nothing and stay, repeated ones too.
     """
-    groups = joined(docs, s).select(F.col("doc_id").alias("__id"), F.col("component_id").alias("__group")).distinct()
-    firsts = groups.filter(F.col("__id").eqNullSafe(F.col("__group"))).select("__id")
-    kept = docs.join(firsts, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"]
+    firsts = grouped_rows(docs, s).filter("group IS NOT NULL").groupBy("group").agg(first.alias("__row")).select("__row")
+    spoken = F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False))
+    rows = docs.filter(spoken).withColumn("__row", F.xxhash64("doc_id", "text"))
+    kept = rows.join(firsts, "__row", "left_semi").dropDuplicates(["__row"])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return kept.select(*columns).union(docs.filter(~spoken).select(*columns))

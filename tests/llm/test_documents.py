@@ -67,6 +67,21 @@ def test_one_of_each_group_stays(frame):
     assert kept == sorted([i for i, _, g in groups if i is not None and i == g])
 
 
+def test_one_row_of_repeated_and_null_rows_stays(frame):
+    rng = random.Random(6)
+    a, b, c, d = (" ".join(f"w{rng.randrange(10_000)}" for _ in range(150)) for _ in range(4))
+    # Twice the same row; an id with two texts, one of them a copy of a smaller id's; null ids.
+    rows = [(1, a), (1, a), (2, b), (2, a), (None, c), (None, c + " end"), (None, d), (7, d), (8, ""), (8, "")]
+    docs = frame(rows + rows)
+    kept = jaccard_trees.one_of_each(docs)
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    null = [k for k in got if k[0] is None]
+    assert len(null) == 1 and null[0][1] in (c, c + " end")
+    assert got == Counter({(1, a): 1, (2, b): 1, (7, d): 1, (8, ""): 4, null[0]: 1})
+    left = {r["text"] for r in suffix_dedup.without_repeats(kept).collect()}
+    assert {a, b, d} <= left
+
+
 def plain_removal(rows, length):
     places = Counter()
     for _, text in rows:
