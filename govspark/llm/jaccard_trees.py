@@ -151,7 +151,7 @@ def described(docs: DataFrame, common: np.ndarray, s: Settings) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
-    """Class and whole set of the listed rows, of rows equal to them, and of a few others."""
+    """Class and whole set of the listed rows and of a few others, each class once."""
     bits = bitmap(rows, "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +165,7 @@ def whole_sets(docs: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["key", "tokens"])
 
     chosen = docs.select(F.col("text").cast("string"), bit(F.xxhash64("doc_id", "text")).alias("bit"))
-    return chosen.mapInArrow(run, "key long, tokens array<long>")
+    return chosen.mapInArrow(run, "key long, tokens array<long>").dropDuplicates(["key"])
 
 
 def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:

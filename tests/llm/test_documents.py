@@ -67,6 +67,13 @@ def test_one_of_each_group_stays(frame):
     assert kept == sorted([i for i, _, g in groups if i is not None and i == g])
 
 
+def test_sets_come_once_by_class(frame):
+    s = jaccard_trees.Settings()
+    docs = frame([(1, "one two three four five six")] * 5 + [(2, "other words " * 9), (2, "other words " * 9)])
+    rows = docs.select(budgets.F.xxhash64("doc_id", "text").alias("row"))
+    assert jaccard_trees.whole_sets(docs, rows, s).count() == 2
+
+
 def test_one_row_of_repeated_and_null_rows_stays(frame):
     rng = random.Random(6)
     a, b, c, d = (" ".join(f"w{rng.randrange(10_000)}" for _ in range(150)) for _ in range(4))
