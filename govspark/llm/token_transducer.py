@@ -9,8 +9,9 @@ many of them.
 
 Texts are cut into chunks of equal length that step through the table side by side. The map of a
 chunk from the state before it to the state behind it is constant from its first piece border on;
-only the bytes before that border depend on the state that comes in. Chunks are composed by
-handing known end states on to the next chunk's head, all chunks at once, until none is left.
+only the bytes before that border depend on the state that comes in. Known end states are handed
+on to the next chunk's head, all chunks that are ready at once, until none is left; maps are not
+composed, so a run of chunks without a border takes one round per chunk.
 
 Nulls and empty texts count 0. Texts are taken whole. Rows are independent of each other.
 """
