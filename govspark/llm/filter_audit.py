@@ -34,8 +34,8 @@ from govspark.llm.common import materialise, utf8
 LETTERS = "ABCDE"
 #: Bytes that filter D does not accept.
 MARKS = np.isin(np.arange(256), np.frombuffer(b"#$%&*|", np.uint8))
-#: Parts of the dictionary that are numbered side by side.
-BUCKETS = 1024
+#: Entries of shards' word lists in a bucket of the dictionary, on average.
+BUCKET_WORDS = 100_000
 
 
 @dataclass(frozen=True)
@@ -50,7 +50,7 @@ class Limits:
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shards whose columns are places among their own words."""
     number = shards.numbers()
-    for batch in batches:
+    for batch in shards.gathered(batches):
         offsets, data = utf8(batch.column("text"))
         counts, words = shards.split(offsets, data, shards.NOT_SPACE, shards.AS_IS)
         codes, distinct = shards.coded(words)
@@ -71,6 +71,7 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 pa.array([next(number)], pa.int64()),
                 shards.listed(distinct.cast(pa.string())),
+                pa.array([len(distinct)], pa.int64()),
                 pa.array([bounds.astype(np.int64).tobytes()], pa.binary()),
                 pa.array([steps.astype(np.int32).tobytes()], pa.binary()),
                 pa.array([times.astype(np.int32).tobytes()], pa.binary()),
@@ -79,7 +80,7 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 shards.listed(pa.array(points)),
                 shards.listed(pa.array(sums(MARKS) > 0)),
             ],
-            names=["shard", "words", "bounds", "steps", "times", "rows", "upper", "points", "marked"],
+            names=["shard", "words", "distinct", "bounds", "steps", "times", "rows", "upper", "points", "marked"],
         )
 
 
@@ -88,22 +89,21 @@ _UPPER = np.isin(np.arange(256), np.arange(65, 91))
 _LEADING = (np.arange(256) & 0xC0) != 0x80
 _ROW = "struct<doc_id:bigint,part:string,digest:binary>"
 _SHARD = (
-    f"shard long, words array<string>, bounds binary, steps binary, times binary, rows array<{_ROW}>,"
+    f"shard long, words array<string>, distinct long, bounds binary, steps binary, times binary, rows array<{_ROW}>,"
     "upper array<bigint>, points array<bigint>, marked array<boolean>"
 )
 
 
 def dictionary(local: DataFrame) -> DataFrame:
-    """(word, value): all distinct words numbered from 0 without gaps, by bucket and word."""
-    words = materialise(
-        shards.vocabulary(local).select("word").distinct().withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int")),
-        "words",
-    )
-    sizes = words.groupBy("bucket").agg(F.count("*").alias("n"))
-    upto = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows
-    starts = sizes.select("bucket", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("start"))
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("word"))
-    return words.withColumn("place", place).join(starts, "bucket").select("word", (F.col("start") + F.col("place") - 1).alias("value"))
+    """(shard, pos, value): the global number of each word of each shard, the same for equal words.
+
+    A bucket of words, picked by hash, numbers its words in their order, and numbers of buckets lie
+    apart. There are as many buckets as keep each small, so words meet in one shuffle.
+    """
+    buckets = local.agg(F.sum("distinct")).first()[0] or 0
+    words = shards.vocabulary(local).withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets // BUCKET_WORDS + 1)))
+    place = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word"))
+    return words.select("shard", "pos", (F.shiftleft("bucket", 32) + place - 1).alias("value"))
 
 
 def _global(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

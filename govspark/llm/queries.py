@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govspark.llm import block_topk, budgets, byte_bpe, divergence, filter_audit, jaccard_trees, level_tables, subword_language, suffix_dedup, token_orc, token_transducer, warc_zip
+from govspark.llm import block_topk, budgets, byte_bpe, context_mixing, divergence, filter_audit, jaccard_trees, level_tables, subword_language, suffix_dedup, token_orc, token_transducer, warc_zip
 from govspark.llm.common import materialise, prepare, table
 from govspark.session import scratch_dir
 
@@ -265,3 +265,9 @@ SELECT * FROM x WHERE part = 'pair' OR rank <= 10
 @query("op11_level_tables", DIVERGENCE_SQL)
 def source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return level_tables.audit(table(spark, folder, "documents"))
+
+
+@query("op12_context_mixing")
+def model_scores(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return context_mixing.score(table(spark, folder, "documents"), held_out)

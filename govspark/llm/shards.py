@@ -1,8 +1,8 @@
 """Texts as numbers: words split in whole batches, and shards with a dictionary of their own.
 
-A shard holds the documents of one Arrow batch: its distinct words once (``words``) and numbers
-that point at them. Only the distinct words of a shard are shuffled to meet a table of all words,
-never the words of the texts one by one.
+A shard holds some megabytes of documents: its distinct words once (``words``) and numbers that
+point at them. Only the distinct words of a shard are shuffled, once, to meet the same words of
+other shards, never the words of the texts one by one.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes of documents from which a shard is closed (one Arrow batch at least).
+SHARD_BYTES = 8 << 20
 _BYTES = np.arange(256)
 #: Bytes of a word: all but ``[\x20\x09-\x0D]``.
 NOT_SPACE = ~((_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13)))
@@ -59,7 +61,7 @@ def listed(column: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
 
 
-def gathered(batches: Iterator[pa.RecordBatch], limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterator[pa.RecordBatch], limit: int = SHARD_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches put together until they have ``limit`` bytes, so that their words are counted once."""
     held, size = [], 0
     for batch in batches:
@@ -85,12 +87,10 @@ def vocabulary(shards: DataFrame) -> DataFrame:
     return shards.select("shard", F.posexplode("words").alias("pos", "word"))
 
 
-def attach(shards: DataFrame, table: DataFrame, missing: int = 0) -> DataFrame:
-    """Shards with ``values``: for each of their words the value that ``table`` (word, value) has.
+def attach(shards: DataFrame, values: DataFrame) -> DataFrame:
+    """Shards with ``values``: the value of each of their words, from (shard, pos, value).
 
-    ``table`` has a word once. Words it lacks get ``missing``; a shard without words gets null.
+    A shard without words gets null.
     """
-    value = F.coalesce("value", F.lit(missing)).cast("long").alias("value")
-    met = vocabulary(shards).join(table, "word", "left").select("shard", "pos", value)
-    lists = met.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("pos", "value")))["value"].alias("values"))
+    lists = values.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("pos", "value")))["value"].alias("values"))
     return shards.join(lists, "shard", "left")
