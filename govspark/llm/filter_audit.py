@@ -25,6 +25,7 @@ from math import factorial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +35,6 @@ from govspark.llm.common import materialise, utf8
 LETTERS = "ABCDE"
 #: Bytes that filter D does not accept.
 MARKS = np.isin(np.arange(256), np.frombuffer(b"#$%&*|", np.uint8))
-#: Entries of shards' word lists in a bucket of the dictionary, on average.
-BUCKET_WORDS = 100_000
 
 
 @dataclass(frozen=True)
@@ -53,7 +52,7 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in shards.gathered(batches):
         offsets, data = utf8(batch.column("text"))
         counts, words = shards.split(offsets, data, shards.NOT_SPACE, shards.AS_IS)
-        codes, distinct = shards.coded(words)
+        codes, distinct = shards.by_hash(*shards.coded(words))
         rows = np.repeat(np.arange(len(counts)), counts)
         cells, times = np.unique(rows * max(1, len(distinct)) + codes, return_counts=True)
         row, column = np.divmod(cells, max(1, len(distinct)))
@@ -70,11 +69,11 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([next(number)], pa.int64()),
-                shards.listed(distinct.cast(pa.string())),
+                pa.array([shards.packed_words(distinct)], pa.binary()),
                 pa.array([len(distinct)], pa.int64()),
-                pa.array([bounds.astype(np.int64).tobytes()], pa.binary()),
-                pa.array([steps.astype(np.int32).tobytes()], pa.binary()),
-                pa.array([times.astype(np.int32).tobytes()], pa.binary()),
+                pa.array([shards.packed(bounds.astype(np.int64))], pa.binary()),
+                pa.array([shards.packed(steps.astype(np.int32))], pa.binary()),
+                pa.array([shards.packed(times.astype(np.int32))], pa.binary()),
                 shards.listed(batch.column("row")),
                 shards.listed(pa.array(upper)),
                 shards.listed(pa.array(points)),
@@ -89,21 +88,25 @@ _UPPER = np.isin(np.arange(256), np.arange(65, 91))
 _LEADING = (np.arange(256) & 0xC0) != 0x80
 _ROW = "struct<doc_id:bigint,part:string,digest:binary>"
 _SHARD = (
-    f"shard long, words array<string>, distinct long, bounds binary, steps binary, times binary, rows array<{_ROW}>,"
+    f"shard long, words binary, distinct long, bounds binary, steps binary, times binary, rows array<{_ROW}>,"
     "upper array<bigint>, points array<bigint>, marked array<boolean>"
 )
 
 
-def dictionary(local: DataFrame) -> DataFrame:
-    """(shard, pos, value): the global number of each word of each shard, the same for equal words.
+def _numbered(chunks: pa.Table) -> pa.Table:
+    """Words of a bucket numbered in their order; numbers of buckets lie apart."""
+    words = [shards.unpacked_words(x.as_py()) for x in chunks["words"]]
+    codes, distinct = shards.coded(pa.concat_arrays(words))
+    place = np.empty(len(distinct), np.int64)
+    place[pc.sort_indices(distinct).to_numpy()] = np.arange(len(distinct))
+    value = (chunks["bucket"][0].as_py() << 32) + place[codes]
+    parts = np.split(value, np.cumsum([len(w) for w in words])[:-1])
+    return pa.table({"shard": chunks["shard"], "bucket": chunks["bucket"], "values": pa.array([shards.packed(v) for v in parts], pa.binary())})
 
-    A bucket of words, picked by hash, numbers its words in their order, and numbers of buckets lie
-    apart. There are as many buckets as keep each small, so words meet in one shuffle.
-    """
-    buckets = local.agg(F.sum("distinct")).first()[0] or 0
-    words = shards.vocabulary(local).withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets // BUCKET_WORDS + 1)))
-    place = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word"))
-    return words.select("shard", "pos", (F.shiftleft("bucket", 32) + place - 1).alias("value"))
+
+def dictionary(local: DataFrame) -> DataFrame:
+    """(shard, bucket, values): the global numbers of each shard's words, the same for equal words."""
+    return shards.met(local, _numbered, "shard long, bucket long, values binary")
 
 
 def _global(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,17 +114,17 @@ def _global(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for k in range(batch.num_rows):
-            bounds = np.frombuffer(batch.column("bounds")[k].as_py(), np.int64)
-            steps = np.frombuffer(batch.column("steps")[k].as_py(), np.int32).astype(np.int64)
-            times = np.frombuffer(batch.column("times")[k].as_py(), np.int32)
-            numbers = batch.column("values")[k].values
+            bounds = shards.unpacked(batch.column("bounds")[k].as_py(), np.int64)
+            steps = shards.unpacked(batch.column("steps")[k].as_py(), np.int32).astype(np.int64)
+            times = shards.unpacked(batch.column("times")[k].as_py(), np.int32)
+            numbers = shards.attached(batch.column("values"), k)
             # Sums of steps over all rows, less what the rows before have summed up to.
             upto = np.append(0, np.cumsum(steps))
             rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
             place = upto[1:] - upto[bounds[:-1]][rows]
-            columns = numbers.to_numpy()[place] if len(place) else place
+            columns = numbers[place]
             order = np.lexsort((columns, rows))
-            out.append((columns[order].astype(np.int64).tobytes(), times[order].tobytes()))
+            out.append((shards.packed(columns[order]), shards.packed(times[order])))
         arrays = {n: batch.column(n) for n in ("shard", "bounds", "rows", "upper", "points", "marked")}
         arrays |= {"columns": pa.array([c for c, _ in out], pa.binary()), "counts": pa.array([t for _, t in out], pa.binary())}
         yield pa.RecordBatch.from_pydict(arrays)
@@ -130,7 +133,7 @@ def _global(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def matrix(docs: DataFrame, part: str = "lang") -> DataFrame:
     """CSR shards of the documents: bounds of rows, global columns and counts, with the rows' keys.
 
-    ``bounds`` and ``columns`` are 64-bit numbers, ``counts`` 32-bit ones, as bytes.
+    ``bounds`` and ``columns`` are packed 64-bit numbers, ``counts`` 32-bit ones.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.struct(
@@ -139,9 +142,8 @@ def matrix(docs: DataFrame, part: str = "lang") -> DataFrame:
         F.unhex(F.sha2(text, 256)).alias("digest"),
     )
     local = materialise(docs.select(text.alias("text"), key.alias("row")).mapInArrow(_local, _SHARD), "local-shards")
-    numbered = shards.attach(local, dictionary(local))
-    empty = F.array().cast("array<bigint>")
-    numbered = numbered.select("shard", "bounds", "steps", "times", "rows", "upper", "points", "marked", F.coalesce("values", empty).alias("values"))
+    # The words themselves are not needed any more.
+    numbered = shards.attach(local.drop("words", "distinct"), dictionary(local))
     return numbered.mapInArrow(
         _global,
         f"shard long, bounds binary, rows array<{_ROW}>, upper array<bigint>, points array<bigint>, marked array<boolean>,"
@@ -152,8 +154,8 @@ def matrix(docs: DataFrame, part: str = "lang") -> DataFrame:
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
-            bounds = np.frombuffer(batch.column("bounds")[k].as_py(), np.int64)
-            counts = np.frombuffer(batch.column("counts")[k].as_py(), np.int32)
+            bounds = shards.unpacked(batch.column("bounds")[k].as_py(), np.int64)
+            counts = shards.unpacked(batch.column("counts")[k].as_py(), np.int32)
             upto = np.append(0, np.cumsum(counts, dtype=np.int64))
             rows = batch.column("rows")[k].values
             yield pa.RecordBatch.from_arrays(
