@@ -5,8 +5,8 @@ a level being how often the source uses a term. The product of the matrix's tran
 matrix is the joint table of any two sources: how many terms have this level here and that one
 there. A distance that depends on the two levels alone is priced on these tables, not on terms.
 
-Products are made in blocks: terms by how common they are and by hash, so that a block has few
-levels, and sources in column blocks. Block products are exact, as no entry exceeds the terms of a
+Products are made in blocks: terms in groups by hash and there by how common they are, so that a
+block has few levels, and sources in column blocks. Block products are exact, as no entry exceeds the terms of a
 block. Level 0 has no column: a product's diagonal holds each source's own levels, and what they
 leave of all terms has level 0. So the work follows the entries that are not zero.
 
@@ -17,7 +17,7 @@ has no pairs. An empty table gives no rows. Further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,14 +31,21 @@ from govspark.llm.common import materialise, utf8
 
 @dataclass(frozen=True)
 class Settings:
-    """Parameters of the audit; ``terms`` and ``sources`` are the sides of a block."""
+    """Parameters of the audit.
+
+    ``group`` terms go to a task at once, and ``sources`` to a column block. A block has ``terms``
+    terms, fewer (``least_terms`` at least) where they have more than ``columns`` columns.
+    """
 
     least_documents: int = 10
     scale: int = 1_000_000_000
     prior: int = 2
     top: int = 10
-    terms: int = 64
+    group: int = 2048
     sources: int = 32
+    terms: int = 512
+    least_terms: int = 32
+    columns: int = 1024
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,38 +125,66 @@ def distance(p: Column, q: Column) -> Column:
     return divided((p - q) * (p - q), p + q)
 
 
-def _block_product(key: tuple, entries: pa.Table) -> pa.Table:
-    """Joint levels of the sources of two column blocks, over the terms of one block."""
-    left, right = key[-2].as_py(), key[-1].as_py()
-    entries = entries.combine_chunks()
-    term = entries["term"].combine_chunks().dictionary_encode()
-    rows, height = term.indices.to_numpy(), len(term.dictionary)
-    source = entries["source"].combine_chunks().dictionary_encode()
-    level = entries["n"].to_numpy()
-    levels, at = np.unique(level, return_inverse=True)
-    owner, part = source.indices.to_numpy(), entries["part"].to_numpy()
-    columns, first, code = np.unique(owner.astype(np.int64) * len(levels) + at, return_index=True, return_inverse=True)
+def _products(s: Settings) -> Callable:
+    """Joint levels of the sources of two column blocks, over some terms of all languages."""
+
+    def run(key: tuple, entries: pa.Table) -> pa.Table:
+        left, right = key[1].as_py(), key[2].as_py()
+        columns = {c: entries[c].combine_chunks() for c in entries.column_names}
+        lang = columns["lang"].dictionary_encode().indices.to_numpy().astype(np.int64)
+        term = columns["term"].dictionary_encode().indices.to_numpy()
+        source = columns["source"].dictionary_encode().indices.to_numpy()
+        common, level, part = (columns[c].to_numpy() for c in ("lang_n", "n", "part"))
+        # Terms of a language one by one, those equally common side by side: they have few levels.
+        order = np.lexsort((term, common, lang))
+        new = np.diff(lang[order], prepend=-1).astype(bool) | np.diff(term[order], prepend=-1).astype(bool)
+        row = np.cumsum(new) - 1
+        starts = np.append(np.flatnonzero(new), len(order))
+        borders = row[np.flatnonzero(np.diff(lang[order], prepend=-1))].tolist() + [len(starts) - 1]
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for first, last in zip(borders[:-1], borders[1:]):
+            while first < last:
+                height = min(s.terms, last - first)
+                while True:
+                    at = order[starts[first] : starts[first + height]]
+                    cells = source[at] << 40 | level[at]
+                    names, example, code = np.unique(cells, return_index=True, return_inverse=True)
+                    if len(names) <= s.columns or height <= s.least_terms:
+                        break
+                    height = max(s.least_terms, height // 2)
+                rows = row[starts[first] : starts[first + height]] - first
+                found.append(_product(at, rows, height, example, code, part[at], source[at], left, right))
+                first += height
+        x, y, n = (np.concatenate(c) for c in zip(*found))
+        i, j = pa.array(x), pa.array(y)
+        own = {c: columns[c].take(i) for c in ("lang", "source", "p", "zero")} | {"level": columns["n"].take(i)}
+        other = {f"item_{c}": columns[c].take(j) for c in ("p", "zero")} | {"item": columns["source"].take(j), "item_level": columns["n"].take(j)}
+        return pa.table(own | other | {"terms": pa.array(n)}).select(_JOINT_NAMES)
+
+    return run
+
+
+def _product(at, rows, height, example, code, part, source, left, right):
+    """Entries of one block: an entry of the input for each of the two columns, and their product."""
 
     def indicators(which: int) -> tuple[np.ndarray, np.ndarray]:
-        own = np.flatnonzero(part[first] == which)
-        place = np.full(len(columns), -1)
+        own = np.flatnonzero(part[example] == which)
+        place = np.full(len(example), -1)
         place[own] = np.arange(len(own))
         mine = place[code] >= 0
         out = np.zeros((height, len(own)), np.float32)
         out[rows[mine], place[code[mine]]] = 1
-        return out, own
+        return out, example[own]
 
-    a, a_columns = indicators(left)
-    b, b_columns = (a, a_columns) if left == right else indicators(right)
+    a, firsts = indicators(left)
+    b, seconds = (a, firsts) if left == right else indicators(right)
     product = a.T @ b
     x, y = np.nonzero(product)
+    n = product[x, y].astype(np.int64)
     if left == right:  # each pair of sources once, and each source's own levels
-        keep = owner[first[a_columns[x]]] <= owner[first[b_columns[y]]]
-        x, y = x[keep], y[keep]
-    i, j = pa.array(first[a_columns[x]]), pa.array(first[b_columns[y]])
-    own = {c: entries[c].take(i) for c in ("lang", "source", "p", "zero")} | {"level": entries["n"].take(i)}
-    other = {"item": entries["source"].take(j), "item_level": entries["n"].take(j), "item_p": entries["p"].take(j), "item_zero": entries["zero"].take(j)}
-    return pa.table(own | other | {"terms": pa.array(product[x, y].astype(np.int64))}).select(_JOINT_NAMES)
+        keep = source[firsts[x]] <= source[seconds[y]]
+        x, y, n = x[keep], y[keep], n[keep]
+    return at[firsts[x]], at[seconds[y]], n
 
 
 _JOINT = (
@@ -165,22 +200,15 @@ def joint_tables(priced: DataFrame, s: Settings = Settings()) -> DataFrame:
     Levels are 1 or more. Any two sources of a language come once, in one of their two orders. A
     source with itself gives how many terms have each level.
     """
-    kinds = F.floor(F.log2("lang_n")).cast("int")  # terms equally common have few levels
-    rows = priced.withColumn("kind", kinds)
-    blocks = rows.filter("first").groupBy("lang", "kind").agg(F.ceil(F.count("*") / s.terms).alias("blocks"))
-    wide = rows.groupBy("lang", "source").agg(F.count("*").alias("n")).groupBy("lang").agg(F.ceil(F.count("*") / s.sources).alias("parts"))
-    rows = rows.join(blocks, ["lang", "kind"]).join(wide, "lang")
-    rows = rows.withColumns(
-        {
-            "block": F.pmod(F.xxhash64("term"), F.col("blocks")),
-            "part": F.pmod(F.xxhash64("source"), F.col("parts")),
-        }
-    )
-    met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("left"), F.greatest("part", o).alias("right")))
-    rows = rows.withColumn("m", F.explode(met)).select(
-        "lang", "kind", "block", "m.left", "m.right", "part", "source", "term", "n", "p", "zero"
-    )
-    return rows.groupBy("lang", "kind", "block", "left", "right").applyInArrow(_block_product, _JOINT)
+    most = F.max("n").alias("n")
+    sizes = priced.groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum(F.col("first").cast("long")).alias("terms"))
+    sizes = sizes.groupBy("lang").agg(F.count("*").alias("n"), F.sum("terms").alias("terms")).agg(most, F.sum("terms").alias("terms")).first()
+    groups, parts = (sizes["terms"] or 0) // s.group + 1, (sizes["n"] or 0) // s.sources + 1
+    word, part = F.xxhash64("lang", "term"), F.pmod(F.xxhash64("source"), F.lit(parts)).alias("part")
+    rows = priced.select("lang", "source", "term", "n", "lang_n", "p", "zero", part, F.pmod(word, F.lit(groups)).alias("group"))
+    met = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")), lambda o: F.struct(F.least("part", o).alias("left"), F.greatest("part", o).alias("right")))
+    rows = rows.withColumn("m", F.explode(met)).select("group", "m.left", "m.right", "part", "lang", "source", "term", "n", "lang_n", "p", "zero")
+    return rows.groupBy("group", "left", "right").applyInArrow(_products(s), _JOINT)
 
 
 def audit(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
