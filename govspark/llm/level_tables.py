@@ -133,7 +133,7 @@ def _products(s: Settings) -> Callable:
         columns = {c: entries[c].combine_chunks() for c in entries.column_names}
         lang = columns["lang"].dictionary_encode().indices.to_numpy().astype(np.int64)
         term = columns["term"].dictionary_encode().indices.to_numpy()
-        source = columns["source"].dictionary_encode().indices.to_numpy()
+        source = columns["source"].dictionary_encode().indices.to_numpy().astype(np.int64)
         common, level, part = (columns[c].to_numpy() for c in ("lang_n", "n", "part"))
         # Terms of a language one by one, those equally common side by side: they have few levels.
         order = np.lexsort((term, common, lang))
