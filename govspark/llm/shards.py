@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from govspark.llm.rolling import Ranges
 
 #: Bytes of documents from which a shard is closed (one Arrow batch at least).
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Words of all shards, repeated ones too, in a bucket of hashes.
 BUCKET_WORDS = 1 << 18
 _BYTES = np.arange(256)
