@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from govspark import rules
 from govspark.functions import detect, guard
 from govspark.operators.access import PERMISSIVE, RESTRICTED, ColumnPolicy, role_columns
+from govspark.operators.joins import lookup_join
 from govspark.rules import Detector
+from govspark.sources.gold import GoldStar
 
 
 def serialise_columns(columns: list[str]) -> Column:
-    """``name: value`` pairs joined by commas; columns without a value are skipped."""
+    """``name: value`` pairs joined by commas; columns without a value are skipped. No column gives an empty text."""
+    if not columns:
+        return F.lit("")
     pairs = ", ".join(f"concat('{c}: ', CAST(`{c}` AS STRING))" for c in columns)
     return F.expr(f"concat_ws(', ', {pairs})")
 
@@ -84,6 +90,36 @@ def result_log(
     return guarded.select(*keys, F.inline(F.array(ungoverned, governed)))
 
 
+PATHS = {PERMISSIVE: "ungoverned", RESTRICTED: "governed"}
+
+
+def leak_masks(
+    df: DataFrame,
+    keep: list[str],
+    policy: ColumnPolicy = ColumnPolicy(),
+    detectors: tuple[Detector, ...] = rules.REFERENCE_DETECTORS,
+) -> DataFrame:
+    """``keep`` and, per path, a mask of the detectors that match the row's serialised form.
+
+    ``keep`` is not part of that form. A row without values has no match.
+    """
+    columns = [c for c in df.columns if c not in keep]
+    texts = df.select(*keep, *[serialise_columns(role_columns(columns, role, policy)).alias(p) for role, p in PATHS.items()])
+    bits = {p: " + ".join(f"CAST({detect.match_sql(p, d)} AS BIGINT) * {1 << i}L" for i, d in enumerate(detectors)) for p in PATHS.values()}
+    return texts.selectExpr(*keep, *[f"{mask} AS {p}" for p, mask in bits.items()])
+
+
+def count_leaks(masks: DataFrame, detectors: tuple[Detector, ...] = rules.REFERENCE_DETECTORS) -> DataFrame:
+    """(path, n_rows, leaked_rows, <category>_rows...) of masks that ``lines`` rows have each."""
+    entries = ", ".join(
+        f"named_struct('path', '{p}', 'n_rows', coalesce(sum(lines), 0L), 'leaked_rows', coalesce(sum(if({p} != 0, lines, 0L)), 0L), "
+        + ", ".join(f"'{d.name}_rows', coalesce(sum(if({p} & {1 << i}L != 0, lines, 0L)), 0L)" for i, d in enumerate(detectors))
+        + ")"
+        for p in PATHS.values()
+    )
+    return masks.agg(F.expr(f"array({entries})").alias("entries")).select(F.inline("entries"))
+
+
 def leak_audit(
     gold: DataFrame,
     policy: ColumnPolicy = ColumnPolicy(),
@@ -94,21 +130,43 @@ def leak_audit(
     Both serialised forms come from the same row, so the table is read once, and one global
     partial aggregate replaces any grouping on the path.
     """
-    paths = {PERMISSIVE: "ungoverned", RESTRICTED: "governed"}
-    texts = gold.select(
-        *[serialise_columns(role_columns(gold.columns, role, policy)).alias(p) for role, p in paths.items()]
-    )
-    hits = texts.selectExpr(
-        *[f"{detect.match_sql(p, d)} AS {p}_{d.name}" for p in paths.values() for d in detectors]
-    )
-    entries = ", ".join(
-        f"named_struct('path', '{p}', 'n_rows', count(1), 'leaked_rows', "
-        f"count_if({' OR '.join(f'{p}_{d.name}' for d in detectors)}), "
-        + ", ".join(f"'{d.name}_rows', count_if({p}_{d.name})" for d in detectors)
-        + ")"
-        for p in paths.values()
+    one = gold.withColumn("lines", F.lit(1).cast("long"))
+    return count_leaks(leak_masks(one, ["lines"], policy, detectors), detectors)
+
+
+def leak_audit_of_star(
+    star: GoldStar,
+    policy: ColumnPolicy = ColumnPolicy(),
+    detectors: tuple[Detector, ...] = rules.REFERENCE_DETECTORS,
+) -> DataFrame:
+    """``leak_audit`` of the pieces of Gold: patterns see each order, customer and part once.
+
+    Only masks are joined and OR-ed. They equal those of whole rows for detectors that cannot match
+    across ``, name: ``, the separator of two columns; the others need ``leak_audit``.
+    """
+
+    def masks(piece: DataFrame, *keep: str) -> DataFrame:
+        return leak_masks(piece, list(keep), policy, detectors)
+
+    def named(df: DataFrame, prefix: str) -> DataFrame:
+        return df.withColumnsRenamed({p: f"{prefix}_{p}" for p in PATHS.values()})
+
+    def either(df: DataFrame, *prefixes: str) -> dict[str, Column]:
+        nothing = F.lit(0).cast("long")
+        return {p: reduce(Column.bitwiseOR, [F.coalesce(f"{x}_{p}", nothing) for x in prefixes]) for p in PATHS.values()}
+
+    found = lookup_join(
+        named(masks(star.orders, "l_orderkey", "o_custkey"), "o"), named(masks(star.customers, "o_custkey"), "c"), "o_custkey"
     )
-    return hits.agg(F.expr(f"array({entries})").alias("entries")).select(F.inline("entries"))
+    orders = lookup_join(named(masks(star.keys, "l_orderkey", "lines"), "k").drop("lines"), found, "l_orderkey")
+    orders = orders.select(F.col("l_orderkey").alias("_key"), *[c.alias(f"k_{p}") for p, c in either(orders, "k", "o", "c").items()])
+    lines = lookup_join(named(masks(star.lines, "l_orderkey", "l_partkey"), "l"), named(masks(star.part, "l_partkey"), "p"), "l_partkey")
+    # Lines of an order with equal masks are one row from here on.
+    own = either(lines, "l", "p")
+    lines = lines.select("l_orderkey", *[c.alias(f"l_{p}") for p, c in own.items()])
+    lines = lines.groupBy("l_orderkey", *[f"l_{p}" for p in PATHS.values()]).agg(F.count("*").alias("lines"))
+    met = lines.join(orders, F.col("l_orderkey").eqNullSafe(F.col("_key")), "left")
+    return count_leaks(met.select("lines", *[c.alias(p) for p, c in either(met, "l", "k").items()]), detectors)
 
 
 def detection_rate(guarded: DataFrame, category: str = "category") -> DataFrame:

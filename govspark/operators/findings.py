@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from govspark import rules
 from govspark.functions import detect
 from govspark.operators.joins import lookup_join
 from govspark.rules import Detector
+from govspark.sources.gold import GoldStar
 
 
 def with_detected_types(
@@ -59,17 +61,12 @@ def count_per_key(
     return df.select(*keys, sum(counts[1:], counts[0]).alias("findings_count"))
 
 
-def profile_columns(
-    df: DataFrame,
-    detectors: tuple[Detector, ...] = rules.COLUMN_RULES,
-    threshold: float = 0.5,
-) -> DataFrame:
-    """Which string columns hold which category: (column_name, category, rows_matched, n_values).
+def count_matches(df: DataFrame, detectors: tuple[Detector, ...] = rules.COLUMN_RULES, weight: str | None = None) -> DataFrame:
+    """(column_name, category, rows_matched, n_values) of the string columns.
 
     All columns and rules are counted in one aggregate over one scan. Each value is first
     turned into a bit mask of the rules it matches, which keeps the regexes in a projection
-    and leaves the aggregate with integer tests. A pair is reported when at least
-    ``threshold`` of the column's values match.
+    and leaves the aggregate with integer tests. A row counts as often as ``weight`` says.
     """
     text_columns = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     masks = df.selectExpr(
@@ -77,18 +74,45 @@ def profile_columns(
             " + ".join(f"CAST({detect.match_sql(f'`{c}`', d)} AS BIGINT) * {1 << i}L" for i, d in enumerate(detectors))
             + f" AS `{c}`"
             for c in text_columns
-        ]
+        ],
+        f"`{weight}` AS _rows" if weight else "1L AS _rows",
     )
-    entries = ", ".join(
+    entries = [
         f"named_struct('column_name', '{c}', 'category', '{d.name}', "
-        f"'rows_matched', count_if(`{c}` & {1 << i}L != 0), 'n_values', count(`{c}`))"
+        f"'rows_matched', coalesce(sum(if(`{c}` & {1 << i}L != 0, _rows, 0L)), 0L), "
+        f"'n_values', coalesce(sum(if(`{c}` IS NOT NULL, _rows, 0L)), 0L))"
         for c in text_columns
         for i, d in enumerate(detectors)
-    )
-    counts = masks.agg(F.expr(f"array({entries})").alias("entries")).select(F.inline("entries"))
-    return counts.filter(
-        (F.col("n_values") > 0) & (F.col("rows_matched") >= threshold * F.col("n_values"))
-    )
+    ]
+    if not entries:
+        return df.sparkSession.createDataFrame([], "column_name string, category string, rows_matched long, n_values long")
+    return masks.agg(F.expr(f"array({', '.join(entries)})").alias("entries")).select(F.inline("entries"))
+
+
+def held_columns(counts: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Pairs of which at least ``threshold`` of the column's values match."""
+    return counts.filter((F.col("n_values") > 0) & (F.col("rows_matched") >= threshold * F.col("n_values")))
+
+
+def profile_columns(
+    df: DataFrame,
+    detectors: tuple[Detector, ...] = rules.COLUMN_RULES,
+    threshold: float = 0.5,
+) -> DataFrame:
+    """Which string columns hold which category: (column_name, category, rows_matched, n_values)."""
+    return held_columns(count_matches(df, detectors), threshold)
+
+
+def profile_star(
+    star: GoldStar, detectors: tuple[Detector, ...] = rules.COLUMN_RULES, threshold: float = 0.5
+) -> DataFrame:
+    """``profile_columns`` of Gold from its pieces, without building it.
+
+    Lines are counted per key first; each row of a look-up table then counts as often as lines
+    carry it, so a rule sees each order, customer and part once.
+    """
+    counts = [count_matches(piece, detectors, "lines") for piece in star.weighted().values()]
+    return held_columns(reduce(DataFrame.unionByName, counts), threshold)
 
 
 def findings_by_category(profile: DataFrame) -> DataFrame:

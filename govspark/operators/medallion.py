@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from govspark import rules
 from govspark.functions import detect
 from govspark.rules import Detector
+from govspark.sources.gold import GoldStar
 
 # Identifiers get a token and a mask on the way to Silver, so no raw one is stored there.
 IDENTIFIER_MASKS = {
@@ -88,6 +89,20 @@ def promote(
     return spark.read.parquet(gold_path)
 
 
+def promote_star(star: GoldStar, silver_path: str, gold_path: str, salt: str) -> DataFrame:
+    """Bronze pieces of Gold to Silver and Gold; returns the Gold table, one row per line.
+
+    Silver is a folder per piece. Tokens and masks are made once per order, customer or part, and
+    joined to the lines afterwards.
+    """
+    spark = star.lines.sparkSession
+    for name, piece in star.pieces().items():
+        to_silver(piece, salt).write.mode("errorifexists").parquet(f"{silver_path}/{name}")
+    stored = {name: spark.read.parquet(f"{silver_path}/{name}") for name in star.pieces()}
+    GoldStar(**stored).map(to_gold).joined().write.mode("errorifexists").parquet(gold_path)
+    return spark.read.parquet(gold_path)
+
+
 def residual_check(
     df: DataFrame, text: str, detectors: tuple[Detector, ...] = rules.EXTENDED_DETECTORS
 ) -> DataFrame:

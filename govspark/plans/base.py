@@ -34,6 +34,9 @@ class Tables:
     def gold(self, columns: Iterable[str] = gold_source.GOLD) -> DataFrame:
         return gold_source.gold_from_star(self, columns)
 
+    def star(self, columns: Iterable[str] = gold_source.GOLD) -> gold_source.GoldStar:
+        return gold_source.gold_star(self, columns)
+
 
 def query(name: str, sql: str | None = None):
     """Register a query over ``Tables`` under a name, with its SQL equivalent."""
@@ -182,7 +185,7 @@ SQL_PROMPT_LOG = f"""prompt_log AS (
     {sql_list(p[4] for p in rules.PROMPT_LIBRARY)}[(conv_id * 7 + turn) % 10 + 1] || ' ' || text AS text
   FROM conversations)"""
 
-# Patterns as the SQL engine's regex dialect writes them.
+# The patterns of govspark/rules.py as the SQL engine's regex dialect writes them.
 RE_PHONE_INTL = r"\+\d{1,3}[-.\s]?\d{1,4}[-.\s]?\d{2,4}[-.\s]?\d{3,4}"
 RE_PHONE_US = r"\(\d{3}\)\s?\d{3}[-.\s]?\d{4}"
 RE_EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"

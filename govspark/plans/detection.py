@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from govspark import rules
@@ -94,7 +96,7 @@ _PROFILE = " UNION ALL ".join(
 
 @query("d5_column_profile", f"WITH {SQL_GOLD}, {_LONG}\n{_PROFILE}")
 def column_profile(t: Tables):
-    return findings.profile_columns(t.gold())
+    return findings.profile_star(t.star())
 
 
 @query(
@@ -102,7 +104,7 @@ def column_profile(t: Tables):
     f"WITH {SQL_GOLD}, {_LONG}, profile AS ({_PROFILE})\nSELECT category, count(*) AS findings FROM profile GROUP BY 1",
 )
 def categories_of_columns(t: Tables):
-    return findings.findings_by_category(findings.profile_columns(t.gold()))
+    return findings.findings_by_category(findings.profile_star(t.star()))
 
 
 _LINES = " || ".join(
@@ -207,9 +209,10 @@ SELECT order_id, customer_id, strftime(order_date, '%Y-%m-%d %H:%M:%S') AS order
   {', '.join(f"sha256('govspark' || {c}) AS {c}_token" for c in medallion.TOKENISED)} FROM gold""",
 )
 def promotion(t: Tables):
-    raw = t.gold(_PROMOTED).withColumn("order_date", F.date_format("order_date", "yyyy-MM-dd HH:mm:ss"))
+    star = t.star(_PROMOTED)
+    star = replace(star, orders=star.orders.withColumn("order_date", F.date_format("order_date", "yyyy-MM-dd HH:mm:ss")))
     out = scratch_dir(t.spark, "promotion")
-    return plain(medallion.promote(raw, f"{out}/silver", f"{out}/gold", TEST_SALT))
+    return plain(medallion.promote_star(star, f"{out}/silver", f"{out}/gold", TEST_SALT))
 
 
 @query(

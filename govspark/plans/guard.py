@@ -363,7 +363,7 @@ SELECT path, count(*) AS n_rows, count(*) FILTER ({sql_types('text', SQL_REFEREN
 FROM paths GROUP BY 1""",
 )
 def leak_audit(t: Tables):
-    return audit.leak_audit(t.gold())
+    return audit.leak_audit_of_star(t.star())
 
 
 @query(

@@ -11,7 +11,10 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 def spark(tmp_path_factory):
     from govspark.session import build_session
 
-    scratch = {"spark.checkpoint.dir": str(tmp_path_factory.mktemp("scratch"))}
+    scratch = {
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("scratch")),
+        "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
+    }
     session = build_session("tests", cores=8, **scratch)
     session.sparkContext.setLogLevel("ERROR")
     session.conf.set("spark.sql.shuffle.partitions", "4")
