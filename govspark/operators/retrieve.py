@@ -17,14 +17,21 @@ from govspark import rules
 from govspark.functions import detect
 from govspark.operators.access import PERMISSIVE
 from govspark.operators.joins import lookup_join
+from govspark.session import scratch_dir
 
 # The scoring function travels to the executors by value: they need numpy, not this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 RAW, MASKED = "raw", "masked"
 
-# Query vectors go to every task: all of them together must stay below this size.
+# Query vectors go to every task while all of them together stay below this size. Beyond it,
+# blocks of queries are joined with the parts of the corpus that can hold one of their best.
 MAX_QUERY_BYTES = 64 * 1024 * 1024
+# Parts of a corpus: items by the nearest of so many of them. Sides of the blocks that meet.
+PIVOTS = 256
+BLOCK_ITEMS, BLOCK_QUERIES = 4096, 1024
+# Angles and scores are compared with this margin, so that rounding never drops an item.
+MARGIN = 1e-6
 MERGE_BUCKETS = 64
 # Scores of one step fill at most this many cells, however many queries there are.
 SCORE_CELLS = 4_000_000
@@ -57,13 +64,13 @@ def centroids(vectors: DataFrame, group: str, embedding: str = "embedding") -> D
     return means.groupBy(group).agg(F.transform(ordered, lambda p: p["x"]).alias("embedding"))
 
 
-def _query_vectors(queries: DataFrame, query_id: str, embedding: str) -> tuple[list, np.ndarray]:
-    """Query ids and unit vectors, if they are below the size limit."""
+def _query_vectors(queries: DataFrame, query_id: str, embedding: str) -> tuple[list, np.ndarray] | None:
+    """Query ids and unit vectors, or None if they are above the size limit."""
     wanted = queries.select(query_id, F.col(embedding).cast("array<double>").alias("v")).persist()
     try:
         size = wanted.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
         if size["n"] * ((size["dim"] or 1) * 8 + 64) > MAX_QUERY_BYTES:
-            raise ValueError(f"{size['n']} query vectors are more than {MAX_QUERY_BYTES} bytes; ask in several calls")
+            return None
         rows = wanted.collect()
     finally:
         wanted.unpersist()
@@ -132,9 +139,11 @@ def top_k(
 ) -> DataFrame:
     """The k most similar corpus items per query: (query_id, rank, item_id, similarity).
 
-    Exact, for a query side of bounded size (``MAX_QUERY_BYTES``; more is an error). Every task scores its share of the corpus against all queries with one matrix
-    product per batch and emits at most k rows per query, so no query-corpus pair is ever
-    materialised. The winners are merged in two steps to keep the last one small.
+    Exact. Up to ``MAX_QUERY_BYTES`` of query vectors, every task scores its share of the corpus
+    against all of them with one matrix product per batch and emits at most k rows per query, so no
+    query-corpus pair is ever materialised. More queries go block by block to the parts of the
+    corpus they need, see ``_blocked_scores``. The winners are merged in two steps to keep the last
+    one small. Query ids are unique.
     """
     spark = corpus.sparkSession
     schema = pa.schema([("q", pa.int64()), ("item", pa.int64()), ("similarity", pa.float64())])
@@ -142,28 +151,190 @@ def top_k(
         F.col(embedding).isNotNull()
     )
     id_type = queries.schema[query_id].dataType
-    ids, unit = _query_vectors(queries, query_id, embedding)
-    lookup = spark.createDataFrame(
-        list(enumerate(ids)), T.StructType([T.StructField("q", T.LongType()), T.StructField(query_id, id_type)])
-    )
-    schema_text = "q long, item long, similarity double"
-    if ids:
-        part = vectors.mapInArrow(_score_partition(ids, unit, k, schema), schema_text)
+    held = _query_vectors(queries, query_id, embedding)
+    if held is None:
+        asked = queries.select(F.col(query_id).alias("id"), F.col(embedding).cast("array<double>").alias("v"))
+        vectors = vectors.select("item", F.col(embedding).cast("array<double>").alias("v"))
+        scored = _blocked_scores(asked.filter("v IS NOT NULL"), vectors, k).withColumnRenamed("id", query_id)
     else:
-        part = spark.createDataFrame([], schema_text)
-    scored = part.join(lookup, "q").select(query_id, "item", "similarity")
+        ids, unit = held
+        lookup = spark.createDataFrame(
+            list(enumerate(ids)), T.StructType([T.StructField("q", T.LongType()), T.StructField(query_id, id_type)])
+        )
+        schema_text = "q long, item long, similarity double"
+        if ids:
+            part = vectors.mapInArrow(_score_partition(ids, unit, k, schema), schema_text)
+        else:
+            part = spark.createDataFrame([], schema_text)
+        scored = part.join(lookup, "q").select(query_id, "item", "similarity")
+    best = _best(scored, query_id, k)
+    return best.select(query_id, "rank", F.col("item").alias(item_id), F.round("similarity", SHOWN_DIGITS).alias("similarity"))
+
+
+def _best(scored: DataFrame, query_id: str, k: int) -> DataFrame:
+    """The k best rows of each query, ranked: first per bucket of items, then of all."""
     best = [F.desc("similarity"), F.asc("item")]
     bucket = F.pmod(F.xxhash64("item"), F.lit(MERGE_BUCKETS))
     first = Window.partitionBy(query_id, "_bucket").orderBy(*best)
     final = Window.partitionBy(query_id).orderBy(*best)
-    merged = (
+    return (
         scored.withColumn("_bucket", bucket)
         .withColumn("rank", F.row_number().over(first))
         .filter(F.col("rank") <= k)
         .withColumn("rank", F.row_number().over(final))
         .filter(F.col("rank") <= k)
+        .drop("_bucket")
     )
-    return merged.select(query_id, "rank", F.col("item").alias(item_id), F.round("similarity", SHOWN_DIGITS).alias("similarity"))
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if flat.size != len(column) * dim:
+        raise ValueError(f"every vector must have {dim} entries")
+    return flat.reshape(len(column), dim)
+
+
+def _angles(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(unit @ pivots.T, -1, 1))
+
+
+def _placed(pivots: np.ndarray):
+    """Items with the part of their nearest pivot and the angle to it; vectors of zeros have part -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unit = _unit(_matrix(batch.column(1), pivots.shape[1]))
+            angles = _angles(unit, pivots)
+            part = np.where(unit.any(axis=1), angles.argmin(axis=1), -1)
+            arrays = [pa.array(part), pa.array(angles.min(axis=1)), batch.column(0), batch.column(1)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["part", "angle", "id", "v"])
+
+    return run
+
+
+def _blocks(rows: DataFrame, dim: int, height: int, id_type: str) -> DataFrame:
+    """(part, angle, ids, vectors): unit vectors of a part in blocks of ``height``, with the widest angle.
+
+    Rows of a part are spread over several tasks, and a task holds one block at a time.
+    """
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def block() -> pa.RecordBatch:
+            together = pa.concat_batches(held)
+            ids = pa.ListArray.from_arrays(pa.array([0, together.num_rows], pa.int32()), together.column("id"))
+            vectors = _unit(_matrix(together.column("v"), dim)).tobytes()
+            angle = together.column("angle").to_numpy().max()
+            arrays = [together.column("part").slice(0, 1), pa.array([angle]), ids, pa.array([vectors], pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, names=["part", "angle", "ids", "vectors"])
+
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            for first, last in zip(edges[:-1], edges[1:]):
+                if held and held[0].column("part")[0].as_py() != part[first]:
+                    yield block()
+                    held.clear()
+                while first < last:
+                    size = min(last - first, height - sum(b.num_rows for b in held))
+                    held.append(batch.slice(first, size))
+                    first += size
+                    if sum(b.num_rows for b in held) == height:
+                        yield block()
+                        held.clear()
+        if held:
+            yield block()
+
+    spread = rows.withColumn("_deal", F.pmod(F.xxhash64("id"), F.lit(32))).repartition("part", "_deal")
+    ordered = spread.sortWithinPartitions("part").select("part", "angle", "id", "v")
+    return ordered.mapInArrow(packed, f"part long, angle double, ids array<{id_type}>, vectors binary")
+
+
+def _sent(pivots: np.ndarray, radius: np.ndarray, nearest: bool):
+    """Queries with each part they have to see: the nearest one, or all whose bound reaches the k-th score.
+
+    No item of a part is nearer to a query than their pivot's angle less the part's radius. Queries
+    of zeros score 0 everywhere, and so do items of zeros.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unit = _unit(_matrix(batch.column("v"), pivots.shape[1]))
+            angles = _angles(unit, pivots)
+            if nearest:
+                angles[:, radius[1:] < 0] = np.inf
+                rows, parts = np.arange(len(unit)), angles.argmin(axis=1)
+            else:
+                bound = np.cos(np.maximum(0, angles - radius[1:] - MARGIN))
+                bound[~unit.any(axis=1)] = 0
+                bound = np.concatenate([np.zeros((len(unit), 1)), bound], axis=1)
+                reached = bound + MARGIN >= batch.column("least").to_numpy()[:, None]
+                rows, parts = np.nonzero(reached & (radius >= 0))
+                parts = parts - 1
+            ids, vectors = (batch.column(c).take(pa.array(rows)) for c in ("id", "v"))
+            arrays = [pa.array(parts.astype(np.int64)), pa.array(np.zeros(len(rows))), ids, vectors]
+            yield pa.RecordBatch.from_arrays(arrays, names=["part", "angle", "id", "v"])
+
+    return run
+
+
+def _met(dim: int, k: int):
+    """The k best items of a block for each query of a block."""
+    scale = 10.0**RANK_DIGITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, items = batch.column("ids")[r].values, batch.column("items")[r].values.to_numpy()
+                asked = np.frombuffer(batch.column("asked")[r].as_py()).reshape(-1, dim)
+                unit = np.frombuffer(batch.column("vectors")[r].as_py()).reshape(-1, dim)
+                by_id = np.argsort(items, kind="stable")
+                items, unit = items[by_id], unit[by_id]
+                score = np.rint((asked @ unit.T) * scale).astype(np.int64)
+                width = min(k, len(items))
+                rank = np.arange(len(items)) - score * len(items)
+                top = np.argpartition(rank, width - 1, axis=1)[:, :width]
+                score = np.take_along_axis(score, top, axis=1)
+                arrays = [ids.take(pa.array(np.repeat(np.arange(len(asked)), width))), pa.array(items[top].ravel()), pa.array(score.ravel() / scale)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "item", "similarity"])
+
+    return run
+
+
+def _blocked_scores(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """(id, item, similarity) with the k best items of each query (id, v), and some more.
+
+    Items belong to the part of the nearest of ``PIVOTS`` sampled ones. A query first meets its
+    nearest part, which bounds its k-th score from below, and then only the parts that may hold a
+    better item. Blocks of both sides meet in a join on the part, which adaptive execution splits
+    where a part is large; a task holds one pair of blocks. On the driver are the pivots and the
+    parts' radii.
+    """
+    spark = queries.sparkSession
+    place = scratch_dir(spark, "blocked-top-k")
+    sample = items.filter("exists(v, x -> x != 0)").orderBy(F.xxhash64("item"), "item").limit(PIVOTS).select("v").collect()
+    dim = len(sample[0]["v"]) if sample else queries.agg(F.max(F.size("v"))).first()[0]
+    pivots = _unit(np.array([r["v"] for r in sample], dtype=np.float64).reshape(len(sample), dim)) if sample else np.eye(1, dim)
+    id_type = queries.schema["id"].dataType.simpleString()
+    row = "part long, angle double, id {}, v array<double>"
+    placed = items.selectExpr("item AS id", "v").mapInArrow(_placed(pivots), row.format("long"))
+    _blocks(placed, dim, BLOCK_ITEMS, "long").write.parquet(place)
+    blocks = spark.read.parquet(place).withColumnRenamed("ids", "items")
+    radius = np.full(len(pivots) + 1, -1.0)
+    for r in blocks.groupBy("part").agg(F.max("angle").alias("angle")).collect():  # one row per part
+        radius[r["part"] + 1] = max(0.0, r["angle"])
+
+    def scores(asked: DataFrame, nearest: bool) -> DataFrame:
+        sent = asked.mapInArrow(_sent(pivots, radius, nearest), row.format(id_type))
+        sent = _blocks(sent, dim, BLOCK_QUERIES, id_type).select("part", "ids", F.col("vectors").alias("asked"))
+        pairs = blocks.join(sent, "part").select("ids", "items", "asked", "vectors")
+        return pairs.mapInArrow(_met(dim, k), f"id {id_type}, item long, similarity double")
+
+    first = _best(scores(queries, True), "id", k).groupBy("id").agg(F.count("*").alias("n"), F.min("similarity").alias("least"))
+    least = F.when(F.col("n") >= k, F.col("least")).otherwise(F.lit(-2.0))
+    known = queries.join(first, "id", "left").select("id", "v", F.coalesce(least, F.lit(-2.0)).alias("least"))
+    return scores(known, False)
 
 
 def routed_top_k(

@@ -31,11 +31,65 @@ def test_close_similarities_are_told_apart(spark):
     assert retrieve.top_k(queries, corpus, k=1).first()["vec_id"] == 2
 
 
-def test_too_many_queries_are_an_error(spark, monkeypatch):
+def clustered(spark, n, dim, seed, spread=0.05):
+    """Vectors around a few directions; some of zeros, a third of them copies of one."""
+    rng = np.random.default_rng(seed)
+    centres = np.random.default_rng(99).normal(size=(12, dim))
+    data = centres[rng.integers(0, 12, n)] + rng.normal(size=(n, dim)) * spread
+    data[:: 3] = centres[0]
+    data[7::50] = 0
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(data)]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), data
+
+
+def unit(data):
+    norms = np.linalg.norm(data, axis=1, keepdims=True)
+    return np.divide(data, norms, out=np.zeros_like(data), where=norms > 0)
+
+
+@pytest.mark.parametrize("make", [vectors, clustered])
+@pytest.mark.parametrize("k", [1, 6, 1000])
+def test_more_queries_than_the_limit_equal_brute_force(spark, monkeypatch, make, k):
     monkeypatch.setattr(retrieve, "MAX_QUERY_BYTES", 400)
-    corpus, _ = vectors(spark, 30, 8, 1)
-    with pytest.raises(ValueError):
-        retrieve.top_k(corpus.withColumnRenamed("vec_id", "query_id"), corpus)
+    monkeypatch.setattr(retrieve, "PIVOTS", 16)
+    monkeypatch.setattr(retrieve, "BLOCK_ITEMS", 20)
+    monkeypatch.setattr(retrieve, "BLOCK_QUERIES", 7)
+    corpus, data = make(spark, 300, 6, 1)
+    queries, asked = make(spark, 40, 6, 2)
+    empty = spark.createDataFrame([(1000, None)], "vec_id long, embedding array<double>")
+    got = retrieve.top_k(
+        queries.selectExpr("concat('q', vec_id) AS query_id", "embedding"), corpus.unionByName(empty, True), k=k
+    ).collect()
+    scores = np.rint(unit(asked.astype(float)) @ unit(data.astype(float)).T * 1e12)
+    found = {(r["query_id"], r["rank"]): r["vec_id"] for r in got}
+    assert len(got) == len(found) == 40 * min(k, 300)
+    for q in range(40):
+        order = np.lexsort((np.arange(300), -scores[q]))[:k]
+        ours = [found[f"q{q}", r] for r in range(1, len(order) + 1)]
+        # Products of blocks and of the whole may differ in the last digit that ranks.
+        assert all(a == b or abs(scores[q, a] - scores[q, b]) <= 2 for a, b in zip(ours, order))
+
+
+def test_blocked_search_agrees_with_the_broadcast_one(spark, monkeypatch):
+    corpus, _ = clustered(spark, 400, 6, 5)
+    queries, _ = clustered(spark, 50, 6, 6)
+    queries = queries.withColumnRenamed("vec_id", "query_id")
+    plain = sorted(map(tuple, retrieve.top_k(queries, corpus, k=8).collect()))
+    monkeypatch.setattr(retrieve, "MAX_QUERY_BYTES", 400)
+    assert sorted(map(tuple, retrieve.top_k(queries, corpus, k=8).collect())) == plain
+    assert retrieve.top_k(queries, corpus.limit(0), k=8).count() == 0
+
+
+def test_queries_do_not_see_parts_that_cannot_hold_their_best(spark):
+    rng = np.random.default_rng(3)
+    centres = unit(rng.normal(size=(16, 24)))
+    queries = centres[rng.integers(0, 16, 200)] + rng.normal(size=(200, 24)) * 0.01
+    radius = np.append(-1.0, np.full(16, 0.05))
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(200)), "v": pa.array(queries.tolist()), "least": pa.array([0.99] * 200)})
+    sent = next(retrieve._sent(centres, radius, False)(iter([batch])))
+    assert sent.num_rows == 200  # each query only its own part, none of the 15 others
 
 
 @pytest.mark.parametrize("cells", [4_000_000, 50])
