@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from govspark import rules
 from govspark.functions import detect
 from govspark.rules import Detector
+from govspark.session import RunFolder
 from govspark.sources.gold import GoldStar
 
 # Identifiers get a token and a mask on the way to Silver, so no raw one is stored there.
@@ -89,6 +90,12 @@ def promote(
     return spark.read.parquet(gold_path)
 
 
+def promote_run(bronze: DataFrame, run: RunFolder, salt: str, text_columns: tuple[str, ...] = ()) -> DataFrame:
+    """``promote`` with both layers as steps of a run: started again, it goes on from the layer it has."""
+    silver = run.written("silver", lambda: to_silver(bronze, salt, text_columns))
+    return run.written("gold", lambda: to_gold(silver))
+
+
 def promote_star(star: GoldStar, silver_path: str, gold_path: str, salt: str) -> DataFrame:
     """Bronze pieces of Gold to Silver and Gold; returns the Gold table, one row per line.
 

@@ -34,7 +34,7 @@ def guard_stream(t: Tables):
         arriving, f"{out}/data", f"{out}/checkpoint", chain=STANDARD_GATES, enrich=gate_inputs(t, scans)
     )
     jobs.finish(job)
-    return t.spark.read.parquet(f"{out}/data").select(
+    return jobs.read_routes(t.spark, f"{out}/data").select(
         "conv_id", "turn", "route", "error_message", F.sha2("engine_text", 256).alias("engine_hash"), "verdict",
         "block_reason", "stopped_at", "error", "is_blocked",
     )

@@ -1,8 +1,8 @@
 """Stateless streaming jobs: prompt guard, text scan and promotion.
 
 Each job reads arriving files, applies the same functions as the batch form and appends to
-one exactly-once Parquet sink. Offsets and commits live in the job's own folder, so a lost
-driver or executor repeats a batch without repeating its rows. ``availableNow`` processes
+an exactly-once Parquet sink, or to several at once. Offsets and commits live in the job's own
+folder, so a lost driver or executor repeats a batch without repeating its rows. ``availableNow`` processes
 everything that has arrived and stops; pass another trigger for a job that keeps running.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -38,6 +38,50 @@ def append_to(
     return writer.start(path)
 
 
+def append_to_sinks(
+    stream: DataFrame, sinks: dict[str, Column], path: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Rows of each batch to every sink whose condition they meet, each row once in each of them.
+
+    A batch has a folder of its own in each sink, and an entry in the manifest once all sinks have
+    it. A batch that was cut off between two sinks is run again under its number and replaces what
+    it had left; until then ``read_sink`` does not show it. A path belongs to one checkpoint.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch.persist()
+        try:
+            for name, condition in sinks.items():
+                write_part(rows.filter(condition), f"{path}/{name}/batch_id={number}")
+            done = rows.sparkSession.range(1).select(F.lit(",".join(sinks)).alias("sinks"))
+            write_part(done, f"{path}/manifest/batch_id={number}")
+        finally:
+            rows.unpersist()
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or AVAILABLE_NOW)).start()
+
+
+def write_part(rows: DataFrame, path: str) -> None:
+    """One batch's folder of a sink, replaced if it is there."""
+    rows.write.mode("overwrite").parquet(path)
+
+
+def read_sink(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The rows of a sink's complete batches."""
+    complete = spark.read.parquet(f"{path}/manifest").select("batch_id").distinct()
+    return spark.read.parquet(f"{path}/{name}").join(complete, "batch_id", "left_semi").drop("batch_id")
+
+
+ROUTES = ("valid", "quarantine")
+
+
+def read_routes(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of both sinks of ``guard_stream``."""
+    valid, quarantine = (read_sink(spark, path, name) for name in ROUTES)
+    return valid.unionByName(quarantine)
+
+
 def guard_stream(
     prompts: DataFrame,
     path: str,
@@ -49,15 +93,15 @@ def guard_stream(
     """Judge arriving prompts and run the valid ones through a chain of gates.
 
     ``enrich`` adds what the gates read, usually by joins with stored tables. Valid and
-    quarantined prompts go to their own directory of one sink (``route=valid`` and
-    ``route=quarantine``), so neither can get ahead of the other.
+    quarantined prompts go to a sink of their own (``valid`` and ``quarantine``), written batch by
+    batch, so neither can get ahead of the other.
     """
     judged = guard_prompts(prompts)
     if enrich is not None:
         judged = judged.transform(enrich)
     if chain:
         judged = row_outcome(run_gates(judged, chain, enters=F.col("route") == "valid"))
-    return append_to(judged, path, checkpoint, "route", **options)
+    return append_to_sinks(judged, {name: F.col("route") == name for name in ROUTES}, path, checkpoint, **options)
 
 
 def scan_stream(

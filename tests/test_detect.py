@@ -1,5 +1,6 @@
 """Detection, findings, redaction, tokens and masks."""
 
+import os
 import random
 import re
 
@@ -10,6 +11,7 @@ from govspark import rules
 from govspark.functions import detect
 from govspark.operators import findings, medallion
 
+# Texts and what must be found in them.
 EXAMPLES = [
     ("Contact: +66-81-234-5678", ["phone"]),
     ("Call us at (555) 123-4567", ["phone"]),
@@ -177,3 +179,35 @@ def test_promotion_hides_raw_values(spark, tmp_path):
     assert dict(silver.dtypes)["date_of_birth"] == "date"
     names = {v for r in bronze.select("first_name", "shipping_address", "date_of_birth").collect() for v in r}
     assert not names & {str(v) for r in gold.collect() for v in r}
+
+
+def test_second_run_of_a_failed_promotion_picks_up_silver(spark, monkeypatch):
+    from govspark.session import RunFolder
+    from govspark.sources.synthetic import synthetic_customers
+
+    bronze, made = synthetic_customers(spark, 50), []
+    to_silver, to_gold = medallion.to_silver, medallion.to_gold
+    monkeypatch.setattr(medallion, "to_silver", lambda *a: made.append("silver") or to_silver(*a))
+    monkeypatch.setattr(medallion, "to_gold", lambda df: df.withColumn("lost", F.raise_error(F.lit("executor lost"))))
+    run = RunFolder(spark, "promotion-test")
+    with pytest.raises(Exception, match="executor lost"):
+        medallion.promote_run(bronze, run, "salt")
+    assert run.done("silver") and not run.done("gold")
+    monkeypatch.setattr(medallion, "to_gold", to_gold)
+    again = RunFolder(spark, "promotion-test")
+    got = sorted(map(tuple, medallion.promote_run(bronze, again, "salt").collect()))
+    assert made == ["silver"] and got == sorted(map(tuple, to_gold(to_silver(bronze, "salt")).collect()))
+    again.close()
+    assert not run.done("silver") and not os.path.exists(run.path)
+
+
+def test_owned_intermediates_are_removed(spark):
+    from govspark.session import owned_scratch, scratch_dir
+
+    with owned_scratch(spark, "owned-test") as run:
+        path = scratch_dir(spark, "x")
+        spark.range(3).write.parquet(path)
+    assert path.startswith(run.path) and not scratch_dir(spark, "x").startswith(run.path)
+    assert spark.read.parquet(path).count() == 3
+    run.close()
+    assert not os.path.exists(run.path)

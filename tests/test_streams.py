@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from govspark import schemas
@@ -22,16 +23,42 @@ def test_guard_stream_equals_batch_over_restarts(spark, folder, tmp_path):
     source, sink, state = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state"
     log.filter("conv_id % 2 = 0").repartition(3).write.parquet(source)
     jobs.finish(jobs.guard_stream(prompts.prompt_stream(spark, source, 1), sink, state))
-    first = spark.read.parquet(sink).count()
+    first = jobs.read_routes(spark, sink).count()
     log.filter("conv_id % 2 = 1").repartition(2).write.mode("append").parquet(source)
     for _ in range(2):  # The second start finds nothing new and must not repeat rows.
         jobs.finish(jobs.guard_stream(prompts.prompt_stream(spark, source, 1), sink, state))
-    stored = spark.read.parquet(sink)
+    stored = jobs.read_routes(spark, sink)
     assert 0 < first < stored.count() == log.count()
     assert bag(stored.select(KEPT)) == bag(guard_prompts(log).select(KEPT))
     counts = {r["route"]: r["prompts"] for r in jobs.route_counts(stored).collect()}
     assert sum(counts.values()) == log.count() and set(counts) <= {"valid", "quarantine"}
-    assert spark.read.parquet(f"{sink}/route=valid").count() == counts["valid"]
+    assert jobs.read_sink(spark, sink, "valid").count() == counts["valid"]
+
+
+@pytest.mark.parametrize("lost", ["valid", "quarantine", "manifest"])
+def test_batch_killed_between_sinks_has_each_row_once(spark, folder, tmp_path, monkeypatch, lost):
+    log = spark.read.parquet(f"{folder}/conversations.parquet")
+    empty = log.limit(20).withColumn("text", F.lit("  "))  # quarantined
+    source, sink, state = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state"
+    log.unionByName(empty).repartition(3).write.parquet(source)
+    write, left = jobs.write_part, {"runs": 4}
+
+    def dies(rows, path):
+        left["runs"] -= f"/{lost}/" in path
+        if left["runs"] == 2:  # in the second batch, before this sink is written
+            raise RuntimeError("driver lost")
+        write(rows, path)
+
+    monkeypatch.setattr(jobs, "write_part", dies)
+    with pytest.raises(Exception, match="driver lost"):
+        jobs.finish(jobs.guard_stream(prompts.prompt_stream(spark, source, 1), sink, state))
+    complete = spark.read.parquet(f"{sink}/manifest").count()
+    before = jobs.read_routes(spark, sink).count()
+    assert complete == 1 and 0 < before < log.count()
+    monkeypatch.setattr(jobs, "write_part", write)
+    jobs.finish(jobs.guard_stream(prompts.prompt_stream(spark, source, 1), sink, state))
+    assert bag(jobs.read_routes(spark, sink).select(KEPT)) == bag(guard_prompts(log.unionByName(empty)).select(KEPT))
+    assert jobs.read_sink(spark, sink, "quarantine").count() >= 20
 
 
 def test_scan_stream_equals_batch(spark, folder, tmp_path):
