@@ -1,4 +1,4 @@
-"""Left look-up join that stays balanced when a few keys hold most of the rows."""
+"""The left look-up join of this library, and what it relies on."""
 
 from __future__ import annotations
 

@@ -97,9 +97,8 @@ def label_hits(t: Tables, k: int):
     restricted role, and for labelled documents also a row of cells."""
     queries = label_queries(t)
     hits = retrieve.routed_top_k(queries, _corpora(t), k=k).withColumn("vec_id", F.col("vec_id") % _MASKED_FROM)
-    # At most k hits for each of a bounded number of queries: the ids that the other tables are
-    # cut to before anything of them is shuffled.
-    wanted = F.broadcast(hits.select("vec_id").distinct())
+    # The ids that the other tables are cut to before anything of them is shuffled.
+    wanted = hits.select("vec_id").distinct()
     labels = t("labels").select(F.col("doc_id").alias("vec_id"), "quality", "toxic").join(wanted, "vec_id", "left_semi")
     documents = t("documents").select(F.col("doc_id").alias("vec_id"), "text", "lang", "source").join(wanted, "vec_id", "left_semi")
     joined = hits.join(documents, "vec_id", "left").join(labels, "vec_id", "left")

@@ -51,8 +51,6 @@ ENGINE_RESULT = _struct(
     }
 )
 
-SERIES = _struct({"series_id": _S, "pos": _L, "label": _S, "value": _D})
-
 PRESET = _struct(
     {
         "id": _S, "label": _S, "emoji": _S, "category": _S, "prompt_text": _S,
