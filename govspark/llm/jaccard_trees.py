@@ -8,7 +8,7 @@ passages many documents share bring no classes together.
 Classes that share such a token meet in its bucket. First each meets the smallest class of the
 bucket, which joins groups of near copies without their pairs. Where a bucket still holds classes
 of several components, a signature tree is built over it: leaves hold the bitmap of a class's
-tokens and its size, nodes the OR of the bitmaps and the ranges of sizes, free bits and
+tokens, how many tokens fall in each of some cells, and its size, nodes the OR of the bitmaps and the ranges of sizes, free bits and
 components. A dual traversal from the root pairs nodes with nodes and drops a pair whose largest
 possible overlap is below the threshold, or that lies in one component. What is left is compared
 by whole sets. Buckets of many classes are dealt out as pairs of tiles; no pair is left out.
@@ -51,6 +51,8 @@ class Settings:
     common: int = 20_000
 
 
+#: Cells of a set's counts. Bitmaps of large sets are full; counts of cells still tell them apart.
+CELLS, FULL = 128, 255
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -100,6 +102,19 @@ def signature(tokens: np.ndarray, bits: int) -> bytes:
     return np.packbits(out).tobytes()
 
 
+def counted(tokens: np.ndarray) -> bytes:
+    """How many tokens fall in each cell by another hash; ``FULL`` stands for that many or more."""
+    cells = (mixed(tokens * np.uint64(5) + np.uint64(3)) & np.uint64(CELLS - 1)).astype(np.int64)
+    return np.minimum(np.bincount(cells, minlength=CELLS), FULL).astype(np.uint8).tobytes()
+
+
+def most_shared(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Most tokens that sets with these counts can share, pair by pair; ``least`` where cells are full."""
+    shared = np.minimum(a, b)
+    full = (shared == FULL).any(1)
+    return np.where(full, least, np.minimum(shared.sum(1, dtype=np.int64), least))
+
+
 def folded(sign: bytes, size: int) -> np.ndarray:
     """A signature as 64-bit numbers, folded to ``size`` bytes."""
     return np.bitwise_or.reduce(np.frombuffer(sign, np.uint64).reshape(-1, size // 8), 0)
@@ -128,13 +143,14 @@ def described(docs: DataFrame, common: np.ndarray, s: Settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = utf8(batch.column(2))
-            sizes, keys, signs, first = [], [], [], []
+            sizes, keys, signs, cells, first = [], [], [], [], []
             for a, b in slices(offsets):
                 for tokens in shingles(offsets[a : b + 1], data, s.words):
                     n = len(tokens)
                     sizes.append(n)
                     keys.append(key_of(tokens) if n else None)
                     signs.append(signature(tokens, s.bits))
+                    cells.append(counted(tokens))
                     # Rare tokens first. Two sets over the threshold share one of the first ones.
                     last = np.isin(tokens, common, assume_unique=True)
                     take = n - -(-s.percent * n // 100) + 1 if n else 0
@@ -142,12 +158,12 @@ def described(docs: DataFrame, common: np.ndarray, s: Settings) -> DataFrame:
             ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(signs, pa.binary()), lists],
-                names=["row", "doc_id", "n", "key", "signature", "first"],
+                [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(signs, pa.binary()), pa.array(cells, pa.binary()), lists],
+                names=["row", "doc_id", "n", "key", "signature", "cells", "first"],
             )
 
     rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "row long, doc_id long, n long, key long, signature binary, first array<long>")
+    return rows.mapInArrow(run, "row long, doc_id long, n long, key long, signature binary, cells binary, first array<long>")
 
 
 def whole_sets(docs: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
@@ -211,8 +227,13 @@ class Level:
         return out
 
 
-def tree_pairs(sizes: np.ndarray, bitmaps: np.ndarray, comps: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of members of a bucket that the dual traversal leaves: two components, enough overlap."""
+def tree_pairs(
+    sizes: np.ndarray, bitmaps: np.ndarray, comps: np.ndarray, cells: np.ndarray, s: Settings
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members of a bucket that the dual traversal leaves: two components, enough overlap.
+
+    Leaves are then judged by the counts of their cells as well, some thousand pairs at a time.
+    """
     ones = np.bitwise_count(bitmaps).sum(1, dtype=np.int64)
     order = np.lexsort((comps, sizes))
     leaf = Level(bitmaps[order], sizes[order], sizes[order], ones[order], (sizes - ones)[order], comps[order], comps[order])
@@ -230,17 +251,23 @@ def tree_pairs(sizes: np.ndarray, bitmaps: np.ndarray, comps: np.ndarray, s: Set
         ok = level.possible(x, y, s.percent)
         i, j = x[ok], y[ok]
     ok = i != j
-    return order[i[ok]], order[j[ok]]
+    i, j = order[i[ok]], order[j[ok]]
+    good = np.zeros(len(i), bool)
+    for k in range(0, len(i), 1 << 14):
+        x, y = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+        overlap = most_shared(cells[x], cells[y], np.minimum(sizes[x], sizes[y]))
+        good[k : k + (1 << 14)] = (100 + s.percent) * overlap >= s.percent * (sizes[x] + sizes[y])
+    return i[good], j[good]
 
 
 def bucket_pairs(members: DataFrame, s: Settings) -> DataFrame:
-    """Candidate pairs of classes from buckets of (token, key, n, comp, signature, count)."""
+    """Candidate pairs of classes from buckets of (token, key, n, comp, signature, cells, count)."""
     tiles = F.ceil(F.col("count") / s.tile).cast("long")
     tiled = members.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("key"), F.col("tiles")))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     group = ["token", "low", "high"]
     rows = tiled.select(
-        "token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "key", "n", "comp", "signature"
+        "token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "key", "n", "comp", "signature", "cells"
     )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -258,9 +285,10 @@ def bucket_pairs(members: DataFrame, s: Settings) -> DataFrame:
     def pairs(frame: pd.DataFrame, cut: np.ndarray) -> pd.DataFrame:
         keys, sizes, comps = (frame[c].to_numpy(np.int64) for c in ("key", "n", "comp"))
         bitmaps = np.frombuffer(b"".join(frame["signature"]), np.uint64).reshape(len(frame), -1)
+        cells = np.frombuffer(b"".join(frame["cells"]), np.uint8).reshape(len(frame), -1)
         out = []
         for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(frame)]):
-            i, j = tree_pairs(sizes[a:b], bitmaps[a:b], comps[a:b], s)
+            i, j = tree_pairs(sizes[a:b], bitmaps[a:b], comps[a:b], cells[a:b], s)
             if len(i):
                 out.append(np.sort(np.stack([keys[a + i], keys[a + j]], 1), 1))
         out = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
@@ -281,9 +309,10 @@ def grouped_rows(docs: DataFrame, s: Settings) -> DataFrame:
     # Each class that meets another, with one of its rows.
     met = about.join(members.select("key").distinct(), "key", "left_semi")
     classes = materialise(
-        met.groupBy("key").agg(F.min("row").alias("row"), F.max("n").alias("n"), F.first("signature").alias("signature")), "jaccard-classes"
+        met.groupBy("key").agg(F.min("row").alias("row"), F.max("n").alias("n"), F.first("signature").alias("signature"), F.first("cells").alias("cells")),
+        "jaccard-classes",
     )
-    signs = classes.select("key", "n", "signature")
+    signs = classes.select("key", "n", "signature", "cells")
     stars = members.filter("key != centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct()
     stars = materialise(likely(stars, signs, s), "jaccard-stars")
     links = materialise(linked(docs, classes, stars, s), "jaccard-first")
