@@ -190,7 +190,8 @@ def duplicate_spans(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     schema = "key long, first int, last int"
     tidy = small.repartition("core").sortWithinPartitions("core").mapInPandas(refine, schema)
     spans = plain.unionByName(same).unionByName(tidy).unionByName(counted_spans(with_bytes, s))
-    return materialise(spans, "suffix-spans")
+    # Equal rows share a key and bring the same spans: once each, so that lists of a key stay as long as one row's.
+    return materialise(spans.distinct(), "suffix-spans")
 
 
 def counted_spans(with_bytes: DataFrame, s: Settings) -> DataFrame:
