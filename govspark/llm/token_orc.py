@@ -16,6 +16,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from govspark.llm import shards
 from govspark.llm.byte_bpe import Remembered, pack
-from govspark.llm.common import texts
+from govspark.llm.common import utf8
 
 SCHEMA = "part int, doc_id long, local_start long, n_ids long, ids array<int>"
 #: File format settings: stripes, row groups, Bloom filters and compression.
@@ -37,6 +39,10 @@ ORC_OPTIONS = {
     "compression": "zstd",
 }
 REMEMBERED = 600_000
+#: Bytes of texts whose distinct words are looked up once.
+GATHERED = 8 << 20
+#: New words that are encoded together.
+TOGETHER = 200
 
 
 class WordEncoder:
@@ -60,6 +66,11 @@ class WordEncoder:
         lower = [tokenizer.encode(word, add_special_tokens=False).ids for word in ("ABC", "abc", "abc.", ".")]
         self.folds, self.parts = lower[0] == lower[1], lower[2] == lower[1] + lower[3]
         self.tokenizer, self.words = tokenizer, Remembered(self.ids)
+        # Bytes of each id's piece, one character of the vocabulary a byte; an end of word has none.
+        self.lengths = np.zeros(tokenizer.get_vocab_size(), np.int64)
+        suffix = getattr(tokenizer.model, "end_of_word_suffix", None) or ""
+        for piece, i in tokenizer.get_vocab().items():
+            self.lengths[i] = len(piece.removesuffix(suffix))
 
     def ids(self, word: bytes) -> bytes:
         """Ids of a word. A stop or comma behind a letter is a piece of its own, so are the letters."""
@@ -67,14 +78,79 @@ class WordEncoder:
             return self.words[word[:-1]] + self.words[word[-1:]]
         return pack(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids. ``bytes.split`` parts at ASCII white space only."""
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
+    def split(self, text: str) -> list[bytes]:
+        """Words of a text. ``bytes.split`` parts at ASCII white space only."""
         data = text.encode()
         if self.folds and b"<|" not in data:  # a special string is looked for before case is folded
             data = data.lower()
-        return b"".join(map(self.words.__getitem__, data.split()))
+        return data.split()
+
+    def learn(self, words: set[bytes]) -> None:
+        """Remember the ids of new words, encoded some hundred at a time with blanks between.
+
+        The ids of each are told by how many bytes they stand for. That is known for characters up
+        to U+00FF, which no normalisation joins and whose lower case has as many bytes; words with
+        others, and those with special strings, are encoded one by one when they are needed.
+        """
+        if self.parts:
+            ends = {w for w in words if w[-1:] in (b".", b",") and w[-2:-1].isalpha()}
+            words = words - ends | {w[:-1] for w in ends}
+        new = [w for w in words if w not in self.words and b"<|" not in w and (w.isascii() or simple(w))]
+        groups = [new[k : k + TOGETHER] for k in range(0, len(new), TOGETHER)]
+        together = [b" ".join(group).decode() for group in groups]
+        for group, coded in zip(groups, self.tokenizer.encode_batch_fast(together, add_special_tokens=False)):
+            ids = np.array(coded.ids, "<u4")
+            upto = np.append(0, np.cumsum(self.lengths[ids]))
+            ends = np.cumsum([len(w) for w in group])
+            cuts = np.searchsorted(upto, ends)
+            if cuts[-1] != len(ids) or (upto[cuts] != ends).any():
+                continue  # this tokenizer leaves something out: its words go one by one
+            data, cuts = ids.tobytes(), (4 * cuts).tolist()
+            for word, a, b in zip(group, [0, *cuts], cuts):
+                self.words[word] = data[a:b]
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian 32-bit ids of one text."""
+        words = self.split(text)
+        self.learn(set(filterfalse(self.words.__contains__, words)))
+        return b"".join(map(self.words.__getitem__, words))
+
+    def encode_rows(self, column: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a column, ``end`` behind each, and how many each text has.
+
+        Each distinct word of the column is looked up once.
+        """
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        offsets, data = utf8(column)
+        counts, found = shards.split(offsets, data, shards.NOT_SPACE, shards.LOWER if self.folds else shards.AS_IS)
+        # Special strings are looked for before case is folded: such texts are encoded by themselves.
+        marks = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+        special = np.zeros(len(counts), bool)
+        special[np.searchsorted(offsets, marks[(marks >= offsets[0]) & (marks < offsets[-1])], "right") - 1] = True
+        codes, distinct = shards.coded(found)
+        words = distinct.cast(pa.large_binary()).to_pylist()
+        self.learn(set(filterfalse(self.words.__contains__, words)))
+        pieces = [*map(self.words.__getitem__, words), *(self.encode(column[k].as_py()) for k in np.flatnonzero(special).tolist()), end]
+        sizes = np.array([len(p) // 4 for p in pieces])
+        ids, places = np.frombuffer(b"".join(pieces), "<i4"), np.cumsum(sizes) - sizes
+        # What each text is made of: its words or, where it is special, its own piece; then the end.
+        bounds = np.append(0, np.cumsum(np.where(special, 1, counts) + 1))
+        made = np.full(bounds[-1], len(pieces) - 1)
+        made[bounds[:-1][special]] = len(words) + np.arange(special.sum())
+        inner = np.ones(len(made), bool)
+        inner[bounds[1:] - 1] = False
+        inner[bounds[:-1][special]] = False
+        made[inner] = codes[~np.repeat(special, counts)]
+        lengths = sizes[made]
+        upto = np.cumsum(lengths)
+        at = np.arange(upto[-1] if len(upto) else 0) + np.repeat(places[made] - (upto - lengths), lengths)
+        return ids[at], np.diff(np.append(0, upto)[bounds])
+
+
+def simple(word: bytes) -> bool:
+    """No character beyond U+00FF, and none that is white space to Unicode."""
+    return max(word.decode()) <= "\xff" and b"\xc2\x85" not in word and b"\xc2\xa0" not in word
 
 
 @lru_cache(1)
@@ -92,15 +168,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, start = word_encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            rows = [coder.encode(x) + end for x in texts(batch.column(1))]
-            sizes = np.array([len(r) // 4 for r in rows], np.int64)
+        for batch in shards.gathered(batches, GATHERED):
+            ids, sizes = coder.encode_rows(batch.column(1), end)
             ends = np.cumsum(sizes)
-            ids = pa.array(np.frombuffer(b"".join(rows), "<i4"))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), ids)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(len(rows), part, np.int32)),
+                    pa.array(np.full(len(sizes), part, np.int32)),
                     batch.column(0),
                     pa.array(start + ends - sizes),
                     pa.array(sizes),

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -97,6 +98,21 @@ def test_word_encoder_equals_library():
         assert np.frombuffer(coder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_learned_together_equal_library():
+    library, coder = Tokenizer.from_file(WORDS), token_orc.WordEncoder(WORDS)
+    # White space to Unicode but not to ASCII, marks that join or fold, and special strings between.
+    texts = strings(3000) + ["a\x85b x\u2003y", "e\u0301 \u0301 \u200d", "<|endoftext|> a<|endoftext|>b <|end", "x, y., z.,", "İ. ß,", "\x00 a\x00"]
+    column = pa.array(["sliced away <|endoftext|>", None, *texts])[1:]
+    ids, sizes = coder.encode_rows(column, token_orc.pack([7]))
+    got = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert got[0] == [7] and len(got) == len(texts) + 1
+    for text, found, expected in zip(texts, got[1:], library.encode_batch_fast(texts, add_special_tokens=False)):
+        assert found == [*expected.ids, 7], text
+    before = len(coder.words)
+    coder.learn({b"thtily", "ré¡llement".encode(), b"###*", b"a'sb"})
+    assert len(coder.words) == before + 4
+
+
 def test_empty_tables(frame, ready, tmp_path):
     docs = frame([(1, "a")]).filter("doc_id < 0")
     assert byte_bpe.encoding_digests(docs, BYTES).count() == token_transducer.token_counts(docs, BYTES, 1).count() == 0
