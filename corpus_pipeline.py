@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from govspark.llm import budgets, byte_bpe, jaccard_trees, subword_language, suffix_dedup
 from govspark.llm.common import materialise, prepare, table
 
+#: A passage is over 50 words; in 250 bytes there are 50 words of four letters and a blank.
+PASSAGE = suffix_dedup.Settings(length=250, window=150)
 #: Nearly all tokens stay: the mixture cuts what the weights leave over.
 MIX = budgets.Mix(share=0.9, epochs=1)
 
@@ -34,7 +36,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occur more than once."""
     prepare(spark)
-    return suffix_dedup.without_repeats(docs)
+    return suffix_dedup.without_repeats(docs, PASSAGE)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
