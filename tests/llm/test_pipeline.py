@@ -25,7 +25,7 @@ def test_stages(ready, folder):
     groups = plain_groups([(r["doc_id"], r["text"]) for r in before], jaccard_trees.Settings())
     assert sorted(r["doc_id"] for r in after) == sorted(i for i, _, g in groups if i == g)
     before, after = kept["suffix-array dedup"]
-    left = {i: n - gone for i, n, gone, _, _ in plain_removal([(r["doc_id"], r["text"]) for r in before], 400)}
+    left = {i: n - gone for i, n, gone, _, _ in plain_removal([(r["doc_id"], r["text"]) for r in before], corpus_pipeline.PASSAGE.length)}
     assert len(before) == len(after) and all(len(r["text"].encode()) <= left[r["doc_id"]] < len(r["text"].encode()) + 8 for r in after)
     before, after = kept["mixing sources to target weights"]
     tokens = [sum(len(r["text"].split()) for r in x) for x in (before, after)]
