@@ -23,7 +23,7 @@ columns are ignored by ``predict`` and kept by ``accepted``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -123,48 +123,85 @@ class Model:
     least_known: np.ndarray
     settings: Settings
 
-    def logits(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+    def logits(self, rows: np.ndarray, buckets: np.ndarray, count: int) -> np.ndarray:
         """Before the softmax, by row. The average commutes with the layer, so buckets are mapped once."""
-        rows, buckets = subwords(offsets, data, self.settings)
-        count = len(offsets) - 1
         mapped = self.embeddings @ self.layer
         sums = np.stack([np.bincount(rows, mapped[buckets, j], count) for j in range(len(self.languages))], 1)
         n = np.bincount(rows, minlength=count)
         return sums / np.maximum(n, 1)[:, None] + self.bias
 
-    def predict(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number of the language and probability, by row."""
-        p = softmax(self.logits(offsets, data) / self.temperature)
-        best = p.argmax(1)
-        return best, p[np.arange(len(p)), best]
-
-    def foreign(self, offsets: np.ndarray, data: np.ndarray, best: np.ndarray) -> np.ndarray:
+    def foreign(self, rows: np.ndarray, buckets: np.ndarray, best: np.ndarray) -> np.ndarray:
         """Rows less familiar than texts of the predicted language are."""
-        rows, buckets = subwords(offsets, data, self.settings)
         weight = (buckets != blank(self.settings)).astype(np.float64)
         n = np.bincount(rows, weight, len(best))
         sums = np.bincount(rows, weight * self.known[buckets, best[rows]], len(best))
         return (n == 0) | (sums / np.maximum(n, 1) < self.least_known[best])
 
+    def predict(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the language, probability, and whether the text is foreign to it, by row."""
+        rows, buckets = subwords(offsets, data, self.settings)
+        p = softmax(self.logits(rows, buckets, len(offsets) - 1) / self.temperature)
+        best = p.argmax(1)
+        return best, p[np.arange(len(p)), best], self.foreign(rows, buckets, best)
+
+
+class Bags(Sequence):
+    """Buckets and counts of the rows of a sample, each in one flat array."""
+
+    def __init__(self, column: pa.ChunkedArray, settings: Settings) -> None:
+        found = [unpacked(np.frombuffer(v.as_buffer(), np.uint8), settings) for v in column]
+        self.ends = np.cumsum([0, *(len(b) for b, _ in found)])
+        self.buckets = np.empty(self.ends[-1], np.int32)
+        self.counts = np.empty(self.ends[-1], np.int32)
+        for (b, c), i in zip(found, self.ends):
+            self.buckets[i : i + len(b)], self.counts[i : i + len(b)] = b, c
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        if not -len(self) <= i < len(self):
+            raise IndexError(i)
+        a, b = self.ends[i % len(self) : i % len(self) + 2]
+        return self.buckets[a:b], self.counts[a:b]
+
+
+def packed(buckets: np.ndarray, counts: np.ndarray, settings: Settings) -> bytes:
+    """Bytes of a count, then buckets and counts in the narrowest integers."""
+    kind = next(t for t in ("<u1", "<u2", "<u4") if counts.max(initial=0) <= np.iinfo(t).max)
+    return b"".join([kind[-1].encode(), buckets.astype(_kind(settings)).tobytes(), counts.astype(kind).tobytes()])
+
+
+def unpacked(data: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    kind, wide = np.dtype(f"<u{chr(data[0])}"), np.dtype(_kind(settings))
+    n = (len(data) - 1) // (wide.itemsize + kind.itemsize)
+    return np.frombuffer(data, wide, n, 1), np.frombuffer(data, kind, n, 1 + n * wide.itemsize)
+
+
+def _kind(settings: Settings) -> str:
+    return "<u2" if settings.buckets <= 1 << 16 else "<u4"
+
 
 def blank(settings: Settings) -> int:
     """Bucket of two separators, which says nothing about a text."""
     return int(subwords(np.array([0, 2]), np.full(2, 32, np.uint8), replace(settings, lengths=(2,)))[1][0])
 
 
-def likelihoods(features: list, y: np.ndarray, languages: int, settings: Settings) -> np.ndarray:
+def likelihoods(features: Sequence, rows: np.ndarray, y: np.ndarray, languages: int, settings: Settings) -> np.ndarray:
     """Log likelihood of each bucket in each language, over that of all buckets alike."""
     seen = np.full((settings.buckets, languages), 0.5)
-    for (b, c), k in zip(features, y):
-        seen[b, k] += c
+    for i in rows:
+        b, c = features[i]
+        seen[b, y[i]] += c
     seen[blank(settings)] = 0.5
     return np.log(seen * settings.buckets / seen.sum(0)).astype(np.float32)
 
 
-def familiarity(features: list, known: np.ndarray, settings: Settings) -> np.ndarray:
-    """Mean log likelihood of the subwords of each row in each language."""
-    skip, out = blank(settings), np.zeros((len(features), known.shape[1]))
-    for row, (b, c) in zip(out, features):
+def familiarity(features: Sequence, rows: np.ndarray, known: np.ndarray, settings: Settings) -> np.ndarray:
+    """Mean log likelihood of the subwords of each of the rows in each language."""
+    skip, out = blank(settings), np.zeros((len(rows), known.shape[1]))
+    for row, i in zip(out, rows):
+        b, c = features[i]
         c = np.where(b == skip, 0, c)
         row[:] = c @ known[b] / max(c.sum(), 1)
     return out
@@ -175,7 +212,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(features: list, labels: list[str], settings: Settings, noise: list = ()) -> Model | None:
+def fit(features: Sequence, labels: list[str], settings: Settings, noise: Sequence = ()) -> Model | None:
     """Train on rows of (bucket, count) pairs, then calibrate on those held back and on noise."""
     languages = sorted(set(labels))
     if not languages:
@@ -188,11 +225,14 @@ def fit(features: list, labels: list[str], settings: Settings, noise: list = ())
     embeddings = rng.normal(0, 0.1, (settings.buckets, settings.width))
     layer = np.zeros((settings.width, len(languages)))
     bias = np.zeros(len(languages))
-    shares = [(b, (c / max(c.sum(), 1)).astype(np.float32)) for b, c in features]
 
-    def average(i: int) -> np.ndarray:
-        b, s = shares[i]
-        return s @ embeddings[b]
+    def shares(i: int, of: Sequence = features) -> tuple[np.ndarray, np.ndarray]:
+        b, c = of[i]
+        return b, (c / max(c.sum(), 1)).astype(np.float32)
+
+    def averages(of: Sequence, rows: np.ndarray) -> np.ndarray:
+        pairs = (shares(i, of) for i in rows)
+        return np.array([s @ embeddings[b] for b, s in pairs]).reshape(len(rows), settings.width)
 
     parts, step = max(1, -(-len(train) // settings.batch)), 0
     epochs = max(settings.epochs, -(-settings.steps // parts))
@@ -201,22 +241,21 @@ def fit(features: list, labels: list[str], settings: Settings, noise: list = ())
         for part in np.array_split(rng.permutation(train), parts):
             rate = settings.rate * (1 - step / steps)
             step += 1
-            x = np.array([average(i) for i in part]).reshape(len(part), settings.width)
+            x = averages(features, part)
             error = softmax(x @ layer + bias)
             error[np.arange(len(part)), y[part]] -= 1
             back = error @ layer.T
             layer -= rate * (x.T @ error) / max(len(part), 1) * 10
             bias -= rate * error.mean(0)
             for i, g in zip(part, back):
-                b, s = shares[i]
+                b, s = shares(i)
                 embeddings[b] -= rate * 10 * s[:, None] * g
-    known = likelihoods([features[i] for i in train], y[train], len(languages), settings)
+    known = likelihoods(features, train, y, len(languages), settings)
     # As likely as in all buckets alike: the least where too few rows are held back to tell.
     model = Model(languages, embeddings, layer, bias, 1.0, 0.0, known, np.zeros(len(languages)), settings)
     if len(held):
-        raw = np.array([average(i) for i in held]) @ layer + bias
-        other = np.array([(c / max(c.sum(), 1)) @ embeddings[b] for b, c in noise]).reshape(len(noise), -1)
-        other = other @ layer + bias if len(noise) else np.zeros((0, len(languages)))
+        every = np.arange(len(noise))
+        raw, other = averages(features, held) @ layer + bias, averages(noise, every) @ layer + bias
 
         def loss(t: float) -> float:
             p = np.maximum(softmax(raw / t)[np.arange(len(held)), y[held]], 1e-12)
@@ -229,7 +268,7 @@ def fit(features: list, labels: list[str], settings: Settings, noise: list = ())
         hit = p.argmax(1) == y[held]
         if hit.any():
             model.least = border(p.max(1)[hit], np.full(1, 1 / len(languages)), settings.lost)
-            near, far = (familiarity(f, known, settings) for f in ([features[i] for i in held], list(noise)))
+            near, far = (familiarity(f, rows, known, settings) for f, rows in ((features, held), (noise, every)))
             for k in range(len(languages)):
                 right = near[hit & (y[held] == k), k]
                 if len(right) >= settings.enough:
@@ -264,8 +303,6 @@ def learn(docs: DataFrame, held_out: Column, settings: Settings = Settings()) ->
     if last is None:
         return None
 
-    names = ["key", "lang", "buckets", "counts", "noise_buckets", "noise_counts"]
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = utf8(batch.column(2))
@@ -276,22 +313,18 @@ def learn(docs: DataFrame, held_out: Column, settings: Settings = Settings()) ->
                 some = i < j and key // 3 % 4 == 0
                 made = noise_of(data[i:j], key, settings) if some else data[:0]
                 noise += counted_subwords(np.array([0, len(made)]), made, settings)
-            columns = [pa.array([p[k] for p in x], pa.list_(pa.int32())) for x in (pairs, noise) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=names)
+            columns = [pa.array([packed(*p, settings) for p in x], pa.binary()) for x in (pairs, noise)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["key", "lang", "bag", "noise"])
 
     chosen = known.select(key.alias("key"), F.col("lang").cast("string"), F.col("text").cast("string")).filter(F.col("key") <= last)
-    lists = ", ".join(f"{x} array<int>" for x in names[2:])
-    counted = chosen.mapInArrow(count, "key long, lang string, " + lists)
-    table = counted.orderBy("key", "lang", "buckets", "counts").limit(settings.sample).toArrow().combine_chunks()
+    counted = chosen.mapInArrow(count, "key long, lang string, bag binary, noise binary")
+    table = counted.orderBy("key", "lang", "bag", "noise").limit(settings.sample).toArrow()
     if not table.num_rows:
         return None
-
-    def features(buckets: pa.ListArray, counts: pa.ListArray) -> list[tuple[np.ndarray, np.ndarray]]:
-        ends, b, c = buckets.offsets.to_numpy(), buckets.values.to_numpy(), counts.values.to_numpy()
-        return [(b[i:j], c[i:j]) for i, j in zip(ends, ends[1:])]
-
-    rows, noise = (features(table[b].chunk(0), table[c].chunk(0)) for b, c in (names[2:4], names[4:]))
-    return fit(rows, table["lang"].to_pylist(), settings, [x for x in noise if len(x[0])])
+    labels, rows, noise = table["lang"].to_pylist(), Bags(table["bag"], settings), Bags(table["noise"], settings)
+    del table
+    pa.default_memory_pool().release_unused()
+    return fit(rows, labels, settings, [x for x in noise if len(x[0])])
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -314,8 +347,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
                 spoken[:] = False
             else:
                 for a, b in slices(offsets):
-                    best[a:b], score[a:b] = model.predict(offsets[a : b + 1], data)
-                    strange[a:b] = model.foreign(offsets[a : b + 1], data, best[a:b])
+                    best[a:b], score[a:b], strange[a:b] = model.predict(offsets[a : b + 1], data)
             names = [model.languages[k] if s else UND for k, s in zip(best.tolist(), spoken.tolist())]
             score = np.where(spoken, score, 0.0)
             rejected = ~spoken | strange | (score < (model.least if model else 0.0))
