@@ -7,11 +7,14 @@ change of the number of tokens, so the sum over a text is its count. States and
 compiled when a text first needs them, into one integer table, and thrown away when there are too
 many of them.
 
-Texts are cut into chunks of equal length that step through the table side by side. The map of a
-chunk from the state before it to the state behind it is constant from its first piece border on;
-only the bytes before that border depend on the state that comes in. Known end states are handed
-on to the next chunk's head, all chunks that are ready at once, until none is left; maps are not
-composed, so a run of chunks without a border takes one round per chunk.
+Texts are cut into chunks of equal length that step through the table side by side. A chunk has a
+map from the state before it to the state behind it. With a piece border inside, the map is
+constant, and only the bytes before the border depend on the state that comes in. Without one, the
+map is a table over the states that can come in: first those that a run from the start of the chunk
+before would leave, then, round by round, what the maps themselves give. Chunks of equal bytes
+share a map. Each round composes the maps by doubling, a parallel prefix scan: the states that
+come in are then known up to the first chunk whose map lacks one. A state seldom depends on bytes
+far back, so a few rounds are enough for a run of any length.
 
 Nulls and empty texts count 0. Texts are taken whole. Rows are independent of each other.
 """
@@ -38,8 +41,10 @@ UNKNOWN, START = 0, 1
 TOGETHER = 1 << 20
 #: Cells of 4 bytes after which the table is thrown away, rows that it grows by, and bytes of a chunk.
 MOST_CELLS = 48_000_000
-ROWS = 32_768
+GROW = 32_768
 CHUNK = 128
+#: Rounds that an entry of a map is kept for after its last use.
+ROUNDS = 8
 #: Fewer lanes than this are stepped one by one.
 FEW = 24
 
@@ -120,7 +125,7 @@ class Transducer:
         # Bytes get a column of the table when a text first holds them.
         self.column = np.full(256, -1, np.int16)
         self.bytes: list[int] = []
-        self.table = np.full((ROWS, 64), -1, np.int32)
+        self.table = np.full((GROW, 64), -1, np.int32)
         self.table[UNKNOWN] = UNKNOWN << 8 | 128
 
     def columns(self, data: np.ndarray) -> np.ndarray:
@@ -154,7 +159,7 @@ class Transducer:
             target = self.number[key] = len(self.states)
             self.states.append(key)
             if target >= len(self.table):
-                self.table = np.concatenate([self.table, np.full((ROWS, self.table.shape[1]), -1, np.int32)])
+                self.table = np.concatenate([self.table, np.full((GROW, self.table.shape[1]), -1, np.int32)])
         change = total
         if not -128 <= change < 128:
             raise ValueError("a transition changes the count by too much")
@@ -179,8 +184,69 @@ class Transducer:
             out[j] = (packed & 255) - 128
         return state
 
-    def follow(self, state: int, data: np.ndarray, out: np.ndarray, known: int) -> int:
-        """One lane, byte by byte. Gives the state behind a whole chunk, ``known`` for a part of one."""
+    def composed(self, grid: np.ndarray, free: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """States behind the chunks ``free``, which have no border; ``end`` has those behind the others."""
+        alike = np.ascontiguousarray(grid[:, free].T).view(np.dtype((np.void, grid.itemsize * CHUNK))).ravel()
+        _, sample, kind = np.unique(alike, return_index=True, return_inverse=True)
+        result, self.rounds = np.full(len(free), UNKNOWN, np.int32), 0
+        # All maps in one sorted table: (kind of chunk, state that comes in), state behind, round.
+        keys, images, made = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        left = np.arange(len(free))
+        linked = np.concatenate([[False], np.diff(free) == 1])  # the chunk before is one of them as well
+        coming = np.where(linked, START, end[free - 1]).astype(np.int64)
+        while len(left):
+            self.rounds += 1
+            used = kind[left] << 32 | coming[left]
+            made[np.isin(keys, used)] = self.rounds
+            wanted = np.setdiff1d(used, keys)
+            lanes = np.ascontiguousarray(grid[:, free[sample[wanted >> 32]]])
+            behind = self.run((wanted & 0xFFFFFFFF).astype(np.int32), lanes, None, np.zeros(lanes.shape, np.int8))
+            recent = made > self.rounds - ROUNDS
+            keys, images, made = (
+                np.concatenate(x) for x in ((keys[recent], wanted), (images[recent], behind), (made[recent], np.full(len(wanted), self.rounds)))
+            )
+            order = np.argsort(keys, kind="stable")
+            keys, images, made = keys[order], images[order], made[order]
+            state = self.scan(kind[left], linked[left], coming[left], keys, images)
+            result[left] = state
+            # What a map gives comes into the next chunk, for certain where the scan knows it.
+            guess = images[np.searchsorted(keys, used)]
+            guess = np.where(state != UNKNOWN, state, guess)
+            rest = np.flatnonzero(state == UNKNOWN)
+            coming[left[rest]] = guess[rest - 1]
+            linked[left[rest]] &= state[rest - 1] == UNKNOWN
+            left = left[rest]
+        return result
+
+    def scan(self, kind: np.ndarray, linked: np.ndarray, coming: np.ndarray, keys: np.ndarray, images: np.ndarray) -> np.ndarray:
+        """State behind each chunk by maps composed over 1, 2, 4 ... chunks; unknown where a map lacks the state.
+
+        A linked chunk follows the one before it in the arrays, the others start from ``coming``.
+        """
+        low, high = np.searchsorted(keys, kind << 32), np.searchsorted(keys, kind + 1 << 32)
+        first = np.concatenate([[0], np.cumsum(high - low)])
+        # An entry of a chunk's map is a node; its step leads to the entry of the next chunk that takes its state.
+        chunk = np.repeat(np.arange(len(kind)), high - low)
+        entry = np.arange(first[-1]) - first[chunk] + low[chunk]
+        none = int(first[-1])
+        step = np.full(none + 1, none)
+        goes = np.flatnonzero(np.append(linked[1:], False)[chunk])
+        wanted = kind[chunk[goes] + 1] << 32 | images[entry[goes]].astype(np.int64)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        step[goes] = np.where(keys[at] == wanted, first[chunk[goes] + 1] + at - low[chunk[goes] + 1], none)
+        steps, heads = [step], np.flatnonzero(~linked)
+        for _ in range(int(np.diff(np.append(heads, len(kind))).max() - 1).bit_length() - 1):
+            steps.append(steps[-1][steps[-1]])
+        known = first[heads] + np.searchsorted(keys, kind[heads] << 32 | coming[heads]) - low[heads]
+        for step in steps[::-1]:
+            known = np.concatenate([known, step[known]])
+        known = known[known != none]
+        out = np.full(len(kind), UNKNOWN, np.int32)
+        out[chunk[known]] = images[entry[known]]
+        return out
+
+    def follow(self, state: int, data: np.ndarray, out: np.ndarray) -> None:
+        """One lane, byte by byte."""
         item, state, changes = self.table.item, int(state), []
         for column in data.tolist():
             packed = item(state, column)
@@ -190,7 +256,6 @@ class Transducer:
             state = packed >> 8
             changes.append((packed & 255) - 128)
         out[:] = changes
-        return state if len(data) == CHUNK else int(known)
 
     def changes(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Change of the number of tokens at each byte; ``starts`` marks the first byte of each piece."""
@@ -203,31 +268,26 @@ class Transducer:
         restart = np.concatenate([starts, np.zeros(pad, bool)]).reshape(lanes, CHUNK).T.copy()
         out = np.zeros((CHUNK, lanes), np.int8)
         end = self.run(np.zeros(lanes, np.int32), grid, restart, out)
+        # Maps of the chunks without a border; nobody needs the state behind the last chunk.
+        free = np.flatnonzero(~restart[:, :-1].any(0))
+        if len(free):
+            end[free] = self.composed(grid, free, end)
         # Heads: the bytes before a chunk's first border, from the end state of the chunk before.
         head = np.where(restart.any(0), restart.argmax(0), CHUNK)
         head[-1] = min(head[-1], CHUNK - pad)
-        waiting = np.flatnonzero(head > 0)
-        waiting = waiting[waiting > 0]
-        while len(waiting):
-            ready = waiting[end[waiting - 1] != UNKNOWN]
-            if len(ready) < FEW:
-                for k in ready.tolist():
-                    end[k] = self.follow(end[k - 1], grid[: head[k], k], out[: head[k], k], end[k])
-                waiting = np.setdiff1d(waiting, ready, assume_unique=True)
-                continue
-            longest = int(head[ready].max())
-            state, part = end[ready - 1], np.zeros((longest, len(ready)), np.int8)
-            order = np.argsort(-head[ready], kind="stable")
-            ready, state = ready[order], state[order]
-            for j in range(longest):
-                live = int(np.searchsorted(-head[ready], -j, "left"))  # lanes with a longer head
-                state[:live] = self.run(state[:live], grid[j : j + 1, ready[:live]], None, part[j : j + 1, :live])
-            for j in range(longest):
-                live = int(np.searchsorted(-head[ready], -j, "left"))
-                out[j, ready[:live]] = part[j, :live]
-            whole = head[ready] == CHUNK
-            end[ready[whole]] = state[whole]
-            waiting = np.setdiff1d(waiting, ready, assume_unique=True)
+        ready = np.flatnonzero(head > 0)
+        ready = ready[ready > 0]
+        if len(ready) < FEW:
+            for k in ready.tolist():
+                self.follow(end[k - 1], grid[: head[k], k], out[: head[k], k])
+            return out.T.reshape(-1)[:n]
+        ready = ready[np.argsort(-head[ready], kind="stable")]
+        state = end[ready - 1]
+        for j in range(int(head[ready[0]])):
+            live = int(np.searchsorted(-head[ready], -j, "left"))  # lanes with a longer head
+            part = np.zeros((1, live), np.int8)
+            state[:live] = self.run(state[:live], grid[j : j + 1, ready[:live]], None, part)
+            out[j, ready[:live]] = part[0]
         return out.T.reshape(-1)[:n]
 
     def counts(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:

@@ -61,6 +61,29 @@ def test_transducer_after_its_table_was_emptied(library, monkeypatch):
         assert machine.counts(offsets, data).tolist() == [len(library.encode(text, add_special_tokens=False).ids)]
 
 
+def test_maps_of_long_runs_are_composed(library, monkeypatch):
+    """A megabyte without a border takes few rounds, each of as many steps as the logarithm of the chunks."""
+    machine, rng, rounds = token_transducer.Transducer(BYTES), random.Random(4), []
+    plain = token_transducer.Transducer.composed
+
+    def counted(self, *args):
+        out = plain(self, *args)
+        rounds.append(self.rounds)
+        return out
+
+    monkeypatch.setattr(token_transducer.Transducer, "composed", counted)
+    any_of = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = ["x" * 77 + "a" * 1_000_000, any_of("abcdefghij", 100_000), "abc" * 60_000, any_of("0123456789", 30_000)]
+    texts += ["-" * 50_001 + "=" * 5_000 + "-=" * 20_000, any_of("漢字語文", 20_000), ("q" * 300 + " ") * 40, " " * 9_000 + "x"]
+    for text in texts:
+        rounds.clear()
+        assert machine.counts(*utf8(pa.array([text]))).tolist() == [len(library.encode(text, add_special_tokens=False).ids)], text[:9]
+        assert 1 <= max(rounds) <= 8
+    monkeypatch.setattr(token_transducer, "ROUNDS", 1)  # maps forget all but the last entries
+    offsets, data = utf8(pa.array(texts[1:]))
+    assert token_transducer.Transducer(BYTES).counts(offsets, data).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts[1:]]
+
+
 def test_queries_on_odd_rows(frame, odd, library):
     docs = frame(odd)
     expected = [(i, library.encode(t or "", add_special_tokens=False).ids, t or "") for i, t in odd]
