@@ -8,11 +8,15 @@ next bound is below its k-th score so far.
 
 Blocks are gathered into shards of a fixed number of blocks, and queries into batches of a fixed
 number. A task holds one shard and lets the batches pass by one after the other, so memory is
-bounded. Every batch first searches one shard; the scores found there are the starting point in
-all others, where a block whose bound is below the k-th score is not scored. At most k rows per
-query and shard leave a task.
-
-Vectors that are null or hold a null or non-finite component take no part, nor do rows with a null
+bounded. The extremes of a shard's dimensions are kept in a small table. Every batch first
+searches the shard with the largest bounds; the scores found there are the starting point in all
+others. A batch is sent only to shards whose bound reaches the k-th score of one of its queries,
+and there a block whose bound is below the k-th score is not scored. At most k rows per query and
+shard leave a task. Bounds are computed where pages of shards meet groups of batches, both of a
+fixed size.
+
+Components beyond the range of a long count as the end of that range, and so do scores; sums are
+exact in between. Vectors that are null or hold a null or non-finite component take no part, nor do rows with a null
 id. Vectors of different lengths are padded with zeros. A candidate with the query's own id is the
 query's own; a repeated query row has its own result, repeated candidates are ranked each.
 Ties go to the smaller id. An empty table gives no rows. Further columns are ignored.
@@ -33,7 +37,11 @@ from govspark.llm.common import materialise
 BLOCK = 1024
 SHARD_BLOCKS = 16
 BATCH = 256
-LOWEST = np.iinfo(np.int64).min + 1
+#: Shards of a page and batches of a group, which meet in one step to be bounded.
+PAGE = 1024
+GROUP = 64
+HIGHEST = np.iinfo(np.int64).max
+LOWEST = -HIGHEST
 
 
 def quantised(vectors: DataFrame, scale: int) -> DataFrame:
@@ -51,7 +59,7 @@ def packed(rows: list, width: int = 0) -> tuple[int, str, bytes]:
     out = np.zeros((len(rows), width), np.int64)
     for i, row in enumerate(rows):
         out[i, : len(row)] = row
-    most = int(np.abs(out).max(initial=0))
+    most = max(int(out.max(initial=0)), -int(out.min(initial=0)))
     kind = next(t for t in ("<i1", "<i2", "<i4", "<i8") if t == "<i8" or most < np.iinfo(t).max)
     return width, kind, out.astype(kind).tobytes()
 
@@ -89,10 +97,19 @@ def product(q: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer products; in floating point only where every sum is exact in it."""
     width = min(q.shape[1], b.shape[1])
     q, b = q[:, :width], b[:, :width]
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(width, 1)
+    most = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(b.astype(np.float64)).max(initial=0)) * max(width, 1)
     if most < 2**53:
         return np.rint(q.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    return q @ b.T
+    if most < 2**62:
+        return q @ b.T
+    return np.clip(q.astype(object) @ b.T.astype(object), LOWEST + 1, HIGHEST - 1).astype(np.int64)
+
+
+def bounded(queries: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Largest possible score of each query with vectors between the rows of ``high`` and ``low``."""
+    width = min(queries.shape[1], high.shape[1])
+    queries, high, low = queries[:, :width], high[:, :width], low[:, :width]
+    return product(np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], 1), np.concatenate([high, low], 1))
 
 
 def search(queries: np.ndarray, own: np.ndarray, known: np.ndarray, parts: list, k: int) -> list:
@@ -104,8 +121,7 @@ def search(queries: np.ndarray, own: np.ndarray, known: np.ndarray, parts: list,
     n = len(queries)
     bounds = np.empty((n, len(parts)), np.int64)
     for j, (_, data) in enumerate(parts):
-        high, low = data.max(0, keepdims=True), data.min(0, keepdims=True)
-        bounds[:, j] = (product(np.maximum(queries, 0), high) + product(np.minimum(queries, 0), low))[:, 0]
+        bounds[:, j] = bounded(queries, data.max(0, keepdims=True), data.min(0, keepdims=True))[:, 0]
     order = np.argsort(-bounds, axis=1, kind="stable")
     best = [(s, i, np.zeros(len(s), bool)) for s, i in zip(known[:, 0], known[:, 1])]
     kth = known[:, 0, -1].copy()
@@ -147,7 +163,7 @@ def _round(batches: DataFrame, shards: DataFrame, k: int) -> DataFrame:
                     parts.append((ids, data))
                     continue
                 known = np.full((len(ids), 2, k), LOWEST, np.int64)
-                known[:, 1] = np.iinfo(np.int64).max
+                known[:, 1] = HIGHEST
                 if row.known is not None:
                     known = np.frombuffer(row.known, "<i8").reshape(len(ids), 2, k)
                 found = search(data, ids, known, parts, k) if parts else [(empty[:0], empty[:0])] * len(ids)
@@ -172,7 +188,7 @@ def _carried(batches: DataFrame, first: DataFrame, k: int) -> DataFrame:
         out = batch.copy()
         for at, ids in enumerate(batch["ids"]):
             known = np.full((len(ids) // 8, 2, k), LOWEST, np.int64)
-            known[:, 1] = np.iinfo(np.int64).max
+            known[:, 1] = HIGHEST
             ordered = found.sort_values(["n", "score", "vec_id"], ascending=[True, False, True])
             place = ordered.groupby("n").cumcount().to_numpy()
             known[ordered["n"], 0, place] = ordered["score"]
@@ -184,6 +200,76 @@ def _carried(batches: DataFrame, first: DataFrame, k: int) -> DataFrame:
     return batches.groupBy("batch").cogroup(first.groupBy("batch")).applyInPandas(run, batches.schema)
 
 
+def extremes(shards: DataFrame) -> DataFrame:
+    """Width, largest and smallest component of each dimension, of each shard: one small row each."""
+
+    def block(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [unpacked(*row)[1] for row in zip(frame["ids"], frame["width"], frame["kind"], frame["data"])]
+            ends = [(x.max(0).astype("<i8").tobytes(), x.min(0).astype("<i8").tobytes()) for x in found]
+            yield pd.DataFrame({"place": frame["place"], "width": frame["width"], "high": [h for h, _ in ends], "low": [x for _, x in ends]})
+
+    def shard(frame: pd.DataFrame) -> pd.DataFrame:
+        high, low = (rows_of(frame[c], frame["width"]) for c in ("high", "low"))
+        # Shorter vectors are padded with zeros.
+        line = [frame["place"].iloc[0], high.shape[1], high.max(0).astype("<i8").tobytes(), low.min(0).astype("<i8").tobytes()]
+        return pd.DataFrame([line], columns=["place", "width", "high", "low"])
+
+    kinds = "place int, width int, high binary, low binary"
+    # A group is one shard: SHARD_BLOCKS rows.
+    return shards.select("place", "width", "kind", "ids", "data").mapInPandas(block, kinds).groupBy("place").applyInPandas(shard, kinds)
+
+
+def rows_of(data: pd.Series, width: pd.Series) -> np.ndarray:
+    out = np.zeros((len(data), max(width, default=0)), np.int64)
+    for row, x in zip(out, data):
+        row[: len(x) // 8] = np.frombuffer(x, "<i8")
+    return out
+
+
+def reached(batches: DataFrame, ends: DataFrame, pages: int, groups: int, k: int, best: bool) -> DataFrame:
+    """Shards whose bound reaches the k-th score of a query of a batch, or the best of each page: batch, place, bound.
+
+    Pages of shards meet groups of batches, so that each meeting holds a page and one batch at a time.
+    """
+    none = F.lit(None)
+    group = F.pmod(F.xxhash64("batch"), F.lit(groups)).cast("int")
+    asked = batches.select(
+        F.explode(F.sequence(F.lit(0), F.lit(pages - 1))).alias("page"), group.alias("group"), F.lit(1).alias("what"), F.col("batch").alias("id"),
+        "width", "kind", "ids", "data", "known", none.cast("binary").alias("high"), none.cast("binary").alias("low"),
+    )
+    listed = ends.select(
+        F.floor(F.col("place") / PAGE).cast("int").alias("page"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"),
+        F.lit(0).alias("what"), F.col("place").cast("long").alias("id"), "width", none.cast("string").alias("kind"),
+        *[none.cast("binary").alias(c) for c in ("ids", "data", "known")], "high", "low",
+    )
+    together = listed.unionByName(asked).repartition("page", "group").sortWithinPartitions("page", "group", "what", "id")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, rows, high = None, [], None
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                if (row.page, row.group) != at:
+                    at, rows, high = (row.page, row.group), [], None
+                if row.what == 0:
+                    rows.append((row.id, row.width, row.high, row.low))
+                    continue
+                if high is None:
+                    places, widths, *sides = zip(*rows)
+                    places, (high, low) = np.array(places, np.int64), (rows_of(x, widths) for x in sides)
+                ids, data = unpacked(row.ids, row.width, row.kind, row.data)
+                bounds = bounded(data, high, low)
+                total = bounds.astype(np.float64).sum(0)
+                if best:
+                    take = np.array([total.argmax()])
+                else:
+                    kth = np.frombuffer(row.known, "<i8").reshape(len(ids), 2, k)[:, 0, -1]
+                    take = np.flatnonzero((bounds >= kth[:, None]).any(0))
+                yield pd.DataFrame({"batch": np.full(len(take), row.id, np.int64), "place": places[take].astype(np.int32), "bound": total[take]})
+
+    return together.mapInPandas(run, "batch long, place int, bound double")
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) -> DataFrame:
     """The ``k`` candidates with the highest score of each query row: query_id, rank, vec_id, score."""
     rows = quantised(vectors, scale)
@@ -194,7 +280,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) ->
     listed = stored.select("part", shard.alias("shard")).distinct()
     places = listed.withColumn("place", F.row_number().over(Window.orderBy("part", "shard")) - 1)
     shards = materialise(stored.withColumn("shard", shard).join(places, ["part", "shard"]), "topk-shards")
-    count = int(shards.agg(F.max("place")).first()[0] or 0) + 1
     batches = materialise(
         gathered(rows.filter(is_query), BATCH).select(
             (F.col("part").cast("long") * (1 << 32) + F.col("number")).alias("batch"),
@@ -202,10 +287,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) ->
         ),
         "topk-queries",
     )
-    home = F.pmod(F.xxhash64("batch"), F.lit(count)).cast("int")
-    first = materialise(_round(batches.withColumn("place", home), shards, k), "topk-first")
-    others = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    rest = _carried(batches, first, k).withColumn("place", others).filter(F.col("place") != home)
+    ends = materialise(extremes(shards), "topk-extremes")
+    pages = int(shards.agg(F.max("place")).first()[0] or 0) // PAGE + 1
+    groups = -(-batches.count() // GROUP) or 1
+    likeliest = F.max_by("place", F.struct("bound", -F.col("place"))).alias("home")
+    homes = reached(batches, ends, pages, groups, k, best=True).groupBy("batch").agg(likeliest)
+    homes = materialise(batches.join(homes, "batch"), "topk-homes")
+    first = materialise(_round(homes.withColumn("place", F.col("home")), shards, k), "topk-first")
+    carried = materialise(_carried(homes, first, k), "topk-carried")
+    sent = reached(carried, ends, pages, groups, k, best=False).select("batch", "place")
+    rest = carried.join(sent, "batch").filter(F.col("place") != F.col("home"))
     best = Window.partitionBy("batch", "n").orderBy(F.desc("score"), "vec_id")
     found = first.unionByName(_round(rest, shards, k)).withColumn("rank", F.row_number().over(best))
     return found.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -31,6 +31,48 @@ def test_top_k_equals_brute_force(ready, monkeypatch):
     assert block_topk.top_k(df.filter("vec_id < 0"), block_topk.F.lit(True)).count() == 0
 
 
+def test_batches_go_only_to_shards_they_reach(ready, monkeypatch):
+    rng = random.Random(7)
+    for name, size in (("BLOCK", 10), ("SHARD_BLOCKS", 2), ("BATCH", 10), ("PAGE", 3), ("GROUP", 2)):
+        monkeypatch.setattr(block_topk, name, size)
+    # Clusters of 40 ids around one axis each, and a clashing column.
+    axis = lambda i: [rng.uniform(0.9, 1) if d == i // 40 % 8 else rng.uniform(-0.05, 0.05) for d in range(8)]
+    rows = [(i, axis(i), 1) for i in range(320)]
+    df = ready.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
+    sent, plain = [], block_topk._round
+
+    def counted(batches, shards, k):
+        sent.append((batches.count(), batches.select("batch").distinct().count(), shards.select("place").distinct().count()))
+        return plain(batches, shards, k)
+
+    monkeypatch.setattr(block_topk, "_round", counted)
+    got = sorted(map(tuple, block_topk.top_k(df, block_topk.F.lit(True), 5).collect()))
+    ok = [(i, [int(64 * x // 1) for x in v]) for i, v, _ in rows]
+    want = []
+    for q, v in ok:
+        best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ok if i != q)[:5]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want)
+    (one, batches, shards), (rest, _, _) = sent
+    assert one == batches and shards >= 16
+    # A cluster of 40 ids lies in two to four shards.
+    assert batches * 1 <= one + rest <= batches * 6 < batches * shards
+
+
+def test_huge_components_are_ranked_exactly(ready):
+    rows = [(0, [1.0, 0.0]), (1, [-1e300, 1.0]), (2, [-4096.0, 0.0]), (3, [3e15, -2.0]), (4, [2e15, 5.0]), (20, [1e300, 1e300])]
+    got = map(tuple, block_topk.top_k(ready.createDataFrame(rows, "vec_id long, embedding array<double>"), block_topk.F.col("vec_id") % 20 == 0).collect())
+    low, high = -(2**63), 2**63 - 1
+    ends = lambda x, a, b: max(a, min(b, x))
+    whole = [(i, [ends(int(64 * x // 1) if abs(x) < 1e300 else int(x), low, high) for x in v]) for i, v in rows]
+    want = []
+    for q, v in whole:
+        if q % 20 == 0:
+            best = sorted((-ends(sum(a * b for a, b in zip(v, w)), low + 2, high - 1), i) for i, w in whole if i != q)
+            want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    assert sorted(got) == sorted(want)
+
+
 @pytest.mark.parametrize("wide", [False, True])
 def test_packages_round_trip(ready, tmp_path, wide):
     big, small = "<p>" + "é" * 100, "<p>"
