@@ -23,7 +23,7 @@ columns are ignored by ``predict`` and kept by ``accepted``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -145,26 +145,27 @@ class Model:
         return best, p[np.arange(len(p)), best], self.foreign(rows, buckets, best)
 
 
-class Bags(Sequence):
-    """Buckets and counts of the rows of a sample, each in one flat array."""
+class Bags:
+    """Buckets, counts and shares of the rows of a sample, each in one flat array."""
 
-    def __init__(self, column: pa.ChunkedArray, settings: Settings) -> None:
-        found = [unpacked(np.frombuffer(v.as_buffer(), np.uint8), settings) for v in column]
-        self.ends = np.cumsum([0, *(len(b) for b, _ in found)])
-        self.buckets = np.empty(self.ends[-1], np.int32)
-        self.counts = np.empty(self.ends[-1], np.int32)
-        for (b, c), i in zip(found, self.ends):
-            self.buckets[i : i + len(b)], self.counts[i : i + len(b)] = b, c
+    def __init__(self, pairs: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.ends = np.cumsum([0, *(len(b) for b, _ in pairs)]).tolist()
+        self.buckets, self.counts = (np.empty(self.ends[-1], np.int32) for _ in range(2))
+        self.weights = np.empty(self.ends[-1], np.float32)
+        for (b, c), i, j in zip(pairs, self.ends, self.ends[1:]):
+            self.buckets[i:j], self.counts[i:j], self.weights[i:j] = b, c, c / max(int(c.sum()), 1)
 
     def __len__(self) -> int:
         return len(self.ends) - 1
 
     def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        if not -len(self) <= i < len(self):
-            raise IndexError(i)
-        a, b = self.ends[i % len(self) : i % len(self) + 2]
+        a, b = self.ends[i], self.ends[i + 1]
         return self.buckets[a:b], self.counts[a:b]
 
+    def shares(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.ends[i], self.ends[i + 1]
+        return self.buckets[a:b], self.weights[a:b]
+
 
 def packed(buckets: np.ndarray, counts: np.ndarray, settings: Settings) -> bytes:
     """Bytes of a count, then buckets and counts in the narrowest integers."""
@@ -187,7 +188,7 @@ def blank(settings: Settings) -> int:
     return int(subwords(np.array([0, 2]), np.full(2, 32, np.uint8), replace(settings, lengths=(2,)))[1][0])
 
 
-def likelihoods(features: Sequence, rows: np.ndarray, y: np.ndarray, languages: int, settings: Settings) -> np.ndarray:
+def likelihoods(features: Bags, rows: np.ndarray, y: np.ndarray, languages: int, settings: Settings) -> np.ndarray:
     """Log likelihood of each bucket in each language, over that of all buckets alike."""
     seen = np.full((settings.buckets, languages), 0.5)
     for i in rows:
@@ -197,7 +198,7 @@ def likelihoods(features: Sequence, rows: np.ndarray, y: np.ndarray, languages:
     return np.log(seen * settings.buckets / seen.sum(0)).astype(np.float32)
 
 
-def familiarity(features: Sequence, rows: np.ndarray, known: np.ndarray, settings: Settings) -> np.ndarray:
+def familiarity(features: Bags, rows: np.ndarray, known: np.ndarray, settings: Settings) -> np.ndarray:
     """Mean log likelihood of the subwords of each of the rows in each language."""
     skip, out = blank(settings), np.zeros((len(rows), known.shape[1]))
     for row, i in zip(out, rows):
@@ -212,7 +213,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(features: Sequence, labels: list[str], settings: Settings, noise: Sequence = ()) -> Model | None:
+def fit(features: Bags, labels: list[str], settings: Settings, noise: Bags) -> Model | None:
     """Train on rows of (bucket, count) pairs, then calibrate on those held back and on noise."""
     languages = sorted(set(labels))
     if not languages:
@@ -226,13 +227,8 @@ def fit(features: Sequence, labels: list[str], settings: Settings, noise: Sequen
     layer = np.zeros((settings.width, len(languages)))
     bias = np.zeros(len(languages))
 
-    def shares(i: int, of: Sequence = features) -> tuple[np.ndarray, np.ndarray]:
-        b, c = of[i]
-        return b, (c / max(c.sum(), 1)).astype(np.float32)
-
-    def averages(of: Sequence, rows: np.ndarray) -> np.ndarray:
-        pairs = (shares(i, of) for i in rows)
-        return np.array([s @ embeddings[b] for b, s in pairs]).reshape(len(rows), settings.width)
+    def averages(of: Bags, rows: np.ndarray) -> np.ndarray:
+        return np.array([s @ embeddings[b] for b, s in map(of.shares, rows)]).reshape(-1, settings.width)
 
     parts, step = max(1, -(-len(train) // settings.batch)), 0
     epochs = max(settings.epochs, -(-settings.steps // parts))
@@ -247,15 +243,14 @@ def fit(features: Sequence, labels: list[str], settings: Settings, noise: Sequen
             back = error @ layer.T
             layer -= rate * (x.T @ error) / max(len(part), 1) * 10
             bias -= rate * error.mean(0)
-            for i, g in zip(part, back):
-                b, s = shares(i)
+            for (b, s), g in zip(map(features.shares, part), back):
                 embeddings[b] -= rate * 10 * s[:, None] * g
     known = likelihoods(features, train, y, len(languages), settings)
     # As likely as in all buckets alike: the least where too few rows are held back to tell.
     model = Model(languages, embeddings, layer, bias, 1.0, 0.0, known, np.zeros(len(languages)), settings)
     if len(held):
         every = np.arange(len(noise))
-        raw, other = averages(features, held) @ layer + bias, averages(noise, every) @ layer + bias
+        raw, other = (averages(*x) @ layer + bias for x in ((features, held), (noise, every)))
 
         def loss(t: float) -> float:
             p = np.maximum(softmax(raw / t)[np.arange(len(held)), y[held]], 1e-12)
@@ -321,10 +316,15 @@ def learn(docs: DataFrame, held_out: Column, settings: Settings = Settings()) ->
     table = counted.orderBy("key", "lang", "bag", "noise").limit(settings.sample).toArrow()
     if not table.num_rows:
         return None
-    labels, rows, noise = table["lang"].to_pylist(), Bags(table["bag"], settings), Bags(table["noise"], settings)
+
+    def bags(name: str, least: int) -> Bags:
+        pairs = (unpacked(np.frombuffer(v.as_buffer(), np.uint8), settings) for v in table[name])
+        return Bags([x for x in pairs if len(x[0]) >= least])
+
+    labels, rows, noise = table["lang"].to_pylist(), bags("bag", 0), bags("noise", 1)
     del table
     pa.default_memory_pool().release_unused()
-    return fit(rows, labels, settings, [x for x in noise if len(x[0])])
+    return fit(rows, labels, settings, noise)
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
