@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 from govspark import rules
@@ -100,16 +100,21 @@ def promote_star(star: GoldStar, silver_path: str, gold_path: str, salt: str) ->
     """Bronze pieces of Gold to Silver and Gold; returns the Gold table, one row per line.
 
     Silver is a folder per piece. Tokens and masks are made once per order, customer or part, and
-    joined to the lines afterwards.
+    joined to the lines afterwards. Files are packed with zstd: tokens are hexadecimal digits, which
+    take half the room.
     """
     spark = star.lines.sparkSession
     for name, piece in star.pieces().items():
-        to_silver(piece, salt).write.mode("errorifexists").parquet(f"{silver_path}/{name}")
+        _packed(to_silver(piece, salt)).parquet(f"{silver_path}/{name}")
     stored = {name: spark.read.parquet(f"{silver_path}/{name}") for name in star.pieces()}
-    GoldStar(**stored).map(to_gold).joined().write.mode("errorifexists").parquet(gold_path)
+    _packed(GoldStar(**stored).map(to_gold).joined()).parquet(gold_path)
     return spark.read.parquet(gold_path)
 
 
+def _packed(df: DataFrame) -> DataFrameWriter:
+    return df.write.mode("errorifexists").option("compression", "zstd")
+
+
 def residual_check(
     df: DataFrame, text: str, detectors: tuple[Detector, ...] = rules.EXTENDED_DETECTORS
 ) -> DataFrame:

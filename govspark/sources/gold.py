@@ -113,11 +113,21 @@ class GoldStar:
         return lookup_join(self.keys, found, "l_orderkey")
 
     def joined(self) -> DataFrame:
-        """Gold rows of all pieces, without the keys."""
-        orders = self.by_order().drop("lines").withColumnRenamed("l_orderkey", "_orderkey")
-        lines = lookup_join(self.lines, self.part, "l_partkey")
-        lines = lines.join(orders, F.col("l_orderkey").eqNullSafe(F.col("_orderkey")), "left")
-        return lines.drop("l_orderkey", "l_partkey", "_orderkey")
+        """Gold rows of all pieces, without the keys.
+
+        Keys, orders and lines meet on one partitioning by the order's number. Customers, whose
+        columns are the widest and the same for many lines, come last and are shuffled once each.
+        A part piece without columns only matters if a key is in it twice, which is looked up.
+        """
+        lines = self.lines
+        if self.part.columns != ["l_partkey"] or not self.part.groupBy("l_partkey").count().filter("count > 1").isEmpty():
+            lines = lookup_join(lines, self.part, "l_partkey")
+        keys = self.keys.drop("lines").withColumnRenamed("l_orderkey", "_key")
+        # Null safe as below, so that Spark partitions alike; a null number has no order.
+        orders = self.orders.withColumnRenamed("l_orderkey", "_order").filter("_order IS NOT NULL")
+        orders = keys.join(orders, F.col("_key").eqNullSafe(F.col("_order")), "left")
+        lines = lines.join(orders, F.col("l_orderkey").eqNullSafe(F.col("_key")), "left")
+        return lookup_join(lines, self.customers, "o_custkey").drop("l_orderkey", "l_partkey", "_key", "_order", "o_custkey")
 
     def weighted(self) -> dict[str, DataFrame]:
         """Each piece with ``lines``: how many Gold rows carry a row of it. Rows that none carries are left out."""

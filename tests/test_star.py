@@ -71,6 +71,24 @@ def test_pieces_join_to_gold(star):
     assert bag(gold_star(star, some).joined(), some) == bag(gold_from_star(star, some), some)
 
 
+def test_pieces_are_shuffled_once_for_each_join(star, spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = physical(gold_star(star, ["order_id", "email"]).joined())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # The count of keys; keys, orders and lines by order; lines and customers by customer.
+    assert plan.count("hashpartitioning(") == 6 and "hashpartitioning(l_partkey" not in plan
+
+
+def test_parts_listed_twice_double_their_lines(star, spark):
+    twice = lambda name: star(name).union(star(name)) if name == "part" else star(name)
+    for columns in (["total_amount", "order_id"], ["total_amount", "category"]):
+        lines = star("lineitem").join(twice("part"), F.col("l_partkey") == F.col("p_partkey"), "left").count()
+        assert gold_star(twice, columns).joined().count() == lines > star("lineitem").count()
+
+
 def test_weights_count_the_gold_rows(star):
     gold = gold_from_star(star, ["email", "category", "order_status"])
     pieces = gold_star(star, ["email", "category", "order_status"]).weighted()
