@@ -11,10 +11,10 @@ seen), and the weights go on learning from the document itself, block by block.
 add up to the total bits of the text, and so to its probability.
 
 All training documents are gone through: words are counted in one shuffle, each task adds the
-bits it sees to tables of a fixed number of slots, which are then added block by block. Only the
-starting weights, 3 for each of 30 gates, are fitted on a bounded sample: Newton steps on the bits
-of about ``sample`` training documents picked by a hash of their ids, each bit predicted without
-its own count.
+bits it sees to tables of a fixed number of slots, which are then added block by block. The
+starting weights, 3 for each of 30 gates, are fitted on all their bits as well, each told without
+its own count: one more pass counts bits by gate and by logits rounded to ``UNIT``, and Newton steps
+go over these counts.
 The tables hold three times 2 ** ``slot_bits`` pairs of 16-bit counts, the code at most ``words``
 words: that bounds the model, not what it counts.
 
@@ -39,7 +39,6 @@ from pyspark.sql import functions as F
 
 from govspark.llm import shards
 from govspark.llm.common import materialise, utf8
-from govspark.llm.rolling import mixed
 
 ORDERS = 3
 #: Words by rank that count as frequent in a context.
@@ -73,8 +72,6 @@ class Settings:
     weights: tuple[float, ...] = (0.8, 0.3, 0.2)
     ridge: float = 16.0
     steps: int = 3
-    #: Training documents, about, whose bits these steps go through: a bound for any input.
-    sample: int = 4_000
     #: The same for a document's own weights.
     steady: float = 48.0
     #: Tokens after which a document's weights are learned anew.
@@ -298,7 +295,6 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
             "words": shards.unpacked_words(batch.column("words")[k].as_py()),
             "codes": shards.unpacked(batch.column("codes")[k].as_py(), np.int32),
             "lengths": shards.unpacked(batch.column("lengths")[k].as_py(), np.int64),
-            "names": pc.fill_null(batch.column("doc_id")[k].values, 0).to_numpy().view(np.uint64),
             "trained": ~np.asarray(batch.column("held")[k].values.to_numpy(zero_copy_only=False), bool),
         }
         yield row
@@ -528,57 +524,66 @@ def _chance(z: np.ndarray) -> np.ndarray:
     return np.float32(1) / (np.float32(1) + np.exp(-z))
 
 
-#: Sums of products that a step of all weights needs, per gate: gradient, then upper half of the curvature.
-_PAIRS = [(i, j) for i in range(ORDERS) for j in range(i, ORDERS)]
+#: Evidence is rounded to this many nats for the starting weights: that many levels to either side of 0.
+UNIT, REACH = 0.75, 16
+LEVELS = 2 * REACH + 1
 
 
-def slopes(model: Broadcast, table: Broadcast, weights: np.ndarray, share: float) -> Callable:
-    """Sums for a Newton step over the bits of a share of the training documents, in units of 2 ** -16.
+def evidence(model: Broadcast, table: Broadcast) -> Callable:
+    """How many bits of all training documents have which gate and which logits, told for the bit's own value.
 
-    Whole numbers add up to the same in any order.
+    Logits are rounded, so there are at most ``GATES * LEVELS ** ORDERS`` cells for any input.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        total = np.zeros((ORDERS + len(_PAIRS), GATES))
+        counts, one = np.zeros(GATES * LEVELS**ORDERS, np.int64), np.int64(1)
         for batch in batches:
             for row in _rows(batch):
                 shard = opened(m, row)
-                picked = shard.trained & (mixed(row["names"]) < share * 2.0**64)
                 for stream, size in zip(shard.streams, (1 << 14, 1 << 12)):
-                    for units in _pieces(stream, picked, size):
+                    for units in _pieces(stream, shard.trained, size):
                         _, slots, bit, place = stream(units)
                         st = without(m, table.value, slots, bit)
-                        gate = _gate(stream.kind, place, _seen(st))
-                        z = sum(weights[:, k][gate] * st[k] for k in range(ORDERS))
-                        p = _chance(np.clip(z, -_MOST, _MOST))
-                        miss, bend = bit - p, p * (1 - p)
-                        for k in range(ORDERS):
-                            total[k] += np.bincount(gate, miss * st[k], GATES)
-                        for k, (i, j) in enumerate(_PAIRS):
-                            total[ORDERS + k] += np.bincount(gate, bend * st[i] * st[j], GATES)
-        cells = np.rint(total * 65536).astype(np.int64).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells))), pa.array(cells)], names=["cell", "value"])
+                        cell = _gate(stream.kind, place, _seen(st))
+                        side = _SIDES[bit] / np.float32(UNIT)
+                        for x in st:
+                            x *= side
+                            cell = cell * LEVELS + (np.rint(x).astype(np.int32) + REACH)
+                        np.add.at(counts, cell, one)
+        cells = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], names=["cell", "n"])
 
     return run
 
 
-def stepped(local: DataFrame, model: Broadcast, table: Broadcast, weights: np.ndarray, share: float) -> np.ndarray:
-    """Weights of each gate (gates by predictors) after one more step."""
-    sums = np.zeros((ORDERS + len(_PAIRS)) * GATES)
-    for row in local.mapInArrow(slopes(model, table, weights, share), "cell long, value long").groupBy("cell").agg(F.sum("value").alias("v")).collect():
-        sums[row["cell"]] = row["v"] / 65536
-    sums = sums.reshape(-1, GATES)
-    out = weights.copy()
-    for gate in range(GATES):
-        curve = np.eye(ORDERS) * model.value.settings.ridge
-        for k, (i, j) in enumerate(_PAIRS):
-            curve[i, j] += sums[ORDERS + k, gate]
-            curve[j, i] = curve[i, j]
-        out[gate] += np.linalg.solve(curve, sums[:ORDERS, gate])
+def fitted(cells: np.ndarray, counts: np.ndarray, s: Settings) -> np.ndarray:
+    """Weights of each gate (gates by predictors) after Newton steps over all cells of ``evidence``, in their order."""
+    out = np.tile(np.array(s.weights, np.float32), (GATES, 1))
+    cuts = np.searchsorted(cells, np.arange(GATES + 1) * LEVELS**ORDERS)
+    for gate, (first, last) in enumerate(zip(cuts[:-1], cuts[1:])):
+        places = np.unravel_index(cells[first:last] % LEVELS**ORDERS, (LEVELS,) * ORDERS)
+        told, n = (np.stack(places, 1) - REACH) * UNIT, counts[first:last]
+        for _ in range(s.steps):
+            right = _chance(np.clip(told @ out[gate], -_MOST, _MOST))
+            curve = np.eye(ORDERS) * s.ridge + (told * (n * right * (1 - right))[:, None]).T @ told
+            step = np.linalg.solve(curve, told.T @ (n * (1 - right)))
+            # Halved while it would cost more than it saves.
+            spent = n @ np.logaddexp(0, -(told @ out[gate]))
+            while n @ np.logaddexp(0, -(told @ (out[gate] + step))) > spent and np.abs(step).max() > 1e-6:
+                step /= 2
+            out[gate] += step
     return out
 
 
+def starting_weights(local: DataFrame, model: Broadcast, table: Broadcast, s: Settings) -> np.ndarray:
+    """Weights of each gate, from the bits of all training documents, each told without its own count."""
+    sums = local.mapInArrow(evidence(model, table), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells, counts = sums["cell"].to_numpy(), sums["n"].to_numpy()
+    order = np.argsort(cells)
+    return fitted(cells[order], counts[order], s)
+
+
 # ------------------------------------------------------------------ scoring
 
 
@@ -673,9 +678,7 @@ def score(docs: DataFrame, held_out: Column, s: Settings = Settings()) -> DataFr
     words = frequent(table, s.words)
     model = spark.sparkContext.broadcast(coder(words, ends, tokens - ends - sum(n for _, n in words), s))
     slots = spark.sparkContext.broadcast(tables(local, model, s))
-    weights = np.tile(np.array(s.weights, np.float32), (GATES, 1))
-    for _ in range(s.steps):
-        weights = stepped(local, model, slots, weights, min(1.0, s.sample / max(1, ends)))
+    weights = starting_weights(local, model, slots, s)
     known = shards.attach(local, counts.select("shard", "bucket", "values"))
     return known.select("words", "codes", "lengths", "doc_id", "held", "n_bytes", "values").mapInArrow(
         scored(model, slots, weights, tokens, kinds, ends),

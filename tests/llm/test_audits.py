@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 from itertools import permutations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -295,3 +296,26 @@ def test_code_is_a_full_tree():
     paths = context_mixing.paths(parent, side, weight, 99)
     lengths = [int(b - a) for a, b in zip(paths.starts[:-1], paths.starts[1:])]
     assert sum(2.0**-n for n in lengths) == 1 and lengths[3] == min(lengths)
+
+
+def test_starting_weights_learn_from_all_training_documents(corpus, monkeypatch):
+    rows = [(i, "ab cd", "en", "s") for i in range(6000)]
+    told, fitted = [], context_mixing.fitted
+    monkeypatch.setattr(context_mixing, "fitted", lambda cells, counts, s: told.append(counts.sum()) or fitted(cells, counts, s))
+    context_mixing.score(corpus(rows), held_out())
+    # Both words, the end and the escape: four paths of two bits, three of them taken in each document.
+    assert told == [6 * sum(not held(r[0]) for r in rows)]
+
+
+def test_newton_steps_find_the_weights_that_tell_the_cells_best():
+    rng = np.random.default_rng(5)
+    size = context_mixing.LEVELS**context_mixing.ORDERS
+    cells = np.unique(rng.integers(0, size, 400)) + 4 * size
+    counts = rng.integers(1, 900, len(cells))
+    s = context_mixing.Settings(steps=30, ridge=0.001)
+    found = context_mixing.fitted(cells, counts, s)
+    assert (np.delete(found, 4, 0) == np.array(s.weights, np.float32)).all()
+    levels = np.stack(np.unravel_index(cells - 4 * size, (context_mixing.LEVELS,) * 3), 1)
+    x = (levels - context_mixing.REACH) * context_mixing.UNIT
+    slope = x.T @ (counts / (1 + np.exp(np.clip(x @ found[4].astype(float), -12, 12))))
+    assert (np.abs(slope) < 1e-3 * (np.abs(x).T @ counts)).all()
