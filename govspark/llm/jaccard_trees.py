@@ -10,8 +10,8 @@ bucket, which joins groups of near copies without their pairs. Where a bucket st
 of several components, a signature tree is built over it: leaves hold the bitmap of a class's
 tokens, how many tokens fall in each of some cells, and its size, nodes the OR of the bitmaps and the ranges of sizes, free bits and
 components. A dual traversal from the root pairs nodes with nodes and drops a pair whose largest
-possible overlap is below the threshold, or that lies in one component. What is left is compared
-by whole sets. Buckets of many classes are dealt out as pairs of tiles; no pair is left out.
+possible overlap is below the threshold, or that lies in one component. A pair that meets in many
+buckets is left to one of the first. What is left is compared by whole sets. Buckets of many classes are dealt out as pairs of tiles; no pair is left out.
 
 Words are runs of other characters than ASCII white space, with A-Z lower-cased. Texts with fewer
 words than an n-gram are one n-gram; texts without words, and nulls, have no set and no links. Equal
@@ -53,6 +53,8 @@ class Settings:
 
 #: Cells of a set's counts. Bitmaps of large sets are full; counts of cells still tell them apart.
 CELLS, FULL = 128, 255
+#: Smallest tokens of a class's buckets that go with it, and what fills up shorter lists.
+LEAST, NONE = 8, (1 << 63) - 1
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -260,14 +262,27 @@ def tree_pairs(
     return i[good], j[good]
 
 
+def first_met(least: np.ndarray, i: np.ndarray, j: np.ndarray, token: int) -> np.ndarray:
+    """Which pairs have no token below ``token`` in the lists of both."""
+    out = np.ones(len(i), bool)
+    for k in range(0, len(i), 1 << 14):
+        x, y = least[i[k : k + (1 << 14)]], least[j[k : k + (1 << 14)]]
+        out[k : k + (1 << 14)] = ~((x[:, :, None] == y[:, None, :]) & (x < token)[:, :, None]).any((1, 2))
+    return out
+
+
 def bucket_pairs(members: DataFrame, s: Settings) -> DataFrame:
-    """Candidate pairs of classes from buckets of (token, key, n, comp, signature, cells, count)."""
+    """Candidate pairs of classes from buckets of (token, key, n, comp, signature, cells, least, count).
+
+    A pair is judged alike in each bucket it meets in, so the bucket of a token leaves it out if the
+    lists ``least`` of both name a smaller one: its bucket holds both and gives the pair.
+    """
     tiles = F.ceil(F.col("count") / s.tile).cast("long")
     tiled = members.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("key"), F.col("tiles")))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     group = ["token", "low", "high"]
     rows = tiled.select(
-        "token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "key", "n", "comp", "signature", "cells"
+        "token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "key", "n", "comp", "signature", "cells", "least"
     )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -286,9 +301,12 @@ def bucket_pairs(members: DataFrame, s: Settings) -> DataFrame:
         keys, sizes, comps = (frame[c].to_numpy(np.int64) for c in ("key", "n", "comp"))
         bitmaps = np.frombuffer(b"".join(frame["signature"]), np.uint64).reshape(len(frame), -1)
         cells = np.frombuffer(b"".join(frame["cells"]), np.uint8).reshape(len(frame), -1)
+        tokens, least = frame["token"].to_numpy(np.int64), np.stack(frame["least"].to_numpy())
         out = []
         for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(frame)]):
             i, j = tree_pairs(sizes[a:b], bitmaps[a:b], comps[a:b], cells[a:b], s)
+            new = first_met(least[a:b], i, j, tokens[a])
+            i, j = i[new], j[new]
             if len(i):
                 out.append(np.sort(np.stack([keys[a + i], keys[a + j]], 1), 1))
         out = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
@@ -322,7 +340,10 @@ def grouped_rows(docs: DataFrame, s: Settings) -> DataFrame:
     placed = materialise(placed.select("token", "key", F.coalesce("component", "key").alias("comp")), "jaccard-placed")
     split = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("count"))
     split = materialise(split.filter("low != high").select("token", "count"), "jaccard-split")
-    found = bucket_pairs(placed.join(split, "token").join(narrow(signs, s), "key"), s)
+    open_ = placed.join(split, "token")
+    listed = F.concat(F.sort_array(F.collect_set("token")), F.array_repeat(F.lit(NONE), LEAST))
+    least = open_.groupBy("key").agg(F.slice(listed, 1, LEAST).alias("least"))
+    found = bucket_pairs(open_.join(narrow(signs, s), "key").join(least, "key"), s)
     found = materialise(likely(found.join(stars, ["a", "b"], "left_anti"), signs, s), "jaccard-pairs")
     more = linked(docs, classes, found, s)
     comps = components(links.union(more), "jaccard-last").withColumnRenamed("node", "key")

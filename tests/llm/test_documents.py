@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from govspark.llm import budgets, divergence, jaccard_trees, subword_language, suffix_dedup
@@ -60,6 +61,20 @@ def test_groups_equal_brute_force(frame, odd, s):
     assert got == plain_groups(rows, s)
 
 
+def test_pairs_that_share_many_tokens_come_from_one_bucket(ready, monkeypatch):
+    s = jaccard_trees.Settings()
+    tokens = np.arange(1, 61, dtype=np.uint64) * np.uint64(7)
+    rows = []
+    for key in (5, 6):
+        own = np.append(tokens, np.uint64(1000 + key))
+        marks = bytearray(jaccard_trees.signature(own, s.bits)), bytearray(jaccard_trees.counted(own))
+        rows += [(int(t), key, 61, key, *marks, 2, [int(x) for x in tokens[: jaccard_trees.LEAST]]) for t in tokens]
+    members = ready.createDataFrame(rows, "token long, key long, n long, comp long, signature binary, cells binary, count long, least array<long>")
+    monkeypatch.setattr(type(members), "distinct", lambda df: df)
+    got = [tuple(r) for r in jaccard_trees.bucket_pairs(members.repartition(4), s).collect()]
+    assert got == [(5, 6)]
+
+
 def test_one_of_each_group_stays(frame):
     rows = near_copies()
     kept = sorted(r["doc_id"] for r in jaccard_trees.one_of_each(frame(rows)).collect())
