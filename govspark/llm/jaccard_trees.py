@@ -6,8 +6,8 @@ sets in any fixed order; tokens that many documents have come last in that order
 passages many documents share bring no classes together.
 
 Classes that share such a token meet in its bucket. First each meets the smallest class of the
-bucket, which joins groups of near copies without their pairs. Where a bucket still holds classes
-of several components, a signature tree is built over it: leaves hold the bitmap of a class's
+bucket, which joins groups of near copies without their pairs. That class is done then. Where the
+others of a bucket still are of several components, a signature tree is built over them: leaves hold the bitmap of a class's
 tokens, how many tokens fall in each of some cells, and its size, nodes the OR of the bitmaps and the ranges of sizes, free bits and
 components. A dual traversal from the root pairs nodes with nodes and drops a pair whose largest
 possible overlap is below the threshold, or that lies in one component. A pair that meets in many
@@ -335,15 +335,16 @@ def grouped_rows(docs: DataFrame, s: Settings) -> DataFrame:
     stars = materialise(likely(stars, signs, s), "jaccard-stars")
     links = materialise(linked(docs, classes, stars, s), "jaccard-first")
     comps = components(links, "jaccard-first")
-    # Buckets that still hold several components.
-    placed = members.select("token", "key").join(comps.withColumnRenamed("node", "key"), "key", "left")
+    # Buckets that still hold several components besides the centre, all of whose pairs were stars.
+    placed = members.filter("key != centre").select("token", "key").join(comps.withColumnRenamed("node", "key"), "key", "left")
     placed = materialise(placed.select("token", "key", F.coalesce("component", "key").alias("comp")), "jaccard-placed")
     split = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("count"))
     split = materialise(split.filter("low != high").select("token", "count"), "jaccard-split")
     open_ = placed.join(split, "token")
     listed = F.concat(F.sort_array(F.collect_set("token")), F.array_repeat(F.lit(NONE), LEAST))
     least = open_.groupBy("key").agg(F.slice(listed, 1, LEAST).alias("least"))
-    found = bucket_pairs(open_.join(narrow(signs, s), "key").join(least, "key"), s)
+    # Written, as the join below would else be run on each pair as often as buckets gave it.
+    found = materialise(bucket_pairs(open_.join(narrow(signs, s), "key").join(least, "key"), s), "jaccard-found")
     found = materialise(likely(found.join(stars, ["a", "b"], "left_anti"), signs, s), "jaccard-pairs")
     more = linked(docs, classes, found, s)
     comps = components(links.union(more), "jaccard-last").withColumnRenamed("node", "key")

@@ -75,6 +75,18 @@ def test_pairs_that_share_many_tokens_come_from_one_bucket(ready, monkeypatch):
     assert got == [(5, 6)]
 
 
+def test_pairs_of_a_bucket_with_its_centre_are_no_work_of_the_trees(frame, monkeypatch):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:52])), (3, "other words of a third text"), (4, " ".join(words[:40] + ["x"]))]
+    seen, trees = [], jaccard_trees.bucket_pairs
+    monkeypatch.setattr(jaccard_trees, "bucket_pairs", lambda members, s: seen.append(members.select("token", "key").collect()) or trees(members, s))
+    for some in (rows[:1] + rows[2:], rows):
+        got = sorted(map(tuple, jaccard_trees.joined(frame(some)).collect()))
+        assert got == plain_groups(some, jaccard_trees.Settings())
+    # Two classes meet in the first case, and one of them is the centre of each bucket.
+    assert seen[0] == [] and len({key for _, key in seen[1]}) <= 2
+
+
 def test_one_of_each_group_stays(frame):
     rows = near_copies()
     kept = sorted(r["doc_id"] for r in jaccard_trees.one_of_each(frame(rows)).collect())
