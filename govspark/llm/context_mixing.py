@@ -89,6 +89,9 @@ class Paths(NamedTuple):
     bits: np.ndarray
     #: Bits of the steps left out, by the weights of the tree.
     rest: np.ndarray
+    #: The nodes spread over 64 bits, and the places in the code (times ``SEEN``, as gates count them).
+    spread: np.ndarray
+    places: np.ndarray
 
 
 @dataclass
@@ -164,7 +167,8 @@ def paths(parent: np.ndarray, side: np.ndarray, weight: np.ndarray, depth: int)
     rest[symbols[deep]] = np.log2(weight[nodes[deep]] / weight[symbols[deep]])
     near = far < depth
     starts = np.append(0, np.cumsum(np.bincount(symbols[near], minlength=size)))
-    return Paths(starts, (nodes[near] - size).astype(np.int32), bits[near], rest)
+    nodes = (nodes[near] - size).astype(np.int32)
+    return Paths(starts, nodes, bits[near], rest, (nodes.astype(np.uint64) + np.uint64(1)) * _ODD, _PLACE[far[near]] * SEEN)
 
 
 # ------------------------------------------------------------------ bits of the documents of a shard
@@ -175,11 +179,14 @@ class Bits:
 
     ``bounds`` are the units of each document, one document after the other. Called with numbers of
     units it gives, bit by bit: the place of the unit in that list, slots of the predictors, bit
-    and place in the code.
+    and place in the code times ``SEEN``.
+
+    Units of one ``alike`` have the same bits and slots.
     """
 
     kind: int
     bounds: np.ndarray
+    alike: np.ndarray
 
     def __call__(self, units: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
         raise NotImplementedError
@@ -192,6 +199,16 @@ def _spread(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
     return which, far, starts[which] + far
 
 
+def _steps(paths: Paths, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The steps of the symbols' paths, one symbol after the other: which symbol, and place in the paths."""
+    starts = paths.starts.take(symbols)
+    lengths = paths.starts.take(symbols + 1) - starts
+    which = np.repeat(np.arange(len(symbols)), lengths)
+    place = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+    place += np.arange(len(place))
+    return which, place
+
+
 def _slot(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
     """Slots of nodes, which are spread already, under their contexts."""
     out = context ^ node
@@ -216,17 +233,24 @@ class WordBits(Bits):
         places[bounds[:-1]] = bounds[:-1]
         places = np.maximum.accumulate(places)
         self.contexts = [before[places] * _ODD + np.uint64(5), before * _MIX]
+        self.before, self.places = named, places
+
+    @cached_property
+    def alike(self) -> np.ndarray:
+        """Symbol, last very frequent word and word before as one number, 0 for none at the start."""
+        names = np.unique(self.before, return_inverse=True)[1] + 1
+        before = np.append(0, names[:-1])
+        before[self.bounds[:-1]] = 0
+        often = before.take(self.places)
+        size = names.max(initial=0) + 1
+        return (self.symbols * size + often) * size + before
 
     def __call__(self, units):
-        m = self.model
-        symbols = self.symbols[units]
-        starts = m.word_paths.starts[symbols]
-        which, far, place = _spread(starts, m.word_paths.starts[symbols + 1] - starts)
-        node = (m.word_paths.nodes[place].astype(np.uint64) + np.uint64(1)) * _ODD
-        bits = m.settings.slot_bits
-        contexts = [c[units] for c in self.contexts]
-        slots = [_slot(np.uint64(0), node, bits), *[_slot(c[which], node, bits) for c in contexts]]
-        return which, slots, m.word_paths.bits[place], _PLACE[far]
+        paths, bits = self.model.word_paths, self.model.settings.slot_bits
+        which, place = _steps(paths, self.symbols.take(units))
+        node = paths.spread.take(place)
+        slots = [_slot(np.uint64(0), node, bits), *[_slot(c.take(units).take(which), node, bits) for c in self.contexts]]
+        return which, slots, paths.bits.take(place), paths.places.take(place)
 
 
 class ByteBits(Bits):
@@ -235,6 +259,10 @@ class ByteBits(Bits):
     def __init__(self, model: Model, starts: np.ndarray, lengths: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> None:
         self.model, self.starts, self.lengths, self.data, self.bounds = model, starts, lengths, data, bounds
 
+    @property
+    def alike(self) -> np.ndarray:
+        return self.starts
+
     def __call__(self, units):
         lengths = self.lengths[units] + 1
         which, far, place = _spread(self.starts[units], lengths)
@@ -247,11 +275,10 @@ class ByteBits(Bits):
             context = (context * np.uint64(257) + back + np.uint64(1)) * _MIX
             contexts.append(context)
         tree = self.model.byte_paths
-        starts = tree.starts[byte]
-        owner, step, place = _spread(starts, tree.starts[byte.astype(np.int64) + 1] - starts)
-        node = (tree.nodes[place].astype(np.uint64) + np.uint64(1)) * _ODD
-        slots = [_slot(c[owner], node, self.model.settings.slot_bits) for c in contexts]
-        return which[owner], slots, tree.bits[place], _PLACE[step]
+        owner, place = _steps(tree, byte.astype(np.int64))
+        node = tree.spread.take(place)
+        slots = [_slot(c.take(owner), node, self.model.settings.slot_bits) for c in contexts]
+        return which.take(owner), slots, tree.bits.take(place), tree.places.take(place)
 
 
 @dataclass
@@ -300,11 +327,13 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield row
 
 
-def _pieces(stream: Bits, docs: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    """Units of the marked documents, some thousands at a time."""
+def _pieces(stream: Bits, docs: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Units of the marked documents, one of all that are alike and how many, some thousands at a time."""
     units = np.flatnonzero(np.repeat(docs, np.diff(stream.bounds)))
+    _, first, count = np.unique(stream.alike[units], return_index=True, return_counts=True)
+    units = units[first]
     for k in range(0, len(units), size):
-        yield units[k : k + size]
+        yield units[k : k + size], count[k : k + size]
 
 
 # ------------------------------------------------------------------ learning
@@ -424,16 +453,18 @@ def tallied(model: Broadcast) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        counts, one = np.zeros((ORDERS, 2 << m.settings.slot_bits), np.int64), np.int64(1)
+        counts = np.zeros((ORDERS, 2 << m.settings.slot_bits), np.int64)
         for batch in batches:
             for row in _rows(batch):
                 shard = opened(m, row)
-                for stream, size in zip(shard.streams, (1 << 14, 1 << 12)):
-                    for units in _pieces(stream, shard.trained, size):
-                        _, slots, bit, _ = stream(units)
+                for stream, size in zip(shard.streams, (1 << 12, 1 << 10)):
+                    for units, count in _pieces(stream, shard.trained, size):
+                        which, slots, bit, _ = stream(units)
+                        count = count.take(which)
                         for k, slot in enumerate(slots):
-                            slot += slot + bit
-                            np.add.at(counts[k], slot, one)
+                            slot += slot
+                            slot += bit
+                            np.add.at(counts[k], slot, count)
         for order in range(ORDERS):
             for part, block in enumerate(counts[order].reshape(-1, 2 * BLOCK)):
                 if block.any():
@@ -504,8 +535,8 @@ def without(model: Model, table: np.ndarray, slots: list[np.ndarray], own: np.nd
     log = _logs(model.settings.start)
     out = []
     for k, slot in enumerate(slots):
-        ones, zeros = halves(table[k][slot])
-        out.append(log[ones - np.minimum(ones, own)] - log[zeros - np.minimum(zeros, 1 - own)])
+        ones, zeros = halves(table[k].take(slot))
+        out.append(log.take(ones - np.minimum(ones, own)) - log.take(zeros - np.minimum(zeros, 1 - own)))
     return out
 
 
@@ -517,7 +548,8 @@ def _seen(st: list[np.ndarray]) -> np.ndarray:
 
 
 def _gate(kind: int, place: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    return (kind * PLACES + place) * SEEN + seen
+    """Numbers of gates; ``place`` comes times ``SEEN``."""
+    return place + (seen + np.int32(kind * PLACES * SEEN))
 
 
 def _chance(z: np.ndarray) -> np.ndarray:
@@ -537,20 +569,20 @@ def evidence(model: Broadcast, table: Broadcast) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        counts, one = np.zeros(GATES * LEVELS**ORDERS, np.int64), np.int64(1)
+        counts = np.zeros(GATES * LEVELS**ORDERS, np.int64)
         for batch in batches:
             for row in _rows(batch):
                 shard = opened(m, row)
-                for stream, size in zip(shard.streams, (1 << 14, 1 << 12)):
-                    for units in _pieces(stream, shard.trained, size):
-                        _, slots, bit, place = stream(units)
+                for stream, size in zip(shard.streams, (1 << 12, 1 << 10)):
+                    for units, count in _pieces(stream, shard.trained, size):
+                        which, slots, bit, place = stream(units)
                         st = without(m, table.value, slots, bit)
                         cell = _gate(stream.kind, place, _seen(st))
-                        side = _SIDES[bit] / np.float32(UNIT)
+                        side = _SIDES.take(bit) / np.float32(UNIT)
                         for x in st:
                             x *= side
                             cell = cell * LEVELS + (np.rint(x).astype(np.int32) + REACH)
-                        np.add.at(counts, cell, one)
+                        np.add.at(counts, cell, count.take(which))
         cells = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], names=["cell", "n"])
 
@@ -598,13 +630,14 @@ def _lanes(m: Model, logits: np.ndarray, starting: np.ndarray, stream: Bits, doc
         size = np.minimum(lasts - firsts, s.block)
         lane, _, units = _spread(firsts, size)
         which, slots, bit, place = stream(units)
-        lane = lane[which]
-        st = [table[slot] for table, slot in zip(logits, slots)]
-        cell = lane * GATES + _gate(stream.kind, place, _seen(st))
-        z = weights[0][cell] * st[0]
+        lane = lane.take(which)
+        st = [table.take(slot) for table, slot in zip(logits, slots)]
+        cell = lane * GATES
+        cell += _gate(stream.kind, place, _seen(st))
+        z = weights[0].take(cell) * st[0]
         for w, x in zip(weights[1:], st[1:]):
-            z += w[cell] * x
-        side = _SIDES[bit]
+            z += w.take(cell) * x
+        side = _SIDES.take(bit)
         z *= side
         np.minimum(np.maximum(z, -_MOST, out=z), _MOST, out=z)
         right = _chance(z)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -307,6 +308,27 @@ def test_starting_weights_learn_from_all_training_documents(corpus, monkeypatch)
     assert told == [6 * sum(not held(r[0]) for r in rows)]
 
 
+def test_bits_of_units_that_are_alike_are_told_once(monkeypatch):
+    monkeypatch.setattr(context_mixing.shards, "numbers", lambda: iter(range(9)))
+    texts = ["ab cd ab cd new", "cd other new"] * 100
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(200), pa.int64()), "held": [False] * 200, "text": texts})
+    rows = list(context_mixing._local(iter([batch])))
+    model = context_mixing.coder([("cd", 300), ("ab", 200)], 200, 300, context_mixing.Settings())
+    told, run = [], {}
+    for kind in (context_mixing.WordBits, context_mixing.ByteBits):
+        run[kind] = kind.__call__
+        monkeypatch.setattr(kind, "__call__", lambda self, units, kind=kind: told.append((kind, len(units))) or run[kind](self, units))
+    parts = list(context_mixing.tallied(type("Held", (), {"value": model}))(iter(rows)))
+    # Pairs of a symbol and the one before: five in the first text, two more in the other one. Two words are spelled.
+    assert told == [(context_mixing.WordBits, 7), (context_mixing.ByteBits, 2)]
+    tokens = model.word_paths.starts[1:] - model.word_paths.starts[:-1]
+    letters = model.byte_paths.starts[1:] - model.byte_paths.starts[:-1]
+    bits = sum(n * int(tokens[k]) for n, k in ((300, 0), (200, 1), (200, 2), (300, 3)))
+    bits += sum(int(letters[b]) for t in texts for w in t.split() if w not in ("ab", "cd") for b in (w + " ").encode())
+    counted = [(k, n.sum()) for part in parts for k, _, n in context_mixing._counts(part)]
+    assert [sum(n for k, n in counted if k == order) for order in range(context_mixing.ORDERS)] == [bits] * 3
+
+
 def test_newton_steps_find_the_weights_that_tell_the_cells_best():
     rng = np.random.default_rng(5)
     size = context_mixing.LEVELS**context_mixing.ORDERS
