@@ -53,6 +53,8 @@ class Settings:
 
 #: Cells of a set's counts. Bitmaps of large sets are full; counts of cells still tell them apart.
 CELLS, FULL = 128, 255
+#: Pairs of nodes that are looked at together, and candidate pairs that a task gives at once.
+BLOCK = 1 << 17
 #: Smallest tokens of a class's buckets that go with it, and what fills up shorter lists.
 LEAST, NONE = 8, (1 << 63) - 1
 LOWER = np.arange(256, dtype=np.uint8)
@@ -231,10 +233,11 @@ class Level:
 
 def tree_pairs(
     sizes: np.ndarray, bitmaps: np.ndarray, comps: np.ndarray, cells: np.ndarray, s: Settings
-) -> tuple[np.ndarray, np.ndarray]:
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of members of a bucket that the dual traversal leaves: two components, enough overlap.
 
-    Leaves are then judged by the counts of their cells as well, some thousand pairs at a time.
+    The traversal goes down by blocks of pairs, the last one first, so that its memory does not
+    follow the number of pairs. Leaves are then judged by the counts of their cells as well.
     """
     ones = np.bitwise_count(bitmaps).sum(1, dtype=np.int64)
     order = np.lexsort((comps, sizes))
@@ -242,24 +245,32 @@ def tree_pairs(
     levels = [leaf]
     while len(levels[-1].low) > 1:
         levels.append(levels[-1].above(s.fan))
-    i = j = np.zeros(1, np.int64)
-    for level in levels[:-1][::-1]:
-        # Children of the pairs that are left; each unordered pair once.
-        n, grid = len(level.low), np.arange(s.fan)
-        x = (i[:, None, None] * s.fan + grid[None, :, None] + 0 * grid[None, None, :]).ravel()
-        y = (j[:, None, None] * s.fan + 0 * grid[None, :, None] + grid[None, None, :]).ravel()
-        ok = (x < n) & (y < n) & (x <= y)
-        x, y = x[ok], y[ok]
-        ok = level.possible(x, y, s.percent)
-        i, j = x[ok], y[ok]
-    ok = i != j
-    i, j = order[i[ok]], order[j[ok]]
-    good = np.zeros(len(i), bool)
-    for k in range(0, len(i), 1 << 14):
-        x, y = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
-        overlap = most_shared(cells[x], cells[y], np.minimum(sizes[x], sizes[y]))
-        good[k : k + (1 << 14)] = (100 + s.percent) * overlap >= s.percent * (sizes[x] + sizes[y])
-    return i[good], j[good]
+    block, grid = max(1, BLOCK // s.fan**2), np.arange(s.fan)
+    root = np.zeros(1, np.int64)
+    waiting = [(len(levels) - 1, root, root)]
+    while waiting:
+        depth, i, j = waiting.pop()
+        if len(i) > block:
+            waiting.append((depth, i[:-block], j[:-block]))
+            i, j = i[-block:], j[-block:]
+        if depth:
+            # Children of the pairs that are left; each unordered pair once.
+            level = levels[depth - 1]
+            n = len(level.low)
+            x = (i[:, None, None] * s.fan + grid[None, :, None] + 0 * grid[None, None, :]).ravel()
+            y = (j[:, None, None] * s.fan + 0 * grid[None, :, None] + grid[None, None, :]).ravel()
+            ok = (x < n) & (y < n) & (x <= y)
+            x, y = x[ok], y[ok]
+            ok = level.possible(x, y, s.percent)
+            if ok.any():
+                waiting.append((depth - 1, x[ok], y[ok]))
+            continue
+        ok = i != j
+        i, j = order[i[ok]], order[j[ok]]
+        overlap = most_shared(cells[i], cells[j], np.minimum(sizes[i], sizes[j]))
+        good = (100 + s.percent) * overlap >= s.percent * (sizes[i] + sizes[j])
+        if good.any():
+            yield i[good], j[good]
 
 
 def first_met(least: np.ndarray, i: np.ndarray, j: np.ndarray, token: int) -> np.ndarray:
@@ -292,24 +303,30 @@ def bucket_pairs(members: DataFrame, s: Settings) -> DataFrame:
             key = rest[group].to_numpy()
             cut = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
             if len(cut):
-                yield pairs(rest.iloc[: cut[-1]], cut[:-1])
+                yield from pairs(rest.iloc[: cut[-1]], cut[:-1])
                 rest = rest.iloc[cut[-1] :].reset_index(drop=True)
         if rest is not None:
-            yield pairs(rest, np.zeros(0, np.int64))
+            yield from pairs(rest, np.zeros(0, np.int64))
 
-    def pairs(frame: pd.DataFrame, cut: np.ndarray) -> pd.DataFrame:
+    def pairs(frame: pd.DataFrame, cut: np.ndarray) -> Iterator[pd.DataFrame]:
         keys, sizes, comps = (frame[c].to_numpy(np.int64) for c in ("key", "n", "comp"))
         bitmaps = np.frombuffer(b"".join(frame["signature"]), np.uint64).reshape(len(frame), -1)
         cells = np.frombuffer(b"".join(frame["cells"]), np.uint8).reshape(len(frame), -1)
         tokens, least = frame["token"].to_numpy(np.int64), np.stack(frame["least"].to_numpy())
-        out = []
+        out, held = [], 0
         for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(frame)]):
-            i, j = tree_pairs(sizes[a:b], bitmaps[a:b], comps[a:b], cells[a:b], s)
-            new = first_met(least[a:b], i, j, tokens[a])
-            i, j = i[new], j[new]
-            if len(i):
-                out.append(np.sort(np.stack([keys[a + i], keys[a + j]], 1), 1))
-        out = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+            for i, j in tree_pairs(sizes[a:b], bitmaps[a:b], comps[a:b], cells[a:b], s):
+                new = first_met(least[a:b], i, j, tokens[a])
+                out.append(np.sort(np.stack([keys[a + i[new]], keys[a + j[new]]], 1), 1))
+                held += len(out[-1])
+                if held >= BLOCK:
+                    yield distinct(out)
+                    out, held = [], 0
+        if held:
+            yield distinct(out)
+
+    def distinct(found: list[np.ndarray]) -> pd.DataFrame:
+        out = np.unique(np.concatenate(found), axis=0)
         return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
 
     ordered = rows.repartition(*group).sortWithinPartitions(*group)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -87,6 +88,51 @@ def test_pairs_of_a_bucket_with_its_centre_are_no_work_of_the_trees(frame, monke
     assert seen[0] == [] and len({key for _, key in seen[1]}) <= 2
 
 
+def bucket_of(count, shared, s):
+    """Sizes, bitmaps, components and cells of sets that have ``shared`` of 600 tokens in common, and the sets."""
+    rng = np.random.default_rng(4)
+    common, own = rng.integers(1, 1 << 62, 600, np.uint64), rng.integers(1, 1 << 62, (count, 600), np.uint64)
+    sets = [np.unique(np.concatenate([common[:n], row[n:]])) for n, row in zip(shared, own)]
+    bitmaps = np.stack([jaccard_trees.folded(jaccard_trees.signature(x, s.bits), s.bits // 8) for x in sets])
+    cells = np.stack([np.frombuffer(jaccard_trees.counted(x), np.uint8) for x in sets])
+    return (np.array([len(x) for x in sets]), bitmaps, np.arange(count) // 2, cells), sets
+
+
+def test_memory_of_a_tree_does_not_follow_its_pairs():
+    s, count = jaccard_trees.Settings(), 1500
+    bucket, _ = bucket_of(count, [516] * count, s)
+    tracemalloc.start()
+    pairs = sum(len(i) for i, _ in jaccard_trees.tree_pairs(*bucket, s))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pairs > 0.99 * count * (count - 1) / 2 and peak < 100e6
+
+
+@pytest.mark.parametrize("block", [1, 100, 1 << 17])
+def test_blocks_of_a_tree_give_each_pair_once(monkeypatch, block):
+    monkeypatch.setattr(jaccard_trees, "BLOCK", block)
+    s = jaccard_trees.Settings(fan=4)
+    bucket, sets = bucket_of(90, [590 - 5 * k for k in range(90)], s)
+    found = [tuple(sorted(p)) for i, j in jaccard_trees.tree_pairs(*bucket, s) for p in zip(i.tolist(), j.tolist())]
+    assert len(found) == len(set(found)) and all(a // 2 != b // 2 for a, b in found)
+    linked = set()
+    for b in range(90):
+        for a in range(b):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if a // 2 != b // 2 and 100 * both >= s.percent * (len(sets[a]) + len(sets[b]) - both):
+                linked.add((a, b))
+    assert linked and linked <= set(found) and len(found) < 90 * 89 / 2
+
+
+def test_a_full_bucket_gives_all_its_pairs(ready):
+    s = jaccard_trees.Settings()
+    (sizes, bitmaps, _, cells), _ = bucket_of(60, [516] * 60, s)
+    rows = [(7, k, int(sizes[k]), k, bytearray(bitmaps[k].tobytes()), bytearray(cells[k].tobytes()), [7] + [jaccard_trees.NONE] * 7, 60) for k in range(60)]
+    schema = "token long, key long, n long, comp long, signature binary, cells binary, least array<long>, count long"
+    got = [tuple(r) for r in jaccard_trees.bucket_pairs(ready.createDataFrame(rows, schema), s).collect()]
+    assert sorted(got) == [(a, b) for a in range(60) for b in range(a + 1, 60)]
+
+
 def test_one_of_each_group_stays(frame):
     rows = near_copies()
     kept = sorted(r["doc_id"] for r in jaccard_trees.one_of_each(frame(rows)).collect())
