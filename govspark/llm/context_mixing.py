@@ -43,6 +43,8 @@ from govspark.llm.common import materialise, utf8
 ORDERS = 3
 #: Words by rank that count as frequent in a context.
 FREQUENT, COMMON = 256, 4096
+#: Entries that are gone through at a time.
+PIECE = 1 << 12
 #: Slots of a table in one row of its parts.
 BLOCK = 4096
 #: Gates: kind of bit (word, byte), place in the code, longest context seen.
@@ -92,6 +94,8 @@ class Paths(NamedTuple):
     #: The nodes spread over 64 bits, and the places in the code (times ``SEEN``, as gates count them).
     spread: np.ndarray
     places: np.ndarray
+    #: Last node of each path.
+    ends: np.ndarray
 
 
 @dataclass
@@ -108,6 +112,16 @@ class Model:
     def word_paths(self) -> Paths:
         return paths(*self.word_tree, self.settings.depth)
 
+    @cached_property
+    def word_leaves(self) -> tuple[np.ndarray, Paths]:
+        """Which of the different paths each symbol has, and these: words below one node share theirs."""
+        whole = self.word_paths
+        _, first, leaf = np.unique(whole.ends, return_index=True, return_inverse=True)
+        _, place = _steps(whole, first)
+        starts = np.append(0, np.cumsum(np.diff(whole.starts)[first]))
+        parts = (x[place] for x in (whole.nodes, whole.bits))
+        return leaf, Paths(starts, *parts, np.zeros(len(first)), whole.spread[place], whole.places[place], whole.ends[first])
+
     @cached_property
     def byte_paths(self) -> Paths:
         return paths(*self.byte_tree, 256)
@@ -165,30 +179,42 @@ def paths(parent: np.ndarray, side: np.ndarray, weight: np.ndarray, depth: int)
     rest = np.zeros(size)
     deep = far == depth
     rest[symbols[deep]] = np.log2(weight[nodes[deep]] / weight[symbols[deep]])
+    ends = np.arange(size)
+    ends[symbols[deep]] = nodes[deep]
     near = far < depth
     starts = np.append(0, np.cumsum(np.bincount(symbols[near], minlength=size)))
     nodes = (nodes[near] - size).astype(np.int32)
-    return Paths(starts, nodes, bits[near], rest, (nodes.astype(np.uint64) + np.uint64(1)) * _ODD, _PLACE[far[near]] * SEEN)
+    return Paths(starts, nodes, bits[near], rest, (nodes.astype(np.uint64) + np.uint64(1)) * _ODD, _PLACE[far[near]] * SEEN, ends)
 
 
 # ------------------------------------------------------------------ bits of the documents of a shard
 
 
 class Bits:
-    """Some units of each document (words, or escaped words) and the bits that tell them.
+    """Some units of each document (words, or escaped words) and the symbols that tell them.
 
     ``bounds`` are the units of each document, one document after the other. Called with numbers of
-    units it gives, bit by bit: the place of the unit in that list, slots of the predictors, bit
-    and place in the code times ``SEEN``.
+    units it gives, symbol by symbol: the place of the unit in that list, and the entry.
 
-    Units of one ``alike`` have the same bits and slots.
+    An entry is a symbol under its contexts: all its bits and slots follow from the symbol's path in
+    ``paths`` and from the numbers of the predictors' contexts. Units of one ``alike`` have the same
+    entries, or ones with the same symbol and contexts.
     """
 
     kind: int
+    #: Units that are gone through at a time.
+    piece: int
     bounds: np.ndarray
     alike: np.ndarray
+    paths: Paths
+    symbols: np.ndarray
+    contexts: list[np.ndarray]
+
+    def __call__(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raise NotImplementedError
 
-    def __call__(self, units: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    def spread(self, order: int, contexts: np.ndarray) -> np.ndarray:
+        """Numbers of a predictor's contexts spread over 64 bits."""
         raise NotImplementedError
 
 
@@ -217,68 +243,101 @@ def _slot(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys in ascending order, equal ones in the order they come, and where each different one starts there."""
+    low = len(keys).bit_length()
+    if int(keys.max(initial=0)).bit_length() + low < 64:
+        # A sort of numbers is several times as fast as one of places.
+        both = np.sort(keys << low | np.arange(len(keys)))
+        order, keys = both & (1 << low) - 1, both >> low
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+    return order, np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+
+
+def _entries(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each different key comes first, in that order, and which of them each key is."""
+    order, starts = _ordered(keys)
+    first = order[starts]
+    new = np.zeros(len(keys), bool)
+    new[first] = True
+    number = np.cumsum(new)[first] - 1
+    entry = np.empty(len(keys), np.int64)
+    entry[order] = np.repeat(number, np.diff(starts, append=len(keys)))
+    return np.flatnonzero(new), entry
+
+
+@lru_cache(1)
+def _named() -> list[np.ndarray]:
+    """Contexts of the word predictors by the number of the word before, spread; 0 is a document's start."""
+    before = np.arange(COMMON + 100, dtype=np.uint64) * _ODD
+    before[0] = 1
+    return [np.zeros(len(before), np.uint64), before * _ODD + np.uint64(5), before * _MIX]
+
+
 class WordBits(Bits):
-    kind = 0
+    kind, piece = 0, 1 << 12
 
     def __init__(self, model: Model, symbols: np.ndarray, bounds: np.ndarray) -> None:
-        self.model, self.symbols, self.bounds = model, symbols, bounds
+        self.bounds = bounds
+        leaf, self.paths = model.word_leaves
+        self.symbols = leaf.take(symbols)
         # Of a rare word only the order of its rank counts as context.
         kinds = np.arange(model.escape + 1)
-        kinds = np.where(kinds < COMMON, kinds + 100, np.log2(kinds + 1)).astype(np.uint64)
-        named = kinds[symbols]
-        before = np.append(np.uint64(1), named[:-1] * _ODD)
-        before[bounds[:-1]] = 1
+        kinds = np.where(kinds < COMMON, kinds + 100, np.log2(kinds + 1)).astype(np.int64)
+        before = np.append(0, kinds[symbols[:-1]])
+        before[bounds[:-1]] = 0
         # The last one of the most frequent words tells more than a rare word before.
         places = np.where(np.append(False, symbols[:-1] < FREQUENT), np.arange(len(symbols)), 0)
         places[bounds[:-1]] = bounds[:-1]
-        places = np.maximum.accumulate(places)
-        self.contexts = [before[places] * _ODD + np.uint64(5), before * _MIX]
-        self.before, self.places = named, places
+        often = before.take(np.maximum.accumulate(places))
+        self.contexts = [np.zeros_like(before), often, before]
 
-    @cached_property
+    @property
     def alike(self) -> np.ndarray:
-        """Symbol, last very frequent word and word before as one number, 0 for none at the start."""
-        names = np.unique(self.before, return_inverse=True)[1] + 1
-        before = np.append(0, names[:-1])
-        before[self.bounds[:-1]] = 0
-        often = before.take(self.places)
-        size = names.max(initial=0) + 1
+        size = COMMON + 100
+        _, often, before = self.contexts
         return (self.symbols * size + often) * size + before
 
     def __call__(self, units):
-        paths, bits = self.model.word_paths, self.model.settings.slot_bits
-        which, place = _steps(paths, self.symbols.take(units))
-        node = paths.spread.take(place)
-        slots = [_slot(np.uint64(0), node, bits), *[_slot(c.take(units).take(which), node, bits) for c in self.contexts]]
-        return which, slots, paths.bits.take(place), paths.places.take(place)
-
+        return np.arange(len(units)), units
 
-class ByteBits(Bits):
-    kind = 1
+    def spread(self, order, contexts):
+        return _named()[order].take(contexts)
 
-    def __init__(self, model: Model, starts: np.ndarray, lengths: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> None:
-        self.model, self.starts, self.lengths, self.data, self.bounds = model, starts, lengths, data, bounds
-
-    @property
-    def alike(self) -> np.ndarray:
-        return self.starts
 
-    def __call__(self, units):
-        lengths = self.lengths[units] + 1
-        which, far, place = _spread(self.starts[units], lengths)
-        last = far == lengths[which] - 1
-        byte = np.where(last, _BLANK, self.data[np.minimum(place, len(self.data) - 1)])
-        contexts, context = [], np.full(len(byte), 3, np.uint64)
+class ByteBits(Bits):
+    kind, piece = 1, 1 << 10
+
+    def __init__(self, model: Model, words: np.ndarray, places: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> None:
+        self.bounds, self.paths = bounds, model.byte_paths
+        words, self.alike = np.unique(words, return_inverse=True)
+        lengths = places[words + 1] - places[words] + 1
+        which, far, place = _spread(places[words], lengths)
+        byte = np.where(far == lengths[which] - 1, np.uint8(_BLANK), data[np.minimum(place, len(data) - 1)])
+        del which, place
+        # Up to three bytes before, the last one lowest.
+        before = np.zeros(len(byte), np.int64)
         for k in range(1, ORDERS + 1):
-            back = np.append(np.zeros(min(k, len(byte)), np.uint64), byte[:-k])
+            back = np.append(np.zeros(min(k, len(byte)), np.uint8), byte[:-k])
             back[far < k] = 0
-            context = (context * np.uint64(257) + back + np.uint64(1)) * _MIX
-            contexts.append(context)
-        tree = self.model.byte_paths
-        owner, place = _steps(tree, byte.astype(np.int64))
-        node = tree.spread.take(place)
-        slots = [_slot(c.take(owner), node, self.model.settings.slot_bits) for c in contexts]
-        return which.take(owner), slots, tree.bits.take(place), tree.places.take(place)
+            before |= back.astype(np.int64) << 8 * (k - 1)
+        self.starts = np.append(0, np.cumsum(lengths))
+        entries, self.told = _entries(before << 8 | byte)
+        self.symbols, before = byte.take(entries).astype(np.int64), before.take(entries)
+        self.contexts = [before & (1 << 8 * k) - 1 for k in range(1, ORDERS + 1)]
+
+    def __call__(self, units):
+        words = self.alike.take(units)
+        which, _, place = _spread(self.starts.take(words), self.starts.take(words + 1) - self.starts.take(words))
+        return which, self.told.take(place)
+
+    def spread(self, order, contexts):
+        out = np.full(len(contexts), 3, np.uint64)
+        for k in range(order + 1):
+            out = (out * np.uint64(257) + (contexts >> 8 * k & 0xFF).astype(np.uint64) + np.uint64(1)) * _MIX
+        return out
 
 
 @dataclass
@@ -310,7 +369,7 @@ def opened(model: Model, row: dict) -> Shard:
         row["trained"],
         [
             WordBits(model, symbols, bounds),
-            ByteBits(model, places[spelled], places[spelled + 1] - places[spelled], body, np.searchsorted(escaped, bounds)),
+            ByteBits(model, spelled, places, body, np.searchsorted(escaped, bounds)),
         ],
         np.add.reduceat(model.word_paths.rest[symbols], bounds[:-1]),
     )
@@ -327,13 +386,15 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield row
 
 
-def _pieces(stream: Bits, docs: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Units of the marked documents, one of all that are alike and how many, some thousands at a time."""
+def _met(stream: Bits, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of the marked documents and how often they have each; units that are alike are told once."""
     units = np.flatnonzero(np.repeat(docs, np.diff(stream.bounds)))
-    _, first, count = np.unique(stream.alike[units], return_index=True, return_counts=True)
-    units = units[first]
-    for k in range(0, len(units), size):
-        yield units[k : k + size], count[k : k + size]
+    order, starts = _ordered(stream.alike.take(units))
+    which, entry = stream(units.take(order.take(starts)))
+    out = np.zeros(len(stream.symbols), np.int64)
+    np.add.at(out, entry, np.diff(starts, append=len(units)).take(which))
+    entries = np.flatnonzero(out)
+    return entries, out.take(entries)
 
 
 # ------------------------------------------------------------------ learning
@@ -457,14 +518,21 @@ def tallied(model: Broadcast) -> Callable:
         for batch in batches:
             for row in _rows(batch):
                 shard = opened(m, row)
-                for stream, size in zip(shard.streams, (1 << 12, 1 << 10)):
-                    for units, count in _pieces(stream, shard.trained, size):
-                        which, slots, bit, _ = stream(units)
-                        count = count.take(which)
-                        for k, slot in enumerate(slots):
+                for stream in shard.streams:
+                    entries, met = _met(stream, shard.trained)
+                    for k, context in enumerate(stream.contexts):
+                        # What a predictor does not tell apart is put together first.
+                        size = len(stream.paths.starts)
+                        order, starts = _ordered(context.take(entries) * size + stream.symbols.take(entries))
+                        n = np.add.reduceat(met.take(order), starts) if len(order) else order
+                        first = entries.take(order.take(starts))
+                        for at in range(0, len(first), PIECE):
+                            piece = first[at : at + PIECE]
+                            which, place = _steps(stream.paths, stream.symbols.take(piece))
+                            slot = _slot(stream.spread(k, context.take(piece)).take(which), stream.paths.spread.take(place), m.settings.slot_bits)
                             slot += slot
-                            slot += bit
-                            np.add.at(counts[k], slot, count)
+                            slot += stream.paths.bits.take(place)
+                            np.add.at(counts[k], slot, n[at : at + PIECE].take(which))
         for order in range(ORDERS):
             for part, block in enumerate(counts[order].reshape(-1, 2 * BLOCK)):
                 if block.any():
@@ -530,21 +598,18 @@ def halves(both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both >> np.uint32(16), both & np.uint32(0xFFFF)
 
 
-def without(model: Model, table: np.ndarray, slots: list[np.ndarray], own: np.ndarray) -> list[np.ndarray]:
-    """Each predictor's logit of a 1 if the bits' own counts were not in it."""
-    log = _logs(model.settings.start)
-    out = []
-    for k, slot in enumerate(slots):
-        ones, zeros = halves(table[k].take(slot))
-        out.append(log.take(ones - np.minimum(ones, own)) - log.take(zeros - np.minimum(zeros, 1 - own)))
-    return out
+def slots_of(m: Model, stream: Bits, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The bits of some entries: which entry in the list, place in the paths, slots of the predictors."""
+    which, place = _steps(stream.paths, stream.symbols.take(entries))
+    node = stream.paths.spread.take(place)
+    slots = [_slot(stream.spread(k, c.take(entries)).take(which), node, m.settings.slot_bits) for k, c in enumerate(stream.contexts)]
+    return which, place, slots
 
 
-def _seen(st: list[np.ndarray]) -> np.ndarray:
-    """Longest context that tells anything: 0 to 2."""
-    met = (st[2] != 0).view(np.int8)
-    met += met
-    return np.maximum(met, (st[1] != 0).view(np.int8))
+def _seen(second: np.ndarray, third: np.ndarray) -> np.ndarray:
+    """Longest context that tells anything, 0 to 2, by whether the second and the third one do."""
+    met = third.view(np.int8) * np.int8(2)
+    return np.maximum(met, second.view(np.int8))
 
 
 def _gate(kind: int, place: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -561,6 +626,24 @@ UNIT, REACH = 0.75, 16
 LEVELS = 2 * REACH + 1
 
 
+#: Mark of a level whose logit is not 0.
+_TELLS = 64
+
+
+def levels(model: Model, table: np.ndarray) -> np.ndarray:
+    """Rounded logit of a bit by its predictor, slot and value, told for that value without the bit's own count."""
+    log = _logs(model.settings.start)
+    out = np.empty((ORDERS, table.shape[1], 2), np.uint8)
+    for k in range(ORDERS):
+        for at in range(0, table.shape[1], 1 << 16):
+            ones, zeros = halves(table[k, at : at + (1 << 16)])
+            for bit, (own, other) in enumerate(((zeros, ones), (ones, zeros))):
+                told = log.take(own - np.minimum(own, 1)) - log.take(other)
+                level = np.rint(told / np.float32(UNIT)).astype(np.int8) + np.int8(REACH)
+                out[k, at : at + (1 << 16), bit] = level | (told != 0).view(np.int8) * np.int8(_TELLS)
+    return out.reshape(ORDERS, -1)
+
+
 def evidence(model: Broadcast, table: Broadcast) -> Callable:
     """How many bits of all training documents have which gate and which logits, told for the bit's own value.
 
@@ -569,20 +652,25 @@ def evidence(model: Broadcast, table: Broadcast) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
+        told = levels(m, table.value)
         counts = np.zeros(GATES * LEVELS**ORDERS, np.int64)
         for batch in batches:
             for row in _rows(batch):
                 shard = opened(m, row)
-                for stream, size in zip(shard.streams, (1 << 12, 1 << 10)):
-                    for units, count in _pieces(stream, shard.trained, size):
-                        which, slots, bit, place = stream(units)
-                        st = without(m, table.value, slots, bit)
-                        cell = _gate(stream.kind, place, _seen(st))
-                        side = _SIDES.take(bit) / np.float32(UNIT)
-                        for x in st:
-                            x *= side
-                            cell = cell * LEVELS + (np.rint(x).astype(np.int32) + REACH)
-                        np.add.at(counts, cell, count.take(which))
+                for stream in shard.streams:
+                    entries, met = _met(stream, shard.trained)
+                    for at in range(0, len(entries), PIECE):
+                        which, place, slots = slots_of(m, stream, entries[at : at + PIECE])
+                        bit = stream.paths.bits.take(place)
+                        found = []
+                        for k, slot in enumerate(slots):
+                            slot += slot
+                            slot += bit
+                            found.append(told[k].take(slot))
+                        cell = _gate(stream.kind, stream.paths.places.take(place), _seen(found[1] >= _TELLS, found[2] >= _TELLS))
+                        for level in found:
+                            cell = cell * LEVELS + (level & np.uint8(_TELLS - 1))
+                        np.add.at(counts, cell, met[at : at + PIECE].take(which))
         cells = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], names=["cell", "n"])
 
@@ -619,8 +707,79 @@ def starting_weights(local: DataFrame, model: Broadcast, table: Broadcast, s: Se
 # ------------------------------------------------------------------ scoring
 
 
-def _lanes(m: Model, logits: np.ndarray, starting: np.ndarray, stream: Bits, docs: np.ndarray) -> np.ndarray:
-    """Bits of some documents, longest first, each with weights of its own that go on learning."""
+class ByteTold:
+    """The bits of all entries of escaped words, one entry after the other, told for the bit's own value."""
+
+    def __init__(self, m: Model, logits: np.ndarray, stream: Bits) -> None:
+        self.stream = stream
+        self.starts = np.append(0, np.cumsum(np.diff(stream.paths.starts).take(stream.symbols)))
+        self.st = [np.empty(self.starts[-1], np.float32) for _ in range(ORDERS)]
+        self.gates = np.empty(self.starts[-1], np.int8)
+        for at in range(0, len(stream.symbols), PIECE):
+            entries = np.arange(at, min(at + PIECE, len(stream.symbols)))
+            _, place, slots = slots_of(m, stream, entries)
+            here = slice(self.starts[at], self.starts[entries[-1] + 1])
+            side = _SIDES.take(stream.paths.bits.take(place))
+            for x, table, slot in zip(self.st, logits, slots):
+                np.multiply(table.take(slot), side, out=x[here])
+            self.gates[here] = _gate(stream.kind, stream.paths.places.take(place), _seen(self.st[1][here] != 0, self.st[2][here] != 0))
+
+    def __call__(self, units: np.ndarray, lane: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        which, entry = self.stream(units)
+        starts = self.starts.take(entry)
+        lengths = self.starts.take(entry + 1) - starts
+        place = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+        place += np.arange(len(place))
+        cell = np.repeat(lane.take(which) * GATES, lengths)
+        cell += self.gates.take(place)
+        return cell, [x.take(place) for x in self.st], np.zeros(len(units))
+
+
+class WordTold:
+    """The same for words: a row of bits for each predictor's different contexts and paths, 0 where a path has ended."""
+
+    def __init__(self, m: Model, logits: np.ndarray, stream: WordBits) -> None:
+        starts = stream.paths.starts
+        lengths = np.diff(starts)
+        width = int(lengths.max())
+        leaf, far, place = _spread(starts[:-1], lengths)
+        node, side = np.zeros((len(lengths), width), np.uint64), np.zeros((len(lengths), width), np.float32)
+        node[leaf, far], side[leaf, far] = stream.paths.spread[place], _SIDES[stream.paths.bits[place]]
+        self.gates = stream.kind * PLACES * SEEN + _PLACE[:width].astype(np.int64) * SEEN
+        self.ended = (width - lengths).take(stream.symbols)
+        self.rows, self.st = [], []
+        for k, table in enumerate(logits):
+            if k:
+                first, row = _entries(stream.contexts[k] * len(starts) + stream.symbols)
+                leaf, context = stream.symbols.take(first), stream.contexts[k].take(first)
+            else:
+                # The path alone.
+                leaf, row = np.arange(len(lengths)), stream.symbols
+                context = np.zeros_like(leaf)
+            out = np.empty((len(leaf), width), np.float32)
+            for at in range(0, len(leaf), PIECE):
+                here = slice(at, at + PIECE)
+                slot = _slot(stream.spread(k, context[here])[:, None], node.take(leaf[here], axis=0), m.settings.slot_bits)
+                np.multiply(table.take(slot), side.take(leaf[here], axis=0), out=out[here])
+            self.rows.append(row)
+            self.st.append(out)
+
+    def __call__(self, units: np.ndarray, lane: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        st = [x.take(row.take(units), axis=0).ravel() for x, row in zip(self.st, self.rows)]
+        cell = np.add.outer(lane * GATES, self.gates).ravel()
+        cell += _seen(st[1] != 0, st[2] != 0)
+        return cell, st, self.ended.take(units)
+
+
+#: What a bit without evidence adds.
+_EVEN = float(np.log(np.float32(0.5)))
+
+
+def _lanes(m: Model, told: Callable, starting: np.ndarray, stream: Bits, docs: np.ndarray) -> np.ndarray:
+    """Bits of some documents, longest first, each with weights of its own that go on learning.
+
+    ``told`` gives the bits of units: cells of weights, logits for the bit's own value, and how many bits of each unit do not count.
+    """
     s = m.settings
     firsts, lasts = stream.bounds[docs], stream.bounds[docs + 1]
     weights = [np.tile(starting[:, k], len(docs)) for k in range(ORDERS)]
@@ -629,24 +788,18 @@ def _lanes(m: Model, logits: np.ndarray, starting: np.ndarray, stream: Bits, doc
         firsts, lasts = firsts[:live], lasts[:live]
         size = np.minimum(lasts - firsts, s.block)
         lane, _, units = _spread(firsts, size)
-        which, slots, bit, place = stream(units)
-        lane = lane.take(which)
-        st = [table.take(slot) for table, slot in zip(logits, slots)]
-        cell = lane * GATES
-        cell += _gate(stream.kind, place, _seen(st))
+        cell, st, none = told(units, lane)
         z = weights[0].take(cell) * st[0]
         for w, x in zip(weights[1:], st[1:]):
             z += w.take(cell) * x
-        side = _SIDES.take(bit)
-        z *= side
         np.minimum(np.maximum(z, -_MOST, out=z), _MOST, out=z)
         right = _chance(z)
-        spent[:live] -= np.bincount(lane, np.log(right), live)
+        spent[:live] -= np.bincount(cell, np.log(right), live * GATES).reshape(live, GATES).sum(axis=1)
+        spent[:live] += np.bincount(lane, none, live) * _EVEN
         miss = 1 - right
         force = sum(x * x for x in st)
         force *= miss
         force *= right
-        miss *= side
         curve = np.bincount(cell, force, live * GATES) + s.steady
         for w, x in zip(weights, st):
             x *= miss
@@ -659,10 +812,16 @@ def code_lengths(m: Model, logits: np.ndarray, weights: np.ndarray, shard: Shard
     """Total bits of each document of a shard."""
     out = shard.rest.copy()
     for stream in shard.streams:
-        order = np.argsort(-np.diff(stream.bounds), kind="stable")
-        for k in range(0, len(order), m.settings.lanes):
-            docs = order[k : k + m.settings.lanes]
-            out[docs] += _lanes(m, logits, weights, stream, docs)
+        told = (WordTold if stream.kind == 0 else ByteTold)(m, logits, stream)
+        sizes = np.diff(stream.bounds)
+        order = np.argsort(-sizes, kind="stable")
+        at = 0
+        while at < len(order):
+            # As many side by side as keep a step's arrays small.
+            most = stream.piece // max(1, min(m.settings.block, sizes[order[at]]))
+            docs = order[at : at + max(1, min(m.settings.lanes, most))]
+            out[docs] += _lanes(m, told, weights, stream, docs)
+            at += len(docs)
     return out
 
 

@@ -341,3 +341,45 @@ def test_newton_steps_find_the_weights_that_tell_the_cells_best():
     x = (levels - context_mixing.REACH) * context_mixing.UNIT
     slope = x.T @ (counts / (1 + np.exp(np.clip(x @ found[4].astype(float), -12, 12))))
     assert (np.abs(slope) < 1e-3 * (np.abs(x).T @ counts)).all()
+
+
+def test_bits_under_the_same_contexts_are_looked_up_once_a_shard(monkeypatch):
+    monkeypatch.setattr(context_mixing.shards, "numbers", lambda: iter(range(9)))
+    # Spelled words of two letters; the words after them differ in rank, not in their path's first two steps.
+    spelled = ["ab" * k for k in range(1, 60)]
+    known = [f"w{k}" for k in range(64)]
+    texts = [" ".join(spelled), " ".join(known * 5)] * 3
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(6), pa.int64()), "held": [False] * 6, "text": texts})
+    (local,) = context_mixing._local(iter([batch]))
+    s = context_mixing.Settings(depth=2)
+    model = context_mixing.coder([(w, 15) for w in known], 6, 900, s)
+    held = type("Held", (), {"value": model})
+    looked, slot = [], context_mixing._slot
+    monkeypatch.setattr(context_mixing, "_slot", lambda c, n, b: looked.append(np.broadcast(c, n).size) or slot(c, n, b))
+    parts = list(context_mixing.tallied(held)(iter([local])))
+    longest = int(np.diff(model.byte_paths.starts).max())
+    # A letter has at most 6 different beginnings of up to 3 letters before it, the blank 4.
+    spelled_most = 3 * longest * 16
+    words_most = 3 * 2 * 4 * (len(known) + 4)
+    assert sum(looked) <= spelled_most + words_most
+    bits = [sum(int(n.sum()) for part in parts for k, _, n in context_mixing._counts(part) if k == order) for order in range(3)]
+    lengths, letters = np.diff(model.word_paths.starts), np.diff(model.byte_paths.starts)
+    told = 3 * (59 * lengths[model.escape] + 5 * sum(lengths[:64]) + 2 * lengths[model.end])
+    told += 3 * sum(int(letters[b]) for w in spelled for b in (w + " ").encode())
+    assert bits == [told] * 3
+    looked.clear()
+    logits = np.random.default_rng(3).normal(size=(3, 1 << s.slot_bits)).astype(np.float32)
+    weights = np.tile(np.array(s.weights, np.float32), (context_mixing.GATES, 1))
+    lengths = context_mixing.code_lengths(model, logits, weights, context_mixing.opened(model, next(context_mixing._rows(local))))
+    assert sum(looked) <= spelled_most + words_most
+    assert lengths[0] == lengths[2] and lengths[1] == lengths[5]
+
+
+def test_keys_too_wide_for_one_number_are_ordered_alike():
+    keys = np.random.default_rng(4).integers(0, 50, 1000)
+    order, starts = context_mixing._ordered(keys)
+    far, wide = context_mixing._ordered(keys << 56)
+    assert (order == far).all() and (starts == wide).all() and len(starts) == 50
+    assert (order == np.argsort(keys, kind="stable")).all()
+    first, entry = context_mixing._entries(keys)
+    assert (keys[first][entry] == keys).all() and (np.diff(first) > 0).all()
